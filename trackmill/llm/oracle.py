@@ -4,4 +4,16 @@ from __future__ import annotations
 
 from . import urls
 
-ORACLE_SQL: dict[str, str] = {"op6_url_filter": urls.judge_sql()}
+TOP_K = """
+WITH v AS (
+  SELECT vec_id, [floor(64 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+) SELECT * FROM r WHERE rank <= 20
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_exact_top_k": TOP_K, "op6_url_filter": urls.judge_sql()}

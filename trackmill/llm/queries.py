@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, secrets, urls
+from . import bpe, secrets, topk, urls
 
 #: A parameter: any rank file will do.
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -23,6 +23,11 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), bpe.read_ranks(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best other vectors of each vector whose id is divisible by 20."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's secrets: base spans, and those that their structure confirms."""
     return secrets.digests(table(spark, sf_dir, "documents"))
@@ -35,6 +40,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_exact_top_k": op3_exact_top_k,
     "op4_secret_scan": op4_secret_scan,
     "op6_url_filter": op6_url_filter,
 }

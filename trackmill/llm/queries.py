@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, secrets, topk, urls
+from . import bpe, secrets, simhash, topk, urls
 
 #: A parameter: any rank file will do.
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -38,9 +38,16 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).withColumn("terms", F.array_join("terms", ","))
 
 
+def op10_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's fingerprint, and the smallest document that links within two bits reach from it."""
+    found = simhash.groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_exact_top_k": op3_exact_top_k,
     "op4_secret_scan": op4_secret_scan,
     "op6_url_filter": op6_url_filter,
+    "op10_simhash_covering": op10_simhash_covering,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, secrets, simhash, topk, urls
+from . import bpe, langid, quality, secrets, simhash, topk, urls
 
 #: A parameter: any rank file will do.
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -38,6 +38,21 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).withColumn("terms", F.array_join("terms", ","))
 
 
+def op8_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's language; rows whose remainder by 3 is 1 are held out."""
+    docs = table(spark, sf_dir, "documents")
+    out = F.coalesce(langid.remainder(F.col("doc_id"), 3) == 1, F.lit(False))
+    model = langid.fit(docs, langid.remainder(F.col("doc_id"), 3) != 1, "doc_id", "text", "lang")
+    return langid.predict(docs, model).withColumn("held_out", out)
+
+
+def op9_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's quality; rows whose remainder by 4 is 2 are held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), langid.remainder(F.col("k"), 4) != 2)
+    return quality.score(docs, model).withColumn("held_out", F.coalesce(langid.remainder(F.col("doc_id"), 4) == 2, F.lit(False)))
+
+
 def op10_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's fingerprint, and the smallest document that links within two bits reach from it."""
     found = simhash.groups(table(spark, sf_dir, "documents"))
@@ -49,5 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_top_k": op3_exact_top_k,
     "op4_secret_scan": op4_secret_scan,
     "op6_url_filter": op6_url_filter,
+    "op8_language_codes": op8_language_codes,
+    "op9_quality_votes": op9_quality_votes,
     "op10_simhash_covering": op10_simhash_covering,
 }

@@ -16,4 +16,24 @@ WITH v AS (
 ) SELECT * FROM r WHERE rank <= 20
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_exact_top_k": TOP_K, "op6_url_filter": urls.judge_sql()}
+#: The trees' leaves compared outright: what a descent from the roots must find.
+FIXITY = """
+WITH r AS (
+  SELECT page_id, sha256('WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10)
+    || coalesce('WARC-Target-URI: ' || {url} || chr(13) || chr(10), '')
+    || coalesce('Content-Length: ' || CAST(octet_length(encode({html})) AS VARCHAR) || chr(13) || chr(10), 'WARC-Truncated: unspecified' || chr(13) || chr(10))
+    || chr(13) || chr(10) || coalesce({html}, '') || chr(13) || chr(10) || chr(13) || chr(10)) AS d, {rest} FROM {source}
+)"""
+LIMBS = " || ':' || ".join(f"CAST(sum(CAST(('0x' || substr(d, {1 + 15 * i}, 15)) AS BIGINT)) AS VARCHAR)" for i in range(4))
+LEAVES = f"SELECT page_id, count(*) AS n, sha256(CAST(count(*) AS VARCHAR) || ':' || {LIMBS}) AS digest"
+WARC_FIXITY = f"""
+{FIXITY.format(url="url", html="html", rest="url, html", source="pages")},
+copies AS (SELECT page_id, url, CASE WHEN d[1:2] = '00' THEN substr(html, 2) ELSE html END AS html FROM r, range(CASE WHEN d[1:2] = '01' THEN 0 WHEN d[1:2] = '02' THEN 2 ELSE 1 END)),
+{FIXITY.format(url="url", html="html", rest="1 AS x", source="copies").strip().removeprefix("WITH r").join(["s", ""])},
+a AS ({LEAVES} FROM r GROUP BY page_id), b AS ({LEAVES} FROM s GROUP BY page_id)
+SELECT page_id, CASE WHEN b.digest IS NULL THEN 'missing' WHEN a.digest IS NULL THEN 'extra' ELSE 'altered' END AS state,
+  coalesce(a.n, 0) AS n_a, coalesce(b.n, 0) AS n_b, a.digest AS digest_a, b.digest AS digest_b
+FROM a FULL JOIN b USING (page_id) WHERE a.digest IS DISTINCT FROM b.digest
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_warc_fixity": WARC_FIXITY, "op3_exact_top_k": TOP_K, "op6_url_filter": urls.judge_sql()}

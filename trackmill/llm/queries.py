@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, quality, secrets, simhash, topk, urls
+from . import bpe, decontaminate, langid, merkle, quality, secrets, simhash, topk, urls
 
 #: A parameter: any rank file will do.
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -18,6 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page records at which a damaged replica's tree differs from the archive's."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    digest = merkle.warc_digest(F.col("url"), F.col("html"))
+    replicas = [merkle.tree(p, F.col("page_id"), digest) for p in (pages, merkle.damaged(pages, digest, "html"))]
+    return merkle.audit(*replicas).withColumnRenamed("position", "page_id")
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's token count and the digests of its ids and of what they decode to."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), bpe.read_ranks(VOCABULARY), public_tokenizers.PATTERN)
@@ -33,6 +41,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold benchmark passages, with the items."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page's host, path, rule and verdict."""
     return urls.judge(table(spark, sf_dir, "pages")).withColumn("terms", F.array_join("terms", ","))
@@ -60,9 +73,11 @@ def op10_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_fixity": op1_warc_fixity,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_exact_top_k": op3_exact_top_k,
     "op4_secret_scan": op4_secret_scan,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_url_filter": op6_url_filter,
     "op8_language_codes": op8_language_codes,
     "op9_quality_votes": op9_quality_votes,

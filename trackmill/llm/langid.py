@@ -12,11 +12,11 @@ nothing can be learnt. With one language, every text with a letter has it. Token
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ngrams
-from .common import map_texts
+from .common import map_texts, sampled
 
 BITS = 12
 #: Bounds of the sample and of the number of languages.
@@ -90,8 +90,7 @@ def fit(docs: DataFrame, learn: Column, key: str, text: str, lang: str) -> Model
     names = known.select("lang").distinct().limit(LANGUAGES + 1).count()
     if names > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("k"), "k")
-    chosen = known.select("k", "lang").withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= PER_LANGUAGE).select("k").distinct()
+    chosen = sampled(known.select("k", "lang"), "lang", "k", PER_LANGUAGE).select("k").distinct()
     # at most PER_LANGUAGE keys for each of LANGUAGES languages
     sample = known.join(F.broadcast(chosen), "k").withColumn("row", F.struct("lang", "k"))
     rows = map_texts(sample, "row", "t", lambda: lambda keys, texts: [[f.astype("<f2").tobytes() for f in features(texts)]], "x binary").limit(PER_LANGUAGE * LANGUAGES).orderBy("row").collect()

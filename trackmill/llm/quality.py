@@ -13,11 +13,11 @@ and gets the share of label 1 among the labelled rows, as does every text if not
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ngrams
-from .common import map_texts
+from .common import map_texts, sampled
 
 BITS = 12
 #: The bound of the sample, for each label; dimensions of the latent space; voters.
@@ -84,8 +84,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
     """The model from a bounded sample of the labelled rows that meet `learn`."""
     known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("k").isNotNull()).filter(learn)
     totals = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-    first = Window.partitionBy("y").orderBy(F.xxhash64("k"), "k")
-    chosen = known.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= PER_LABEL).groupBy("k").agg(F.max("y").alias("y"))
+    chosen = sampled(known, "y", "k", PER_LABEL).groupBy("k").agg(F.max("y").alias("y"))
     # at most PER_LABEL keys of either label
     sample = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k").withColumn("row", F.struct("k", "y"))
     rows = map_texts(sample, "row", "t", lambda: lambda keys, texts: [[np.minimum(c, 65504).astype("<f2").tobytes() for c in terms(texts)]], "x binary").limit(4 * PER_LABEL).orderBy("row").collect()

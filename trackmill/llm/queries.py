@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, merkle, quality, secrets, simhash, topk, urls
+from . import bpe, decontaminate, langid, merkle, quality, repeats, secrets, simhash, topk, urls
 
 #: A parameter: any rank file will do.
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -51,6 +51,12 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).withColumn("terms", F.array_join("terms", ","))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document without the bytes of strings of 200 bytes that also start elsewhere."""
+    found = repeats.strip(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's language; rows whose remainder by 3 is 1 are held out."""
     docs = table(spark, sf_dir, "documents")
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scan": op4_secret_scan,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_url_filter": op6_url_filter,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_language_codes": op8_language_codes,
     "op9_quality_votes": op9_quality_votes,
     "op10_simhash_covering": op10_simhash_covering,

@@ -179,3 +179,19 @@ def round_trip(docs: DataFrame, tokens: list[bytes], pattern: str, key: str = "d
         return work
 
     return map_texts(docs, key, text, make, "n_tokens long, ids_sha256 string, decoded_sha256 string, n_split long, n_bytes long")
+
+
+def tokens_and_digests(docs: DataFrame, tokens: list[bytes], pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, ids array<int>, n_tokens, ids_sha256, decoded_sha256."""
+    held = docs.sparkSession.sparkContext.broadcast(tokens)
+
+    def make():
+        own = codec(held.value, pattern)
+
+        def work(keys, texts):
+            ids = [own.encode(t) for t in texts]
+            return [lists([np.frombuffer(x, dtype="<u4").astype(np.int32) for x in ids]), [len(x) // 4 for x in ids], [hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(own.decode(x)).hexdigest() for x in ids]]
+
+        return work
+
+    return map_texts(docs, key, text, make, "ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -13,8 +13,10 @@ nothing. Long documents are searched in overlapping segments. The result has one
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -179,16 +181,46 @@ class Index:
         return [(t, n, len(v[0]), *v[1:]) for (t, n), v in sorted(out.items())]
 
 
+def item_parts(docs: DataFrame, benchmark: DataFrame, item: str, item_text: str) -> list:
+    """The benchmark's (item, text) rows as broadcasts of about ITEM_CHARS characters each."""
+    items = benchmark.filter(F.col(item_text).isNotNull()).select(F.col(item).alias("i"), F.col(item_text).alias("t")).distinct()
+    passes = max(1, math.ceil((items.agg(F.sum(F.length("t"))).first()[0] or 0) / ITEM_CHARS))
+    parts = (items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == n) for n in range(passes))
+    return [docs.sparkSession.sparkContext.broadcast([tuple(r) for r in p.collect()]) for p in parts]
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """docs (all columns) without the rows in which a benchmark item matches. Null texts stay."""
+    for held in item_parts(docs, benchmark, item, item_text):
+        docs = docs.filter(_clear(held)(F.col(text).cast("string")))
+    return docs
+
+
+def _clear(held):
+    @F.pandas_udf("boolean")
+    def clear(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = Index(held.value)
+        for texts in batches:
+            values, out, at = texts.fillna("").tolist(), np.ones(len(texts), bool), 0
+            while at < len(values):
+                end, size = at, 0
+                while end < len(values) and (end == at or size + len(values[end]) <= BATCH_CHARS):
+                    size += len(values[end])
+                    end += 1
+                for found in index.matches(values[at:end]):
+                    out[at + found[0]] = False
+                at = end
+            yield pd.Series(out)
+
+    return clear
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """key, item, n_windows (that match), edits (the least), start, end (code points of the document from the first to the last match)."""
     kind, item_kind = docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
-    items = benchmark.filter(F.col(item_text).isNotNull()).select(F.col(item).alias("i"), F.col(item_text).alias("t")).distinct()
-    passes = max(1, math.ceil((items.agg(F.sum(F.length("t"))).first()[0] or 0) / ITEM_CHARS))
     key_type, item_type = to_arrow_type(docs.schema[key].dataType), to_arrow_type(benchmark.schema[item].dataType)
     parts = []
-    for n in range(passes):
-        some = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == n).collect()]  # about ITEM_CHARS
-        held = docs.sparkSession.sparkContext.broadcast(some)
+    for held in item_parts(docs, benchmark, item, item_text):
 
         def run(batches, held=held):
             index = Index(held.value)

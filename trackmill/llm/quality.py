@@ -110,3 +110,21 @@ def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str =
         return work
 
     return map_texts(docs, key, text, make, "score double, predicted int")
+
+
+def score_column(spark, model: Model | None, text: Column) -> Column:
+    """The score as a column of the text's own DataFrame; null texts count as empty."""
+    held = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def scored(texts):
+        own = held.value
+        if own is None:
+            return texts.map(lambda t: 0.5)
+        values = texts.tolist()
+        out = []
+        for at in range(0, len(values), 256):
+            out += own.score(terms(values[at : at + 256])).tolist()
+        return texts.__class__(out, index=texts.index, dtype=float)
+
+    return scored(F.coalesce(text.cast("string"), F.lit("")))

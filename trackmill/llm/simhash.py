@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts
+from .common import cut, map_texts, stored
 from .components import components
 
 BITS = 64
@@ -119,3 +119,84 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int
     least = roots.groupBy("root").agg(F.min("least").alias("component"))
     named = roots.join(least, "root").select("fp", "component")
     return own.join(named, "fp").select(key, "fp", "component")
+
+
+#: Word shingles and their similarity in near_duplicates(); fingerprints of a pair that differ more than this are not compared.
+SHINGLE, SIMILAR, FAR = 5, 0.8, 20
+
+
+def shingle_sets(docs: DataFrame, node: str, text: str, size: int = SHINGLE) -> DataFrame:
+    """node, grams: the distinct hashes of a text's word shingles (32 bits each), sorted, as bytes."""
+
+    def make():
+        def work(nodes, texts):
+            return [[np.unique(shingle_hashes(t.encode(), size, 7).astype("<u4")).tobytes() for t in texts]]
+
+        return work
+
+    return map_texts(docs, node, text, make, "grams binary")
+
+
+def alike(pairs: DataFrame, sets: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of `least` or more."""
+
+    @F.pandas_udf("double")
+    def jaccard(x, y):
+        def one(a, b):
+            a, b = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            return both / max(1, len(a) + len(b) - both)
+
+        return x.combine(y, one).astype(float)
+
+    sized = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
+    near = F.least(F.length("x"), F.length("y")) >= least * F.greatest(F.length("x"), F.length("y"))
+    return sized.filter(near).filter(jaccard("x", "y") >= least).select("a", "b")
+
+
+def candidates(classes: DataFrame, radius: int) -> DataFrame:
+    """a, b: pairs of classes (node, fp, fp1) that share a table's key of either fingerprint.
+
+    Of a key with few classes: those within the radius by that measure. Of a key with more: each class beside the one whose
+    fingerprint is nearest to the key's bitwise majority, and beside the first one.
+    """
+    keys = classes.select("node", F.explode(F.concat(*[F.transform(table_keys(F.col(f), radius), lambda k, i=i: F.struct(k.alias("key"), F.lit(i).alias("of"))) for i, f in enumerate(("fp", "fp1"))])).alias("x")).select("node", F.xxhash64("x.key", "x.of").alias("key"), "x.of")
+    shared = stored(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    met = stored(keys.join(shared, "key").join(classes, "node"))
+    few = met.filter(F.col("n") <= SMALL).select("key", "node", "fp", "fp1")
+    one, two = (few.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "fp", "fp1")]) for x in "ab")
+    apart = [F.bit_count(F.col(f"{f}_a").bitwiseXOR(F.col(f"{f}_b"))) for f in ("fp", "fp1")]
+    pairs = one.join(two, "key").filter((F.col("node_a") < F.col("node_b")) & (F.least(*apart) <= radius) & (F.greatest(*apart) <= FAR)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    many = met.filter(F.col("n") > SMALL).select("key", "node", "n", F.when(F.col("of") == 0, F.col("fp")).otherwise(F.col("fp1")).alias("f"))
+    bits = many.groupBy("key").agg(*[F.sum(F.getbit("f", F.lit(i)).cast("int")).alias(f"b{i}") for i in range(BITS)], F.first("n").alias("all"))
+    middle = F.lit(0).cast("long")
+    for i in range(BITS):
+        middle = middle.bitwiseOR(F.when(F.col(f"b{i}") * 2 > F.col("all"), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    placed = many.join(bits.select("key", middle.alias("middle")), "key")
+    heads = placed.groupBy("key").agg(F.min(F.struct(F.bit_count(F.col("f").bitwiseXOR(F.col("middle"))).alias("d"), F.col("node").alias("a"))).alias("central"), F.min("node").alias("first"))
+    heads = heads.select("key", F.explode(F.array("central.a", "first")).alias("a"))
+    starred = many.select("key", F.col("node").alias("b")).join(heads, "key").filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.union(starred).distinct()
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 4, least: float = SIMILAR) -> DataFrame:
+    """docs (all columns) without the rows that a copy or near copy of smaller key stands for: one of each group stays.
+
+    Two texts are near copies if their sets of five-word shingles are alike by `least` or more. Candidates come from two
+    fingerprints of the texts' distinct words (those change less under edits than fingerprints of shingles) within the radius of
+    either; groups are connected components. Of keys that very many texts share, each text is compared with two heads only, so in
+    such a crowd texts are grouped if they are alike to a head. Rows with equal texts are one class from the start; of repeated
+    rows with one key and text one stays; null texts count as empty, and a null key comes before all others.
+    """
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    own = docs.select(F.struct(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("d"), F.hash(t).alias("v"), F.substring(F.sha2(t, 256), 1, 32).alias("digest")).alias("id"), t.alias("t"))
+    signed = stored(fingerprints(own, "id", "t", 1, (42, 43), True))
+    classes = stored(signed.groupBy("id.digest").agg(F.min("id.d").alias("d"), F.first("id.v").alias("v"), F.first("fp").alias("fp"), F.first("fp1").alias("fp1")).select(F.struct("d", "v").alias("node"), "digest", "fp", "fp1"))
+    pairs = stored(candidates(classes.select("node", "fp", "fp1"), radius))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = own.select(F.struct("id.d", "id.v").alias("node"), "t").join(asked, "node", "left_semi")
+    sets = stored(shingle_sets(texts, "node", "t").dropDuplicates(["node"]))
+    found = components(alike(pairs, sets, least))
+    heads = classes.join(found, "node", "left").filter(F.col("root").isNull() | (F.col("root") == F.col("node"))).select(F.col("node.d").alias("__d"), F.col("digest").alias("__digest"))
+    named = docs.withColumn("__d", F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))).withColumn("__digest", F.substring(F.sha2(t, 256), 1, 32))
+    return named.join(heads, ["__d", "__digest"], "left_semi").dropDuplicates(["__d", "__digest"]).select(*docs.columns)

@@ -45,7 +45,8 @@ def terms(texts: list[str]) -> np.ndarray:
     step = np.searchsorted(STEPS, shares) + np.arange(3) * (len(STEPS) + 1)
     shape = np.zeros((len(texts), 3 * (len(STEPS) + 1)), np.float32)
     np.put_along_axis(shape, step, (SHAPE * grams.sum(axis=1, keepdims=True)).repeat(3, axis=1), axis=1)
-    return np.concatenate([grams * (grams.sum(axis=1, keepdims=True) > 3), shape], axis=1)
+    some = np.array([len(t) > 0 for t in texts])[:, None]
+    return np.concatenate([grams * some, shape * some], axis=1)
 
 
 class Model:

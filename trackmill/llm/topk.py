@@ -9,7 +9,7 @@ final order (score down, id up) cuts at k.
 
 Vectors that are null or hold null or non-finite components take no part. Shorter vectors count as if they were padded with
 zeros. A row is no candidate for queries of its own id; every query row has a list of its own, and repeated candidates are
-listed as often as they occur. With fewer than k candidates all are listed. Scores beyond 64 bits saturate.
+listed as often as they occur. With fewer than k candidates all are listed. Scores beyond 61 bits saturate.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 QUERY_BLOCK, CANDIDATE_BLOCK, BINS, QUERY_ROWS = 1024, 8192, 1024, 128
-LEAST_SCORE = -(2**63)
+MOST_SCORE = 2**61
 
 
 def quantise(vectors: list, scale: float) -> tuple[list[int], np.ndarray]:
@@ -95,7 +95,7 @@ def scores(queries: np.ndarray, candidates: np.ndarray):
     for at in range(0, len(queries), QUERY_ROWS):
         made = queries[at : at + QUERY_ROWS].astype(kind) @ turned
         if kind is object:
-            made = np.clip(made, LEAST_SCORE + 1, 2**63 - 1)
+            made = np.clip(made, -MOST_SCORE, MOST_SCORE)
         yield at, made.astype(np.int64 if most >= 2**31 else np.int32)
 
 
@@ -176,7 +176,7 @@ def top_k(df: DataFrame, is_query: str, k: int = 20, key: str = "vec_id", vector
         return pd.Series([float((unpack(*x)[1].astype(float) ** 2).sum(axis=1).max(initial=0)) for x in zip(ids, data, width)])
 
     norms = [x.agg(F.max(most("ids", "data", "width"))).first()[0] for x in (queries, candidates)]
-    bound = min(math.isqrt(math.ceil(norms[0] * norms[1] * (1 + 1e-9))) + 1, 2**62)  # no score is larger, by Cauchy and Schwarz
+    bound = min(math.isqrt(math.ceil(norms[0] * norms[1] * (1 + 1e-9))) + 1, MOST_SCORE)  # no score is larger, by Cauchy and Schwarz
     size = F.length("ids") / 8
     state = queries.select("*", F.array_repeat(F.lit(-bound), size.cast("int")).alias("lo"), F.array_repeat(F.lit(k).cast("long"), size.cast("int")).alias("need"))
     width = 2 * bound + 1

@@ -31,8 +31,8 @@ from .suffixes import WORD, deep_shallow
 LENGTH, GRAM = 200, 32
 REACH = LENGTH - GRAM
 #: Contexts of one string that are sorted in one task, of at most 2 * LENGTH bytes each; contexts that are sorted together.
-GROUP, TOGETHER = 8192, 4096
-SLICE = 4 << 20
+GROUP, TOGETHER = 8192, 2048
+SLICE = 1 << 20
 NO_KEY = -(2**63)
 
 
@@ -127,7 +127,7 @@ def contexts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches):
         press = zstandard.ZstdDecompressor()
-        for batch in slices(batches, 2, SLICE // 4):
+        for batch in slices(batches, 2, SLICE):
             out = []
             for d, v, z, found in zip(*[c.to_pylist() for c in batch.columns]):
                 data = press.decompress(z)
@@ -220,7 +220,8 @@ def counted(found: DataFrame) -> DataFrame:
 
 def spans(rows: DataFrame, group: int = GROUP) -> DataFrame:
     """d, v, start, end: bytes to remove, as intervals that can overlap."""
-    strings = scan(rows).groupBy("g").agg(F.count("*").alias("n"), (F.min("c") == F.max("c")).alias("alike")).filter("n > 1")
+    # stored, so that both sides of the join are dealt for it alone and a string with very many anchors can be split
+    strings = stored(scan(rows).groupBy("g").agg(F.count("*").alias("n"), (F.min("c") == F.max("c")).alias("alike")).filter("n > 1"))
     met = scan(rows).join(strings, "g")
     # the hashes are needed no more where all contexts are alike
     shared = stored(met.select(F.when(~F.col("alike"), F.col("g")).alias("g"), F.when(~F.col("alike"), F.col("c")).alias("c"), "d", "v", "at", (F.col("n") > group).alias("large")))
@@ -243,7 +244,7 @@ def strip(docs: DataFrame, key: str = "doc_id", text: str = "text", group: int =
 
     def run(batches):
         press = zstandard.ZstdDecompressor()
-        for batch in slices(batches, 1, SLICE // 4):
+        for batch in slices(batches, 1, SLICE):
             out = []
             for z, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 data, merged = press.decompress(z), []

@@ -75,6 +75,25 @@ def map_texts(df: DataFrame, key: str, text: str, make: Callable[[], Callable[[l
     return df.select(F.col(key), F.col(text).cast("string").alias("__text")).mapInArrow(run, f"`{key}` {kind}, {schema}")
 
 
+def pass_rows(df: DataFrame, text: str, make: Callable[[], Callable[[list], list]], filters: bool) -> DataFrame:
+    """df with all its columns: only the rows for whose texts `make()(texts)` says true, or all rows with the texts that it returns.
+
+    Filters get "" for null texts; otherwise nulls arrive as None.
+    """
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in slices(batches, at):
+            texts = batch.column(at).to_pylist()
+            if filters:
+                yield batch.filter(pa.array(work([t or "" for t in texts]), pa.bool_()))
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array(work(texts), batch.schema.field(i).type) if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def sampled(rows: DataFrame, group: str, key: str, per_group: int) -> DataFrame:
     """group, key: the `per_group` keys of least hash in each group. The number of groups must be bounded.
 

@@ -13,16 +13,14 @@ nothing. Long documents are searched in overlapping segments. The result has one
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import slices
+from .common import pass_rows, slices
 
 Q, WINDOW, LEAST = 8, 120, 24
 #: Edits allowed for each character of a window.
@@ -192,27 +190,29 @@ def item_parts(docs: DataFrame, benchmark: DataFrame, item: str, item_text: str)
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs (all columns) without the rows in which a benchmark item matches. Null texts stay."""
     for held in item_parts(docs, benchmark, item, item_text):
-        docs = docs.filter(_clear(held)(F.col(text).cast("string")))
+        docs = pass_rows(docs, text, _clear(held), True)
     return docs
 
 
 def _clear(held):
-    @F.pandas_udf("boolean")
-    def clear(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def make():
         index = Index(held.value)
-        for texts in batches:
-            values, out, at = texts.fillna("").tolist(), np.ones(len(texts), bool), 0
-            while at < len(values):
+
+        def work(texts):
+            out, at = [True] * len(texts), 0
+            while at < len(texts):
                 end, size = at, 0
-                while end < len(values) and (end == at or size + len(values[end]) <= BATCH_CHARS):
-                    size += len(values[end])
+                while end < len(texts) and (end == at or size + len(texts[end]) <= BATCH_CHARS):
+                    size += len(texts[end])
                     end += 1
-                for found in index.matches(values[at:end]):
+                for found in index.matches(texts[at:end]):
                     out[at + found[0]] = False
                 at = end
-            yield pd.Series(out)
+            return out
+
+        return work
 
-    return clear
+    return make
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:

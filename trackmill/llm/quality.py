@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ngrams
-from .common import map_texts, sampled
+from .common import map_texts, pass_rows, sampled
 
 BITS = 12
 #: The bound of the sample, for each label; dimensions of the latent space; voters.
@@ -113,19 +113,14 @@ def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str =
     return map_texts(docs, key, text, make, "score double, predicted int")
 
 
-def score_column(spark, model: Model | None, text: Column) -> Column:
-    """The score as a column of the text's own DataFrame; null texts count as empty."""
-    held = spark.sparkContext.broadcast(model)
+def keep(docs: DataFrame, model: Model | None, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """docs (all columns): the rows whose score reaches the threshold; all of them if nothing could be learnt."""
+    if model is None:
+        return docs
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def scored(texts):
+    def make():
         own = held.value
-        if own is None:
-            return texts.map(lambda t: 0.5)
-        values = texts.tolist()
-        out = []
-        for at in range(0, len(values), 256):
-            out += own.score(terms(values[at : at + 256])).tolist()
-        return texts.__class__(out, index=texts.index, dtype=float)
-
-    return scored(F.coalesce(text.cast("string"), F.lit("")))
+        return lambda texts: [bool(s >= threshold) for at in range(0, len(texts), 256) for s in own.score(terms(texts[at : at + 256]))]
+
+    return pass_rows(docs, text, make, True)

@@ -24,7 +24,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, pass_rows
 
 #: In the order in which spans with the same start are listed.
 KINDS = ["assign", "access", "hex", "jwt", "pem", "der", "ssh"]
@@ -184,26 +184,20 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
     A null text stays null.
     """
 
-    @F.pandas_udf("string")
-    def cleaned(values):
-        def one(t):
-            if not t:
-                return t
-            spans = sorted(base_spans(t) + confirmed_spans(t))
-            if not spans:
-                return t
-            out, at, end = [], 0, -1
-            for a, _, b in spans:
-                if a > end:
-                    if end >= 0:
-                        out.append(mark)
-                        at = end
-                    out.append(t[at:a])
-                    end = b
-                else:
-                    end = max(end, b)
-            return "".join([*out, mark, t[end:]])
-
-        return values.map(one)
-
-    return docs.withColumn(text, cleaned(F.col(text)))
+    def one(t):
+        spans = sorted(base_spans(t) + confirmed_spans(t)) if t else []
+        if not spans:
+            return t
+        out, at, end = [], 0, -1
+        for a, _, b in spans:
+            if a > end:
+                if end >= 0:
+                    out.append(mark)
+                    at = end
+                out.append(t[at:a])
+                end = b
+            else:
+                end = max(end, b)
+        return "".join([*out, mark, t[end:]])
+
+    return pass_rows(docs, text, lambda: lambda texts: [one(t) for t in texts], False)

@@ -194,9 +194,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     classes = stored(signed.groupBy("id.digest").agg(F.min("id.d").alias("d"), F.first("id.v").alias("v"), F.first("fp").alias("fp"), F.first("fp1").alias("fp1")).select(F.struct("d", "v").alias("node"), "digest", "fp", "fp1"))
     pairs = stored(candidates(classes.select("node", "fp", "fp1"), radius))
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = own.select(F.struct("id.d", "id.v").alias("node"), "t").join(asked, "node", "left_semi")
+    texts = own.select(F.struct("id.d", "id.v").alias("node"), "t").join(asked.hint("merge"), "node", "left_semi")
     sets = stored(shingle_sets(texts, "node", "t").dropDuplicates(["node"]))
     found = components(alike(pairs, sets, least))
     heads = classes.join(found, "node", "left").filter(F.col("root").isNull() | (F.col("root") == F.col("node"))).select(F.col("node.d").alias("__d"), F.col("digest").alias("__digest"))
     named = docs.withColumn("__d", F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))).withColumn("__digest", F.substring(F.sha2(t, 256), 1, 32))
-    return named.join(heads, ["__d", "__digest"], "left_semi").dropDuplicates(["__d", "__digest"]).select(*docs.columns)
+    # both joins with the texts are by sorting at every size: neither side has a bound
+    return named.join(heads.hint("merge"), ["__d", "__digest"], "left_semi").dropDuplicates(["__d", "__digest"]).select(*docs.columns)

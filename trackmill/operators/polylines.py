@@ -68,7 +68,7 @@ def complete_link(nodes: DataFrame, edges: DataFrame, block: str, node: str) ->
     kind = nodes.schema[node].dataType.simpleString()
     block_kind = nodes.schema[block].dataType.simpleString()
 
-    def cluster(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def cluster(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         linked = set(zip(right["a"], right["b"]))
         groups: list[list] = []
         for x in sorted(left["__n"]):

@@ -15,7 +15,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: Python code sees at most about so many bytes of text at once (one longer text is seen alone).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+#: Rows in an Arrow batch.
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,6 +45,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after lowering the session's rows for each Arrow batch: 10,000 long texts at once would fill a worker."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that the column numbered `text` holds at most `limit` bytes in each (or one row)."""
     for batch in batches:
@@ -72,7 +82,7 @@ def map_texts(df: DataFrame, key: str, text: str, make: Callable[[], Callable[[l
             columns = work(batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), *[c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds.types)]], names=names)
 
-    return df.select(F.col(key), F.col(text).cast("string").alias("__text")).mapInArrow(run, f"`{key}` {kind}, {schema}")
+    return small_batches(df).select(F.col(key), F.col(text).cast("string").alias("__text")).mapInArrow(run, f"`{key}` {kind}, {schema}")
 
 
 def pass_rows(df: DataFrame, text: str, make: Callable[[], Callable[[list], list]], filters: bool) -> DataFrame:
@@ -91,7 +101,7 @@ def pass_rows(df: DataFrame, text: str, make: Callable[[], Callable[[list], list
             else:
                 yield pa.RecordBatch.from_arrays([pa.array(work(texts), batch.schema.field(i).type) if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)
 
-    return df.mapInArrow(run, df.schema)
+    return small_batches(df).mapInArrow(run, df.schema)
 
 
 def sampled(rows: DataFrame, group: str, key: str, per_group: int) -> DataFrame:

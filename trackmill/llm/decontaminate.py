@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import pass_rows, slices
+from .common import pass_rows, slices, small_batches
 
 Q, WINDOW, LEAST = 8, 120, 24
 #: Edits allowed for each character of a window.
@@ -231,7 +231,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
                 rows = [(keys[t], index.items[n], *rest) for t, n, *rest in found]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [[]] * 6, schema)], names=[key, item, "n_windows", "edits", "start", "end"])
 
-        parts.append(docs.select(F.col(key), F.col(text).cast("string").alias("__text")).mapInArrow(run, f"`{key}` {kind}, `{item}` {item_kind}, n_windows int, edits int, start int, end int"))
+        parts.append(small_batches(docs).select(F.col(key), F.col(text).cast("string").alias("__text")).mapInArrow(run, f"`{key}` {kind}, `{item}` {item_kind}, n_windows int, edits int, start int, end int"))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Texts and characters that are counted together; longer texts are counted in segments, whose counts add up.
-TEXTS, CHARS = 128, 1 << 20
+TEXTS, CHARS = 128, 1 << 18
 ORDERS = (1, 2, 3)
 
 

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import slices, small_batches, stored
 from .suffixes import WORD, deep_shallow
 
 LENGTH, GRAM = 200, 32
@@ -84,7 +84,7 @@ def covered(at: Column) -> list[Column]:
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """d, v: what tells rows apart; t: the text."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("d"), F.hash(t).alias("v"), F.col(key).alias("k"), t.cast("binary").alias("t"))
+    return small_batches(docs).select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("d"), F.hash(t).alias("v"), F.col(key).alias("k"), t.cast("binary").alias("t"))
 
 
 def scan(rows: DataFrame) -> DataFrame:

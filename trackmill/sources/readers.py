@@ -120,7 +120,7 @@ def road_map_xml(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     if declared:
         raise ValueError("document types and entities are not read")
     read = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).option("mode", "FAILFAST").schema(schema).load(path)
-    tags = F.map_from_entries(F.coalesce(F.transform("tag", lambda t: F.struct(t["_k"], t["_v"])), F.array().cast("array<struct<k:string,v:string>>")))
+    tags = F.map_from_entries(F.coalesce(F.transform("tag", lambda t: F.struct(t["_k"].alias("_k"), t["_v"].alias("_v"))), F.array().cast("array<struct<_k:string,_v:string>>")))
     e7 = lambda c: (F.col(c).cast("decimal(20,7)") * 10_000_000).cast("long")
     nodes = read("node", f"_id LONG, _lat STRING, _lon STRING, tag {TAG}").select(F.col("_id").alias("node"), e7("_lat").alias("lat_e7"), e7("_lon").alias("lon_e7"), (F.col("_lat").rlike(r"^-?[0-9]+(\.[0-9]{1,7})?$") & F.col("_lon").rlike(r"^-?[0-9]+(\.[0-9]{1,7})?$")).alias("valid"))
     ways = read("way", f"_id LONG, nd ARRAY<STRUCT<_ref: LONG>>, tag {TAG}").select(F.col("_id").alias("way"), F.col("nd._ref").alias("refs"), tags.alias("tags"))

@@ -1,0 +1,279 @@
+"""The registered queries over whole small tables, against SQL or plain versions."""
+
+import base64
+import collections
+import hashlib
+import os
+import random
+import re
+import sys
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow.parquet as pq
+import pytest
+import tiktoken
+import xxhash
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from helpers import assert_same  # noqa: E402
+
+from trackmill.llm import decontaminate, oracle, queries, repeats, secrets, simhash, suffixes  # noqa: E402
+
+SMALL = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
+
+
+@pytest.fixture(scope="module")
+def docs():
+    return {r["doc_id"]: r["text"] for r in pq.read_table(f"{SMALL}/documents.parquet", columns=["doc_id", "text"]).to_pylist()}
+
+
+@pytest.mark.parametrize("name", sorted(oracle.ORACLE_SQL))
+def test_against_sql(spark, name):
+    assert_same(queries.QUERIES[name](spark, SMALL), SMALL, oracle.ORACLE_SQL[name])
+
+
+def test_bpe_is_tiktoken(spark, docs):
+    with open(queries.VOCABULARY, "rb") as file:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for r in queries.op2_byte_bpe(spark, SMALL).collect():
+        ids = plain.encode_ordinary(docs[r["doc_id"]] or "")
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256((docs[r["doc_id"]] or "").encode()).hexdigest()
+
+
+def test_bpe_on_odd_texts():
+    from trackmill.llm import bpe
+
+    tokens = bpe.read_ranks(queries.VOCABULARY)
+    own = bpe.codec(tokens, public_tokenizers.PATTERN)
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    signs = [" ", "\n", "\t", "\x1c", "\x85", "\xa0", " ", "​", "﻿", "a", "A", "é", "é", "日", "😀", "-", "==", "0", "²", "½", "'s", "'LL", "_", "\r\n", "ß", "\x00", "한", "ि"]
+    r = random.Random(1)
+    for _ in range(4000):
+        text = "".join(r.choice(signs) * r.choice([1, 1, 2, 3, 9]) for _ in range(r.randint(0, 12)))
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == plain.encode_ordinary(text), repr(text)
+    size, bpe.BLOCK_CHARS = bpe.BLOCK_CHARS, 7
+    try:
+        for _ in range(500):
+            text = "".join(r.choice(["ab", " ", "  ", "\n", "c'd", "12 "]) for _ in range(40))
+            assert np.frombuffer(own.encode(text), "<u4").tolist() == plain.encode_ordinary(text), repr(text)
+    finally:
+        bpe.BLOCK_CHARS = size
+
+
+def slow_base(text):
+    spans = []
+    for k, (pattern, group, least) in enumerate(((re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 12), (re.compile("AKIA[A-Z0-9]+"), 0, 18), (re.compile("[0-9a-f]+"), 0, 16))):
+        spans += [(m.start(), k, m.end()) for m in pattern.finditer(text) if len(m[group]) >= least]
+    return sorted(spans)
+
+
+def test_secrets(spark, docs):
+    for r in queries.op4_secret_scan(spark, SMALL).collect():
+        spans = slow_base(docs[r["doc_id"]] or "")
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(s[1] == k for s in spans) for k in range(3)]
+        assert r["base_sha256"] == hashlib.sha256(secrets.listed(spans).encode()).hexdigest()
+
+
+def test_base_spans_on_made_up_texts():
+    r = random.Random(4)
+    parts = ["token", "TOKEN", "api_key", "apikey", "passwd", "password", "ſecret", "toKen", "secret", "=", ":", " ", '"', "'", "abc", "0123456789abcdef", "AKIA", "AKIAAKIA", "QQQQQQQQQQQQQQ", "deadbeef", "é", ".", "-", "x"]
+    for _ in range(4000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(1, 14)))
+        assert sorted(secrets.base_spans(text)) == slow_base(text), repr(text)
+
+
+def test_structures():
+    enc = lambda d, alt=False: (base64.urlsafe_b64encode if alt else base64.b64encode)(d).decode().rstrip("=" if alt else "")
+    der = lambda tag, body: bytes([tag]) + (bytes([len(body)]) if len(body) < 128 else b"\x81" + bytes([len(body)])) + body
+    key = der(0x30, der(0x02, b"\x00") + der(0x30, der(0x06, b"\x2a\x86\x48\x86\xf7") + b"\x05\x00") + der(0x04, bytes(range(200))))
+    jwt = ".".join([enc(b'{"alg":"HS256","typ":"JWT"}', True), enc(b'{"sub":"1234567890"}', True), "c2lnbmF0dXJl"])
+    blob = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", bytes(32)))
+    text = f"a {jwt} b {enc(key)} c {enc(blob)} d {key.hex()}\n-----BEGIN PRIVATE KEY-----\n{enc(key)}\n-----END PRIVATE KEY-----\n"
+    assert [secrets.KINDS[k] for _, k, _ in sorted(secrets.confirmed_spans(text))] == ["jwt", "der", "ssh", "der", "pem"]
+    wrong = [jwt.replace("eyJhbGci", "eyJhbGxi"), enc(key[:-1]), enc(key + b"x"), enc(blob + b"x"), enc(bytes(range(100))), "a" * 200, key[:-1].hex(), "-----BEGIN PRIVATE KEY-----\nYWJj\n-----END PRIVATE KEY-----"]
+    assert [x for w in wrong for x in secrets.confirmed_spans(w)] == []
+
+
+def test_top_k_against_plain(spark):
+    rows = pq.read_table(f"{SMALL}/embeddings.parquet").to_pylist()
+    v = {r["vec_id"]: np.floor(64 * np.array(r["embedding"], float)).astype(int) for r in rows}
+    want = [(q, *x) for q in v if q % 20 == 0 for x in ((i + 1, c, s) for i, (s, c) in enumerate(sorted(((int(v[q] @ w), c) for c, w in v.items() if c != q), key=lambda t: (-t[0], t[1]))[:20]))]
+    assert sorted(tuple(r) for r in queries.op3_exact_top_k(spark, SMALL).collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("limits", [(1024, 8192, 1024), (3, 40, 4)])
+def test_top_k_in_small_blocks_with_ties(spark, limits, monkeypatch):
+    from trackmill.llm import topk
+
+    for name, x in zip(("QUERY_BLOCK", "CANDIDATE_BLOCK", "BINS"), limits):
+        monkeypatch.setattr(topk, name, x)
+    r = random.Random(2)
+    rows = [(i, [float(r.randint(-2, 2)) / 8 for _ in range(3)]) for i in range(200)]
+    v = {i: np.floor(64 * np.array(x)).astype(int) for i, x in rows}
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id % 20 = 0", 7)
+    want = [(q, *x) for q in v if q % 20 == 0 for x in ((i + 1, c, s) for i, (s, c) in enumerate(sorted(((int(v[q] @ w), c) for c, w in v.items() if c != q), key=lambda t: (-t[0], t[1]))[:7]))]
+    assert sorted(tuple(x) for x in got.collect()) == sorted(want)
+
+
+def slow_contaminated(text, item, rate):
+    """Whether some substring of text is within the budget of the item's windows, by a full table."""
+    t, hit = "".join(map(chr, decontaminate.plain(text)[0])), False
+    p = "".join(map(chr, decontaminate.plain(item)[0]))
+    last = max(0, len(p) - decontaminate.WINDOW)
+    for at in sorted({*range(0, last, decontaminate.WINDOW // 2), last}):
+        w = p[at : at + decontaminate.WINDOW]
+        row = np.zeros(len(t) + 1, int)
+        for i, c in enumerate(w, 1):
+            new = np.minimum(row + 1, np.concatenate([[i], row[:-1] + (np.array(list(t)) != c if t else np.zeros(0))]))
+            new[0] = i
+            row = np.minimum.accumulate(new - np.arange(len(t) + 1)) + np.arange(len(t) + 1)
+        hit |= row.min() <= min(int(rate * len(w)), (len(w) - decontaminate.Q) // decontaminate.Q)
+    return hit
+
+
+def test_decontamination_finds_all_within_the_budget():
+    r = random.Random(6)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 6))) for _ in range(80)]
+    prose = lambda n: " ".join(r.choice(words) for _ in range(n))
+    items = [(i, prose(r.randint(8, 40))) for i in range(12)]
+    index = decontaminate.Index(items)
+    for _ in range(120):
+        item = r.choice(items)[1]
+        broken = list(item)
+        for _ in range(int(len(item) * r.choice([0, 0.03, 0.06, 0.09, 0.14]))):
+            at = r.randrange(len(broken))
+            broken[at : at + r.choice([0, 1, 1])] = r.choice(["", "x", "zz"])
+        text = f"{prose(15)}. {''.join(broken).upper()}; {prose(15)}"
+        found = {index.items[x[1]] for x in index.matches([text])}
+        assert found == {i for i, t in items if slow_contaminated(text, t, decontaminate.RATE)}
+
+
+def test_contaminated_documents(spark, docs):
+    got = {(r["doc_id"], r["item_id"]) for r in queries.op5_benchmark_decontamination(spark, SMALL).collect()}
+    plain = lambda t: "".join(map(chr, decontaminate.plain(t)[0])).strip()
+    items = {r["item_id"]: plain(r["text"]) for r in pq.read_table(f"{SMALL}/benchmark.parquet").to_pylist()}
+    assert {(d, i) for d, t in docs.items() for i, p in items.items() if p in plain(t or "")} <= got
+
+
+def slow_repeats(docs, n=200):
+    seen = collections.Counter(t[i : i + n] for t in docs.values() for i in range(len(t) - n + 1))
+    out = {}
+    for d, t in docs.items():
+        marks = np.zeros(len(t) + 1, int)
+        for i in range(len(t) - n + 1):
+            if seen[t[i : i + n]] > 1:
+                marks[i] += 1
+                marks[i + n] -= 1
+        gone = np.cumsum(marks)[:-1] > 0
+        kept = bytes(c for c, g in zip(t, gone) if not g)
+        out[d] = (len(t), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def test_repeats(spark, docs):
+    want = slow_repeats({d: (t or "").encode() for d, t in docs.items()})
+    assert {r[0]: tuple(r[1:]) for r in queries.op7_suffix_dedup(spark, SMALL).collect()} == want
+
+
+@pytest.mark.parametrize("group", [8192, 3])
+def test_repeats_of_made_up_texts(spark, group):
+    r = random.Random(8)
+    base = ["".join(r.choice("abc \x00é") for _ in range(r.randint(150, 420))) for _ in range(6)]
+    texts = []
+    for _ in range(60):
+        t = "".join(r.choice(base)[r.randint(0, 60) : r.randint(200, 420)] + "".join(r.choice("xyz") for _ in range(r.randint(0, 5))) for _ in range(r.randint(0, 4)))
+        texts.append(t + r.choice(["", "ab" * 150, "a" * 230]))
+    rows = dict(enumerate(texts))
+    got = repeats.strip(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), group=group)
+    have = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], hashlib.sha256(x["kept"]).hexdigest()) for x in got.collect()}
+    assert have == slow_repeats({d: t.encode() for d, t in rows.items()})
+
+
+def test_deep_shallow_sorts():
+    r = random.Random(3)
+    for _ in range(60):
+        group = np.sort(np.array([r.randint(0, 3) for _ in range(r.randint(1, 60))]))
+        strings = [bytes(r.choice(b"ab\x00") for _ in range(r.choice([0, 3, 20, 40]))) + r.choice([b"", b"aaaaaaaaaaaaaaaaaaaaaaab", b"q"]) for _ in group]
+        order, lcp = suffixes.deep_shallow(strings, group, 64, r.choice([0, 1, 3]))
+        assert sorted(order.tolist()) == list(range(len(group))) and all(np.diff(group[order]) >= 0)
+        for i in range(1, len(order)):
+            a, b = strings[order[i - 1]], strings[order[i]]
+            same = group[order[i - 1]] == group[order[i]]
+            assert lcp[i] == (len(os.path.commonprefix([a, b])) if same else 0)
+            # padding counts as zero bytes; of strings equal but for that, any order keeps common prefixes together
+            assert not same or a.ljust(64, b"\0") <= b.ljust(64, b"\0")
+
+
+def slow_fingerprint(text, size, seed=42):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    words = re.findall(r"[^\x20\x09-\x0D]+", low)
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))]
+    hashes = [xxhash.xxh64(s.encode(), seed=seed).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def slow_components(nodes, linked):
+    root = {n: n for n in nodes}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a in nodes:
+        for b in nodes:
+            if a < b and linked(a, b):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {n: find(n) for n in nodes}
+
+
+def test_simhash(spark, docs):
+    fps = {d: slow_fingerprint(t or "", 3) for d, t in docs.items()}
+    want = slow_components(list(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2)
+    got = {r["doc_id"]: r for r in queries.op10_simhash_covering(spark, SMALL).collect()}
+    assert {d: r["fingerprint"] for d, r in got.items()} == {d: f"{f:016x}" for d, f in fps.items()}
+    assert {d: r["component_id"] for d, r in got.items()} == want
+
+
+@pytest.mark.parametrize("radius", [2, 4])
+def test_masks_cover(radius):
+    r = random.Random(radius)
+    for _ in range(300):
+        diff = sum(1 << b for b in r.sample(range(64), r.randint(0, radius)))
+        assert any(m & diff == 0 for m in simhash.masks(radius))
+
+
+@pytest.mark.parametrize("small", [48, 2])
+def test_links_of_a_crowd(spark, small, monkeypatch):
+    monkeypatch.setattr(simhash, "SMALL", small)
+    from trackmill.llm.components import components
+
+    r = random.Random(5)
+    base = [r.getrandbits(64) for _ in range(5)]
+    fps = {b ^ sum(1 << x for x in r.sample(range(64), r.randint(0, 4))) for b in base for _ in range(60)}
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    got = {x["node"]: x["root"] for x in components(simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"))).collect()}
+    want = slow_components(sorted(signed), lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= 2)
+    assert {f: got.get(f, f) for f in signed} == want
+
+
+def test_held_out_accuracy(spark):
+    rows = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "lang"]).to_pylist()
+    lang = {r["doc_id"]: r["lang"] for r in rows}
+    said = [r for r in queries.op8_language_codes(spark, "/root/testdata/sf0.01").collect()]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in said)
+    held = [r for r in said if r["held_out"]]
+    assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in held) / len(held) > 0.99
+    truth = {r["doc_id"]: r["quality"] for r in pq.read_table("/root/testdata/sf0.01/labels.parquet").to_pylist()}
+    judged = [r for r in queries.op9_quality_votes(spark, "/root/testdata/sf0.01").collect()]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in judged)
+    some = [r for r in judged if r["held_out"] and truth.get(r["doc_id"]) is not None]
+    assert sum(r["predicted"] == truth[r["doc_id"]] for r in some) / len(some) > 0.9

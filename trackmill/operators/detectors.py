@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .islands import number_islands, over, reach_islands
+from .joins import as_of
 
 
 @dataclass(frozen=True)
@@ -101,3 +103,34 @@ def capped_findings(findings: DataFrame, keys: list[str], order: list[str], cap:
     rows = findings.withColumn("__rn", F.row_number().over(w)).withColumn("left_out", F.greatest(F.count("*").over(Window.partitionBy(*keys)) - cap, F.lit(0)))
     marker = F.col("__rn") == cap + 1
     return rows.filter(F.col("__rn") <= cap + 1).withColumn("overflow", marker).withColumn("left_out", F.when(marker, F.col("left_out")).otherwise(0)).drop("__rn")
+
+
+def compensated(points: DataFrame, poses: DataFrame, sequence: str, frame: str) -> DataFrame:
+    """points with wx, wy: where they lie in the world, by the pose (px, py, heading) between the samples around each point's time.
+
+    Points outside the poses' time get nulls, never a guess; headings turn the shorter way.
+    """
+    near = as_of(points, poses.select(sequence, "time_ns", "px", "py", "heading"), [sequence], "time_ns", ["px", "py", "heading"])
+    t0, t1 = F.col("before_time_ns"), F.col("after_time_ns")
+    share = F.when(t1 == t0, F.lit(0.0)).otherwise((F.col("time_ns") - t0) / (t1 - t0).cast("double"))
+    mixed = lambda n: F.col(f"before_{n}") + share * (F.col(f"after_{n}") - F.col(f"before_{n}"))
+    turn = F.pmod(F.col("after_heading") - F.col("before_heading") + math.pi, F.lit(2 * math.pi)) - math.pi
+    posed = near.withColumns({"__x": mixed("px"), "__y": mixed("py"), "__h": F.col("before_heading") + share * turn})
+    c, s = F.cos("__h"), F.sin("__h")
+    placed = posed.withColumns({"wx": F.col("__x") + c * F.col("sx") - s * F.col("sy"), "wy": F.col("__y") + s * F.col("sx") + c * F.col("sy")})
+    return placed.drop("__x", "__y", "__h", *[f"{w}_{n}" for w in ("before", "after") for n in ("time_ns", "px", "py", "heading")])
+
+
+def alignment_verdicts(points: DataFrame, sequence: str, frame: str, size: float, least_cells: int, least_jaccard: float) -> DataFrame:
+    """sequence, frame, jaccard, verdict of each frame against the one before; a frame with any unplaced point is unknown."""
+    clear = points.groupBy(sequence, frame).agg(F.bool_and(F.col("wx").isNotNull() & F.col("wy").isNotNull()).alias("__clear"))
+    cells = points.filter("wx IS NOT NULL AND wy IS NOT NULL").select(sequence, frame, F.floor(F.col("wx") / size).alias("i"), F.floor(F.col("wy") / size).alias("j")).distinct()
+    count = cells.groupBy(sequence, frame).agg(F.count("*").alias("n"))
+    before = count.select(sequence, (F.col(frame) + 1).alias(frame), F.col("n").alias("n_before"))
+    shared = cells.join(cells.withColumn(frame, F.col(frame) + 1), [sequence, frame, "i", "j"]).groupBy(sequence, frame).agg(F.count("*").alias("shared"))
+    known = clear.join(clear.select(sequence, (F.col(frame) + 1).alias(frame), F.col("__clear").alias("__before")), [sequence, frame])
+    both = known.join(count, [sequence, frame], "left").join(before, [sequence, frame], "left").join(shared, [sequence, frame], "left")
+    jaccard = F.coalesce("shared", F.lit(0)) / (F.col("n") + F.col("n_before") - F.coalesce("shared", F.lit(0))).cast("double")
+    sure = F.col("__clear") & F.col("__before") & (F.least("n", "n_before") >= least_cells)
+    verdict = F.when(~F.coalesce(sure, F.lit(False)), "UNKNOWN").when(jaccard >= least_jaccard, "PASS").otherwise("FAIL")
+    return both.select(sequence, frame, F.round(jaccard, 6).alias("jaccard"), verdict.alias("verdict"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,7 +68,7 @@ def position_freeze(df: DataFrame, sequence: str, where: Column, first: int, las
 
 def ring_loss(points: DataFrame, ring: str, where: Column, seed: int, rings: list[int], n: int) -> DataFrame:
     """Points without those of n rings, chosen by hash of seed and ring; the model's rings are a short list."""
-    order = sorted(rings, key=lambda r: __import__("hashlib").sha256(f"{seed}:{r}".encode()).hexdigest())
+    order = sorted(rings, key=lambda r: hashlib.sha256(f"{seed}:{r}".encode()).hexdigest())
     return points.filter(~(where & F.col(ring).isin(*order[:n])))
 
 
@@ -75,10 +78,42 @@ def sector_loss(points: DataFrame, azimuth: Column, where: Column, start: float,
 
 def density_loss(points: DataFrame, keys: list[str], row: str, where: Column, share: float, seed: int) -> DataFrame:
     """Of each group only the share of rows with the smallest hashes stays (the whole group where the fault doesn't apply)."""
-    h = F.pmod(F.xxhash64(F.lit(seed), *keys, row), F.lit(1_000_000))
+    h = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed).cast("string"), *[F.col(k).cast("string") for k in (*keys, row)]), 256), 1, 12), 16, 10).cast("long") % 1_000_000
     return points.filter(~where | (h < int(share * 1_000_000)))
 
 
+def point_time_shift(points: DataFrame, where: Column, time: str, ns: int) -> DataFrame:
+    return points.withColumn(time, F.when(where, F.col(time) + ns).otherwise(F.col(time)))
+
+
+def yaw_perturbation(points: DataFrame, where: Column, x: str, y: str, radians: float) -> DataFrame:
+    """Points as a sensor gives them whose mounting is turned about the vertical."""
+    c, s = math.cos(radians), math.sin(radians)
+    turned = {x: c * F.col(x) - s * F.col(y), y: s * F.col(x) + c * F.col(y)}
+    return points.withColumns({n: F.when(where, v).otherwise(F.col(n)) for n, v in turned.items()})
+
+
+def range_scale(points: DataFrame, where: Column, axes: list[str], factor: float) -> DataFrame:
+    return points.withColumns({a: F.when(where, F.col(a) * factor).otherwise(F.col(a)) for a in axes})
+
+
+def not_finite(points: DataFrame, where: Column, axis: str) -> DataFrame:
+    return points.withColumn(axis, F.when(where, F.lit(float("nan"))).otherwise(F.col(axis)))
+
+
+def ray_cast(rays: DataFrame, landmarks: DataFrame, keys: list[str], most: float) -> DataFrame:
+    """keys, distance, landmark: the nearest hit of rays (ox, oy, dx, dy: a unit direction) on round landmarks (lx, ly, radius, landmark).
+
+    Landmarks are a scene's few; the scene is sent to every task.
+    """
+    both = rays.join(F.broadcast(landmarks))
+    fx, fy = F.col("ox") - F.col("lx"), F.col("oy") - F.col("ly")
+    b = fx * F.col("dx") + fy * F.col("dy")
+    inside = b * b - (fx * fx + fy * fy - F.col("radius") * F.col("radius"))
+    hits = both.withColumn("distance", F.when(inside >= 0, -b - F.sqrt(F.greatest(inside, F.lit(0.0))))).filter((F.col("distance") > 0) & (F.col("distance") <= most))
+    return hits.groupBy(*keys).agg(F.min(F.struct("distance", "landmark")).alias("h")).select(*keys, "h.distance", "h.landmark")
+
+
 def differences(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     """keys, field, before, after, change (modified, removed, added) of every cell that differs; values as text."""
     fields = [c for c in before.columns if c not in keys]

@@ -27,19 +27,43 @@ def build_arcs(way_nodes: DataFrame, way: str, pos: str, node: str, axes: list[s
     return named.withColumn("arc_id", F.sha2(F.concat_ws("|", way, "chain", "direction"), 256))
 
 
+def _with_stays(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """__from, __to, len: the arcs, and one of length 0 from each node to itself, so that a step also keeps what is reached."""
+    arcs = edges.select(F.col("src").alias("__from"), F.col("dst").alias("__to"), F.col("len").cast("long").alias("len"))
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("n")).union(sources.select("src")).distinct()
+    return arcs.unionByName(nodes.select(F.col("n").alias("__from"), F.col("n").alias("__to"), F.lit(0).cast("long").alias("len")))
+
+
 def reach(edges: DataFrame, sources: DataFrame, budget: int, rounds: int) -> DataFrame:
     """source, dst, dist: shortest distances within the budget and `rounds` arcs, by frontier expansion with a minimum at each step.
 
-    Rows stay one for each (source, node); every round is a join on the node and an aggregation.
+    Rows stay one for each (source, node); every round is a join on the node and an aggregation, and names the round before once.
     """
+    arcs = _with_stays(edges, sources)
     best = sources.select(F.col("src").alias("source"), F.col("src").alias("dst"), F.lit(0).cast("long").alias("dist"))
-    arcs = edges.select(F.col("src").alias("__from"), F.col("dst").alias("__to"), "len")
     for _ in range(rounds):
-        further = best.join(arcs, best["dst"] == arcs["__from"]).select("source", F.col("__to").alias("dst"), (F.col("dist") + F.col("len")).alias("dist")).filter(F.col("dist") <= budget)
-        best = best.unionByName(further).groupBy("source", "dst").agg(F.min("dist").alias("dist"))
+        step = best.join(arcs, best["dst"] == arcs["__from"]).select("source", F.col("__to").alias("dst"), (F.col("dist") + F.col("len")).alias("dist"))
+        best = step.filter(F.col("dist") <= budget).groupBy("source", "dst").agg(F.min("dist").alias("dist"))
     return best
 
 
+def required_route(edges: DataFrame, sources: DataFrame, required: list[int], budget: int, rounds: int) -> DataFrame:
+    """source, dist: the shortest way from each source that visits all required nodes; null where there is none within the budget.
+
+    The state is (source, node, set of required nodes seen); a few required nodes, so that sets stay a few bits.
+    """
+    arcs = _with_stays(edges, sources)
+    bit = F.lit(0)
+    for i, node in enumerate(required):
+        bit = F.when(F.col("node") == node, 1 << i).otherwise(bit)
+    best = sources.select(F.col("src").alias("source"), F.col("src").alias("node")).select("source", "node", bit.alias("mask"), F.lit(0).cast("long").alias("dist"))
+    for _ in range(rounds):
+        step = best.join(arcs, best["node"] == arcs["__from"]).select("source", F.col("__to").alias("node"), "mask", (F.col("dist") + F.col("len")).alias("dist"))
+        best = step.filter(F.col("dist") <= budget).withColumn("mask", F.col("mask").bitwiseOR(bit)).groupBy("source", "node", "mask").agg(F.min("dist").alias("dist"))
+    done = best.filter(F.col("mask") == (1 << len(required)) - 1).groupBy("source").agg(F.min("dist").alias("dist"))
+    return sources.select(F.col("src").alias("source")).join(done, "source", "left")
+
+
 def graph_invariants(nodes: DataFrame, arcs: DataFrame, node: str, start: str, end: str) -> DataFrame:
     """One row: repeated node ids, and arcs whose start or end is unknown."""
     ids = nodes.groupBy(node).count()

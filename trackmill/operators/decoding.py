@@ -100,17 +100,26 @@ def local_fits(t: np.ndarray, y: np.ndarray) -> np.ndarray:
     dt, values = t[index] - t[:, None], y[index]
     scale = np.maximum(np.abs(dt * inside).max(axis=1, keepdims=True), 1e-300)
     design = (dt / scale)[:, :, None] ** np.arange(DEGREE + 1)
-    weight, beta = inside.copy(), np.zeros((n, DEGREE + 1))
+    size = inside.sum(axis=1).astype(int)
+    beta, weight, live = np.zeros((n, DEGREE + 1)), inside.copy(), np.arange(n)
     for _ in range(ITERATIONS):
-        root = np.sqrt(weight)[:, :, None]
-        new = np.einsum("nij,nj->ni", np.linalg.pinv(design * root, rcond=1e-12), np.sqrt(weight) * values)
-        residual = values - np.einsum("nij,nj->ni", design, new)
-        spread = np.array([np.median(np.abs(r[k > 0])) for r, k in zip(residual, inside)])[:, None] * MAD
+        x, w, v, k = design[live], weight[live], values[live], inside[live] > 0
+        turned = (x * w[:, :, None]).transpose(0, 2, 1)
+        normal, right = turned @ x, (turned @ v[:, :, None])
+        known = np.linalg.cond(normal) < 1e12
+        new = np.empty((len(live), DEGREE + 1))
+        new[known] = np.linalg.solve(normal[known], right[known])[:, :, 0]
+        new[~known] = (np.linalg.pinv(normal[~known], rcond=1e-12) @ right[~known])[:, :, 0]  # too few different times
+        residual = np.abs(v - (x @ new[:, :, None])[:, :, 0])
+        ordered = np.sort(np.where(k, residual, np.inf), axis=1)
+        row, m = np.arange(len(live)), size[live]
+        spread = MAD * ((ordered[row, (m - 1) // 2] + ordered[row, m // 2]) / 2)[:, None]
         with np.errstate(divide="ignore", invalid="ignore"):
-            weight = inside * np.where((spread > 0) & (np.abs(residual) > HUBER * spread), HUBER * spread / np.abs(residual), 1.0)
-        done = np.abs(new - beta).max(initial=0) <= TOLERANCE * max(1.0, np.abs(new).max(initial=0))
-        beta = new
-        if done:
+            weight[live] = np.where(k, np.where((spread > 0) & (residual > HUBER * spread), HUBER * spread / residual, 1.0), 0.0)
+        settled = np.abs(new - beta[live]).max(axis=1) <= TOLERANCE * np.maximum(1.0, np.abs(new).max(axis=1))
+        beta[live] = new
+        live = live[~settled]
+        if not len(live):
             break
     return beta * np.array([1, 1, 2, 6]) / scale ** np.arange(DEGREE + 1)
 

@@ -120,6 +120,14 @@ def test_robust_fit():
     assert abs(found[20, 0] - true(t[20])[0]) < 0.5 * abs(plain - true(t[20])[0])
 
 
+def test_robust_fit_in_stretches(spark):
+    r = random.Random(12)
+    df = spark.createDataFrame([(k, i, float(i) + r.random() / 2, r.random() * 10) for k in range(2) for i in range(90)], "k int, i int, t double, v double")
+    whole = {tuple(x[:2]): x[2:] for x in decoding.robust_fit(df, ["k"], "i", F.col("t"), "v").collect()}
+    split = {tuple(x[:2]): x[2:] for x in decoding.robust_fit(df, ["k"], "i", F.col("t"), "v", together=11).collect()}
+    assert len(whole) == len(split) == 180 and all(np.allclose(whole[x], split[x], rtol=1e-6, atol=1e-6) for x in whole)
+
+
 def test_complete_link(spark):
     nodes = spark.createDataFrame([(0, i) for i in range(6)], "b int, n int")
     edges = spark.createDataFrame([(0, 0, 1), (0, 1, 2), (0, 0, 2), (0, 2, 3), (0, 4, 5)], "b int, a int, c int").withColumnRenamed("b", "b0").withColumnRenamed("c", "b").withColumnRenamed("b0", "blk")
@@ -127,6 +135,18 @@ def test_complete_link(spark):
     assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 4}
 
 
+def test_splitmix():
+    from trackmill.functions import prng
+
+    assert prng.draws(np.array([0, 0, 1234567]), np.array([0, 1, 0])).tolist() == [0xE220A8397B1DCDAF, 0x6E789E6AA1B965F4, 6457827717110365317]
+
+
+def test_alignment_verdicts(spark):
+    rows = [(1, f, 1.5 * i + 0.1, 0.5 if f < 2 else 50.0) for f in range(4) for i in range(15)] + [(1, 3, None, None)]
+    got = {r["frame"]: r["verdict"] for r in detectors.alignment_verdicts(spark.createDataFrame(rows, "seq int, frame int, wx double, wy double"), "seq", "frame", 1.0, 12, 0.75).collect()}
+    assert got == {1: "PASS", 2: "FAIL", 3: "UNKNOWN"}
+
+
 def test_poisson_bound():
     assert math.isclose(statistics.upper_mean(0, 0.95), -math.log(0.05), rel_tol=1e-9)
     for k in (1, 4, 30):

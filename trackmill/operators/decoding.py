@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BEAM, PER_TERMINAL, DELTA, AMBIGUOUS = 64, 2, 50.0, 1.0
@@ -124,14 +124,23 @@ def local_fits(t: np.ndarray, y: np.ndarray) -> np.ndarray:
     return beta * np.array([1, 1, 2, 6]) / scale ** np.arange(DEGREE + 1)
 
 
-def robust_fit(df: DataFrame, keys: list[str], row: str, time: Column, value: str) -> DataFrame:
-    """keys, row, fit, d1, d2, d3 at each sample; time in the unit that derivatives refer to."""
+def robust_fit(df: DataFrame, keys: list[str], row: str, time: Column, value: str, together: int = 4096) -> DataFrame:
+    """keys, row, fit, d1, d2, d3 at each sample; time in the unit that derivatives refer to.
+
+    A fit sees four samples to either side, so a sequence is dealt in stretches of `together` samples with four more at their ends,
+    and a long one is split over tasks.
+    """
     kinds = dict(df.dtypes)
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("__t", row)) - 1
+    own, place = F.floor(F.col("__n") / together), F.col("__n") % together
+    shared = F.array_compact(F.array(own, F.when((place < HALF_WINDOW) & (own > 0), own - 1), F.when(place >= together - HALF_WINDOW, own + 1)))
+    dealt = df.select(*keys, row, value, time.alias("__t")).withColumn("__n", nth).withColumn("__own", own).withColumn("__part", F.explode(shared))
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["__t", row], kind="stable")
+        rows = rows.sort_values("__n", kind="stable")
         found = local_fits(rows["__t"].to_numpy(float), rows[value].to_numpy(float))
-        return pd.DataFrame({**{k: v for k, v in zip(keys, key)}, row: rows[row].to_numpy(), "fit": found[:, 0], "d1": found[:, 1], "d2": found[:, 2], "d3": found[:, 3]})
+        mine = (rows["__own"] == key[-1]).to_numpy()
+        return pd.DataFrame({**dict(zip(keys, key)), row: rows[row].to_numpy()[mine], **{n: found[mine, i] for i, n in enumerate(("fit", "d1", "d2", "d3"))}})
 
     schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], f"`{row}` {kinds[row]}", "fit double, d1 double, d2 double, d3 double"])
-    return df.select(*keys, row, value, time.alias("__t")).groupBy(*keys).applyInPandas(one, schema)
+    return dealt.groupBy(*keys, "__part").applyInPandas(one, schema)

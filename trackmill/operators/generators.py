@@ -8,6 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The scenarios, by their number.
 SCENARIOS = ["straight", "constant_radius_turn", "stop_start", "parallel_roads", "ramp", "overpass", "off_map_connection", "stationary"]
 STEP_NS = 100_000_000
 SPEED = 10.0

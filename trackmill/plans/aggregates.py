@@ -101,24 +101,25 @@ def voxel_jaccard(spark, sf_dir):
     return found.select("label", "n_before", "n_now", "shared", F.round(jaccard, 9).alias("jaccard"), verdict.alias("verdict"))
 
 
-@query(f"WITH {VECTORS} SELECT a.vec_id AS a_id, b.vec_id AS b_id, round((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), 9) AS d2 FROM v a JOIN v b ON b.label = 3 AND a.vec_id <> b.vec_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.25")
+@query(f"WITH {VECTORS} SELECT a.vec_id AS a_id, b.vec_id AS b_id, round((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), 9) AS d2 FROM v a JOIN v b ON a.vec_id <> b.vec_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.0625")
 def radius_pairs(spark, sf_dir):
-    """Points within half a unit of those of label 3."""
+    """Pairs of points within a quarter of a unit."""
     p = points(spark, sf_dir)
-    a, b = p.select(F.col("vec_id").alias("a_id"), F.col("x").alias("ax"), F.col("y").alias("ay")), p.filter("label = 3").select(F.col("vec_id").alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    return G.radius_join(a, b, ["ax", "ay"], ["bx", "by"], 0.5).filter("a_id != b_id").select("a_id", "b_id", F.round("d2", 9).alias("d2"))
+    a, b = p.select(F.col("vec_id").alias("a_id"), F.col("x").alias("ax"), F.col("y").alias("ay")), p.select(F.col("vec_id").alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    return G.radius_join(a, b, ["ax", "ay"], ["bx", "by"], 0.25).filter("a_id != b_id").select("a_id", "b_id", F.round("d2", 9).alias("d2"))
 
 
 @query(f"""
-WITH {VECTORS}, d AS (SELECT a.vec_id AS a_id, b.vec_id AS b_id, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM v a JOIN v b ON a.label = 1 AND b.label = 2),
+WITH {VECTORS}, d AS (SELECT a.vec_id AS a_id, b.vec_id AS b_id, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM v a JOIN v b ON b.label = a.label + 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY d2, b_id) AS rn FROM d WHERE d2 <= 1)
-SELECT v.vec_id AS a_id, b_id, round(coalesce(d2, 9), 9) AS d2 FROM v LEFT JOIN r ON v.vec_id = r.a_id AND rn = 1 WHERE v.label = 1
+SELECT v.vec_id AS a_id, b_id, round(coalesce(d2, 9), 9) AS d2 FROM v LEFT JOIN r ON v.vec_id = r.a_id AND rn = 1
 """)
 def nearest_within(spark, sf_dir):
-    """The nearest point of another frame within reach, ties to the smaller id; 9 where there is none."""
+    """Each point's nearest one of the next frame within reach, ties to the smaller id; 9 where there is none."""
     p = points(spark, sf_dir)
-    a, b = p.filter("label = 1").select(F.col("vec_id").alias("a_id"), *[F.col(c).alias(f"a{c}") for c in AXES]), p.filter("label = 2").select(F.col("vec_id").alias("b_id"), *[F.col(c).alias(f"b{c}") for c in AXES])
-    best = G.radius_join(a, b, [f"a{c}" for c in AXES], [f"b{c}" for c in AXES], 1.0).groupBy("a_id").agg(F.min(F.struct("d2", "b_id")).alias("best"))
+    a, b = (p.select(F.col("vec_id").alias(f"{n}_id"), F.col("label").alias(f"{n}_label"), *[F.col(c).alias(f"{n}{c}") for c in AXES]) for n in "ab")
+    near = G.radius_join(a, b, [f"a{c}" for c in AXES], [f"b{c}" for c in AXES], 1.0).filter(F.col("b_label") == F.col("a_label") + 1)
+    best = near.groupBy("a_id").agg(F.min(F.struct("d2", "b_id")).alias("best"))
     return a.join(best, "a_id", "left").select("a_id", "best.b_id", F.round(F.coalesce("best.d2", F.lit(9.0)), 9).alias("d2"))
 
 

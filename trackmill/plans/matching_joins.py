@@ -123,7 +123,7 @@ def restriction_rules(spark, sf_dir):
 
 
 @query("""
-WITH r AS (SELECT o_custkey % 50 AS a, o_orderkey % 20 AS b, CASE o_orderstatus WHEN 'F' THEN 'FORBIDDEN' WHEN 'P' THEN 'UNKNOWN_RESTRICTION' ELSE 'ALLOWED' END AS state FROM orders WHERE o_orderkey % 7 = 0),
+WITH r AS (SELECT o_custkey % 50 AS a, o_orderkey % 20 AS b, CASE o_orderstatus WHEN 'F' THEN 'FORBIDDEN' WHEN 'P' THEN 'UNKNOWN_RESTRICTION' ELSE 'ALLOWED' END AS state FROM orders WHERE o_totalprice > 450000),
 g AS (SELECT a, b, min(CASE state WHEN 'FORBIDDEN' THEN 0 WHEN 'UNKNOWN_RESTRICTION' THEN 1 ELSE 2 END) AS k FROM r GROUP BY a, b)
 SELECT o_orderkey, CASE k WHEN 0 THEN 'FORBIDDEN' WHEN 1 THEN 'UNKNOWN_RESTRICTION' WHEN 2 THEN 'ALLOWED' ELSE 'NONE' END AS state FROM orders LEFT JOIN g ON o_custkey % 50 = a AND (o_orderkey * 3) % 20 = b
 """)
@@ -131,7 +131,7 @@ def rule_lookup(spark, sf_dir):
     """A transition's strictest rule; none is none."""
     o = table(spark, sf_dir, "orders")
     state = F.when(F.col("o_orderstatus") == "F", "FORBIDDEN").when(F.col("o_orderstatus") == "P", "UNKNOWN_RESTRICTION").otherwise("ALLOWED")
-    rules = o.filter("o_orderkey % 7 = 0").select((F.col("o_custkey") % 50).alias("a"), (F.col("o_orderkey") % 20).alias("b"), state.alias("state"))
+    rules = o.filter("o_totalprice > 450000").select((F.col("o_custkey") % 50).alias("a"), (F.col("o_orderkey") % 20).alias("b"), state.alias("state"))
     best = J.ranked_rules(rules, ["a", "b"], "state", ["FORBIDDEN", "UNKNOWN_RESTRICTION", "ALLOWED"])
     asks = o.select("o_orderkey", (F.col("o_custkey") % 50).alias("a"), (F.col("o_orderkey") * 3 % 20).alias("b"))
     return asks.join(best, ["a", "b"], "left").select("o_orderkey", F.coalesce("state", F.lit("NONE")).alias("state"))

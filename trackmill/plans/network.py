@@ -121,8 +121,8 @@ def project_to_polyline(spark, sf_dir):
 
 def corridors(spark, sf_dir):
     samples = P.resample(polylines(spark, sf_dir), ["user_id"], ["x", "y"], 21).withColumn("family", F.col("user_id") % 10)
-    a, b = samples.withColumnRenamed("user_id", "a"), samples.withColumnRenamed("user_id", "b")
-    apart = P.mean_distance(a, b.filter("b % 2 >= 0"), ["family", "a", "b"], ["x", "y"])
+    a, b = (samples.select(F.col("family").alias("family"), F.col("user_id").alias(n), F.col("k").alias("k"), "x", "y") for n in "ab")
+    apart = P.mean_distance(a, b, ["family", "a", "b"], ["x", "y"])
     return samples, apart.filter((F.col("a") < F.col("b")) & (F.col("apart") <= 120))
 
 
@@ -172,7 +172,7 @@ def topology_hypotheses(spark, sf_dir):
     return asks.join(best, ["src", "dst"], "left").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
-WAYS = "wn AS (SELECT l_suppkey AS way, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS pos, l_partkey AS node, CAST(p_size AS DOUBLE) AS x, p_retailprice AS y, l_suppkey % 2 = 0 AS two_way FROM (SELECT * FROM lineitem WHERE l_partkey % 40 = l_suppkey % 40 AND l_orderkey % 3 = 0) JOIN part ON p_partkey = l_partkey)"
+WAYS = "wn AS (SELECT l_suppkey AS way, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS pos, l_orderkey AS node, CAST(l_orderkey % 100 AS DOUBLE) AS x, CAST(l_orderkey // 100 AS DOUBLE) AS y, l_suppkey % 2 = 0 AS two_way FROM lineitem)"
 
 
 @query(f"""
@@ -187,11 +187,10 @@ SELECT way, CAST(chain AS BIGINT) AS chain, direction, CASE direction WHEN 'forw
 """)
 def road_arcs(spark, sf_dir):
     """Ways cut into directed arcs where they meet."""
-    li = table(spark, sf_dir, "lineitem").filter("l_partkey % 40 = l_suppkey % 40 AND l_orderkey % 3 = 0")
-    pos = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"))
-    nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
-    refs = li.select(F.col("l_suppkey").alias("way"), pos.alias("pos"), F.col("l_partkey").alias("node"), (F.col("l_suppkey") % 2 == 0).alias("both"))
-    return R.build_arcs(refs.join(nodes, "node"), "way", "pos", "node", ["x", "y"], "both")
+    pos = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"))
+    node = F.col("l_orderkey")
+    refs = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("way"), pos.alias("pos"), node.alias("node"), (node % 100).cast("double").alias("x"), F.floor(node / 100).cast("double").alias("y"), (F.col("l_suppkey") % 2 == 0).alias("both"))
+    return R.build_arcs(refs, "way", "pos", "node", ["x", "y"], "both")
 
 
 @query(f"WITH {NODES}, n AS (SELECT n_nationkey AS k FROM nation WHERE n_nationkey <> 13) SELECT 0 AS repeated, (SELECT count(*) FROM edge WHERE src NOT IN (SELECT k FROM n)) AS unknown_starts, (SELECT count(*) FROM edge WHERE dst NOT IN (SELECT k FROM n)) AS unknown_ends")

@@ -55,18 +55,34 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, seeds: tuple[int, ...] = (42,), distinct: bool = False) -> DataFrame:
-    """key, fp (fp1, ... for further seeds): one fingerprint for each seed. Null and empty texts have zero."""
-    names = ["fp", *[f"fp{i}" for i in range(1, len(seeds))]]
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, seed: int = 42, distinct: bool = False, n: int = 1) -> DataFrame:
+    """key, fp (and fp1, ...): n independent fingerprints; those after the first mix the hashes anew. Null and empty texts have zero."""
 
     def make():
         def work(keys, texts):
-            data = [t.encode() for t in texts]
-            return [[majority(shingle_hashes(d, size, seed, distinct)) for d in data] for seed in seeds]
+            rows = []
+            for t in texts:
+                h = shingle_hashes(t.encode(), size, seed, distinct)
+                rows.append([majority(mixed(h, i)) for i in range(n)])
+            return [list(c) for c in zip(*rows)]
 
         return work
 
-    return map_texts(docs, key, text, make, ", ".join(f"{n} long" for n in names))
+    return map_texts(docs, key, text, make, ", ".join(f"{c} long" for c in names(n)))
+
+
+def names(n: int) -> list[str]:
+    return ["fp", *[f"fp{i}" for i in range(1, n)]]
+
+
+def mixed(hashes: np.ndarray, nth: int) -> np.ndarray:
+    """The nth independent hash of what was hashed; the 0th is the hash itself."""
+    if not nth:
+        return hashes
+    z = hashes + np.uint64(nth * 0x9E3779B97F4A7C15 % (1 << 64))
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
 
 
 def masks(radius: int) -> list[int]:
@@ -112,7 +128,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int
     Null and empty texts have the fingerprint zero and are linked like any other; null keys take part but name no component
     unless nothing else does (then it is null). Repeated rows stay.
     """
-    own = cut(fingerprints(docs, key, text, size, (seed,)))
+    own = cut(fingerprints(docs, key, text, size, seed))
     classes = cut(own.groupBy("fp").agg(F.min(key).alias("least")))
     found = components(links(classes.select("fp"), radius))
     roots = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -122,7 +138,9 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int
 
 
 #: Word shingles and their similarity in near_duplicates(); fingerprints of a pair that differ more than this are not compared.
-SHINGLE, SIMILAR, FAR = 5, 0.8, 20
+SHINGLE, SIMILAR, FAR = 5, 0.8, 24
+#: Fingerprints of each text there, and the bits by which any one of them may differ.
+FINGERPRINTS, RADIUS = 6, 4
 
 
 def shingle_sets(docs: DataFrame, node: str, text: str, size: int = SHINGLE) -> DataFrame:
@@ -155,19 +173,20 @@ def alike(pairs: DataFrame, sets: DataFrame, least: float = SIMILAR) -> DataFram
 
 
 def candidates(classes: DataFrame, radius: int) -> DataFrame:
-    """a, b: pairs of classes (node, fp, fp1) that share a table's key of either fingerprint.
+    """a, b: pairs of classes (node, fp, fp1, ...) that share a table's key of any fingerprint.
 
     Of a key with few classes: those within the radius by that measure. Of a key with more: each class beside the one whose
     fingerprint is nearest to the key's bitwise majority, and beside the first one.
     """
-    keys = classes.select("node", F.explode(F.concat(*[F.transform(table_keys(F.col(f), radius), lambda k, i=i: F.struct(k.alias("key"), F.lit(i).alias("of"))) for i, f in enumerate(("fp", "fp1"))])).alias("x")).select("node", F.xxhash64("x.key", "x.of").alias("key"), "x.of")
+    fps = [c for c in classes.columns if c != "node"]
+    keys = classes.select("node", F.explode(F.concat(*[F.transform(table_keys(F.col(f), radius), lambda k, i=i: F.struct(k.alias("key"), F.lit(i).alias("of"))) for i, f in enumerate(fps)])).alias("x")).select("node", F.xxhash64("x.key", "x.of").alias("key"), "x.of")
     shared = stored(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
     met = stored(keys.join(shared, "key").join(classes, "node"))
-    few = met.filter(F.col("n") <= SMALL).select("key", "node", "fp", "fp1")
-    one, two = (few.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "fp", "fp1")]) for x in "ab")
-    apart = [F.bit_count(F.col(f"{f}_a").bitwiseXOR(F.col(f"{f}_b"))) for f in ("fp", "fp1")]
+    few = met.filter(F.col("n") <= SMALL).select("key", "node", *fps)
+    one, two = (few.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", *fps)]) for x in "ab")
+    apart = [F.bit_count(F.col(f"{f}_a").bitwiseXOR(F.col(f"{f}_b"))) for f in fps]
     pairs = one.join(two, "key").filter((F.col("node_a") < F.col("node_b")) & (F.least(*apart) <= radius) & (F.greatest(*apart) <= FAR)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    many = met.filter(F.col("n") > SMALL).select("key", "node", "n", F.when(F.col("of") == 0, F.col("fp")).otherwise(F.col("fp1")).alias("f"))
+    many = met.filter(F.col("n") > SMALL).select("key", "node", "n", F.get(F.array(*fps), F.col("of")).alias("f"))
     bits = many.groupBy("key").agg(*[F.sum(F.getbit("f", F.lit(i)).cast("int")).alias(f"b{i}") for i in range(BITS)], F.first("n").alias("all"))
     middle = F.lit(0).cast("long")
     for i in range(BITS):
@@ -179,20 +198,20 @@ def candidates(classes: DataFrame, radius: int) -> DataFrame:
     return pairs.union(starred).distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 4, least: float = SIMILAR) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, least: float = SIMILAR, n: int = FINGERPRINTS) -> DataFrame:
     """docs (all columns) without the rows that a copy or near copy of smaller key stands for: one of each group stays.
 
-    Two texts are near copies if their sets of five-word shingles are alike by `least` or more. Candidates come from two
+    Two texts are near copies if their sets of five-word shingles are alike by `least` or more. Candidates come from n
     fingerprints of the texts' distinct words (those change less under edits than fingerprints of shingles) within the radius of
-    either; groups are connected components. Of keys that very many texts share, each text is compared with two heads only, so in
+    any; groups are connected components. Of keys that very many texts share, each text is compared with two heads only, so in
     such a crowd texts are grouped if they are alike to a head. Rows with equal texts are one class from the start; of repeated
     rows with one key and text one stays; null texts count as empty, and a null key comes before all others.
     """
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     own = docs.select(F.struct(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("d"), F.hash(t).alias("v"), F.substring(F.sha2(t, 256), 1, 32).alias("digest")).alias("id"), t.alias("t"))
-    signed = stored(fingerprints(own, "id", "t", 1, (42, 43), True))
-    classes = stored(signed.groupBy("id.digest").agg(F.min("id.d").alias("d"), F.first("id.v").alias("v"), F.first("fp").alias("fp"), F.first("fp1").alias("fp1")).select(F.struct("d", "v").alias("node"), "digest", "fp", "fp1"))
-    pairs = stored(candidates(classes.select("node", "fp", "fp1"), radius))
+    signed = stored(fingerprints(own, "id", "t", 1, 42, True, n))
+    classes = stored(signed.groupBy("id.digest").agg(F.min("id.d").alias("d"), F.first("id.v").alias("v"), *[F.first(c).alias(c) for c in names(n)]).select(F.struct("d", "v").alias("node"), "digest", *names(n)))
+    pairs = stored(candidates(classes.select("node", *names(n)), radius))
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = own.select(F.struct("id.d", "id.v").alias("node"), "t").join(asked.hint("merge"), "node", "left_semi")
     sets = stored(shingle_sets(texts, "node", "t").dropDuplicates(["node"]))

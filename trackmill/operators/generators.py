@@ -102,16 +102,19 @@ def not_finite(points: DataFrame, where: Column, axis: str) -> DataFrame:
     return points.withColumn(axis, F.when(where, F.lit(float("nan"))).otherwise(F.col(axis)))
 
 
-def ray_cast(rays: DataFrame, landmarks: DataFrame, keys: list[str], most: float) -> DataFrame:
+def ray_cast(rays: DataFrame, landmarks: DataFrame, keys: list[str], most: float, size: float) -> DataFrame:
     """keys, distance, landmark: the nearest hit of rays (ox, oy, dx, dy: a unit direction) on round landmarks (lx, ly, radius, landmark).
 
-    Landmarks are a scene's few; the scene is sent to every task.
+    Rays and landmarks meet in square cells: a landmark of a radius of at most half a cell that a ray hits lies in a cell next to one of
+    the ray's points, which are a cell apart.
     """
-    both = rays.join(F.broadcast(landmarks))
+    steps = F.sequence(F.lit(0), F.lit(math.ceil(most / size)))
+    near = F.flatten(F.transform(steps, lambda k: F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.struct((F.floor((F.col("ox") + k * size * F.col("dx")) / size) + F.floor(i / 3) - 1).alias("i"), (F.floor((F.col("oy") + k * size * F.col("dy")) / size) + i % 3 - 1).alias("j")))))
+    met = rays.select("*", F.inline(F.array_distinct(near))).join(landmarks.withColumns({"i": F.floor(F.col("lx") / size), "j": F.floor(F.col("ly") / size)}), ["i", "j"])
     fx, fy = F.col("ox") - F.col("lx"), F.col("oy") - F.col("ly")
     b = fx * F.col("dx") + fy * F.col("dy")
     inside = b * b - (fx * fx + fy * fy - F.col("radius") * F.col("radius"))
-    hits = both.withColumn("distance", F.when(inside >= 0, -b - F.sqrt(F.greatest(inside, F.lit(0.0))))).filter((F.col("distance") > 0) & (F.col("distance") <= most))
+    hits = met.withColumn("distance", F.when(inside >= 0, -b - F.sqrt(F.greatest(inside, F.lit(0.0))))).filter((F.col("distance") > 0) & (F.col("distance") <= most))
     return hits.groupBy(*keys).agg(F.min(F.struct("distance", "landmark")).alias("h")).select(*keys, "h.distance", "h.landmark")
 
 

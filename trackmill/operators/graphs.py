@@ -68,6 +68,6 @@ def graph_invariants(nodes: DataFrame, arcs: DataFrame, node: str, start: str, e
     """One row: repeated node ids, and arcs whose start or end is unknown."""
     ids = nodes.groupBy(node).count()
     known = ids.select(F.col(node).alias("__k"))
-    lost = lambda c: arcs.join(known, arcs[c] == known["__k"], "left_anti").agg(F.count("*").alias("n"))
-    repeated = ids.filter("count > 1").agg(F.count("*").alias("repeated"))
-    return repeated.join(lost(start).withColumnRenamed("n", "unknown_starts")).join(lost(end).withColumnRenamed("n", "unknown_ends"))
+    lost = lambda c, n: arcs.select(c).join(known, F.col(c) == F.col("__k"), "left_anti").select(F.lit(n).alias("what"))
+    found = ids.filter("count > 1").select(F.lit("repeated").alias("what")).union(lost(start, "unknown_starts")).union(lost(end, "unknown_ends"))
+    return found.agg(*[F.count_if(F.col("what") == n).alias(n) for n in ("repeated", "unknown_starts", "unknown_ends")])

@@ -32,10 +32,10 @@ def bootstrap_rate(clusters: DataFrame, key: str, hit: str, n: str, replicates:
     Each draw's place follows from SHA-256 of "replicate:slot", so any engine and any partitioning draws the same clusters. The
     clusters are a table of groups, not of rows; they are put in order once to number them.
     """
-    placed = clusters.withColumn("place", F.row_number().over(Window.orderBy(key)) - 1).withColumn("of", F.count("*").over(Window.partitionBy()))
-    size = placed.select(F.col("of").alias("m")).limit(1)
-    draws = clusters.sparkSession.range(replicates).withColumnRenamed("id", "rep").join(F.broadcast(size)).select("rep", "m", F.explode(F.sequence(F.lit(0), F.col("m").cast("int") - 1)).alias("slot"))
-    pick = F.conv(F.substring(F.sha2(F.concat_ws(":", "rep", "slot"), 256), 1, 12), 16, 10).cast("long") % F.col("m")
+    m = clusters.count()
+    placed = clusters.withColumn("place", F.row_number().over(Window.orderBy(key)) - 1)
+    draws = clusters.sparkSession.range(replicates).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("slot")) if m else clusters.sparkSession.createDataFrame([], "rep long, slot int")
+    pick = F.conv(F.substring(F.sha2(F.concat_ws(":", "rep", "slot"), 256), 1, 12), 16, 10).cast("long") % max(m, 1)
     rates = draws.select("rep", pick.alias("place")).join(placed.select("place", hit, n), "place").groupBy("rep").agg((F.sum(hit) / F.sum(n).cast("double")).alias("rate"))
     tail = round((1 - level) / 2, 12)
     return rates.agg(F.round(F.percentile("rate", tail), 9).alias("low"), F.round(F.percentile("rate", 1 - tail), 9).alias("high"), F.round(F.avg("rate"), 9).alias("mean"), F.count("*").alias("replicates"))

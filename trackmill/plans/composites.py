@@ -104,7 +104,7 @@ def ray_cast(spark, sf_dir):
     scene = table(spark, sf_dir, "nation").select(n.alias("landmark"), (n % 5 * 10 + 7.0).alias("lx"), (F.floor(n / 5) * 10 + 7.0).alias("ly"), (0.5 + n % 3 / 2).alias("radius"))
     rays = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("scan"), (F.col("s_suppkey") % 40).cast("double").alias("ox"), (F.col("s_suppkey") * 7 % 40).cast("double").alias("oy"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(71).cast("long"))).alias("ray"))
     rays = rays.withColumns({"dx": F.cos(F.col("ray") * math.pi / 36), "dy": F.sin(F.col("ray") * math.pi / 36)})
-    return N.ray_cast(rays, scene, ["scan", "ray"], 30.0).select("scan", "ray", F.round("distance", 5).alias("distance"), "landmark")
+    return N.ray_cast(rays, scene, ["scan", "ray"], 30.0, 10.0).select("scan", "ray", F.round("distance", 5).alias("distance"), "landmark")
 
 
 @query(f"""

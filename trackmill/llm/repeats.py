@@ -33,6 +33,8 @@ REACH = LENGTH - GRAM
 #: Contexts of one string that are sorted in one task, of at most 2 * LENGTH bytes each; contexts that are sorted together.
 GROUP, TOGETHER = 8192, 2048
 SLICE = 1 << 20
+#: Shares in which the anchors of a frequent string are dealt.
+SALTS = 64
 NO_KEY = -(2**63)
 
 
@@ -228,7 +230,11 @@ def spans(rows: DataFrame, group: int = GROUP) -> DataFrame:
     alike = shared.filter("g IS NULL").select("d", "v", *covered(F.col("at")))
     mixed = shared.filter("g IS NOT NULL")
     kinds = stored(mixed.groupBy("g", "c", "large").agg(F.count("*").alias("n"), F.min(F.struct("d", "v", "at")).alias("one")))
-    twice = mixed.join(kinds.filter("n > 1").select("g", "c"), ["g", "c"]).select("d", "v", *covered(F.col("at")))
+    # strings with very many anchors are salted, so that the copies of one context are not one task's
+    salt = F.when(F.col("large"), F.pmod(F.xxhash64("d", "v", "at"), F.lit(SALTS))).otherwise(0).cast("int")
+    salts = F.when(F.col("large"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copied = kinds.filter("n > 1").select("g", "c", F.explode(salts).alias("salt"))
+    twice = mixed.withColumn("salt", salt).join(copied, ["g", "c", "salt"]).select("d", "v", *covered(F.col("at")))
     hot = kinds.filter("large").groupBy("g").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > group).select("g", F.lit(True).alias("hot"))
     marked = kinds.filter("large").join(hot, "g", "left").select("g", "one", "n", F.coalesce("hot", F.lit(False)).alias("hot")).union(kinds.filter("NOT large").select("g", "one", "n", F.lit(False)))
     wanted = marked.select("g", "one.d", "one.v", "one.at", (F.col("n") == 1).alias("once"), "hot")

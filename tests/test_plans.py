@@ -16,7 +16,8 @@ def test_no_products(spark, name):
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
 
 
-def test_pushdown(spark):
-    plan = catalog.QUERIES["region_filter"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+def test_pushdown(spark, capsys):
+    catalog.QUERIES["region_filter"](spark, SMALL).explain("formatted")
+    plan = capsys.readouterr().out
     assert "GreaterThanOrEqual(l_extendedprice,20000.0)" in plan and "In(l_returnflag" in plan
     assert "ReadSchema: struct<l_suppkey:bigint,l_quantity:double,l_extendedprice:double,l_returnflag:string>" in plan

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackmill.sources import readers as R
+from trackmill.sources import recording as C
 from trackmill.sources import writers as W
 
 
@@ -90,3 +91,37 @@ def test_writers(spark, tmp_path):
     assert W.published(spark, str(tmp_path / "out")) and not W.published(spark, str(tmp_path / "none"))
     state = {r["stream"]: r["state"] for r in R.capabilities(df.select(F.col("s").alias("stream")), [("a", False), ("z", True), ("y", False)]).collect()}
     assert state == {"a": "AVAILABLE", "z": "MISSING_OPTIONAL", "y": "MISSING_REQUIRED"}
+
+
+def test_recording(spark, tmp_path):
+    root = tmp_path / "rec"
+    for d in ("poses", "lidar", "calib"):
+        (root / d).mkdir(parents=True)
+    row = ["1.5", *["1.5"] * 6, "0", "0", "0", *["0"] * 6, "0.9", "-0.5"]
+    (root / "poses" / "p.csv").write_text("\n".join([",".join(R.TRAJECTORY), ",".join(row), ",".join(["2.5", *row[1:]])]) + "\n")
+    good = struct.pack("<6f", 1, 2, 3, 4, 5, 0)
+    for name, content in (("1500000", good), ("2500000", good * 2), ("4500000", good[:-2])):
+        (root / "lidar" / f"{name}.bin").write_bytes(content)
+    (root / "calib" / "c.txt").write_text("1 0 0 0 0 1 0 0 0 0 1 0 0 0 0 1")
+    rec = C.Recording(spark, str(root), "rec")
+    assert {r["stream"]: r["state"] for r in rec.capabilities().collect()} == {"poses": "AVAILABLE", "lidar": "AVAILABLE", "calib": "AVAILABLE", "lidar_poses": "MISSING_OPTIONAL"}
+    got = C.index_recording(rec, str(tmp_path / "out"))
+    assert [r["time_ns"] for r in got["index"].collect()] == [1_500_000_000, 2_500_000_000, 4_500_000_000]
+    assert {(r["kind"], r["key"]) for r in got["findings"].collect()} == {("TRUNCATED_FRAME", "4500000.bin")}
+    assert {r["stream"]: (r["n"], r["first_ns"], r["invalid"]) for r in got["ranges"].collect()} == {"poses": (2, 1_500_000_000, 0), "lidar": (3, 1_500_000_000, 1)}
+    with pytest.raises(Exception):
+        C.index_recording(rec, str(tmp_path / "out"))
+    met = C.exact_matches(rec.frames(), rec.poses().select("time_ns", "x")).orderBy("time_ns").collect()
+    assert [r["pose_x"] for r in met] == [1.5, 1.5, None]
+    before = rec.all_files().cache()
+    before.count()
+    (root / "lidar" / "5500000.bin").write_bytes(good)
+    assert [(r["key"], r["change"]) for r in C.snapshot_changes(before, rec.all_files()).collect()] == [("5500000.bin", "after")]
+    moved = C.anchored(rec.poses().withColumn("seq", F.lit(1)), "seq", ["time_ns"], ["x"]).collect()
+    assert {r["x"] for r in moved} == {0.0}
+
+
+def test_finding_cap(spark):
+    frames = spark.createDataFrame([(f"{i:03}.bin", i, 0, 0, False) for i in range(7)], "key string, time_ns long, bytes long, points long, whole boolean")
+    got = C.structural_findings(frames, 3).orderBy("key").collect()
+    assert [(r["key"], r["overflow"], r["left_out"]) for r in got] == [("000.bin", False, 0), ("001.bin", False, 0), ("002.bin", False, 0), ("003.bin", True, 4)]

@@ -75,7 +75,7 @@ def calibration_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def frame_listing(spark: SparkSession, path: str) -> DataFrame:
-    """Key, time_ns, bytes, points, whole of files named by microseconds; contents are not read."""
+    """Key, time_ns, bytes, points, whole of files named by microseconds; contents are not read. Spark lists no files of 0 bytes."""
     files = spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
     stem = F.regexp_extract("path", r"([0-9]+)\.bin$", 1)
     return files.filter(stem != "").select(F.regexp_extract("path", r"[^/]+$", 0).alias("key"), (stem.cast("long") * 1000).alias("time_ns"), F.col("length").alias("bytes"), F.floor(F.col("length") / RECORD).alias("points"), ((F.col("length") % RECORD == 0) & (F.col("length") > 0)).alias("whole"), "modificationTime")

@@ -29,6 +29,8 @@ THRESHOLD = 0.7
 #: Upper ends of the steps of each share; a step's term counts as SHAPE times the n-grams.
 STEPS = (0.1, 0.3, 1.0)
 SHAPE = 0.15
+#: Bytes that a text has besides its own when shares are counted.
+FEW = 32
 
 
 def terms(texts: list[str]) -> np.ndarray:
@@ -41,7 +43,8 @@ def terms(texts: list[str]) -> np.ndarray:
         capital = np.count_nonzero((data >= 65) & (data <= 90))
         small = np.count_nonzero(((data >= 97) & (data <= 122)) | (data >= 128))
         space = np.count_nonzero(data <= 32)
-        shares[i] = sum(a == b for a, b in zip(words, words[1:])) / max(1, len(words) - 1), capital / max(1, capital + small), (len(data) - capital - small - space) / max(1, len(data))
+        # short texts have few capitals and signs, though often a large share
+        shares[i] = sum(a == b for a, b in zip(words, words[1:])) / (len(words) + FEW / 8), capital / (capital + small + FEW), (len(data) - capital - small - space) / (len(data) + FEW)
     step = np.searchsorted(STEPS, shares) + np.arange(3) * (len(STEPS) + 1)
     shape = np.zeros((len(texts), 3 * (len(STEPS) + 1)), np.float32)
     np.put_along_axis(shape, step, (SHAPE * grams.sum(axis=1, keepdims=True)).repeat(3, axis=1), axis=1)

@@ -31,9 +31,9 @@ def test_points(spark, tmp_path):
     (folder / "2000.bin").write_bytes(good * 3)
     listed = {r["key"]: r for r in R.frame_listing(spark, str(folder)).collect()}
     assert listed["1000.bin"]["points"] == 3 and listed["2000.bin"]["time_ns"] == 2_000_000 and listed["1000.bin"]["whole"]
-    points = R.point_records(spark, str(folder))
+    points = R.point_records(spark, str(folder), bits=True)
     rows = points.filter("key = '1000.bin'").orderBy("offset").collect()
-    assert [r["valid"] for r in rows] == [True, False, False] and rows[0]["relative_ns"] == -250_000_000 and rows[0]["bits"] == good.hex()
+    assert [r["valid"] for r in rows] == [True, False, False] and rows[0]["relative_ns"] == -250_000_000 and rows[0]["bits"] == good
     assert {r["key"]: (r["points"], r["invalid"]) for r in R.frame_summary(points).collect()} == {"1000.bin": (3, 2), "2000.bin": (3, 0)}
     digests = R.file_digests(spark, str(folder))
     assert {r["sha256"] for r in digests.collect()} >= {hashlib.sha256(good * 3).hexdigest()}

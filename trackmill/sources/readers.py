@@ -81,9 +81,10 @@ def frame_listing(spark: SparkSession, path: str) -> DataFrame:
     return files.filter(stem != "").select(F.regexp_extract("path", r"[^/]+$", 0).alias("key"), (stem.cast("long") * 1000).alias("time_ns"), F.col("length").alias("bytes"), F.floor(F.col("length") / RECORD).alias("points"), ((F.col("length") % RECORD == 0) & (F.col("length") > 0)).alias("whole"), "modificationTime")
 
 
-def point_records(spark: SparkSession, path: str, rings: int = 128) -> DataFrame:
-    """Key, offset, x, y, z, intensity, ring, relative_ns, bits (the record as hex), valid. A rest of fewer than 24 bytes fails."""
-    kinds = [pa.string(), pa.int64(), *[pa.float32()] * 4, pa.int32(), pa.int64(), pa.string(), pa.bool_()]
+def point_records(spark: SparkSession, path: str, rings: int = 128, bits: bool = False) -> DataFrame:
+    """Key, offset, x, y, z, intensity, ring, relative_ns, valid, and with bits the record's bytes. A rest of fewer than 24 bytes fails."""
+    kinds = [pa.string(), pa.int64(), *[pa.float32()] * 4, pa.int32(), pa.int64(), pa.bool_()]
+    names = ["key", "offset", *FIELDS[:4], "ring", "relative_ns", "valid"]
 
     def run(batches):
         for batch in batches:
@@ -96,12 +97,14 @@ def point_records(spark: SparkSession, path: str, rings: int = 128) -> DataFrame
                     ring, offset = part[:, 4], part[:, 5].astype(np.float64) * 1e9
                     valid = np.isfinite(part).all(axis=1) & (ring == np.floor(ring)) & (ring >= 0) & (ring < rings)
                     ns = np.where(valid, np.where(offset >= 0, np.floor(offset + 0.5), np.ceil(offset - 0.5)), 0)
-                    hexed = [content[i * RECORD : (i + 1) * RECORD].hex() for i in range(at, at + len(part))]
-                    columns = [[name] * len(part), np.arange(at, at + len(part)), *[part[:, i] for i in range(4)], np.where(valid, ring, -1).astype(np.int32), ns.astype(np.int64), hexed, valid]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "offset", *FIELDS[:4], "ring", "relative_ns", "bits", "valid"])
+                    columns = [np.arange(at, at + len(part)), *[np.ascontiguousarray(part[:, i]) for i in range(4)], np.where(valid, ring, -1).astype(np.int32), ns.astype(np.int64), valid]
+                    arrays = [pa.array([name]).take(pa.array(np.zeros(len(part), np.int32))), *[pa.array(c, k) for c, k in zip(columns, kinds[1:])]]
+                    if bits:
+                        arrays.append(pa.FixedSizeBinaryArray.from_buffers(pa.binary(RECORD), len(part), [None, pa.py_buffer(content[at * RECORD : (at + len(part)) * RECORD])]).cast(pa.binary()))
+                    yield pa.RecordBatch.from_arrays(arrays, names=names + ["bits"] * bits)
 
     files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"[^/]+$", 0).alias("key"), "content")
-    return files.mapInArrow(run, "key string, offset long, x float, y float, z float, intensity float, ring int, relative_ns long, bits string, valid boolean")
+    return files.mapInArrow(run, "key string, offset long, x float, y float, z float, intensity float, ring int, relative_ns long, valid boolean" + ", bits binary" * bits)
 
 
 def frame_summary(points: DataFrame) -> DataFrame:

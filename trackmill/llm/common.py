@@ -22,10 +22,11 @@ BATCH_ROWS = 1000
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path, current = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.getCheckpointDir()
     if path:
+        if current is None:
+            spark.sparkContext.setCheckpointDir(path)
         return path
-    current = spark.sparkContext.getCheckpointDir()
     if current is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="trackmill-"))
         current = spark.sparkContext.getCheckpointDir()

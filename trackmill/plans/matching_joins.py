@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import islands as I
 from ..operators import joins as J
 from .registry import EVENTS, events, query, table
-from .temporal import HOUR, INTERVALS, MINUTE, intervals
+from .temporal import HOUR, INTERVALS, intervals
 
 
 def sides(spark, sf_dir, a="purchase", b="error"):

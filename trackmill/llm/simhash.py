@@ -156,7 +156,7 @@ def shingle_sets(docs: DataFrame, node: str, text: str, size: int = SHINGLE) ->
 
 
 def alike(pairs: DataFrame, sets: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard similarity of `least` or more."""
+    """The pairs (a, b, and any other columns) whose shingle sets have a Jaccard similarity of `least` or more."""
 
     @F.pandas_udf("double")
     def jaccard(x, y):
@@ -169,23 +169,23 @@ def alike(pairs: DataFrame, sets: DataFrame, least: float = SIMILAR) -> DataFram
 
     sized = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
     near = F.least(F.length("x"), F.length("y")) >= least * F.greatest(F.length("x"), F.length("y"))
-    return sized.filter(near).filter(jaccard("x", "y") >= least).select("a", "b")
+    return sized.filter(near).filter(jaccard("x", "y") >= least).select(*pairs.columns)
 
 
 def candidates(classes: DataFrame, radius: int) -> DataFrame:
-    """a, b: pairs of classes (node, fp, fp1, ...) that share a table's key of any fingerprint.
+    """a, b, star: pairs of classes (node, fp, fp1, ...) that share a table's key of any fingerprint; star: one is a head of such a key.
 
     Of a key with few classes: those within the radius by that measure. Of a key with more: each class beside the one whose
     fingerprint is nearest to the key's bitwise majority, and beside the first one.
     """
     fps = [c for c in classes.columns if c != "node"]
     keys = classes.select("node", F.explode(F.concat(*[F.transform(table_keys(F.col(f), radius), lambda k, i=i: F.struct(k.alias("key"), F.lit(i).alias("of"))) for i, f in enumerate(fps)])).alias("x")).select("node", F.xxhash64("x.key", "x.of").alias("key"), "x.of")
-    shared = stored(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    shared = stored(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).filter("n > 1"))
     met = stored(keys.join(shared, "key").join(classes, "node"))
-    few = met.filter(F.col("n") <= SMALL).select("key", "node", *fps)
-    one, two = (few.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", *fps)]) for x in "ab")
+    few = met.filter(F.col("n") <= SMALL).select("key", "node", "first", *fps)
+    one, two = (few.select("key", *["first"] * (x == "a"), *[F.col(c).alias(f"{c}_{x}") for c in ("node", *fps)]) for x in "ab")
     apart = [F.bit_count(F.col(f"{f}_a").bitwiseXOR(F.col(f"{f}_b"))) for f in fps]
-    pairs = one.join(two, "key").filter((F.col("node_a") < F.col("node_b")) & (F.least(*apart) <= radius) & (F.greatest(*apart) <= FAR)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    pairs = one.join(two, "key").filter((F.col("node_a") < F.col("node_b")) & (F.least(*apart) <= radius) & (F.greatest(*apart) <= FAR)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), (F.col("node_a") == F.col("first")).alias("star"))
     many = met.filter(F.col("n") > SMALL).select("key", "node", "n", F.get(F.array(*fps), F.col("of")).alias("f"))
     bits = many.groupBy("key").agg(*[F.sum(F.getbit("f", F.lit(i)).cast("int")).alias(f"b{i}") for i in range(BITS)], F.first("n").alias("all"))
     middle = F.lit(0).cast("long")
@@ -194,8 +194,8 @@ def candidates(classes: DataFrame, radius: int) -> DataFrame:
     placed = many.join(bits.select("key", middle.alias("middle")), "key")
     heads = placed.groupBy("key").agg(F.min(F.struct(F.bit_count(F.col("f").bitwiseXOR(F.col("middle"))).alias("d"), F.col("node").alias("a"))).alias("central"), F.min("node").alias("first"))
     heads = heads.select("key", F.explode(F.array("central.a", "first")).alias("a"))
-    starred = many.select("key", F.col("node").alias("b")).join(heads, "key").filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return pairs.union(starred).distinct()
+    starred = many.select("key", F.col("node").alias("b")).join(heads, "key").filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(True).alias("star"))
+    return pairs.union(starred).groupBy("a", "b").agg(F.bool_or("star").alias("star"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, least: float = SIMILAR, n: int = FINGERPRINTS) -> DataFrame:
@@ -215,7 +215,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = own.select(F.struct("id.d", "id.v").alias("node"), "t").join(asked.hint("merge"), "node", "left_semi")
     sets = stored(shingle_sets(texts, "node", "t").dropDuplicates(["node"]))
-    found = components(alike(pairs, sets, least))
+    # first each key's classes beside its heads; then only pairs that this has not brought together, so a crowd's links stay few
+    stars = stored(components(alike(pairs.filter("star").select("a", "b"), sets, least)))
+    root = lambda n: stars.select(F.col("node").alias(n), F.col("root").alias(f"root_{n}"))
+    rest = pairs.filter("NOT star").join(root("a"), "a", "left").join(root("b"), "b", "left")
+    rest = rest.select("a", "b", F.coalesce("root_a", "a").alias("ra"), F.coalesce("root_b", "b").alias("rb")).filter("ra != rb")
+    joined = components(alike(rest, sets, least).select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    near = stars.withColumnRenamed("root", "head").union(joined.select("node", F.col("node").alias("head"))).distinct()
+    final = near.join(joined.select(F.col("node").alias("head"), "root"), "head", "left").select("node", F.coalesce("root", "head").alias("root"))
+    found = final.groupBy("node").agg(F.min("root").alias("root"))
     heads = classes.join(found, "node", "left").filter(F.col("root").isNull() | (F.col("root") == F.col("node"))).select(F.col("node.d").alias("__d"), F.col("digest").alias("__digest"))
     named = docs.withColumn("__d", F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))).withColumn("__digest", F.substring(F.sha2(t, 256), 1, 32))
     # both joins with the texts are by sorting at every size: neither side has a bound

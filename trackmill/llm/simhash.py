@@ -140,7 +140,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int
 #: Word shingles and their similarity in near_duplicates(); fingerprints of a pair that differ more than this are not compared.
 SHINGLE, SIMILAR, FAR = 5, 0.8, 24
 #: Fingerprints of each text there, and the bits by which any one of them may differ.
-FINGERPRINTS, RADIUS = 6, 4
+FINGERPRINTS, RADIUS = 3, 4
 
 
 def shingle_sets(docs: DataFrame, node: str, text: str, size: int = SHINGLE) -> DataFrame:

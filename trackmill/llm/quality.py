@@ -21,7 +21,7 @@ from .common import map_texts, pass_rows, sampled
 
 BITS = 12
 #: The bound of the sample, for each label; dimensions of the latent space; voters.
-PER_LABEL, DIMENSIONS, NEAREST = 1024, 48, 15
+PER_LABEL, DIMENSIONS, NEAREST = 512, 48, 15
 SHARPNESS = 8
 THRESHOLD = 0.7
 
@@ -100,7 +100,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
 
 def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """key, score, predicted."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # 4096 weights and at most 2048 vectors of 48
+    held = docs.sparkSession.sparkContext.broadcast(model)  # 4096 weights and at most 1024 vectors of 48
 
     def make():
         own = held.value

@@ -99,6 +99,30 @@ def test_structures():
     assert [x for w in wrong for x in secrets.confirmed_spans(w)] == []
 
 
+def test_structures_in_sentences_sources_and_lines():
+    enc = lambda d: base64.b64encode(d).decode()
+    url = lambda d: base64.urlsafe_b64encode(d).decode().rstrip("=")
+    der = lambda tag, body: bytes([tag]) + (bytes([len(body)]) if len(body) < 128 else b"\x81" + bytes([len(body)])) + body
+    lines = lambda t, end, n=64: end.join(t[i : i + n] for i in range(0, len(t), n))
+    found = lambda t: [(secrets.KINDS[k], t[a:b]) for a, k, b in sorted(secrets.confirmed_spans(t))]
+    jwt = ".".join([url(b'{"alg":"HS256","typ":"JWT"}'), url(b'{"sub":"1234567890"}'), "c2lnbmF0dXJl"])
+    jwe = ".".join([url(b'{"alg":"dir","enc":"A256GCM"}'), "", "aXY", "Y2lwaGVy", "dGFn"])
+    for text in (f"it is {jwt}.", f"{jwt}.next", f"{jwt}.a.b", f"{jwt}..", f"eyJhbGciOi.no.{jwt}. x"):
+        assert found(text) == [("jwt", jwt)], text
+    assert found(f"{jwe}.") == [("jwt", jwe)] and found(".".join(jwt.split(".")[:2]) + ".") == []
+    key = der(0x30, der(0x02, b"\x00") + der(0x30, der(0x06, b"\x2a\x86\x48\x86\xf7") + b"\x05\x00") + der(0x04, bytes(range(200))))
+    blob = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-rsa", b"\1\0\1", bytes(range(200))))
+    for end in ("\n", "\\n", "\\\\n", "\\r\\n", '\\n"\n    "', "\\n\" +\n '"):
+        pem = f"-----BEGIN PRIVATE KEY-----{end}{lines(enc(key), end)}{end}-----END PRIVATE KEY-----"
+        assert found(f'"key": "{pem}\\n"') == [("pem", pem)], end
+    for end in ("\n", "\r\n", "\\n", "\n    "):
+        for width in (32, 64, 76):
+            for data, kind in ((key, "der"), (blob, "ssh")):
+                text = lines(enc(data), end, width)
+                assert found(f"key: {text}{end}Then more{end}words") == [(kind, text)], (end, width, kind)
+    assert found(lines(enc(key[:-1]), "\n")) == [] == found(lines(enc(key + b"x"), "\n"))
+
+
 def test_top_k_against_plain(spark):
     rows = pq.read_table(f"{SMALL}/embeddings.parquet").to_pylist()
     v = {r["vec_id"]: np.floor(64 * np.array(r["embedding"], float)).astype(int) for r in rows}

@@ -4,11 +4,15 @@ Three base patterns give spans as they match: assignments to a name such as pass
 The method adds spans only of candidates whose decoded content has the structure of a key or token:
 
 * jwt: three base64url parts whose header is a JSON object that names an algorithm and whose second part is a JSON object
-  (signed), or five parts whose header also names an encryption (encrypted);
-* pem: a BEGIN/END block whose body is base64 of one complete DER value, of an OpenSSH key, or of an encrypted body;
+  (signed), or five parts whose header also names an encryption (encrypted); parts that follow, as a full stop makes them, are
+  left out, and the last part is empty only where the header names no algorithm;
+* pem: a BEGIN/END block whose body is base64 of one complete DER value, of an OpenSSH key, or of an encrypted body; lines may be
+  escaped or quoted as in JSON and source text;
 * der: a base64 or hex run that is one complete DER SEQUENCE: every nested length fits its parent exactly;
 * ssh: a base64 run that is an OpenSSH private key or a public key blob, all of whose length-prefixed fields end exactly at its end.
 
+Base64 runs of der and ssh may be wrapped in lines, with line ends as they are or escaped.
+
 Spans count code points, the end is exclusive; they are leftmost and do not overlap within a kind; an added span never replaces
 a base one. Null and empty texts have no spans. A row of the input gives one row. Only the two named columns are read.
 """
@@ -19,6 +23,8 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,9 +39,16 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 #: As `[A-Z0-9]+` and `[0-9a-f]+` take whole runs, matches that are too short can be left out by the pattern.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,64})-----([\x09-\x0DA-Za-z0-9+/=:,\x20-]*?)-----END \1-----")
+#: In source and JSON texts: escaped line ends and slashes, and strings that go on in the next one.
+ESCAPED, QUOTED = r"\\+(?:[nrt/]|\r?\n)", r"""["'][\x20\t\r\n]*[+.,]?[\x20\t\r\n]*["']"""
+PEM = re.compile(rf"-----BEGIN ([A-Z0-9 ]{{1,64}})-----((?:[\x09-\x0DA-Za-z0-9+/=:,\x20-]|{ESCAPED}|{QUOTED})*?)-----END \1-----")
+PEM_JOINT = re.compile(rf"{ESCAPED}|{QUOTED}")
 RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]{5,}(?:\.[A-Za-z0-9_-]*){2,4}")
+#: Lines of base64 with nothing else between their first and last sign but line ends and indents.
+LINE_END = r"[\x20\t]*+(?:\\+r)?(?:\r?\n|\\+n)[\x20\t]*+"
+LINES = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{16,}}+={{0,2}}+(?:{LINE_END}[A-Za-z0-9+/_-]++={{0,2}}+)+")
+SSH_HEAD = re.compile(rb"openssh-key-|\0\0\0[\x07-\x40](ssh-|ecdsa-sh|sk-)")
 HEX_RUN = re.compile(r"[0-9A-Fa-f]{40,}")
 DEPTH = 32
 
@@ -76,6 +89,14 @@ def der_value(data: bytes, at: int, end: int, depth: int = 0) -> int:
     return stop
 
 
+def der_size(data: bytes | None) -> int:
+    """The size that the head of a DER SEQUENCE states, itself included; zero if it is none."""
+    if not data or len(data) < 6 or data[0] != 0x30 or data[1] == 0x80 or data[1] > 0x84:
+        return 0
+    n = data[1] & 0x7F if data[1] > 0x80 else 0
+    return 2 + n + (int.from_bytes(data[2 : 2 + n], "big") if n else data[1])
+
+
 def is_der(data: bytes | None) -> bool:
     """One SEQUENCE that ends where the data ends, of 16 bytes or more."""
     return bool(data) and len(data) >= 16 and data[0] == 0x30 and der_value(data, 0, len(data)) == len(data)
@@ -100,13 +121,12 @@ def is_ssh(data: bytes | None) -> bool:
     return at + 8 <= len(data) and 1 <= int.from_bytes(data[at : at + 4], "big") <= 64
 
 
-def is_token(text: str) -> bool:
-    parts = text.split(".")
+def is_token(parts: list[str]) -> bool:
     if len(parts) not in (3, 5):
         return False
     try:
         head = json.loads(unbase64(parts[0]) or b"")
-        if not isinstance(head, dict) or not isinstance(head.get("alg"), str):
+        if not isinstance(head, dict) or not isinstance(head.get("alg"), str) or not parts[-1] and head["alg"].lower() != "none":
             return False
         if len(parts) == 5:
             return isinstance(head.get("enc"), str)
@@ -115,6 +135,49 @@ def is_token(text: str) -> bool:
         return False
 
 
+def tokens(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the tokens; of a candidate with more parts the first five or three count."""
+    out, m = [], JWT.search(text)
+    while m:
+        parts = m[0].split(".")
+        n = next((n for n in (5, 3) if len(parts) >= n and is_token(parts[:n])), None)
+        end = m.start() + len(".".join(parts[: n or 1]))
+        if n:
+            out.append((m.start(), end))
+        m = JWT.search(text, end)
+    return out
+
+
+def wrapped(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind's number, end) of base64 in two or more lines whose bytes are a DER SEQUENCE or an SSH key."""
+    out = []
+    for block in LINES.finditer(text):
+        # escaped line ends become blanks of the same length, so that their letters are no part of a line
+        lines = [(m.start(), m.end()) for m in re.finditer(r"\S+", re.sub(r"\\+[rn](?:\\+n)?", lambda e: " " * len(e[0]), block[0]))]
+        signs = [block[0][a:b].rstrip("=") for a, b in lines]
+        ends = list(accumulate(len(x) for x in signs))
+        at = 0
+        while at < len(lines) - 1:
+            before, last, kind = ends[at] - len(signs[at]), None, 5
+            if signs[at][0] == "M":
+                size = der_size(unbase64(signs[at][:8]))
+                i = bisect_left(ends, before + (size * 4 + 2) // 3) if size else at
+                if at < i < len(ends) and ends[i] == before + (size * 4 + 2) // 3 and is_der(unbase64("".join(signs[at : i + 1]))):
+                    last = i
+            elif SSH_HEAD.match(unbase64(signs[at][:16]) or b"") and not is_ssh(unbase64(signs[at])):
+                i = at + 1  # lines of one width, and a shorter one
+                while i < len(lines) and len(signs[i]) == len(signs[at]):
+                    i += 1
+                tries = [x for x in (i, i - 1) if at < x < len(lines) and len(signs[x]) <= len(signs[at])]
+                last, kind = next((x for x in tries if is_ssh(unbase64("".join(signs[at : x + 1])))), None), 6
+            if last is None:
+                at += 1
+            else:
+                out.append((block.start() + lines[at][0], kind, block.start() + lines[last][1]))
+                at = last + 1
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's number, end), unsorted."""
     out = []
@@ -129,13 +192,18 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     out, covered = [], []
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            body = re.sub(r"(?m)^[A-Za-z-]+:.*$", "", m[2])
+            plain = PEM_JOINT.sub(lambda e: "/" if e[0].endswith("/") else "\n", m[2])
+            body = re.sub(r"(?m)^[A-Za-z-]+:.*$", "", plain)
             data = unbase64(body)
             if is_der(data) or is_ssh(data) or (data and "ENCRYPTED" in m[1] + m[2]):
                 out.append((m.start(), 4, m.end()))
                 covered.append((m.start(), m.end()))
     if "eyJ" in text:
-        out += [(m.start(), 3, m.end()) for m in JWT.finditer(text) if is_token(m[0])]
+        out += [(a, 3, b) for a, b in tokens(text)]
+    for a, kind, b in wrapped(text):
+        if not any(x <= a < y for x, y in covered):
+            out.append((a, kind, b))
+            covered.append((a, b))
     for m in RUN.finditer(text):
         if any(a <= m.start() < b for a, b in covered):
             continue

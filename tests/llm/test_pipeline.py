@@ -64,6 +64,27 @@ def test_crowd_of_near_copies(spark, monkeypatch):
     assert kept == [0]
 
 
+@pytest.mark.parametrize("edit", ["cut 10", "cut 18", "append 20", "header 20", "replace"])
+def test_near_copies_by_kind_of_edit(spark, edit):
+    r = random.Random(11)
+    texts = []
+    for _ in range(60):
+        base = prose(r, r.randint(60, 200))
+        n = len(base)
+        made = {
+            "cut 10": lambda: base[: n - n // 10],
+            "cut 18": lambda: base[: n - n * 18 // 100],
+            "append 20": lambda: base + prose(r, n * 20 // 100),
+            "header 20": lambda: prose(r, n * 20 // 100) + base,
+            "replace": lambda: [*base[: n // 2], "other", *base[n // 2 + 1 :]],
+        }[edit]()
+        texts += [" ".join(base), " ".join(made)]
+    near = [i for i in range(0, 120, 2) if len(shingles(texts[i]) & shingles(texts[i + 1])) >= 0.8 * len(shingles(texts[i]) | shingles(texts[i + 1]))]
+    assert len(near) >= 50
+    kept = {x["doc_id"] for x in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept == set(range(120)) - {i + 1 for i in near}
+
+
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
 def test_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")

@@ -198,32 +198,103 @@ def candidates(classes: DataFrame, radius: int) -> DataFrame:
     return pairs.union(starred).groupBy("a", "b").agg(F.bool_or("star").alias("star"))
 
 
+#: Keys of each text from content-chosen stretches, and the stretches (shingles) chosen for a key: texts alike by 0.8 share no key
+#: with a chance of (1 - 0.8 ** CHOSEN) ** STRETCHES = 6e-7, wherever their differences are.
+STRETCHES, CHOSEN = 20, 3
+#: 64-bit words of a text's bitmap of shingles.
+BITMAP = 8
+MIXES = mixed(np.arange(1, STRETCHES * CHOSEN + 1, dtype=np.uint64), 1) | np.uint64(1)
+
+
+def stretch_keys(hashes: np.ndarray) -> list[int]:
+    """STRETCHES keys of a set of shingle hashes, as signed 64-bit numbers: each of the CHOSEN shingles that come first in as many orders."""
+    if not len(hashes):
+        return []
+    first = np.min([(hashes[at : at + 4096, None] * MIXES).min(axis=0) for at in range(0, len(hashes), 4096)], axis=0).reshape(STRETCHES, CHOSEN)
+    return [xxhash.xxh64_intdigest(one.astype("<u8").tobytes(), i) - (1 << 63) for i, one in enumerate(first)]
+
+
+def signatures(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """key, n fingerprints of distinct words, the keys of stretches, and the number of shingles with a bitmap of them (each flips one bit)."""
+
+    def make():
+        def work(keys, texts):
+            rows = []
+            for t in texts:
+                data = t.encode()
+                words, grams = shingle_hashes(data, 1, 42, True), np.unique(shingle_hashes(data, SHINGLE, 7))
+                short = np.unique(grams.astype("<u4"))
+                odd = np.bincount(short % (64 * BITMAP), minlength=64 * BITMAP) & 1
+                bits = np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+                rows.append([*[majority(mixed(words, i)) for i in range(n)], stretch_keys(grams), len(short), bits])
+            return [list(c) for c in zip(*rows)]
+
+        return work
+
+    return map_texts(docs, key, text, make, ", ".join([*[f"{c} long" for c in names(n)], "stretches array<long>", "size int", "bits array<long>"]))
+
+
+def can_be_alike(least: float) -> Column:
+    """False only for pairs (size_a, bits_a, size_b, bits_b) that can't be alike by `least`: differing bits are differing shingles."""
+    size_a, size_b = F.col("size_a"), F.col("size_b")
+    differ = sum((F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(BITMAP)), F.lit(0))
+    return (F.least(size_a, size_b) >= least * F.greatest(size_a, size_b) - 1e-6) & (differ <= (1 - least) / (1 + least) * (size_a + size_b) + 1e-6)
+
+
+def rooted(met: DataFrame, joined: DataFrame | None) -> DataFrame:
+    """met with each node's root so far."""
+    if joined is None:
+        return met.withColumn("root", F.col("node"))
+    return met.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def sided(rows: DataFrame, side: str) -> DataFrame:
+    return rows.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "size", "bits")])
+
+
+def beside_heads(now: DataFrame, nth: int, least: float) -> DataFrame:
+    """a, b: of each key of now (key, node, root, size, bits), one node that the hash and nth choose, beside all that it isn't joined with."""
+    chosen = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(nth)).alias("h"), "node", "root", "size", "bits")).alias("x")).select("key", "x.*")
+    met = sided(now, "a").join(sided(chosen, "b"), "key").filter((F.col("root_a") != F.col("root_b")) & can_be_alike(least))
+    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
+def apart(now: DataFrame, least: float) -> DataFrame:
+    """a, b: all pairs that share a key of now and aren't joined yet; nodes of a key's largest group meet only others."""
+    top = now.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("x"), F.count("*").alias("roots")).filter("roots > 1").select("key", F.col("x.root").alias("top"))
+    few = now.join(top, "key").filter("root != top").select("key", "top", *[F.col(c).alias(f"{c}_a") for c in ("node", "root", "size", "bits")])
+    met = few.join(sided(now, "b"), "key").filter((F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("top")) | (F.col("node_a") < F.col("node_b"))) & can_be_alike(least))
+    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, least: float = SIMILAR, n: int = FINGERPRINTS) -> DataFrame:
     """docs (all columns) without the rows that a copy or near copy of smaller key stands for: one of each group stays.
 
-    Two texts are near copies if their sets of five-word shingles are alike by `least` or more. Candidates come from n
-    fingerprints of the texts' distinct words (those change less under edits than fingerprints of shingles) within the radius of
-    any; groups are connected components. Of keys that very many texts share, each text is compared with two heads only, so in
-    such a crowd texts are grouped if they are alike to a head. Rows with equal texts are one class from the start; of repeated
-    rows with one key and text one stays; null texts count as empty, and a null key comes before all others.
+    Two texts are near copies if their sets of five-word shingles are alike by `least` or more; groups are connected components.
+    Candidates come from n fingerprints of the texts' distinct words (those change less under edits than fingerprints of shingles)
+    within the radius of any, and from the keys of content-chosen stretches, which a cut or appended part leaves as they are. Keys
+    are compared with heads first; then all pairs that share a key of stretches with at most SMALL classes and are still apart, unless sizes or bitmaps show that they can't be alike. Of a crowded key only heads are met. Rows with equal texts are one class from the start;
+    of repeated rows with one key and text one stays; null texts count as empty, and a null key comes before all others.
     """
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     own = docs.select(F.struct(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("d"), F.hash(t).alias("v"), F.substring(F.sha2(t, 256), 1, 32).alias("digest")).alias("id"), t.alias("t"))
-    signed = stored(fingerprints(own, "id", "t", 1, 42, True, n))
-    classes = stored(signed.groupBy("id.digest").agg(F.min("id.d").alias("d"), F.first("id.v").alias("v"), *[F.first(c).alias(c) for c in names(n)]).select(F.struct("d", "v").alias("node"), "digest", *names(n)))
+    signed = stored(signatures(own, "id", "t", n))
+    held = [*names(n), "stretches", "size", "bits"]
+    classes = stored(signed.groupBy("id.digest").agg(F.min("id.d").alias("d"), F.first("id.v").alias("v"), *[F.first(c).alias(c) for c in held]).select(F.struct("d", "v").alias("node"), "digest", *held))
     pairs = stored(candidates(classes.select("node", *names(n)), radius))
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    keys = classes.select("node", F.explode("stretches").alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    met = stored(keys.join(shared, "key").join(classes.select("node", "size", "bits"), "node"))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(met.select("node")).distinct()
     texts = own.select(F.struct("id.d", "id.v").alias("node"), "t").join(asked.hint("merge"), "node", "left_semi")
     sets = stored(shingle_sets(texts, "node", "t").dropDuplicates(["node"]))
     # first each key's classes beside its heads; then only pairs that this has not brought together, so a crowd's links stay few
-    stars = stored(components(alike(pairs.filter("star").select("a", "b"), sets, least)))
-    root = lambda n: stars.select(F.col("node").alias(n), F.col("root").alias(f"root_{n}"))
+    joined = stored(components(alike(pairs.filter("star").select("a", "b").union(beside_heads(rooted(met, None), 0, least)).distinct(), sets, least)))
+    edges = lambda: joined.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    root = lambda n: joined.select(F.col("node").alias(n), F.col("root").alias(f"root_{n}"))
     rest = pairs.filter("NOT star").join(root("a"), "a", "left").join(root("b"), "b", "left")
-    rest = rest.select("a", "b", F.coalesce("root_a", "a").alias("ra"), F.coalesce("root_b", "b").alias("rb")).filter("ra != rb")
-    joined = components(alike(rest, sets, least).select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    near = stars.withColumnRenamed("root", "head").union(joined.select("node", F.col("node").alias("head"))).distinct()
-    final = near.join(joined.select(F.col("node").alias("head"), "root"), "head", "left").select("node", F.coalesce("root", "head").alias("root"))
-    found = final.groupBy("node").agg(F.min("root").alias("root"))
+    rest = rest.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").union(apart(rooted(met.filter(F.col("n") <= SMALL), joined), least)).distinct()
+    found = components(edges().union(alike(rest, sets, least)))
     heads = classes.join(found, "node", "left").filter(F.col("root").isNull() | (F.col("root") == F.col("node"))).select(F.col("node.d").alias("__d"), F.col("digest").alias("__digest"))
     named = docs.withColumn("__d", F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))).withColumn("__digest", F.substring(F.sha2(t, 256), 1, 32))
     # both joins with the texts are by sorting at every size: neither side has a bound

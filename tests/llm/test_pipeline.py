@@ -85,6 +85,28 @@ def test_near_copies_by_kind_of_edit(spark, edit):
     assert kept == set(range(120)) - {i + 1 for i in near}
 
 
+@pytest.mark.parametrize("kind", ["families", "chain"])
+def test_crowd_that_is_not_alike_to_its_heads(spark, monkeypatch, kind):
+    monkeypatch.setattr(simhash, "SMALL", 4)
+    r = random.Random(13)
+    if kind == "chain":  # each text is alike to those beside it only
+        words = prose(r, 500)
+        texts = [" ".join(words[at : at + 150]) for at in range(0, 350, 10)]
+        r.shuffle(texts)
+        want = {0}
+    else:  # families that share most of their words
+        base, texts = prose(r, 150), []
+        tails = [prose(r, 24) for _ in range(8)]
+        for _ in range(8):
+            for tail in tails:
+                copy = [*base, *tail]
+                copy[r.randrange(len(base))] = r.choice(WORDS)
+                texts.append(" ".join(copy))
+        want = set(range(8))
+    kept = {x["doc_id"] for x in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept == want
+
+
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
 def test_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")

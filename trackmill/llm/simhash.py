@@ -201,8 +201,8 @@ def candidates(classes: DataFrame, radius: int) -> DataFrame:
 #: Keys of each text from content-chosen stretches, and the stretches (shingles) chosen for a key: texts alike by 0.8 share no key
 #: with a chance of (1 - 0.8 ** CHOSEN) ** STRETCHES = 6e-7, wherever their differences are.
 STRETCHES, CHOSEN = 20, 3
-#: 64-bit words of a text's bitmap of shingles.
-BITMAP = 8
+#: 64-bit words of a text's bitmap of shingles; rounds in which crowded keys get new heads before what is left is compared in pairs.
+BITMAP, ROUNDS = 8, 2
 MIXES = mixed(np.arange(1, STRETCHES * CHOSEN + 1, dtype=np.uint64), 1) | np.uint64(1)
 
 
@@ -260,7 +260,7 @@ def beside_heads(now: DataFrame, nth: int, least: float) -> DataFrame:
 
 
 def apart(now: DataFrame, least: float) -> DataFrame:
-    """a, b: all pairs that share a key of now and aren't joined yet; nodes of a key's largest group meet only others."""
+    """a, b: all pairs that share a key of now and aren't joined yet, whatever the key's size; nodes of a key's largest group meet only others."""
     top = now.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("x"), F.count("*").alias("roots")).filter("roots > 1").select("key", F.col("x.root").alias("top"))
     few = now.join(top, "key").filter("root != top").select("key", "top", *[F.col(c).alias(f"{c}_a") for c in ("node", "root", "size", "bits")])
     met = few.join(sided(now, "b"), "key").filter((F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("top")) | (F.col("node_a") < F.col("node_b"))) & can_be_alike(least))
@@ -273,7 +273,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     Two texts are near copies if their sets of five-word shingles are alike by `least` or more; groups are connected components.
     Candidates come from n fingerprints of the texts' distinct words (those change less under edits than fingerprints of shingles)
     within the radius of any, and from the keys of content-chosen stretches, which a cut or appended part leaves as they are. Keys
-    are compared with heads first; then all pairs that share a key of stretches with at most SMALL classes and are still apart, unless sizes or bitmaps show that they can't be alike. Of a crowded key only heads are met. Rows with equal texts are one class from the start;
+    are compared with heads first; then all pairs that share a key of stretches and are still apart are compared, however many
+    share it, unless sizes or bitmaps show that they can't be alike. (Of a crowded key of fingerprints only heads are met: these
+    join groups early, and the pairs that they leave meet in keys of stretches.) Rows with equal texts are one class from the start;
     of repeated rows with one key and text one stays; null texts count as empty, and a null key comes before all others.
     """
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -291,9 +293,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     # first each key's classes beside its heads; then only pairs that this has not brought together, so a crowd's links stay few
     joined = stored(components(alike(pairs.filter("star").select("a", "b").union(beside_heads(rooted(met, None), 0, least)).distinct(), sets, least)))
     edges = lambda: joined.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    for nth in range(1, ROUNDS):
+        now = rooted(met.filter(F.col("n") > SMALL), joined)
+        joined = stored(components(edges().union(alike(beside_heads(now, nth, least), sets, least))))
     root = lambda n: joined.select(F.col("node").alias(n), F.col("root").alias(f"root_{n}"))
     rest = pairs.filter("NOT star").join(root("a"), "a", "left").join(root("b"), "b", "left")
-    rest = rest.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").union(apart(rooted(met.filter(F.col("n") <= SMALL), joined), least)).distinct()
+    rest = rest.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").union(apart(rooted(met, joined), least)).distinct()
     found = components(edges().union(alike(rest, sets, least)))
     heads = classes.join(found, "node", "left").filter(F.col("root").isNull() | (F.col("root") == F.col("node"))).select(F.col("node.d").alias("__d"), F.col("digest").alias("__digest"))
     named = docs.withColumn("__d", F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))).withColumn("__digest", F.substring(F.sha2(t, 256), 1, 32))

@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from trackmill.llm import bpe, components, decontaminate, langid, merkle, quality, repeats, secrets, simhash, topk, urls
+from trackmill.llm import bpe, components, decontaminate, langid, merkle, near, quality, repeats, secrets, simhash, topk, urls
 
 WORDS = "the of and tion ere ing onth reat blend stone water light under paper glass river".split()
 DOCS = "doc_id long, text string, lang string, t string, d long, key string, fp long, start int"
@@ -92,10 +92,10 @@ def test_simhash(spark, docs):
     assert got[0]["fp"] == got[1]["fp"] == got[2]["fp"] == got[9]["fp"] == 0 and got[9]["component"] == 0
     assert got[5]["component"] == got[4]["component"] == 4
     assert simhash.groups(docs).count() == docs.count() and simhash.groups(empty(spark)).collect() == []
-    kept = simhash.near_duplicates(docs)
+    kept = near.near_duplicates(docs)
     assert kept.columns == docs.columns and kept.filter("doc_id in (4, 5)").count() == 1
     assert sorted(r["doc_id"] for r in kept.filter("doc_id < 3 or doc_id = 9").collect()) == [0, 2, 9]  # white space differs, so three texts
-    assert simhash.near_duplicates(empty(spark)).collect() == []
+    assert near.near_duplicates(empty(spark)).collect() == []
 
 
 def test_components(spark):

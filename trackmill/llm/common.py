@@ -46,6 +46,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def pass_on(joined: DataFrame, edges: DataFrame) -> DataFrame:
+    """edges (a, b) and those of the stars that joined (node, root) holds."""
+    return joined.select(F.col("node").alias("a"), F.col("root").alias("b")).union(edges)
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """df, after lowering the session's rows for each Arrow batch: 10,000 long texts at once would fill a worker."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts, stored
+from .common import cut, map_texts
 from .components import components
 
 BITS = 64
@@ -28,7 +28,7 @@ BITS = 64
 SMALL = 48
 
 
-def shingle_hashes(data: bytes, size: int, seed: int, distinct: bool = False) -> np.ndarray:
+def shingle_hashes(data: bytes, size: int, seed: int) -> np.ndarray:
     """XXH64 of the space-joined shingles of `size` words of UTF-8 text, A-Z lower-cased; of the whole text if it has fewer words."""
     words = data.lower().split()
     if not words:
@@ -41,8 +41,6 @@ def shingle_hashes(data: bytes, size: int, seed: int, distinct: bool = False) ->
         starts = np.concatenate([[0], ends[:-1]])
         n = max(1, len(words) - size + 1)
         parts = [joined[a:b] for a, b in zip(starts[:n].tolist(), (ends[min(size, len(words)) - 1 :] - 1).tolist())]
-    if distinct:
-        parts = set(parts)
     return np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in parts), np.uint64, len(parts))
 
 
@@ -55,34 +53,9 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, seed: int = 42, distinct: bool = False, n: int = 1) -> DataFrame:
-    """key, fp (and fp1, ...): n independent fingerprints; those after the first mix the hashes anew. Null and empty texts have zero."""
-
-    def make():
-        def work(keys, texts):
-            rows = []
-            for t in texts:
-                h = shingle_hashes(t.encode(), size, seed, distinct)
-                rows.append([majority(mixed(h, i)) for i in range(n)])
-            return [list(c) for c in zip(*rows)]
-
-        return work
-
-    return map_texts(docs, key, text, make, ", ".join(f"{c} long" for c in names(n)))
-
-
-def names(n: int) -> list[str]:
-    return ["fp", *[f"fp{i}" for i in range(1, n)]]
-
-
-def mixed(hashes: np.ndarray, nth: int) -> np.ndarray:
-    """The nth independent hash of what was hashed; the 0th is the hash itself."""
-    if not nth:
-        return hashes
-    z = hashes + np.uint64(nth * 0x9E3779B97F4A7C15 % (1 << 64))
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, seed: int = 42) -> DataFrame:
+    """key, fp. Null and empty texts have zero."""
+    return map_texts(docs, key, text, lambda: lambda keys, texts: [[majority(shingle_hashes(t.encode(), size, seed)) for t in texts]], "fp long")
 
 
 def masks(radius: int) -> list[int]:
@@ -135,172 +108,3 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int
     least = roots.groupBy("root").agg(F.min("least").alias("component"))
     named = roots.join(least, "root").select("fp", "component")
     return own.join(named, "fp").select(key, "fp", "component")
-
-
-#: Word shingles and their similarity in near_duplicates(); fingerprints of a pair that differ more than this are not compared.
-SHINGLE, SIMILAR, FAR = 5, 0.8, 24
-#: Fingerprints of each text there, and the bits by which any one of them may differ.
-FINGERPRINTS, RADIUS = 3, 4
-
-
-def shingle_sets(docs: DataFrame, node: str, text: str, size: int = SHINGLE) -> DataFrame:
-    """node, grams: the distinct hashes of a text's word shingles (32 bits each), sorted, as bytes."""
-
-    def make():
-        def work(nodes, texts):
-            return [[np.unique(shingle_hashes(t.encode(), size, 7).astype("<u4")).tobytes() for t in texts]]
-
-        return work
-
-    return map_texts(docs, node, text, make, "grams binary")
-
-
-def alike(pairs: DataFrame, sets: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """The pairs (a, b, and any other columns) whose shingle sets have a Jaccard similarity of `least` or more."""
-
-    @F.pandas_udf("double")
-    def jaccard(x, y):
-        def one(a, b):
-            a, b = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            return both / max(1, len(a) + len(b) - both)
-
-        return x.combine(y, one).astype(float)
-
-    sized = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
-    near = F.least(F.length("x"), F.length("y")) >= least * F.greatest(F.length("x"), F.length("y"))
-    return sized.filter(near).filter(jaccard("x", "y") >= least).select(*pairs.columns)
-
-
-def candidates(classes: DataFrame, radius: int) -> DataFrame:
-    """a, b, star: pairs of classes (node, fp, fp1, ...) that share a table's key of any fingerprint; star: one is a head of such a key.
-
-    Of a key with few classes: those within the radius by that measure. Of a key with more: each class beside the one whose
-    fingerprint is nearest to the key's bitwise majority, and beside the first one.
-    """
-    fps = [c for c in classes.columns if c != "node"]
-    keys = classes.select("node", F.explode(F.concat(*[F.transform(table_keys(F.col(f), radius), lambda k, i=i: F.struct(k.alias("key"), F.lit(i).alias("of"))) for i, f in enumerate(fps)])).alias("x")).select("node", F.xxhash64("x.key", "x.of").alias("key"), "x.of")
-    shared = stored(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).filter("n > 1"))
-    met = stored(keys.join(shared, "key").join(classes, "node"))
-    few = met.filter(F.col("n") <= SMALL).select("key", "node", "first", *fps)
-    one, two = (few.select("key", *["first"] * (x == "a"), *[F.col(c).alias(f"{c}_{x}") for c in ("node", *fps)]) for x in "ab")
-    apart = [F.bit_count(F.col(f"{f}_a").bitwiseXOR(F.col(f"{f}_b"))) for f in fps]
-    pairs = one.join(two, "key").filter((F.col("node_a") < F.col("node_b")) & (F.least(*apart) <= radius) & (F.greatest(*apart) <= FAR)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), (F.col("node_a") == F.col("first")).alias("star"))
-    many = met.filter(F.col("n") > SMALL).select("key", "node", "n", F.get(F.array(*fps), F.col("of")).alias("f"))
-    bits = many.groupBy("key").agg(*[F.sum(F.getbit("f", F.lit(i)).cast("int")).alias(f"b{i}") for i in range(BITS)], F.first("n").alias("all"))
-    middle = F.lit(0).cast("long")
-    for i in range(BITS):
-        middle = middle.bitwiseOR(F.when(F.col(f"b{i}") * 2 > F.col("all"), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    placed = many.join(bits.select("key", middle.alias("middle")), "key")
-    heads = placed.groupBy("key").agg(F.min(F.struct(F.bit_count(F.col("f").bitwiseXOR(F.col("middle"))).alias("d"), F.col("node").alias("a"))).alias("central"), F.min("node").alias("first"))
-    heads = heads.select("key", F.explode(F.array("central.a", "first")).alias("a"))
-    starred = many.select("key", F.col("node").alias("b")).join(heads, "key").filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(True).alias("star"))
-    return pairs.union(starred).groupBy("a", "b").agg(F.bool_or("star").alias("star"))
-
-
-#: Keys of each text from content-chosen stretches, and the stretches (shingles) chosen for a key: texts alike by 0.8 share no key
-#: with a chance of (1 - 0.8 ** CHOSEN) ** STRETCHES = 6e-7, wherever their differences are.
-STRETCHES, CHOSEN = 20, 3
-#: 64-bit words of a text's bitmap of shingles; rounds in which crowded keys get new heads before what is left is compared in pairs.
-BITMAP, ROUNDS = 8, 2
-MIXES = mixed(np.arange(1, STRETCHES * CHOSEN + 1, dtype=np.uint64), 1) | np.uint64(1)
-
-
-def stretch_keys(hashes: np.ndarray) -> list[int]:
-    """STRETCHES keys of a set of shingle hashes, as signed 64-bit numbers: each of the CHOSEN shingles that come first in as many orders."""
-    if not len(hashes):
-        return []
-    first = np.min([(hashes[at : at + 4096, None] * MIXES).min(axis=0) for at in range(0, len(hashes), 4096)], axis=0).reshape(STRETCHES, CHOSEN)
-    return [xxhash.xxh64_intdigest(one.astype("<u8").tobytes(), i) - (1 << 63) for i, one in enumerate(first)]
-
-
-def signatures(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """key, n fingerprints of distinct words, the keys of stretches, and the number of shingles with a bitmap of them (each flips one bit)."""
-
-    def make():
-        def work(keys, texts):
-            rows = []
-            for t in texts:
-                data = t.encode()
-                words, grams = shingle_hashes(data, 1, 42, True), np.unique(shingle_hashes(data, SHINGLE, 7))
-                short = np.unique(grams.astype("<u4"))
-                odd = np.bincount(short % (64 * BITMAP), minlength=64 * BITMAP) & 1
-                bits = np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
-                rows.append([*[majority(mixed(words, i)) for i in range(n)], stretch_keys(grams), len(short), bits])
-            return [list(c) for c in zip(*rows)]
-
-        return work
-
-    return map_texts(docs, key, text, make, ", ".join([*[f"{c} long" for c in names(n)], "stretches array<long>", "size int", "bits array<long>"]))
-
-
-def can_be_alike(least: float) -> Column:
-    """False only for pairs (size_a, bits_a, size_b, bits_b) that can't be alike by `least`: differing bits are differing shingles."""
-    size_a, size_b = F.col("size_a"), F.col("size_b")
-    differ = sum((F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(BITMAP)), F.lit(0))
-    return (F.least(size_a, size_b) >= least * F.greatest(size_a, size_b) - 1e-6) & (differ <= (1 - least) / (1 + least) * (size_a + size_b) + 1e-6)
-
-
-def rooted(met: DataFrame, joined: DataFrame | None) -> DataFrame:
-    """met with each node's root so far."""
-    if joined is None:
-        return met.withColumn("root", F.col("node"))
-    return met.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-
-def sided(rows: DataFrame, side: str) -> DataFrame:
-    return rows.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "size", "bits")])
-
-
-def beside_heads(now: DataFrame, nth: int, least: float) -> DataFrame:
-    """a, b: of each key of now (key, node, root, size, bits), one node that the hash and nth choose, beside all that it isn't joined with."""
-    chosen = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key", F.lit(nth)).alias("h"), "node", "root", "size", "bits")).alias("x")).select("key", "x.*")
-    met = sided(now, "a").join(sided(chosen, "b"), "key").filter((F.col("root_a") != F.col("root_b")) & can_be_alike(least))
-    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-
-
-def apart(now: DataFrame, least: float) -> DataFrame:
-    """a, b: all pairs that share a key of now and aren't joined yet, whatever the key's size; nodes of a key's largest group meet only others."""
-    top = now.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("x"), F.count("*").alias("roots")).filter("roots > 1").select("key", F.col("x.root").alias("top"))
-    few = now.join(top, "key").filter("root != top").select("key", "top", *[F.col(c).alias(f"{c}_a") for c in ("node", "root", "size", "bits")])
-    met = few.join(sided(now, "b"), "key").filter((F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("top")) | (F.col("node_a") < F.col("node_b"))) & can_be_alike(least))
-    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-
-
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, least: float = SIMILAR, n: int = FINGERPRINTS) -> DataFrame:
-    """docs (all columns) without the rows that a copy or near copy of smaller key stands for: one of each group stays.
-
-    Two texts are near copies if their sets of five-word shingles are alike by `least` or more; groups are connected components.
-    Candidates come from n fingerprints of the texts' distinct words (those change less under edits than fingerprints of shingles)
-    within the radius of any, and from the keys of content-chosen stretches, which a cut or appended part leaves as they are. Keys
-    are compared with heads first; then all pairs that share a key of stretches and are still apart are compared, however many
-    share it, unless sizes or bitmaps show that they can't be alike. (Of a crowded key of fingerprints only heads are met: these
-    join groups early, and the pairs that they leave meet in keys of stretches.) Rows with equal texts are one class from the start;
-    of repeated rows with one key and text one stays; null texts count as empty, and a null key comes before all others.
-    """
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    own = docs.select(F.struct(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("d"), F.hash(t).alias("v"), F.substring(F.sha2(t, 256), 1, 32).alias("digest")).alias("id"), t.alias("t"))
-    signed = stored(signatures(own, "id", "t", n))
-    held = [*names(n), "stretches", "size", "bits"]
-    classes = stored(signed.groupBy("id.digest").agg(F.min("id.d").alias("d"), F.first("id.v").alias("v"), *[F.first(c).alias(c) for c in held]).select(F.struct("d", "v").alias("node"), "digest", *held))
-    pairs = stored(candidates(classes.select("node", *names(n)), radius))
-    keys = classes.select("node", F.explode("stretches").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    met = stored(keys.join(shared, "key").join(classes.select("node", "size", "bits"), "node"))
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(met.select("node")).distinct()
-    texts = own.select(F.struct("id.d", "id.v").alias("node"), "t").join(asked.hint("merge"), "node", "left_semi")
-    sets = stored(shingle_sets(texts, "node", "t").dropDuplicates(["node"]))
-    # first each key's classes beside its heads; then only pairs that this has not brought together, so a crowd's links stay few
-    joined = stored(components(alike(pairs.filter("star").select("a", "b").union(beside_heads(rooted(met, None), 0, least)).distinct(), sets, least)))
-    edges = lambda: joined.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    for nth in range(1, ROUNDS):
-        now = rooted(met.filter(F.col("n") > SMALL), joined)
-        joined = stored(components(edges().union(alike(beside_heads(now, nth, least), sets, least))))
-    root = lambda n: joined.select(F.col("node").alias(n), F.col("root").alias(f"root_{n}"))
-    rest = pairs.filter("NOT star").join(root("a"), "a", "left").join(root("b"), "b", "left")
-    rest = rest.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").union(apart(rooted(met, joined), least)).distinct()
-    found = components(edges().union(alike(rest, sets, least)))
-    heads = classes.join(found, "node", "left").filter(F.col("root").isNull() | (F.col("root") == F.col("node"))).select(F.col("node.d").alias("__d"), F.col("digest").alias("__digest"))
-    named = docs.withColumn("__d", F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))).withColumn("__digest", F.substring(F.sha2(t, 256), 1, 32))
-    # both joins with the texts are by sorting at every size: neither side has a bound
-    return named.join(heads.hint("merge"), ["__d", "__digest"], "left_semi").dropDuplicates(["__d", "__digest"]).select(*docs.columns)

@@ -42,7 +42,7 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """Like cut(), for large tables: compressed Parquet in the shared folder, read with column pruning."""
     path = os.path.join(shared_dir(df.sparkSession), "tables", uuid.uuid4().hex)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -12,7 +12,8 @@ connected components. Texts that are equal are one class from the start. Links a
 
 The classes of a prefix key are compared with a head in rounds, as long as a key holds more than SMALL classes that are not of its
 largest group; what remains of keys with two or more groups is then compared in pairs, unless sizes or a bitmap of the shingles
-show that a pair can't be alike. So no pair of joined classes is ever made. A crowd that shares a rare shingle and in which no two are
+show that a pair can't be alike. So no pair of joined classes is ever made. Sets of shingles are made for pairs only that sizes and
+bitmaps admit. A crowd that shares a rare shingle and in which no two are
 alike is the one case of work by the square of its size, within a join's condition.
 
 Null texts count as empty; texts without words have no near copies but equal ones. A null key comes before all others. Of equal rows
@@ -40,7 +41,7 @@ RADIUS = 4
 #: Bits of the number of a counter; a table of 4 bytes each is broadcast, whatever the size of the corpus.
 BUCKETS = 20
 #: 64-bit words of a text's bitmap of shingles.
-BITMAP = 8
+BITMAP = 32
 #: Classes of a key outside its largest group that are left to pairs; the most rounds of heads before that.
 SMALL, ROUNDS = 32, 6
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -128,12 +129,18 @@ def signatures(rows: DataFrame, key: str, text: str, seen: np.ndarray, least: fl
     return map_texts(rows, key, text, make, "fp long, size int, bits array<long>, keys array<long>")
 
 
-def shingle_sets(rows: DataFrame, node: str, text: str) -> DataFrame:
-    """node, grams: the distinct hashes of a text's shingles, ascending, as bytes."""
-    return map_texts(rows, node, text, lambda: lambda _, texts: [[gram_hashes(word_hashes(t)).tobytes() for t in texts]], "grams binary")
+def of_pairs(table: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of table whose node is in a stored pair; Spark broadcasts the nodes if they are few, else both are shuffled."""
+    return table.join(stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "node", "left_semi")
 
 
-def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+def beside(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """The pairs with x and y, the column's values of their nodes."""
+    one = lambda side, name: table.select(F.col("node").alias(side), F.col(column).alias(name))
+    return pairs.join(one("a", "x"), "a").join(one("b", "y"), "b")
+
+
+def alike(pairs: DataFrame, signed: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets have a Jaccard similarity of `least` or more."""
 
     @F.pandas_udf("double")
@@ -145,8 +152,18 @@ def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
         return x.combine(y, one).astype(float)
 
-    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
-    return met.filter(jaccard("x", "y") >= least - 1e-9).select("a", "b")
+    pairs = stored(pairs)
+    about = of_pairs(signed, pairs).select("node", F.struct("size", "bits").alias("about"))
+    pairs = stored(beside(pairs, about, "about").filter(can_be_alike(F.col("x"), F.col("y"), least)).select("a", "b"))
+    grams = lambda _, found: [[gram_hashes(word_hashes(t)).tobytes() for t in found]]
+    sets = stored(map_texts(of_pairs(texts, pairs), "node", "t", lambda: grams, "grams binary"))
+    return beside(pairs, sets, "grams").filter(jaccard("x", "y") >= least - 1e-9).select("a", "b")
+
+
+def can_be_alike(x: Column, y: Column, least: float) -> Column:
+    """False only for texts (structs of size and bits) that can't be alike by `least`: bits that differ are shingles that differ."""
+    differ = sum((F.bit_count(x["bits"][i].bitwiseXOR(y["bits"][i])) for i in range(BITMAP)), F.lit(0))
+    return sizes_fit(x["size"], y["size"], least) & (differ <= (1 - least) / (1 + least) * (x["size"] + y["size"]) + 1e-6)
 
 
 def ordered(a: Column, b: Column) -> list[Column]:
@@ -157,9 +174,9 @@ def sizes_fit(a: Column, b: Column, least: float) -> Column:
     return F.least(a, b) >= least * F.greatest(a, b) - 1e-6
 
 
-def beside_table_heads(classes: DataFrame, radius: int, least: float) -> DataFrame:
+def beside_table_heads(signed: DataFrame, radius: int, least: float) -> DataFrame:
     """a, b: each class beside the head of each covering table's key that it shares; a node's hash decides who is head, in every key alike."""
-    keys = classes.select("node", "size", F.explode(table_keys(F.col("fp"), radius)).alias("key"))
+    keys = signed.select("node", "size", F.explode(table_keys(F.col("fp"), radius)).alias("key"))
     head = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("head"), F.col("size").alias("head_size")))
     heads = stored(keys.groupBy("key").agg(F.count("*").alias("n"), head.alias("x")).filter("n > 1").select("key", "x.head", "x.head_size"))
     met = keys.join(heads, "key").filter((F.col("node") != F.col("head")) & sizes_fit(F.col("size"), F.col("head_size"), least))
@@ -187,54 +204,46 @@ def beside_heads(now: DataFrame, nth: int, least: float) -> DataFrame:
     return met.select(*ordered(F.col("node"), F.col("head"))).distinct()
 
 
-def apart(now: DataFrame, bitmaps: DataFrame, least: float) -> DataFrame:
+def apart(now: DataFrame, signed: DataFrame, least: float) -> DataFrame:
     """a, b: all pairs of a key of now that aren't joined, whatever the key's size; nodes of a key's largest group meet only others."""
-    told = now.join(bitmaps, "node")
-    sided = lambda rows, side, *more: rows.select("key", *more, *[F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "size", "bits")])
+    told = now.join(signed.select("node", F.struct("size", "bits").alias("about")), "node")
+    sided = lambda rows, side, *more: rows.select("key", *more, *[F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "about")])
     few = sided(told.join(largest_groups(now).select("key", "top"), "key").filter("root != top"), "a", "top")
-    size_a, size_b = F.col("size_a"), F.col("size_b")
-    # bits that differ are shingles that differ
-    differ = sum((F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(BITMAP)), F.lit(0))
-    can_be = sizes_fit(size_a, size_b, least) & (differ <= (1 - least) / (1 + least) * (size_a + size_b) + 1e-6)
     once = (F.col("root_b") == F.col("top")) | (F.col("node_a") < F.col("node_b"))
-    met = few.join(sided(told, "b"), "key").filter((F.col("root_a") != F.col("root_b")) & once & can_be)
+    met = few.join(sided(told, "b"), "key").filter((F.col("root_a") != F.col("root_b")) & once & can_be_alike(F.col("about_a"), F.col("about_b"), least))
     return met.select(*ordered(F.col("node_a"), F.col("node_b"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, least: float = SIMILAR) -> DataFrame:
     """docs (all columns) without the rows that a copy or near copy of smaller key stands for: one of each group stays."""
-    t, k = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), F.col(f"`{key}`")
-    digest = F.unhex(F.substring(F.sha2(t, 256), 1, 32))
-    # the row stands aside in one column, so that its names can't clash with those used here; h: so that copies of a text are dealt apart
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), t.alias("t"), k.alias("d"), F.xxhash64(k).alias("h"), digest.alias("digest"))
-    seen = occurrences(own, "t")
-    signed = stored(signatures(own.select(F.struct("d", "digest").alias("id"), "t"), "id", "t", seen, least))
-    held = ["fp", "size", "bits", "keys"]
-    classes = stored(signed.groupBy("id.digest").agg(F.min(F.struct("id.d")).alias("least"), *[F.first(c).alias(c) for c in held]).select(F.monotonically_increasing_id().alias("node"), "digest", F.col("least.d").alias("d"), F.xxhash64("least.d").alias("h"), *held))
-    stars = stored(beside_table_heads(classes.filter("size > 0").select("node", "fp", "size"), radius, least))
-    keys = classes.select("node", "size", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    met = stored(keys.join(shared, "key"))
-    asked = stars.select(F.explode(F.array("a", "b")).alias("node")).union(met.select("node")).distinct()
-    # one text of each class that is asked for; neither side of a join with texts has a bound, so they are joined by sorting
-    asked = classes.select("node", "digest", "h").join(asked, "node").hint("merge")
-    sets = stored(shingle_sets(own.select("digest", "h", "t").join(asked, ["digest", "h"]), "node", "t").dropDuplicates(["node"]))
-    edges = stored(alike(stars, sets, least))
-    joined = stored(components(edges))
+    string = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    k, t = F.col(f"`{key}`"), string(F.col(f"`{text}`"))
+    # a row stands aside in one column, so that its names can't clash with those used here; h deals the copies of a text apart
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    own = docs.select(row, k.alias("d"), F.xxhash64(k).alias("h"), F.unhex(F.substring(F.sha2(t, 256), 1, 32)).alias("digest"))
+    classes = own.groupBy("digest").agg(F.min(F.struct("d")).alias("x"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("node"), "digest", F.col("x.d").alias("least"), F.xxhash64("x.d").alias("h")))
+    # the one row of each class that stands for it; neither side has a bound, so they are joined by sorting
+    plain = [F.col(f"row.`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    met = own.join(classes.hint("merge"), ["digest", "h"]).filter(F.col("d").eqNullSafe(F.col("least")))
+    rows = stored(met.groupBy("digest", "h").agg(F.first("node").alias("node"), F.min_by("row", F.xxhash64(*plain)).alias("row")).select("node", "row"))
+    texts = rows.select("node", string(F.col(f"row.`{text}`")).alias("t"))
+    signed = stored(signatures(texts, "node", "t", occurrences(texts, "t"), least))
+    verified = lambda pairs: stored(alike(pairs, signed, texts, least))
+    joined = stored(components(verified(beside_table_heads(signed.filter("size > 0"), radius, least))))
+    keys = signed.select("node", "size", F.explode("keys").alias("key"))
+    met = stored(keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "key"))
     for nth in range(ROUNDS):
         now = stored(rooted(met, joined))
         if nth:  # all keys have met a head; now those with many left
             crowded = stored(largest_groups(now).filter(F.col("rest") > SMALL).select("key"))
             if crowded.isEmpty():
                 break
-        edges = stored(alike(beside_heads(now.join(crowded, "key") if nth else now, nth, least), sets, least))
-        joined = stored(components(pass_on(joined, edges)))
+        joined = stored(components(pass_on(joined, verified(beside_heads(now.join(crowded, "key") if nth else now, nth, least)))))
     else:
         now = stored(rooted(met, joined))
-    edges = stored(alike(apart(now, classes.select("node", "bits"), least), sets, least))
-    found = components(pass_on(joined, edges))
-    head = F.min(F.struct("d", "digest", "h")).alias("x")
-    kept = classes.select("node", "d", "digest", "h").join(found, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(head).select(F.col("x.d").alias("kept"), "x.digest", "x.h")
-    plain = [F.col(f"row.`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
-    rows = own.drop("t").join(kept.hint("merge"), ["digest", "h"]).filter(F.col("d").eqNullSafe(F.col("kept")))
-    return rows.groupBy("digest", "h").agg(F.min_by("row", F.xxhash64(*plain)).alias("row")).select("row.*")
+    found = stored(components(pass_on(joined, verified(apart(now, signed, least)))))
+    first = found.join(classes, "node").groupBy("root").agg(F.min(F.struct("least", "digest", "node")).alias("x")).select(F.col("x.node").alias("node"))
+    # a table of its own, so that Spark knows its size and sends it to the rows if it is small
+    copies = stored(found.select("node").join(first, "node", "left_anti"))
+    return rows.join(copies, "node", "left_anti").select("row.*")

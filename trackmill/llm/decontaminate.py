@@ -1,19 +1,23 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
 Texts are compared by their letters and digits, lower-cased, runs of anything else being one space. A benchmark item is cut into
-windows of WINDOW characters, each half over the one before (shorter items are one window). An occurrence of a window of m
-characters with at most e edits shares at least m - q + 1 - q * e of the window's q-grams, all on diagonals that differ by at most
-e; so hits of q-grams are counted in diagonal bands of twice that width, each half over the one before, and bands that reach the
-bound are verified by an alignment in the band, with free ends in the document. No occurrence within the budget is lost.
-
-Items of fewer than LEAST characters are too short to tell and are left out, as are null items; null and empty documents match
-nothing. Long documents are searched in overlapping segments. The result has one row for each document row and item that match.
+windows of WINDOW characters, one every STRIDE characters (shorter items are one window). An occurrence of a window of m characters
+with at most e edits shares at least m - q + 1 - q * e of the window's q-grams, all on diagonals that differ by at most e; so hits
+of q-grams are counted in diagonal bands of twice that width, each half over the one before, and bands that reach the bound are
+verified by an alignment in the band, with free ends in the document. No occurrence of a window within the budget is lost, so every
+fragment of WINDOW + STRIDE - 1 characters of an item is found, wherever it begins; shorter ones only if they hold a whole window.
+
+Items of fewer than LEAST characters allow no edits: they match as they are, between spaces or the text's ends (Aho-Corasick). Items
+without a letter or digit, null items, and null and empty documents match nothing. Long documents are searched in segments of the
+compared characters that overlap by more than an occurrence. Hits are looked at HITS at a time, so a q-gram that very many windows
+share takes time but no memory. The result has one row for each document row and item that match.
 """
 
 from __future__ import annotations
 
 import math
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,12 +26,14 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import pass_rows, slices, small_batches
 
-Q, WINDOW, LEAST = 8, 120, 24
+Q, WINDOW, STRIDE, LEAST = 8, 120, 20, 24
 #: Edits allowed for each character of a window.
 RATE = 0.08
 #: Characters of benchmark text that are broadcast at once; a larger benchmark is searched in as many passes as that takes.
 ITEM_CHARS = 2_000_000
 SEGMENT, BATCH_CHARS = 1 << 20, 1 << 20
+#: Hits of q-grams (a place in a document and one in a window) that are held at once.
+HITS = 1 << 22
 FILTER_BITS = 22
 MIX = np.uint64(0x9E3779B97F4A7C15)
 COST = 1 << 20
@@ -57,6 +63,10 @@ def plain(text: str) -> tuple[np.ndarray, np.ndarray]:
     return codes[at], at
 
 
+def as_text(codes: np.ndarray) -> str:
+    return codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
 def gram_hashes(codes: np.ndarray) -> np.ndarray:
     """A hash of the q characters from each position; empty if there are fewer."""
     if len(codes) < Q:
@@ -72,13 +82,15 @@ class Index:
     """The windows of some items and their q-grams."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items, self.windows, self.of = [i for i, _ in items], [], []
+        self.items, self.windows, self.of, short = [i for i, _ in items], [], [], {}
         for n, (_, text) in enumerate(items):
             codes = plain(text)[0]
             if len(codes) < LEAST:
+                if word := as_text(codes).strip():
+                    short.setdefault(f" {word} ", []).append(n)
                 continue
             last = max(0, len(codes) - WINDOW)
-            for at in sorted({*range(0, last, WINDOW // 2), last}):
+            for at in sorted({*range(0, last, STRIDE), last}):
                 self.windows.append(codes[at : at + WINDOW])
                 self.of.append(n)
         self.sizes = np.array([len(w) for w in self.windows], np.int64)
@@ -94,6 +106,21 @@ class Index:
         self.place = np.concatenate([*[np.arange(len(m)) for m in made], np.zeros(0, np.int64)]).astype(np.int64)[order]
         self.known = np.zeros(1 << FILTER_BITS, bool)
         self.known[self.grams >> np.uint64(64 - FILTER_BITS)] = True
+        self.short = None
+        if short:
+            self.short = ahocorasick.Automaton()
+            for word, numbers in short.items():
+                self.short.add_word(word, (len(word) - 2, numbers))
+            self.short.make_automaton()
+
+    def short_matches(self, codes: np.ndarray):
+        """(item, start, end) of items of fewer than LEAST characters; start and end count compared characters."""
+        if self.short is None or not len(codes):
+            return
+        before = int(codes[0] != 32)
+        for last, (size, numbers) in self.short.iter(" " * before + as_text(codes) + " " * int(codes[-1] != 32)):
+            end = last - before
+            yield from ((n, end - size, end) for n in numbers)
 
     def bands(self, codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, window, band) whose hits reach the bound; codes: texts one after the other, each ending at its entry of ends."""
@@ -108,8 +135,36 @@ class Index:
         text = np.searchsorted(ends, at, side="right")
         inside = at + Q <= ends[text]
         at, n, text = at[inside], n[inside], text[inside]
+        total = np.cumsum(self.ends[n + 1] - self.ends[n])
+        found, start = [(none, none, none)], 0
+        while start < len(at):
+            stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + HITS, side="right")))
+            # a part begins before its own hits, so that it has all those of an occurrence that ends in it
+            own = slice(int(np.searchsorted(at, at[start] - 3 * WINDOW)), stop)
+            found += self.full_bands(at[own], n[own], text[own], ends)
+            start = stop
+        made = [np.concatenate(x) for x in zip(*found)]
+        return tuple(np.unique(np.stack(made), axis=1)) if len(found) > 2 else tuple(made)
+
+    def full_bands(self, at, n, text, ends):
+        """bands() of some hits, for parts of the windows where all of them together would make too many."""
         times = self.ends[n + 1] - self.ends[n]
-        post = np.repeat(self.ends[n] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        parts = min(len(self.windows), -(-int(times.sum()) // (4 * HITS)))
+        if parts <= 1:
+            yield self.bands_of(at, n, text, ends, self.ends[n], times)
+            return
+        for low, high in zip(cuts := np.linspace(0, len(self.windows), parts + 1).astype(int), cuts[1:]):
+            # a q-gram's places are in the order of their windows
+            below = [np.r_[0, np.cumsum(self.window < w)] for w in (low, high)]
+            first, last = (self.ends[n] + x[self.ends[n + 1]] - x[self.ends[n]] for x in below)
+            some = last > first
+            yield self.bands_of(at[some], n[some], text[some], ends, first[some], (last - first)[some])
+
+    def bands_of(self, at, n, text, ends, first, times):
+        none = np.zeros(0, np.int64)
+        if not len(at):
+            return none, none, none
+        post = np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())
         at, text, window = np.repeat(at, times), np.repeat(text, times), self.window[post]
         pair = text * len(self.windows) + window
         if len(ends) * len(self.windows) <= 1 << 22:
@@ -156,17 +211,20 @@ class Index:
 
     def matches(self, texts: list[str]) -> list[tuple[int, int, int, int, int, int]]:
         """(text, item, windows that match, least edits, start, end) for texts of bounded length together."""
-        own, codes, at = [], [], []
+        own, codes, at, out = [], [], [], {}
         for n, text in enumerate(texts):
-            for start in range(0, max(1, len(text)), SEGMENT):
-                made, place = plain(text[max(0, start - 8 * WINDOW) : start + SEGMENT])
+            made, place = plain(text)
+            for item, a, b in self.short_matches(made):
+                seen = out.setdefault((n, item), [{-1}, 0, int(place[a]), int(place[b - 1]) + 1])
+                seen[2:] = [min(seen[2], int(place[a])), max(seen[3], int(place[b - 1]) + 1)]
+            for start in range(0, max(1, len(made)), SEGMENT):
+                part = slice(max(0, start - 3 * WINDOW), start + SEGMENT)
                 own.append(n)
-                codes.append(made)
-                at.append(place + max(0, start - 8 * WINDOW))
+                codes.append(made[part])
+                at.append(place[part])
         ends = np.cumsum([len(c) for c in codes])
         joined = np.concatenate([*codes, np.zeros(0, np.uint32)])
         text, window, low = self.bands(joined, ends)
-        out: dict[tuple[int, int], list] = {}
         for i in range(0, len(text), 4096):
             t, w = text[i : i + 4096], window[i : i + 4096]
             edits, first, last = self.align(joined, (ends - np.diff(ends, prepend=0))[t], ends[t], w, low[i : i + 4096])

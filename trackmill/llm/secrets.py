@@ -1,20 +1,26 @@
 """Secret scan with structural confirmation.
 
 Three base patterns give spans as they match: assignments to a name such as password, access keys, and long hex strings.
-The method adds spans only of candidates whose decoded content has the structure of a key or token:
+The method adds spans only of candidates whose decoded content has the structure of a private key or token:
 
 * jwt: three base64url parts whose header is a JSON object that names an algorithm and whose second part is a JSON object
   (signed), or five parts whose header also names an encryption (encrypted); parts that follow, as a full stop makes them, are
   left out, and the last part is empty only where the header names no algorithm;
-* pem: a BEGIN/END block whose body is base64 of one complete DER value, of an OpenSSH key, or of an encrypted body; lines may be
-  escaped or quoted as in JSON and source text;
-* der: a base64 or hex run that is one complete DER SEQUENCE: every nested length fits its parent exactly;
-* ssh: a base64 run that is an OpenSSH private key or a public key blob, all of whose length-prefixed fields end exactly at its end.
-
-Base64 runs of der and ssh may be wrapped in lines, with line ends as they are or escaped.
-
-Spans count code points, the end is exclusive; they are leftmost and do not overlap within a kind; an added span never replaces
-a base one. Null and empty texts have no spans. A row of the input gives one row. Only the two named columns are read.
+* pem: a BEGIN/END block with a PRIVATE KEY label whose body is base64 of a private key in DER, of an OpenSSH key, or of a body that
+  its own headers say is encrypted (a cipher with an initial value, whole blocks); lines may be escaped or quoted as in JSON and
+  source text;
+* der: a base64 or hex run that is exactly one private key in DER: every nested length fits its parent, and the parts are those of
+  PKCS#1, PKCS#8 (plain, with the key's own structure inside for known algorithms, or encrypted), SEC1 or DSA keys;
+* ssh: a base64 run that is an OpenSSH private key: all its length-prefixed fields end where it ends, and an unencrypted private
+  section repeats its check number and ends in its padding.
+
+Public keys and certificates are no secrets. Base64 runs of der and ssh may be wrapped in lines, with line ends as they are or
+escaped, and may follow or precede a slash or another sign of the alphabet.
+
+Every text is passed over by patterns that visit whole runs once, and a run's candidates are decoded only where their first bytes
+announce a key that would end at an edge, so the time grows in proportion to the text. Spans count code points, the end is
+exclusive; they are leftmost and do not overlap within a kind; an added span never replaces a base one. Null and empty texts have
+no spans. A row of the input gives one row. Only the two named columns are read.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ import base64
 import binascii
 import json
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from itertools import accumulate
 
 from pyspark.sql import DataFrame
@@ -40,16 +46,28 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: In source and JSON texts: escaped line ends and slashes, and strings that go on in the next one.
-ESCAPED, QUOTED = r"\\+(?:[nrt/]|\r?\n)", r"""["'][\x20\t\r\n]*[+.,]?[\x20\t\r\n]*["']"""
-PEM = re.compile(rf"-----BEGIN ([A-Z0-9 ]{{1,64}})-----((?:[\x09-\x0DA-Za-z0-9+/=:,\x20-]|{ESCAPED}|{QUOTED})*?)-----END \1-----")
-PEM_JOINT = re.compile(rf"{ESCAPED}|{QUOTED}")
-RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-JWT = re.compile(r"eyJ[A-Za-z0-9_-]{5,}(?:\.[A-Za-z0-9_-]*){2,4}")
+PEM_JOINT = re.compile(r"""(?<!\\)\\++(?:[nrt/]|\r?\n)|["'][\x20\t\r\n]*+(?:[+.,][\x20\t\r\n]*+)?["']""")
+PEM_MARK = re.compile(r"-----(BEGIN|END) ((?:[A-Z0-9]{1,24} ){0,4}PRIVATE KEY)-----")
+PEM_BODY = re.compile(r"[\sA-Za-z0-9+/=]*")
+PEM_HEADER = re.compile(r"(?m)^[\x20\t]*[A-Za-z-]+:.*$")
+ENCRYPTED = re.compile(r"DEK-Info:\s*(?:AES-\d+|CAMELLIA-\d+|DES-EDE3|DES|IDEA|SEED)-[A-Z0-9]+,\s*([0-9A-Fa-f]{16}|[0-9A-Fa-f]{32})\b")
+SIGN = "A-Za-z0-9+/_-"
+RUN = re.compile(rf"(?<![{SIGN}])[{SIGN}]{{40,}}+={{0,2}}+")
+#: Places in a run at which a key can begin: DER SEQUENCEs and OpenSSH's magic in base64, behind an edge.
+BEGIN = re.compile(r"(?:^|(?<=[+/_-]))(?:M[A-Za-z0-9+/_-]|b3BlbnNzaC1rZXktdjEA)")
+DOTTED = re.compile(r"[A-Za-z0-9_.-]{8,}+")
+HEAD = re.compile(r"(?:^|(?<=[_-]))eyJ(?=[A-Za-z0-9_-]{5})")
 #: Lines of base64 with nothing else between their first and last sign but line ends and indents.
-LINE_END = r"[\x20\t]*+(?:\\+r)?(?:\r?\n|\\+n)[\x20\t]*+"
-LINES = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{16,}}+={{0,2}}+(?:{LINE_END}[A-Za-z0-9+/_-]++={{0,2}}+)+")
-SSH_HEAD = re.compile(rb"openssh-key-|\0\0\0[\x07-\x40](ssh-|ecdsa-sh|sk-)")
-HEX_RUN = re.compile(r"[0-9A-Fa-f]{40,}")
+LINE_END = r"[\x20\t]*+(?:\\++r)?(?:\r?\n|\\++n)[\x20\t]*+"
+LINES = re.compile(rf"(?<![{SIGN}])[{SIGN}]{{16,}}+={{0,2}}+(?:{LINE_END}[{SIGN}]++={{0,2}}+)+")
+HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{38,}+")
+OPENSSH = b"openssh-key-v1\0"
+#: Object identifiers, as their DER bytes.
+RSA, DSA, EC = (bytes.fromhex(x) for x in ("2a864886f70d010101", "2a8648ce380401", "2a8648ce3d0201"))
+EDWARDS = {bytes.fromhex("2b65") + bytes([n]): size for n, size in ((0x6E, 32), (0x6F, 56), (0x70, 32), (0x71, 57))}
+PASSWORD_BASED = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+INTEGER, OCTETS, OID, SEQUENCE = 0x02, 0x04, 0x06, 0x30
+#: Levels of nested values; keys have no more than six.
 DEPTH = 32
 
 
@@ -62,122 +80,253 @@ def unbase64(text: str) -> bytes | None:
         return None
 
 
-def der_value(data: bytes, at: int, end: int, depth: int = 0) -> int:
-    """The end of the DER value that starts at `at`, or -1; constructed values must be filled by their parts exactly."""
-    if at + 2 > end or depth > DEPTH:
-        return -1
-    tag, first, at = data[at], data[at + 1], at + 2
+def der_head(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
+    """(tag, start, stop) of the content of the DER value at `at`; the content may reach beyond what data holds, not beyond end."""
+    if at + 2 > min(end, len(data)):
+        return None
+    tag, size, at = data[at], data[at + 1], at + 2
     if tag & 0x1F == 0x1F or tag == 0:
-        return -1
-    if first < 0x80:
-        size = first
-    else:
-        n = first & 0x7F
-        if not 1 <= n <= 4 or at + n > end or data[at] == 0:
-            return -1
+        return None
+    if size >= 0x80:
+        n = size & 0x7F
+        if not 1 <= n <= 4 or at + n > len(data) or data[at] == 0:
+            return None
         size, at = int.from_bytes(data[at : at + n], "big"), at + n
         if size < 0x80:
-            return -1
-    stop = at + size
-    if stop > end or (tag == 0x02 and not size):
-        return -1
-    if tag & 0x20:
-        while at < stop:
-            at = der_value(data, at, stop, depth + 1)
-            if at < 0:
-                return -1
-    return stop
-
-
-def der_size(data: bytes | None) -> int:
-    """The size that the head of a DER SEQUENCE states, itself included; zero if it is none."""
-    if not data or len(data) < 6 or data[0] != 0x30 or data[1] == 0x80 or data[1] > 0x84:
-        return 0
-    n = data[1] & 0x7F if data[1] > 0x80 else 0
-    return 2 + n + (int.from_bytes(data[2 : 2 + n], "big") if n else data[1])
+            return None
+    return None if at + size > end else (tag, at, at + size)
 
 
-def is_der(data: bytes | None) -> bool:
-    """One SEQUENCE that ends where the data ends, of 16 bytes or more."""
-    return bool(data) and len(data) >= 16 and data[0] == 0x30 and der_value(data, 0, len(data)) == len(data)
+def der_parts(data: bytes, at: int, end: int, depth: int = 0) -> list[tuple[int, int, int]] | None:
+    """The DER values that fill data[at:end] exactly, as do the parts of constructed ones; None if they don't."""
+    out = []
+    while at < end:
+        one = der_head(data, at, end)
+        if one is None or one[0] == INTEGER and one[1] == one[2]:
+            return None
+        if one[0] & 0x20 and (depth == DEPTH or der_parts(data, one[1], one[2], depth + 1) is None):
+            return None
+        out.append(one)
+        at = one[2]
+    return out
 
 
-def is_ssh(data: bytes | None) -> bool:
-    if not data:
+def der_size(head: bytes | None) -> int:
+    """The size that the first bytes of a private key in DER state, itself included; zero if what of them is at hand can't be one's."""
+    one = der_head(head, 0, 1 << 32) if head else None
+    if one is None or one[0] != SEQUENCE:
+        return 0
+    first = der_head(head, one[1], one[2])
+    # a version comes first, or of encrypted keys the algorithm
+    if first is None or first[0] not in (INTEGER, SEQUENCE) or first[0] == INTEGER and (first[2] - first[1] != 1 or head[first[1] : first[2]] not in (b"", b"\0", b"\1")):
+        return 0
+    at = one[1]
+    while at + 6 <= min(one[2], len(head)):
+        part = der_head(head, at, one[2])
+        if part is None or part[0] & 0x20 and part[2] <= len(head) and der_parts(head, part[1], part[2]) is None:
+            return 0
+        at = part[2]
+    return one[2]
+
+
+def is_private_key(data: bytes | None) -> bool:
+    """Whether data is exactly one private key in DER: PKCS#1, DSA, SEC1, or PKCS#8, plain or encrypted."""
+    top = der_head(data, 0, len(data)) if data else None
+    if top is None or top[0] != SEQUENCE or top[2] != len(data):
         return False
-    if data.startswith(b"openssh-key-v1\0"):
-        at, fields = 15, 3  # cipher, key derivation and its options; then a count and the keys
-    elif re.match(rb"\0\0\0[\x07-\x40](ssh-|ecdsa-sha2-|sk-)", data):
-        at, fields = 0, None
-    else:
+    parts = der_parts(data, top[1], top[2]) or []
+    tags, held = [t for t, _, _ in parts], [data[a:b] for _, a, b in parts]
+    if tags[:1] == [INTEGER]:
+        version = int.from_bytes(held[0], "big", signed=True)
+        if set(tags) == {INTEGER}:
+            return len(tags) == 9 and version == 0 or len(tags) == 6 and version == 0
+        if tags == [INTEGER] * 9 + [SEQUENCE]:
+            return version == 1
+        if tags[:2] == [INTEGER, OCTETS]:
+            return version == 1 and len(held[1]) >= 16 and tags[2:] in ([], [0xA0], [0xA1], [0xA0, 0xA1])
+        if tags[:3] == [INTEGER, SEQUENCE, OCTETS]:
+            return version in (0, 1) and tags[3:] in ([], [0xA0], [0xA1], [0x81], [0xA0, 0xA1], [0xA0, 0x81]) and holds_key(held[1], held[2])
         return False
-    while at < len(data) and fields != 0:
-        if at + 4 > len(data):
-            return False
-        at += 4 + int.from_bytes(data[at : at + 4], "big")
-        fields = None if fields is None else fields - 1
-    if fields is None:
-        return at == len(data)
-    return at + 8 <= len(data) and 1 <= int.from_bytes(data[at : at + 4], "big") <= 64
+    if tags == [SEQUENCE, OCTETS]:
+        algorithm = der_parts(held[0], 0, len(held[0])) or []
+        return [t for t, _, _ in algorithm] == [OID, SEQUENCE] and held[0][algorithm[0][1] : algorithm[0][2]].startswith(PASSWORD_BASED) and len(held[1]) >= 16
+    return False
 
 
-def is_token(parts: list[str]) -> bool:
-    if len(parts) not in (3, 5):
+def holds_key(algorithm: bytes, octets: bytes) -> bool:
+    """Whether the octets are a key of the algorithm (any, if it is an unknown one)."""
+    parts = der_parts(algorithm, 0, len(algorithm))
+    if not parts or parts[0][0] != OID or not octets:
         return False
-    try:
-        head = json.loads(unbase64(parts[0]) or b"")
-        if not isinstance(head, dict) or not isinstance(head.get("alg"), str) or not parts[-1] and head["alg"].lower() != "none":
+    name = algorithm[parts[0][1] : parts[0][2]]
+    if name in (RSA, EC):
+        # a version, then the modulus or the key itself
+        top = der_head(octets, 0, len(octets))
+        return is_private_key(octets) and der_parts(octets, top[1], top[2])[1][0] == (INTEGER if name == RSA else OCTETS)
+    if name == DSA or name in EDWARDS:
+        inner = der_head(octets, 0, len(octets))
+        fits = inner is not None and inner[2] == len(octets) and inner[0] == (INTEGER if name == DSA else OCTETS)
+        return fits and (name == DSA or inner[2] - inner[1] == EDWARDS[name])
+    return True
+
+
+def ssh_field(data: bytes, at: int) -> int:
+    """The end of the length-prefixed field at `at`; -1 if it goes beyond the data."""
+    stop = at + 4 + int.from_bytes(data[at : at + 4], "big")
+    return stop if at + 4 <= stop <= len(data) and at + 4 <= len(data) else -1
+
+
+def is_openssh(data: bytes | None) -> bool:
+    """Whether data is an OpenSSH private key, read to its end."""
+    if not data or not data.startswith(OPENSSH):
+        return False
+    at, fields = len(OPENSSH), []
+    for n in range(3):  # cipher, key derivation, its options; then a count
+        stop = ssh_field(data, at)
+        if stop < 0:
             return False
-        if len(parts) == 5:
-            return isinstance(head.get("enc"), str)
-        return isinstance(json.loads(unbase64(parts[1]) or b""), dict)
-    except (ValueError, RecursionError):
+        fields.append(data[at + 4 : stop])
+        at = stop
+    count, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+    if not 1 <= count <= 64:
+        return False
+    for _ in range(count + 1):  # public keys, then the private section
+        start, at = at, ssh_field(data, at)
+        if at < 0:
+            return False
+    section = data[start + 4 : at]
+    tag = 16 if re.search(rb"gcm|poly1305", fields[0]) else 0
+    if at + tag != len(data) or not section or len(section) % 8:
+        return False
+    if fields[0] != b"none":
+        return True
+    if section[:4] != section[4:8]:
         return False
+    at, seen = 8, 0
+    while at < len(section) and section[at:] != bytes(range(1, len(section) - at + 1)):
+        at, seen = ssh_field(section, at), seen + 1
+        if at < 0:
+            return False
+    return seen >= 3 * count and len(section) - at < 256
+
+
+def json_object(part: str) -> dict | None:
+    """The JSON object that base64url of a token's part holds."""
+    data = unbase64(part)
+    if not data or data[:1] != b"{" or data.rstrip()[-1:] != b"}":
+        return None
+    try:
+        found = json.loads(data)
+    except (ValueError, RecursionError):
+        return None
+    return found if isinstance(found, dict) else None
+
+
+def token_parts(parts: list[str]) -> int:
+    """Of how many of the parts a token consists: five (encrypted), three (signed) or none."""
+    # a header is text from its first bytes on
+    head = json_object(parts[0]) if (unbase64(parts[0][:64]) or b"\xff").isascii() else None
+    if head is None or not isinstance(head.get("alg"), str):
+        return 0
+    if len(parts) >= 5 and parts[4] and isinstance(head.get("enc"), str):
+        return 5
+    return 3 if (parts[2] or head["alg"].lower() == "none") and json_object(parts[1]) is not None else 0
 
 
 def tokens(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the tokens; of a candidate with more parts the first five or three count."""
-    out, m = [], JWT.search(text)
-    while m:
-        parts = m[0].split(".")
-        n = next((n for n in (5, 3) if len(parts) >= n and is_token(parts[:n])), None)
-        end = m.start() + len(".".join(parts[: n or 1]))
-        if n:
-            out.append((m.start(), end))
-        m = JWT.search(text, end)
+    """(start, end) of the tokens: in each run of dotted parts, five or three from a part on; what stands before a header's sign is left out."""
+    out = []
+    for run in DOTTED.finditer(text):
+        if "eyJ" not in run[0]:
+            continue
+        parts, at, i = run[0].split("."), run.start(), 0
+        while i < len(parts) - 2:
+            used = 1
+            for m in HEAD.finditer(parts[i]):
+                tried = [parts[i][m.start() :], *parts[i + 1 : i + 5]]
+                if n := token_parts(tried):
+                    out.append((at + m.start(), at + m.start() + len(".".join(tried[:n]))))
+                    used = n
+                    break
+            at += sum(len(p) + 1 for p in parts[i : i + used])
+            i += used
+    return out
+
+
+def pem_blocks(text: str) -> list[tuple[int, int]]:
+    """(start, end) of private-key blocks: each BEGIN mark with the END mark that follows next, if it has the same label."""
+    out, begin = [], None
+    for m in PEM_MARK.finditer(text):
+        if m[1] == "BEGIN":
+            begin = m
+            continue
+        if begin and begin[2] == m[2]:
+            body = PEM_JOINT.sub(lambda e: "/" if e[0].endswith("/") else "\n", text[begin.end() : m.start()])
+            plain = PEM_HEADER.sub("", body)
+            data = unbase64(plain) if PEM_BODY.fullmatch(plain) else None
+            cipher = ENCRYPTED.search(body)
+            if is_private_key(data) or is_openssh(data) or data and "ENCRYPTED" in body and cipher and len(data) % (len(cipher[1]) // 2) == 0:
+                out.append((begin.start(), m.end()))
+        begin = None
     return out
 
 
+def key_at(signs: str, at: int, edge) -> tuple[int, int] | None:
+    """(end, kind's number) of the key whose base64 begins at `at` of the signs and ends at an edge (a function of the end); None if there is none."""
+    if signs[at] == "M":
+        end = at + (der_size(unbase64(signs[at : at + 64])) * 4 + 2) // 3
+        return (end, 5) if at < end <= len(signs) and edge(end) and is_private_key(unbase64(signs[at:end])) else None
+    return (len(signs), 6) if is_openssh(unbase64(signs[at:])) else None
+
+
 def wrapped(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind's number, end) of base64 in two or more lines whose bytes are a DER SEQUENCE or an SSH key."""
+    """(start, kind's number, end) of base64 in two or more lines whose bytes are a private key."""
     out = []
     for block in LINES.finditer(text):
+        body = block[0]
         # escaped line ends become blanks of the same length, so that their letters are no part of a line
-        lines = [(m.start(), m.end()) for m in re.finditer(r"\S+", re.sub(r"\\+[rn](?:\\+n)?", lambda e: " " * len(e[0]), block[0]))]
-        signs = [block[0][a:b].rstrip("=") for a, b in lines]
+        lines = [(m.start(), m.end()) for m in re.finditer(r"\S+", re.sub(r"\\++[rn](?:\\++n)?", lambda e: " " * len(e[0]), body))]
+        signs = [body[a:b].rstrip("=") for a, b in lines]
         ends = list(accumulate(len(x) for x in signs))
-        at = 0
+        whole, at = "".join(signs), 0
         while at < len(lines) - 1:
-            before, last, kind = ends[at] - len(signs[at]), None, 5
+            before, found = ends[at] - len(signs[at]), None
+            line = lambda end: bisect_left(ends, end)
             if signs[at][0] == "M":
-                size = der_size(unbase64(signs[at][:8]))
-                i = bisect_left(ends, before + (size * 4 + 2) // 3) if size else at
-                if at < i < len(ends) and ends[i] == before + (size * 4 + 2) // 3 and is_der(unbase64("".join(signs[at : i + 1]))):
-                    last = i
-            elif SSH_HEAD.match(unbase64(signs[at][:16]) or b"") and not is_ssh(unbase64(signs[at])):
+                found = key_at(whole, before, lambda end: line(end) > at and ends[line(end)] == end)  # noqa: B023
+            elif signs[at].startswith("b3BlbnNzaC1rZXktdjEA"):
                 i = at + 1  # lines of one width, and a shorter one
                 while i < len(lines) and len(signs[i]) == len(signs[at]):
                     i += 1
-                tries = [x for x in (i, i - 1) if at < x < len(lines) and len(signs[x]) <= len(signs[at])]
-                last, kind = next((x for x in tries if is_ssh(unbase64("".join(signs[at : x + 1])))), None), 6
-            if last is None:
+                for last in (i, i - 1):
+                    if at < last < len(lines) and len(signs[last]) <= len(signs[at]):
+                        found = found or key_at(whole[: ends[last]], before, None)
+                at = max(at, i - 2) if found is None else at
+            if found is None:
                 at += 1
             else:
-                out.append((block.start() + lines[at][0], kind, block.start() + lines[last][1]))
+                last = line(found[0])
+                out.append((block.start() + lines[at][0], found[1], block.start() + lines[last][1]))
                 at = last + 1
     return out
 
 
+def single(run: str) -> list[tuple[int, int, int]]:
+    """(start, kind's number, end) of the keys in one run of base64 signs."""
+    out, free, magic = [], 0, True
+    signs = run.rstrip("=")
+    edge = lambda end: end == len(signs) or signs[end] in "+/_-"
+    for m in BEGIN.finditer(signs):
+        if m.start() < free or not (magic or m[0][0] == "M"):
+            continue
+        found = key_at(signs, m.start(), edge)
+        magic &= m[0][0] == "M"  # what follows OpenSSH's magic is one key or none
+        if found:
+            free = len(run) if found[0] == len(signs) else found[0]
+            out.append((m.start(), found[1], free))
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's number, end), unsorted."""
     out = []
@@ -189,31 +338,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
-    out, covered = [], []
-    if "-----BEGIN " in text:
-        for m in PEM.finditer(text):
-            plain = PEM_JOINT.sub(lambda e: "/" if e[0].endswith("/") else "\n", m[2])
-            body = re.sub(r"(?m)^[A-Za-z-]+:.*$", "", plain)
-            data = unbase64(body)
-            if is_der(data) or is_ssh(data) or (data and "ENCRYPTED" in m[1] + m[2]):
-                out.append((m.start(), 4, m.end()))
-                covered.append((m.start(), m.end()))
-    if "eyJ" in text:
-        out += [(a, 3, b) for a, b in tokens(text)]
-    for a, kind, b in wrapped(text):
-        if not any(x <= a < y for x, y in covered):
-            out.append((a, kind, b))
-            covered.append((a, b))
-    for m in RUN.finditer(text):
-        if any(a <= m.start() < b for a, b in covered):
-            continue
-        data = unbase64(m[0])
-        kind = 5 if is_der(data) else 6 if is_ssh(data) else None
-        if kind:
-            out.append((m.start(), kind, m.end()))
-        else:
-            out += [(h.start() + m.start(), 5, h.end() + m.start()) for h in HEX_RUN.finditer(m[0]) if not len(h[0]) % 2 and is_der(bytes.fromhex(h[0]))]
-    return out
+    """(start, kind's number, end) of the spans that the method adds; keys within a block or within lines aren't listed again."""
+    out = [(a, 3, b) for a, b in tokens(text)] if "eyJ" in text else []
+    covered = pem_blocks(text) if "PRIVATE KEY-----" in text else []
+    out += [(a, 4, b) for a, b in covered]
+
+    def uncovered(found):
+        starts = [a for a, _ in covered]
+        return [x for x in found if not (i := bisect_right(starts, x[0])) or covered[i - 1][1] <= x[0]]
+
+    lined = uncovered(wrapped(text))
+    covered = sorted(covered + [(a, b) for a, _, b in lined])
+    runs = [(a + m.start(), kind, b + m.start()) for m in RUN.finditer(text) for a, kind, b in single(m[0])]
+    runs += [(m.start(), 5, m.end()) for m in HEX_RUN.finditer(text) if not len(m[0]) % 2 and is_private_key(bytes.fromhex(m[0]))]
+    return out + lined + uncovered(runs)
 
 
 def listed(spans: list[tuple[int, int, int]]) -> str:
@@ -221,7 +359,7 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, spans array<struct<kind,start,end>> in order, base boolean array (which of them are base spans)."""
+    """key, spans array<struct<kind,start,end>> in order."""
 
     def make():
         def work(keys, texts):

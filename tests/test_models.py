@@ -149,6 +149,9 @@ def test_alignment_verdicts(spark):
 
 def test_poisson_bound():
     assert math.isclose(statistics.upper_mean(0, 0.95), -math.log(0.05), rel_tol=1e-9)
+    for k in (10, 700, 2000, 40_000):  # beyond 700 the probability of no event underflows; sums in exact logarithms
+        m = statistics.upper_mean(k, 0.95)
+        assert k < m and math.isclose(math.fsum(math.exp(i * math.log(m) - m - math.lgamma(i + 1)) for i in range(k + 1)), 0.05, rel_tol=1e-5)
     for k in (1, 4, 30):
         m = statistics.upper_mean(k, 0.95)
         assert math.isclose(sum(math.exp(-m) * m**i / math.factorial(i) for i in range(k + 1)), 0.05, rel_tol=1e-6)

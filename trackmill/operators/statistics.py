@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,17 +47,16 @@ def zero_rate_bound(exposure: Column, level: float) -> Column:
 
 
 def _tail(k: int, mean: float) -> float:
-    """P(X <= k) of a Poisson variable."""
-    term = total = math.exp(-mean)
-    for i in range(1, k + 1):
-        term *= mean / i
-        total += term
-    return total
+    """P(X <= k) of a Poisson variable of a mean of k or more; summed from the largest term down, each by its logarithm."""
+    # terms more than forty deviations below k are under 1e-300 of the largest
+    i = np.arange(k, max(0, k - 40 * math.isqrt(k + 1) - 40), -1)
+    logs = k * math.log(mean) - mean - math.lgamma(k + 1) + np.concatenate([[0.0], np.cumsum(np.log(i / mean))])
+    return float(np.exp(logs).sum())
 
 
 def upper_mean(k: int, level: float) -> float:
     """The mean at which k or fewer events have probability 1 - level."""
-    low, high = 0.0, max(10.0, 2.0 * k + 20)
+    low, high = max(k, 1e-9), max(10.0, 2.0 * k + 20)
     for _ in range(200):
         middle = (low + high) / 2
         low, high = (middle, high) if _tail(k, middle) > 1 - level else (low, middle)

@@ -224,11 +224,20 @@ def zero_event_bound(spark, sf_dir):
     return x.select("user_id", F.round("hours", 6).alias("hours"), "k", F.when((F.col("k") == 0) & (F.col("hours") > 0), F.round(T.zero_rate_bound(F.col("hours"), 0.95), 9)).alias("zero_bound"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {EVENTS}, x AS (SELECT user_id, (max(us) - min(us)) / CAST({HOUR} AS DOUBLE) AS hours, count(*) FILTER (value > 150) AS k, count(*) AS n FROM ev GROUP BY user_id),
+y AS (SELECT user_id, hours, unnest([k, n, 40 * n]) AS k FROM x WHERE hours > 0),
+b(k, lo, hi, nth) AS (SELECT DISTINCT k, CAST(k AS DOUBLE), CAST(greatest(10, 2 * k + 20) AS DOUBLE), 0 FROM y UNION ALL
+  SELECT k, CASE WHEN tail > 0.05 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN tail > 0.05 THEN hi ELSE (lo + hi) / 2 END, nth + 1
+  FROM (SELECT *, list_sum([exp(i * ln((lo + hi) / 2) - (lo + hi) / 2 - lgamma(i + 1)) FOR i IN range(k + 1)]) AS tail FROM b WHERE nth < 60))
+SELECT user_id, k, round(hi, 5) AS upper_mean, round(hi / hours, 5) AS upper_rate FROM y JOIN b USING (k) WHERE nth = 60
+""")
 def rate_bounds(spark, sf_dir):
-    """Exact one-sided Poisson bounds of any number of events; tested against the tail sum."""
-    x = events(spark, sf_dir).groupBy("user_id").agg(((F.max("us") - F.min("us")) / float(HOUR)).alias("hours"), F.count_if(F.col("value") > 150).alias("k"))
-    return x.filter("hours > 0").withColumn("upper", T.poisson_upper(F.col("k"), 0.95) / F.col("hours"))
+    """Exact one-sided Poisson bounds of any number of events: of those above a value, of all, and of forty times as many."""
+    x = events(spark, sf_dir).groupBy("user_id").agg(((F.max("us") - F.min("us")) / float(HOUR)).alias("hours"), F.count_if(F.col("value") > 150).alias("k"), F.count("*").alias("n"))
+    counts = x.filter("hours > 0").select("user_id", "hours", F.explode(F.array("k", "n", 40 * F.col("n"))).alias("k"))
+    upper = counts.withColumn("upper", T.poisson_upper(F.col("k"), 0.95))
+    return upper.select("user_id", "k", F.round("upper", 5).alias("upper_mean"), F.round(F.col("upper") / F.col("hours"), 5).alias("upper_rate"))
 
 
 @query(f"""

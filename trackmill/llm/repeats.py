@@ -9,15 +9,21 @@ one position in 70 is an anchor. An anchor's context is what its windows cover.
 3. One copy of each context of such a string is fetched. The contexts are sorted by what follows the anchor and by what precedes
    it, read backwards: multikey quicksort to a shallow depth, then blind tries (suffixes.py). Two windows at the same distance from
    their anchors are equal if their contexts lie in one run of long enough common prefixes in both orders.
-4. Strings with more than GROUP different contexts are not sorted in one task: their windows are hashed (128 bits) and counted.
-
-Hashes of 64 bits decide only which contexts are looked at together, and (by a second hash of 64 bits) which are equal.
-Null texts count as empty; texts of fewer than LENGTH bytes have no windows. Repeated rows are copies of each other. Only the two
-named columns are read. Rows are told apart by key and a hash of the text, so keys can repeat or be null.
+4. Strings with more than GROUP different contexts are cut into parts first, by multikey ranges: the distances of the anchor from a
+   window's start are halved, and of a half only contexts that agree in all bytes which its windows have in common can share one
+   (what precedes the anchor at the least distance, what follows at the largest). Parts of at most GROUP contexts are sorted as
+   above, larger ones are halved again; of a single distance those bytes are the window, so all contexts of a part are repeated.
+
+Hashes of 64 bits decide only which contexts are looked at together, and (by a second hash of 64 bits) which are equal; windows of
+one distance are equal by 128 bits. Null texts count as empty; texts of fewer than LENGTH bytes have no windows. Repeated rows are
+copies of each other. Only the two named columns are read. Rows are told apart by key and 64 bits of a hash of the text, rows without
+a key by 128 bits, so keys can repeat or be null, and be of any type. A text is one row in one task, however long it is.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -35,7 +41,6 @@ GROUP, TOGETHER = 8192, 2048
 SLICE = 1 << 20
 #: Shares in which the anchors of a frequent string are dealt.
 SALTS = 64
-NO_KEY = -(2**63)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -84,9 +89,10 @@ def covered(at: Column) -> list[Column]:
 
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """d, v: what tells rows apart; t: the text."""
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return small_batches(docs).select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("d"), F.hash(t).alias("v"), F.col(key).alias("k"), t.cast("binary").alias("t"))
+    """d, v: what tells rows apart; k: the key; t: the text."""
+    t, k = F.coalesce(F.col(text).cast("string"), F.lit("")), F.col(key)
+    number = k.cast("long") if docs.schema[key].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint") else F.when(k.isNotNull(), F.xxhash64(k))
+    return small_batches(docs).select(F.coalesce(number, F.xxhash64(F.lit("no key"), t)).alias("d"), F.xxhash64(t).alias("v"), k.alias("k"), t.cast("binary").alias("t"))
 
 
 def scan(rows: DataFrame) -> DataFrame:
@@ -107,10 +113,10 @@ def scan(rows: DataFrame) -> DataFrame:
                     row, offset = np.array([p[0] for p in some]), np.array([p[1] for p in some]) - np.r_[0, ends[:-1]]
                     text, place, first, last, g = anchors(np.frombuffer(joined, np.uint8), ends)
                     c = np.fromiter((xxhash.xxh3_64_intdigest(joined[a : b + LENGTH], p - a) for a, b, p in zip(first.tolist(), last.tolist(), place.tolist())), np.uint64, len(place))
-                    yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), pa.array(d[row[text]] if len(text) else np.zeros(0, np.int64)), pa.array(v[row[text]] if len(text) else np.zeros(0, np.int32)), pa.array(packed(place + offset[text], first + offset[text], last + offset[text]))], names=["g", "c", "d", "v", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), pa.array(d[row[text]] if len(text) else np.zeros(0, np.int64)), pa.array(v[row[text]] if len(text) else np.zeros(0, np.int64)), pa.array(packed(place + offset[text], first + offset[text], last + offset[text]))], names=["g", "c", "d", "v", "at"])
                     size, some = 0, []
 
-    return rows.select("d", "v", "t").mapInArrow(run, "g long, c long, d long, v int, at long")
+    return rows.select("d", "v", "t").mapInArrow(run, "g long, c long, d long, v long, at long")
 
 
 def small(rows: DataFrame) -> DataFrame:
@@ -121,7 +127,7 @@ def small(rows: DataFrame) -> DataFrame:
         for batch in slices(batches, 3, SLICE):
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([press.compress(t) for t in batch.column(3).to_pylist()], pa.binary())], names=["d", "v", "k", "z"])
 
-    return rows.select("d", "v", "k", "t").mapInArrow(run, f"d long, v int, k {rows.schema['k'].dataType.simpleString()}, z binary")
+    return rows.select("d", "v", "k", "t").mapInArrow(run, f"d long, v long, k {rows.schema['k'].dataType.simpleString()}, z binary")
 
 
 def contexts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -136,15 +142,15 @@ def contexts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
                 for x in found:
                     place, before, more = x["at"] >> 16, x["at"] >> 8 & 255, x["at"] & 255
                     out.append((x["g"], d, v, x["at"], x["once"], x["hot"], data[place - before : place], data[place : place - before + more + LENGTH]))
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary(), pa.binary()]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * 8, kinds)], names=["g", "d", "v", "at", "once", "hot", "left", "right"])
 
     asked = wanted.groupBy("d", "v").agg(F.collect_list(F.struct("g", "at", "once", "hot")).alias("found"))  # at most a text's own anchors
-    return small(rows).join(asked, ["d", "v"]).select("d", "v", "z", "found").mapInArrow(run, "g long, d long, v int, at long, once boolean, hot boolean, left binary, right binary")
+    return small(rows).join(asked, ["d", "v"]).select("d", "v", "z", "found").mapInArrow(run, "g long, d long, v long, at long, once boolean, hot boolean, left binary, right binary")
 
 
-def repeated(group: np.ndarray, left: list[bytes], right: list[bytes]) -> np.ndarray:
-    """For each context and distance of the anchor from a window's start, whether the window is another context's too (groups ascending)."""
+def repeated(group: np.ndarray, left: list[bytes], right: list[bytes], low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """For each context and distance (low to high) of the anchor from a window's start, whether the window is another context's too (groups ascending)."""
     n = len(group)
     out = np.zeros((n, REACH + 1), bool)
     before, after = np.fromiter(map(len, left), np.int64, n), np.fromiter(map(len, right), np.int64, n)
@@ -152,8 +158,8 @@ def repeated(group: np.ndarray, left: list[bytes], right: list[bytes]) -> np.nda
     order_r, lcp_r = deep_shallow(right, group, wide(LENGTH), 8)
     order_l, lcp_l = deep_shallow([x[::-1] for x in left], group, wide(REACH), 4)
     run_r, run_l = np.empty(n, np.int64), np.empty(n, np.int64)
-    for r in range(REACH + 1):
-        own = np.flatnonzero((before >= r) & (after >= LENGTH - r))
+    for r in range(int(low.min(initial=REACH)), int(high.max(initial=0)) + 1):
+        own = np.flatnonzero((before >= r) & (after >= LENGTH - r) & (low <= r) & (r <= high))
         if len(own) < 2:
             continue
         run_r[order_r] = np.cumsum(lcp_r < LENGTH - r)
@@ -166,14 +172,14 @@ def repeated(group: np.ndarray, left: list[bytes], right: list[bytes]) -> np.nda
 
 
 def resolve(found: DataFrame) -> DataFrame:
-    """d, v, start, end: what repeated windows cover of contexts that occur once."""
+    """d, v, start, end: what repeated windows cover of contexts that occur once, in groups g and of distances low to high."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
 
         def work(table: pa.Table):
             g = table["g"].to_numpy()
-            hit = repeated(np.cumsum(np.r_[0, g[1:] != g[:-1]]), table["left"].to_pylist(), table["right"].to_pylist())
+            hit = repeated(np.cumsum(np.r_[0, g[1:] != g[:-1]]), table["left"].to_pylist(), table["right"].to_pylist(), table["low"].to_numpy(), table["high"].to_numpy())
             hit &= table["once"].to_numpy(zero_copy_only=False)[:, None]
             edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
             row, first = np.nonzero(edge == 1)
@@ -196,28 +202,33 @@ def resolve(found: DataFrame) -> DataFrame:
         if rows:
             yield work(pa.Table.from_batches(held).combine_chunks())
 
-    return found.select("g", "d", "v", "at", "once", "left", "right").repartition("g").sortWithinPartitions("g", "d", "v", "at").mapInArrow(run, "d long, v int, start long, end long")
-
-
-def counted(found: DataFrame) -> DataFrame:
-    """The same for strings with very many contexts: each window is hashed and counted."""
-
-    def hashed(batches):
-        out = []
-        names, kinds = ["d", "v", "start", "once", "h"], [pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
-        for batch in batches:
-            for row in batch.to_pylist():
-                data, start = row["left"] + row["right"], (row["at"] >> 16) - len(row["left"])
-                out += [(row["d"], row["v"], start + s, row["once"], xxhash.xxh3_128_digest(data[s : s + LENGTH])) for s in range(len(data) - LENGTH + 1)]
-                if len(out) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
-                    out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
-
-    windows = stored(found.select("d", "v", "at", "once", "left", "right").mapInArrow(hashed, "d long, v int, start long, once boolean, h binary"))
-    twice = windows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    return windows.filter("once").join(twice, "h").select("d", "v", "start", (F.col("start") + LENGTH).alias("end"))
+    return found.select("g", "d", "v", "at", "once", "left", "right", "low", "high").repartition("g").sortWithinPartitions("g", "d", "v", "at").mapInArrow(run, "d long, v long, start long, end long")
+
+
+def parted(found: DataFrame, group: int) -> DataFrame:
+    """d, v, start, end: the same for strings with more than `group` contexts, which are cut into parts until these are small enough."""
+    out, hot = [], found.withColumns({"low": F.lit(0), "high": F.lit(REACH)})
+    while True:
+        middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+        halves = F.array(F.struct("low", middle.alias("high")), F.struct((middle + 1).alias("low"), "high"))
+        cut = hot.select("g", "d", "v", "at", "once", "left", "right", F.inline(F.filter(halves, lambda x: x["low"] <= x["high"])))
+        # those with a window in the range
+        cut = cut.filter((F.greatest("low", LENGTH - F.length("right")) <= F.least("high", F.length("left"))))
+        shared = F.concat(F.expr("substring(left, length(left) - low + 1, low)"), F.expr(f"substring(right, 1, {LENGTH} - high)"))
+        cut = cut.withColumn("same", F.md5(shared))
+        by = ["g", "low", "high", "same"]
+        # stored, so that a part with very many contexts can be split among tasks
+        cut = stored(cut)
+        counts = stored(cut.groupBy(*by).agg(F.count("*").alias("n")).filter("n > 1"))
+        single = F.col("low") == F.col("high")
+        met = cut.join(counts, by)
+        start = F.shiftright("at", 16) - F.col("low")
+        out.append(met.filter(single & F.col("once")).select("d", "v", start.alias("start"), (start + LENGTH).alias("end")))
+        out.append(resolve(met.filter(~single & (F.col("n") <= group)).withColumn("g", F.xxhash64(*by))))
+        if counts.filter(~single & (F.col("n") > group)).isEmpty():
+            break
+        hot = met.filter(~single & (F.col("n") > group))
+    return reduce(DataFrame.union, out)
 
 
 def spans(rows: DataFrame, group: int = GROUP) -> DataFrame:
@@ -239,7 +250,10 @@ def spans(rows: DataFrame, group: int = GROUP) -> DataFrame:
     marked = kinds.filter("large").join(hot, "g", "left").select("g", "one", "n", F.coalesce("hot", F.lit(False)).alias("hot")).union(kinds.filter("NOT large").select("g", "one", "n", F.lit(False)))
     wanted = marked.select("g", "one.d", "one.v", "one.at", (F.col("n") == 1).alias("once"), "hot")
     found = stored(contexts(rows, wanted))
-    return alike.union(twice).union(resolve(found.filter("NOT hot"))).union(counted(found.filter("hot")))
+    whole = {"low": F.lit(0), "high": F.lit(REACH)}
+    out = alike.union(twice).union(resolve(found.filter("NOT hot").withColumns(whole)))
+    crowded = found.filter("hot")
+    return out if crowded.isEmpty() else out.union(parted(crowded, group))
 
 
 def strip(docs: DataFrame, key: str = "doc_id", text: str = "text", group: int = GROUP) -> DataFrame:

@@ -111,13 +111,18 @@ def pass_rows(df: DataFrame, text: str, make: Callable[[], Callable[[list], list
 
 
 def sampled(rows: DataFrame, group: str, key: str, per_group: int) -> DataFrame:
-    """group, key: the `per_group` keys of least hash in each group. The number of groups must be bounded.
+    """group, key: the `per_group` keys of least hash in each group, repeated ones once. The number of groups must be bounded.
 
-    From the groups' counts follows a hash below which about three times as many rows lie, so only those are put in order; the
-    chance that they hold fewer than asked for is negligible (under 1e-100 for 256).
+    From the groups' numbers of keys (estimated within some per cent) follows a hash below which about three times as many keys lie,
+    so only those are put in order; the chance that they hold fewer than asked for is negligible (under 1e-80 for 256).
     """
-    counts = rows.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__n"))
+    counts = rows.groupBy(F.col(group).alias("__g")).agg(F.approx_count_distinct(key, 0.02).alias("__n"))
     h = F.pmod(F.xxhash64(key), F.lit(1 << 40))
     low = rows.select(group, key, h.alias("__h")).join(F.broadcast(counts), F.col(group) == F.col("__g")).filter(F.col("__h").cast("double") * F.col("__n") <= float(3 * per_group * (1 << 40)))
     order = Window.partitionBy(group).orderBy("__h", key)
-    return low.withColumn("__nth", F.row_number().over(order)).filter(F.col("__nth") <= per_group).select(group, key)
+    return low.select(group, key, "__h").distinct().withColumn("__nth", F.row_number().over(order)).filter(F.col("__nth") <= per_group).select(group, key)
+
+
+def one_text(rows: DataFrame, by: list[str], text: str) -> DataFrame:
+    """by, text: of rows that repeat a key, the text of least hash."""
+    return rows.groupBy(*by).agg(F.min_by(text, F.struct(F.xxhash64(text), F.col(text))).alias(text))

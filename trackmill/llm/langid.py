@@ -4,8 +4,9 @@ Each language has a codeword; one binary classifier over hashed character n-gram
 compared with every codeword by exponential loss, weighted by how well each classifier does on that language in the sample; the
 codeword of least loss wins, the score is its softmax share, and texts whose two best losses lie close are flagged.
 
-The classifiers are fitted on a bounded sample: PER_LANGUAGE rows of each language, by least hash of their key. Rows with a
-null language, text or key are not learnt from. A text that is null or has no letter is `und` with score 0; so is every text if
+The classifiers are fitted on a bounded sample: PER_LANGUAGE keys of each language, by least hash, or fewer of each where more than
+SAMPLE rows would come of it, so the fit takes the same memory for any number of languages. Rows with a null language, text or key
+are not learnt from; of rows that repeat a key the text of least hash is. A text that is null or has no letter is `und` with score 0; so is every text if
 nothing can be learnt. With one language, every text with a letter has it. Tokens of mixed texts count whole.
 """
 
@@ -16,11 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ngrams
-from .common import map_texts, sampled
+from .common import map_texts, one_text, sampled
 
 BITS = 12
-#: Bounds of the sample and of the number of languages.
-PER_LANGUAGE, LANGUAGES = 256, 512
+#: Bounds of the sample, for each language and in all, and of the number of languages.
+PER_LANGUAGE, SAMPLE, LANGUAGES = 256, 4096, 512
 RIDGE = 1e-3
 #: Texts whose losses differ by less are ambiguous.
 AMBIGUOUS = 0.15
@@ -70,8 +71,9 @@ class Model:
         mean = (x * weight**2).sum(axis=0) / (weight**2).sum()
         center = (x - mean) * weight
         bias = (y * weight**2).sum(axis=0) / (weight**2).sum()
-        gram = (center @ center.T).astype(np.float64)
-        solved = np.linalg.solve(gram + RIDGE * len(x) * np.trace(gram) / len(x) * np.eye(len(x)), (y - bias) * weight)
+        gram = (center @ center.T).astype(np.float64)  # SAMPLE squared at most
+        gram.flat[:: len(x) + 1] += RIDGE * np.trace(gram)
+        solved = np.linalg.solve(gram, (y - bias) * weight)
         weights = (center.T @ solved).astype(np.float32)
         bias = bias - mean @ weights
         right = np.sign(x @ weights + bias) == y
@@ -90,10 +92,10 @@ def fit(docs: DataFrame, learn: Column, key: str, text: str, lang: str) -> Model
     names = known.select("lang").distinct().limit(LANGUAGES + 1).count()
     if names > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
-    chosen = sampled(known.select("k", "lang"), "lang", "k", PER_LANGUAGE).select("k").distinct()
-    # at most PER_LANGUAGE keys for each of LANGUAGES languages
-    sample = known.join(F.broadcast(chosen), "k").withColumn("row", F.struct("lang", "k"))
-    rows = map_texts(sample, "row", "t", lambda: lambda keys, texts: [[f.astype("<f2").tobytes() for f in features(texts)]], "x binary").limit(PER_LANGUAGE * LANGUAGES).orderBy("row").collect()
+    chosen = sampled(known.filter("k IS NOT NULL").select("k", "lang"), "lang", "k", min(PER_LANGUAGE, SAMPLE // max(1, names)))
+    # at most SAMPLE keys
+    sample = one_text(known.join(F.broadcast(chosen), ["k", "lang"]), ["k", "lang"], "t").withColumn("row", F.struct("lang", "k"))
+    rows = map_texts(sample, "row", "t", lambda: lambda keys, texts: [[f.astype("<f2").tobytes() for f in features(texts)]], "x binary").orderBy("row").collect()
     if not rows:
         return None
     return Model.fit(np.array([np.frombuffer(r["x"], "<f2") for r in rows], dtype=np.float32), [r["row"]["lang"] for r in rows])

@@ -20,7 +20,7 @@ import xxhash
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from helpers import assert_same  # noqa: E402
 
-from trackmill.llm import decontaminate, oracle, queries, repeats, secrets, simhash, suffixes  # noqa: E402
+from trackmill.llm import decontaminate, langid, oracle, quality, queries, repeats, secrets, simhash, suffixes  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
@@ -392,6 +392,17 @@ def test_repeats_of_made_up_texts(spark, group):
     assert have == slow_repeats({d: t.encode() for d, t in rows.items()})
 
 
+def test_rows_without_keys_keep_their_own_texts(spark):
+    r = random.Random(28)
+    shared = "".join(r.choice("abcdef ") for _ in range(260))
+    texts = ["".join(r.choice("abcdef ") for _ in range(r.randint(0, 300))) + shared * (i % 7 == 0) for i in range(3000)]
+    got = repeats.strip(spark.createDataFrame([(None if i % 3 else 1, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    want = slow_repeats({i: t.encode() for i, t in enumerate(texts)})
+    assert sorted((x["doc_id"] or 0, x["n_bytes"], x["n_removed"], x["n_spans"], hashlib.sha256(x["kept"]).hexdigest()) for x in got) == sorted((0 if i % 3 else 1, *w) for i, w in want.items())
+    words = repeats.strip(spark.createDataFrame([("x", shared), ("y", shared + "!")], "doc_id string, text string")).collect()
+    assert {(x["doc_id"], x["kept"]) for x in words} == {("x", b""), ("y", b"!")}
+
+
 def test_deep_shallow_sorts():
     r = random.Random(3)
     for _ in range(60):
@@ -463,6 +474,100 @@ def test_links_of_a_crowd(spark, small, monkeypatch):
     assert {f: got.get(f, f) for f in signed} == want
 
 
+def slow_counts(text, bits, only_letters):
+    """Counts of n-gram buckets, one n-gram at a time."""
+    if only_letters:
+        text = "".join(c if c.isalpha() else " " for c in text.lower())
+    text, out = f" {text}  ", np.zeros(1 << bits)
+    for i in range(len(text) - 2):
+        for order in (1, 2, 3):
+            h = order
+            for c in text[i : i + order]:
+                h = (h * 0x9E3779B1 + ord(c)) % (1 << 32)
+            h ^= h >> 15
+            out[(h * 0x85EBCA6B % (1 << 32)) >> (32 - bits)] += 1
+    return out
+
+
+def test_languages_by_all_codewords(spark, docs):
+    """Every document of the smallest table against plain counts, margins bit by bit and the loss of every codeword."""
+    from pyspark.sql import functions as F
+
+    table = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = langid.fit(table, langid.remainder(F.col("doc_id"), 3) != 1, "doc_id", "text", "lang")
+    got = {r["doc_id"]: r for r in queries.op8_language_codes(spark, SMALL).collect()}
+    assert set(got) == set(docs)
+    for d, t in docs.items():
+        if not any(c.isalpha() for c in t or ""):
+            assert (got[d]["lang_pred"], got[d]["score"]) == ("und", 0)
+            continue
+        if len(t) > 20_000:
+            continue  # too slow to count one by one
+        found = slow_counts(t, langid.BITS, True)
+        x = np.sqrt(found / found.sum())
+        losses = []
+        for c, word in enumerate(model.code):
+            loss = 0.0
+            for b, sign in enumerate(word):
+                margin = 2 * max(-2.0, min(2.0, float(x @ model.weights[:, b]) + float(model.bias[b])))
+                loss += model.trust[c, b] * np.exp(-sign * margin)
+            losses.append(loss)
+        share = np.exp(4 * (min(losses) - np.array(losses)))
+        best = int(np.argmin(losses))
+        assert abs(got[d]["score"] - share[best] / share.sum()) < 1e-3
+        assert got[d]["lang_pred"] == model.languages[best] or np.ptp(np.sort(losses)[:2]) < 1e-3
+
+
+def test_quality_by_plain_cosines(spark, docs):
+    """Every document of the smallest table against a full list of cosines with all labelled vectors."""
+    from pyspark.sql import functions as F
+
+    table, labels = (spark.read.parquet(f"{SMALL}/{n}.parquet") for n in ("documents", "labels"))
+    model = quality.fit(table, labels, langid.remainder(F.col("k"), 4) != 2)
+    marks = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    learnt = [d for d in docs if docs[d] is not None and marks.get(d) in (0, 1) and zlib.crc32(str(d).encode()) % 4 != 2]
+    assert len(model.labels) == len(learnt) and model.labels.sum() == sum(marks[d] for d in learnt)
+    for d, r in ((r["doc_id"], r) for r in queries.op9_quality_votes(spark, SMALL).collect()):
+        t = docs[d] or ""
+        if len(t) > 20_000:
+            continue
+        counts = quality.terms([t])[0].astype(float)
+        assert np.array_equal(counts[: 1 << quality.BITS], slow_counts(t, quality.BITS, False) * bool(t))
+        own = np.sqrt(counts / max(counts.sum(), 1)) * model.rarity
+        own = own / max(np.linalg.norm(own), 1e-12) @ model.basis
+        cosines = sorted(((float(own @ v / max(np.linalg.norm(own), 1e-12)), float(y)) for v, y in zip(model.vectors, model.labels)), reverse=True)
+        votes = [(max(c, 0) ** quality.SHARPNESS, y) for c, y in cosines[: quality.NEAREST]]
+        total = sum(v for v, _ in votes)
+        want = sum(v * y for v, y in votes) / total if total > 1e-12 else model.prior
+        tied = len(cosines) > quality.NEAREST and cosines[quality.NEAREST - 1][0] - cosines[quality.NEAREST][0] < 1e-4
+        assert abs(r["score"] - want) < 1e-3 or tied
+        assert r["predicted"] == (r["score"] >= 0.7)
+
+
+def test_samples_do_not_depend_on_the_order_of_rows(spark):
+    rows = [(i % 40, f"text {i} of some {'words' * (i % 3)}", "ab"[i % 2]) for i in range(200)] + [(None, "no key", "a"), (7, None, "a")]
+    table = lambda x: spark.createDataFrame(x, "doc_id long, text string, lang string")
+    from pyspark.sql import functions as F
+
+    one, two = (langid.fit(table(x).repartition(n), F.lit(True), "doc_id", "text", "lang") for x, n in ((rows, 1), (rows[::-1], 5)))
+    assert np.allclose(one.weights, two.weights)
+    labels = [(k, k % 2) for k in range(40)] * 2 + [(5, 0), (6, 1)]
+    judges = [quality.fit(table(x), spark.createDataFrame(y, "doc_id long, quality int"), F.lit(True)) for x, y in ((rows, labels), (rows[::-1], labels[::-1]))]
+    assert len(judges[0].labels) == 38 and np.allclose(np.abs(judges[0].vectors @ judges[0].vectors.T), np.abs(judges[1].vectors @ judges[1].vectors.T), atol=1e-4)
+
+
+def test_many_languages_in_bounded_memory(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(langid, "SAMPLE", 120)
+    r = random.Random(50)
+    rows = [(12 * i + j, " ".join(r.choice([f"{a}{b}{a}" for b in "aeiou"]) for _ in range(60)), f"l{i}") for i, a in enumerate("bcdfghjklmnpqrstvwxz") for j in range(12)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(table, F.lit(True), "doc_id", "text", "lang")
+    lang = {k: x for k, _, x in rows}
+    assert len(model.languages) == 20 and sum(x["lang_pred"] == lang[x["doc_id"]] for x in langid.predict(table, model).collect()) > 230
+
+
 def test_held_out_accuracy(spark):
     rows = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "lang"]).to_pylist()
     lang = {r["doc_id"]: r["lang"] for r in rows}

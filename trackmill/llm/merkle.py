@@ -20,6 +20,8 @@ from .common import cut, stored
 #: Children of a node: 2**SHIFT.
 SHIFT = 6
 NO_POSITION = -(2**62)
+#: Hex digits of a record's digest in each number that is added up for its position; all 64 count.
+LIMB = 13
 
 
 def warc_digest(url: Column, payload: Column) -> Column:
@@ -41,9 +43,9 @@ def warc_digest(url: Column, payload: Column) -> Column:
 
 def leaves(records: DataFrame, position: Column, digest: Column) -> DataFrame:
     """node, n, digest: one leaf for each position."""
-    limb = lambda i: F.sum(F.conv(F.substring("d", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    limb = lambda i: F.sum(F.conv(F.substring("d", 1 + LIMB * i, LIMB), 16, 10).cast("decimal(20,0)")).cast("string")
     found = records.select(F.coalesce(position.cast("long"), F.lit(NO_POSITION)).alias("node"), digest.alias("d"))
-    return found.groupBy("node").agg(F.count("*").alias("n"), F.sha2(F.concat_ws(":", F.count("*").cast("string"), *map(limb, range(4))), 256).alias("digest"))
+    return found.groupBy("node").agg(F.count("*").alias("n"), F.sha2(F.concat_ws(":", F.count("*").cast("string"), *map(limb, range(-(-64 // LIMB)))), 256).alias("digest"))
 
 
 def parents(nodes: DataFrame) -> DataFrame:

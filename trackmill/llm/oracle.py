@@ -24,7 +24,7 @@ WITH r AS (
     || coalesce('Content-Length: ' || CAST(octet_length(encode({html})) AS VARCHAR) || chr(13) || chr(10), 'WARC-Truncated: unspecified' || chr(13) || chr(10))
     || chr(13) || chr(10) || coalesce({html}, '') || chr(13) || chr(10) || chr(13) || chr(10)) AS d, {rest} FROM {source}
 )"""
-LIMBS = " || ':' || ".join(f"CAST(sum(CAST(('0x' || substr(d, {1 + 15 * i}, 15)) AS BIGINT)) AS VARCHAR)" for i in range(4))
+LIMBS = " || ':' || ".join(f"CAST(sum(CAST(('0x' || substr(d, {1 + 13 * i}, 13)) AS BIGINT)) AS VARCHAR)" for i in range(5))
 LEAVES = f"SELECT page_id, count(*) AS n, sha256(CAST(count(*) AS VARCHAR) || ':' || {LIMBS}) AS digest"
 WARC_FIXITY = f"""
 {FIXITY.format(url="url", html="html", rest="url, html", source="pages")},

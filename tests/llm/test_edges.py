@@ -66,6 +66,12 @@ def test_secrets(spark, docs):
     assert cleaned.columns == docs.columns
 
 
+def test_vocabulary_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(urls, "TERMS", 3)
+    with pytest.raises(ValueError):
+        urls.weights(urls.vocabulary(spark))
+
+
 def test_urls(spark):
     rows = [(1, None), (2, ""), (3, "no scheme casino"), (4, "http://"), (5, "HTTP://WWW.Example.COM/en/5?q"), (6, "x://example.com/en/7a"), (7, "x://a.b#casino"), (8, "x://free.bets/"), (9, "x://free.free/"), (5, "HTTP://WWW.Example.COM/en/5?q")]
     pages = spark.createDataFrame([(*r, "h", "v") for r in rows], "page_id int, url string, host string, verdict string")
@@ -73,6 +79,9 @@ def test_urls(spark):
     assert [got[i]["verdict"] for i in range(1, 10)] == ["allow", "allow", "block", "allow", "block", "allow", "block", "block", "allow"]
     assert (got[5]["host"], got[5]["path"], got[5]["rule"]) == ("www.example.com", "/en/5", "com/en/")
     assert (got[6]["rule"], got[3]["host"], got[3]["path"], got[1]["host"]) == ("example.com/en/7", "", "", "")
+    own = spark.createDataFrame([("Scheme", 1), ("no", 1), ("", 5), (None, 5), ("free", None)], "term string, weight int")
+    assert {r["page_id"]: (r["verdict"], r["weight"]) for r in urls.judge(pages, terms=own).filter("page_id in (1, 3, 8)").collect()} == {1: ("allow", 0), 3: ("block", 2), 8: ("allow", 0)}
+    assert urls.judge(pages, terms=own.limit(0)).filter("weight != 0").count() == 0
     assert urls.judge(pages).count() == len(rows) and urls.judge(pages.limit(0)).collect() == []
 
 

@@ -1,7 +1,7 @@
 """URL filter: host and path rules first, then a weighted vocabulary.
 
 A rule names a host and the start of a path and fits that host and all its subdomains; the longest rule that fits decides.
-Where none fits, an Aho-Corasick automaton finds the vocabulary's terms in the whole address (A-Z lower-cased), a term counts
+Where none fits, an Aho-Corasick automaton finds the terms of a vocabulary (a table of terms and weights) in the whole address (A-Z lower-cased), a term counts
 only between characters other than a-z and 0-9 (or the ends), and the address is blocked if the weights of its distinct terms
 reach the limit: one strict term does, as do two soft ones.
 
@@ -12,16 +12,42 @@ allowed. The result has one row for each row of the input. Only the two named co
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path)
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
-STRICT = ["adult", "casino", "escort", "malware", "phishing", "porn", "spam", "viagra", "warez", "xxx"]
-SOFT = ["ads", "bet", "bets", "bonus", "cheap", "clickbait", "crack", "free", "gambling", "jackpot", "keygen", "loans", "pills", "poker", "slots", "torrent", "track", "tracker", "win"]
 #: Weight of a strict and of a soft term; an address whose distinct terms weigh LIMIT or more is blocked.
 STRICT_WEIGHT, SOFT_WEIGHT, LIMIT = 2, 1, 2
+#: The vocabulary by language and kind, as it comes with the library; any table of term and weight does instead.
+VOCABULARY = {
+    ("en", "strict"): "adult casino escort malware phishing porn porno pornstar sexcam spam viagra cialis warez xxx",
+    ("en", "soft"): "ads bet bets betting bonus cheap cheats clickbait crack cracked free gambling jackpot keygen loans lottery nude payday pills poker replica slots torrent track tracker win winner",
+    ("de", "strict"): "erotik sexkontakte spielbank",
+    ("de", "soft"): "gewinnspiel gluecksspiel gratis kredit kredite lotterie sportwetten wetten",
+    ("fr", "strict"): "pornographie rencontres-sexe",
+    ("fr", "soft"): "credit gratuit loterie paris-sportifs pari rachat-de-credit tirage",
+    ("es", "strict"): "pornografia putas",
+    ("es", "soft"): "apuestas apuesta credito loteria premios prestamos sorteo tragaperras",
+}
+#: Bounds of a vocabulary that is sent to every task: terms and their characters.
+TERMS, TERM_CHARS = 1_000_000, 32_000_000
+
+
+def vocabulary(spark: SparkSession) -> DataFrame:
+    """lang, term, weight: the library's own vocabulary."""
+    weight = {"strict": STRICT_WEIGHT, "soft": SOFT_WEIGHT}
+    return spark.createDataFrame([(lang, term, weight[kind]) for (lang, kind), terms in VOCABULARY.items() for term in terms.split()], "lang string, term string, weight int")
+
+
+def weights(terms: DataFrame) -> dict[str, int]:
+    """The largest weight of each term (A-Z lower-cased) of a table; an error if the table is too large to send to every task. Null and empty terms don't count."""
+    each = terms.select(F.translate("term", UPPER, LOWER).alias("term"), "weight").filter("term != '' AND weight IS NOT NULL").groupBy("term").agg(F.max("weight").alias("weight"))
+    n, size = each.agg(F.count("*"), F.coalesce(F.sum(F.length("term")), F.lit(0))).first()
+    if n > TERMS or size > TERM_CHARS:
+        raise ValueError(f"{n} terms of {size} characters are more than {TERMS} or {TERM_CHARS}")
+    return {r["term"]: r["weight"] for r in each.collect()}
 
 
 def host_of(url: Column) -> Column:
@@ -47,26 +73,23 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
     return out
 
 
-def weights(strict: list[str], soft: list[str]) -> dict[str, int]:
-    return dict.fromkeys(soft, SOFT_WEIGHT) | dict.fromkeys(strict, STRICT_WEIGHT)
-
-
-def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules=RULES, terms: dict[str, int] | None = None, limit: int = LIMIT) -> DataFrame:
+def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules=RULES, terms: DataFrame | None = None, limit: int = LIMIT) -> DataFrame:
     """key, host, path, rule, verdict, weight (of the distinct terms), terms (array, sorted)."""
-    terms = weights(STRICT, SOFT) if terms is None else terms
+    spark = pages.sparkSession
+    held = spark.sparkContext.broadcast(weights(vocabulary(spark) if terms is None else terms))
     kind = pages.schema[key].dataType.simpleString()
 
     def run(batches):
         import ahocorasick
 
-        found = ahocorasick.Automaton()
+        terms, found = held.value, ahocorasick.Automaton()
         for term in terms:
             found.add_word(term, term)
         found.make_automaton()
         edge = lambda c: not ("a" <= c <= "z" or "0" <= c <= "9")
         for batch in batches:
             hits = []
-            for text in batch.column(4).to_pylist():
+            for text in batch.column(4).to_pylist() if terms else [None] * batch.num_rows:
                 hits.append(sorted({t for end, t in found.iter(text) if (end + 1 == len(text) or edge(text[end + 1])) and (end + 1 == len(t) or edge(text[end - len(t)]))}) if text else [])
             weight = [sum(terms[t] for t in h) for h in hits]
             verdict = [v or ("block" if w >= limit else "allow") for v, w in zip(batch.column(5).to_pylist(), weight)]
@@ -79,11 +102,12 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules=RULES,
     return split.select(key, "__host", "__path", rule.alias("__rule"), "__low").select(key, "__host", "__path", F.col("__rule.rule"), "__low", F.col("__rule.verdict").alias("__verdict")).mapInArrow(run, f"`{key}` {kind}, host string, path string, rule string, verdict string, weight long, terms array<string>")
 
 
-def judge_sql(rules=RULES, strict=STRICT, soft=SOFT) -> str:
+def judge_sql(rules=RULES) -> str:
     """The same for DuckDB over `pages`, by one regular expression for each term."""
     case = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}|{v}'" for v, h, p in sorted(rules, key=lambda r: (-len(r[1]) - len(r[2]), r)))
-    weight = " + ".join(f"CASE WHEN regexp_matches(low, '(^|[^a-z0-9]){t}([^a-z0-9]|$)') THEN {w} ELSE 0 END" for t, w in sorted(weights(strict, soft).items()))
-    names = ", ".join(f"CASE WHEN regexp_matches(low, '(^|[^a-z0-9]){t}([^a-z0-9]|$)') THEN '{t}' END" for t in sorted({*strict, *soft}))
+    terms = {t: STRICT_WEIGHT if kind == "strict" else SOFT_WEIGHT for (_, kind), own in sorted(VOCABULARY.items(), key=lambda x: x[0][1]) for t in own.split()}
+    weight = " + ".join(f"CASE WHEN regexp_matches(low, '(^|[^a-z0-9]){t}([^a-z0-9]|$)') THEN {w} ELSE 0 END" for t, w in sorted(terms.items()))
+    names = ", ".join(f"CASE WHEN regexp_matches(low, '(^|[^a-z0-9]){t}([^a-z0-9]|$)') THEN '{t}' END" for t in sorted(terms))
     return f"""
 WITH a AS (SELECT page_id, coalesce(translate(url, '{UPPER}', '{LOWER}'), '') AS low, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 b AS (SELECT page_id, low, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .state import settled
+
 
 def build_arcs(way_nodes: DataFrame, way: str, pos: str, node: str, axes: list[str], both_ways: str, digits: int = 6) -> DataFrame:
     """arc_id, way, chain, direction, from_node, to_node, n_vertices, length: ways cut where they end or meet.
@@ -34,17 +36,64 @@ def _with_stays(edges: DataFrame, sources: DataFrame) -> DataFrame:
     return arcs.unionByName(nodes.select(F.col("n").alias("__from"), F.col("n").alias("__to"), F.lit(0).cast("long").alias("len")))
 
 
-def reach(edges: DataFrame, sources: DataFrame, budget: int, rounds: int) -> DataFrame:
-    """source, dst, dist: shortest distances within the budget and `rounds` arcs, by frontier expansion with a minimum at each step.
+def reach(edges: DataFrame, sources: DataFrame, budget: int) -> DataFrame:
+    """source, dst, dist: shortest distances within the budget, by frontier expansion with a minimum at each step until nothing changes.
 
     Rows stay one for each (source, node); every round is a join on the node and an aggregation, and names the round before once.
     """
     arcs = _with_stays(edges, sources)
-    best = sources.select(F.col("src").alias("source"), F.col("src").alias("dst"), F.lit(0).cast("long").alias("dist"))
-    for _ in range(rounds):
-        step = best.join(arcs, best["dst"] == arcs["__from"]).select("source", F.col("__to").alias("dst"), (F.col("dist") + F.col("len")).alias("dist"))
-        best = step.filter(F.col("dist") <= budget).groupBy("source", "dst").agg(F.min("dist").alias("dist"))
-    return best
+    first = sources.select(F.col("src").alias("source"), F.col("src").alias("dst"), F.lit(0).cast("long").alias("dist"))
+
+    def step(best: DataFrame) -> DataFrame:
+        made = best.join(arcs, best["dst"] == arcs["__from"]).select("source", F.col("__to").alias("dst"), (F.col("dist") + F.col("len")).alias("dist"))
+        return made.filter(F.col("dist") <= budget).groupBy("source", "dst").agg(F.min("dist").alias("dist"))
+
+    return settled(first, step)
+
+
+def routes(arcs: DataFrame, sources: DataFrame, forbidden: DataFrame, budget: int) -> DataFrame:
+    """source, node, dist, turns, path: the best way within the budget from each source to each node that obeys the forbidden turns.
+
+    arcs: arc, src, dst, len; sources: src; forbidden: from_arc, to_arc. The state is the incoming arc, since what may follow depends on
+    it, so a node can be passed twice. Best is least (dist, turns, path): the number of arcs and then their ids in order decide ties.
+    A source reaches itself by no arcs. Rows stay one for each (source, arc).
+    """
+    own = arcs.select("arc", "src", "dst", F.col("len").cast("long").alias("len"))
+    begin = sources.select(F.col("src").alias("source")).distinct().join(own, F.col("source") == own["src"]).filter(F.col("len") <= budget)
+    first = begin.select("source", "arc", F.col("dst").alias("node"), F.struct(F.col("len").alias("dist"), F.lit(1).alias("turns"), F.array("arc").alias("path")).alias("best"))
+    # turns that may be taken: from_arc, and the arc that follows
+    after = own.select(F.col("arc").alias("from_arc"), F.col("dst").alias("at")).join(own.withColumnRenamed("arc", "to_arc"), F.col("at") == F.col("src"))
+    turns = after.join(forbidden.select("from_arc", "to_arc").distinct(), ["from_arc", "to_arc"], "left_anti").select("from_arc", "to_arc", "dst", "len")
+
+    def step(now: DataFrame) -> DataFrame:
+        longer = F.struct((F.col("best.dist") + F.col("len")).alias("dist"), (F.col("best.turns") + 1).alias("turns"), F.concat("best.path", F.array("to_arc")).alias("path"))
+        made = now.join(turns, now["arc"] == turns["from_arc"]).select("source", F.col("to_arc").alias("arc"), F.col("dst").alias("node"), longer.alias("best")).filter(F.col("best.dist") <= budget)
+        return now.union(made).groupBy("source", "arc", "node").agg(F.min("best").alias("best"))
+
+    ways = settled(first, step).select("source", "node", "best")
+    stays = sources.select(F.col("src").alias("source"), F.col("src").alias("node")).distinct()
+    none = F.struct(F.lit(0).cast("long").alias("dist"), F.lit(0).alias("turns"), F.expr("filter(array(0L), x -> false)").cast(dict(arcs.dtypes)["arc"].join(["array<", ">"])).alias("path"))
+    return ways.union(stays.select("source", "node", none.alias("best"))).groupBy("source", "node").agg(F.min("best").alias("best")).select("source", "node", "best.*")
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """a, b: all nodes downstream of each node of edges (src, dst), by joining what is known with itself, so a path of n arcs takes log2(n) rounds."""
+    first = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
+    return settled(first, lambda now: now.union(now.withColumnRenamed("b", "m").join(now.withColumnsRenamed({"a": "m", "b": "b"}), "m").select("a", "b")).distinct())
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, component (the least node that is reachable either way), for each node of edges (a, b)."""
+    both = edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other").distinct()
+    first = both.groupBy("node").agg(F.min("other").alias("x")).select("node", F.least("node", "x").alias("component"))
+
+    def step(now: DataFrame) -> DataFrame:
+        near = both.join(now.select(F.col("node").alias("other"), F.col("component").alias("c")), "other").groupBy("node").agg(F.min("c").alias("c"))
+        lower = now.join(near, "node").select("node", F.least("component", "c").alias("component"))
+        # what the component's own node has found by now holds for all that point to it
+        return lower.join(lower.select(F.col("node").alias("component"), F.col("component").alias("c")), "component").select("node", F.col("c").alias("component"))
+
+    return settled(first, step)
 
 
 def required_route(edges: DataFrame, sources: DataFrame, required: list[int], budget: int, rounds: int) -> DataFrame:

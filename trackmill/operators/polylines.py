@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .grids import radius_join
+
 
 def segments(vertices: DataFrame, keys: list[str], order: str, axes: list[str]) -> DataFrame:
     """A row for each segment: <axis>0, <axis>1, length, along (length before it), nth (from 0), total."""
@@ -49,13 +51,20 @@ def corridor(samples: DataFrame, keys: list[str], axes: list[str]) -> DataFrame:
     return samples.groupBy(*keys, "k").agg(*[F.percentile(a, 0.5).alias(a) for a in axes], F.count("*").alias("n"))
 
 
-def mean_distance(a: DataFrame, b: DataFrame, pair: list[str], axes: list[str]) -> DataFrame:
-    """pair, apart: the mean distance of corresponding samples (k, axes with suffixes _a and _b are made here)."""
-    one = a.select(*[c for c in a.columns if c not in axes], *[F.col(x).alias(f"{x}_a") for x in axes])
-    two = b.select(*[c for c in b.columns if c not in axes], *[F.col(x).alias(f"{x}_b") for x in axes])
-    on = [c for c in one.columns if c in two.columns]
+def near_pairs(samples: DataFrame, family: list[str], line: str, axes: list[str], most: float) -> DataFrame:
+    """family, a, b, apart: pairs (a < b) of a family's resampled polylines whose corresponding samples (k) lie `most` or less apart in the mean.
+
+    The middles of two polylines are no farther apart than their samples in the mean, so only polylines whose middles meet in cells
+    are compared: no pairs of a whole family are made.
+    """
+    middle = samples.groupBy(*family, line).agg(*[F.avg(a).alias(f"m_{a}") for a in axes])
+    named = lambda n: middle.select(*[F.col(f).alias(f"{f}_{n}") for f in family], F.col(line).alias(n), *[F.col(f"m_{x}").alias(f"{x}_{n}") for x in axes])
+    same = reduce(lambda x, y: x & y, [F.col(f"{f}_a") == F.col(f"{f}_b") for f in family], F.col("a") < F.col("b"))
+    # a little wider, since middles are rounded
+    met = radius_join(named("a"), named("b"), [f"{x}_a" for x in axes], [f"{x}_b" for x in axes], most * (1 + 1e-9)).filter(same).select(*[F.col(f"{f}_a").alias(f) for f in family], "a", "b")
+    one, two = (samples.select(*family, F.col(line).alias(n), "k", *[F.col(x).alias(f"{x}_{n}") for x in axes]) for n in "ab")
     d = F.sqrt(reduce(lambda x, y: x + y, [(F.col(f"{x}_a") - F.col(f"{x}_b")) * (F.col(f"{x}_a") - F.col(f"{x}_b")) for x in axes]))
-    return one.join(two, on).groupBy(*pair).agg(F.avg(d).alias("apart"))
+    return met.join(one, [*family, "a"]).join(two, [*family, "b", "k"]).groupBy(*family, "a", "b").agg(F.avg(d).alias("apart")).filter(F.col("apart") <= most)
 
 
 def complete_link(nodes: DataFrame, edges: DataFrame, block: str, node: str) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import bins as B
 from ..operators import graphs as R
 from ..operators import polylines as P
-from .matching_joins import NODES, edges
+from ..operators.state import kept
+from .matching_joins import NODES, edges, restriction_rules
 from .registry import EVENTS, events, query, table
 
 SIZE = 20.0
@@ -121,9 +122,7 @@ def project_to_polyline(spark, sf_dir):
 
 def corridors(spark, sf_dir):
     samples = P.resample(polylines(spark, sf_dir), ["user_id"], ["x", "y"], 21).withColumn("family", F.col("user_id") % 10)
-    a, b = (samples.select(F.col("family").alias("family"), F.col("user_id").alias(n), F.col("k").alias("k"), "x", "y") for n in "ab")
-    apart = P.mean_distance(a, b, ["family", "a", "b"], ["x", "y"])
-    return samples, apart.filter((F.col("a") < F.col("b")) & (F.col("apart") <= 120))
+    return samples, P.near_pairs(samples, ["family"], "user_id", ["x", "y"], 120.0)
 
 
 @query(f"""
@@ -137,26 +136,53 @@ def compatible_corridors(spark, sf_dir):
 
 @query()
 def corridor_clusters(spark, sf_dir):
-    """Greedy complete-link clusters of compatible polylines; tested against a plain version."""
+    """Greedy complete-link clusters of compatible polylines, each connected component by itself; tested against a plain version."""
     samples, links = corridors(spark, sf_dir)
-    return P.complete_link(samples.select("family", "user_id").distinct(), links, "family", "user_id")
+    links = kept(links)
+    lines = samples.select("family", "user_id").distinct().join(R.components(links).withColumnRenamed("node", "user_id"), "user_id", "left")
+    lines = lines.withColumn("component", F.coalesce("component", "user_id"))
+    named = links.join(lines.select(F.col("user_id").alias("a"), "component"), "a")
+    return P.complete_link(lines, named, "component", "user_id").join(lines.select("user_id", "family"), "user_id").select("family", "user_id", "cluster")
 
 
 @query(f"""
-WITH RECURSIVE {NODES}, r AS (SELECT n_nationkey AS source, n_nationkey AS dst, CAST(0 AS BIGINT) AS dist, 0 AS hops FROM nation UNION SELECT source, e.dst, dist + len, hops + 1 FROM r JOIN edge e ON e.src = r.dst WHERE dist + len <= 12 AND hops < 6)
+WITH RECURSIVE {NODES}, r AS (SELECT n_nationkey AS source, n_nationkey AS dst, CAST(0 AS BIGINT) AS dist FROM nation UNION SELECT source, e.dst, dist + len FROM r JOIN edge e ON e.src = r.dst WHERE dist + len <= 12)
 SELECT source, dst, min(dist) AS dist FROM r GROUP BY source, dst
 """)
 def shortest_reach(spark, sf_dir):
-    """Distances within a budget on a directed graph."""
+    """M5: distances within a budget on a directed graph."""
     e = edges(spark, sf_dir)
-    return R.reach(e, table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("src")), 12, 6)
+    return R.reach(e, table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("src")), 12)
+
+
+ARCS = f"{NODES}, arc AS (SELECT src * 2 + row_number() OVER (PARTITION BY src ORDER BY dst, len) - 1 AS arc, src, dst, len FROM edge)"
+
+
+@query(f"""
+WITH RECURSIVE {ARCS}, rel AS (SELECT n_nationkey AS from_src, (3 * n_nationkey + 1) % 25 AS via, (5 * ((3 * n_nationkey + 1) % 25) + 2) % 25 AS to_dst, n_nationkey % 3 = 0 AS no FROM nation WHERE n_nationkey % 3 < 2),
+ban AS (SELECT DISTINCT a.arc AS from_arc, b.arc AS to_arc FROM rel JOIN arc a ON a.src = from_src AND a.dst = via JOIN arc b ON b.src = via WHERE (b.dst = to_dst) = no),
+r AS (SELECT src AS source, arc, dst AS node, CAST(len AS BIGINT) AS dist, [arc] AS path FROM arc
+  UNION ALL SELECT r.source, n.arc, n.dst, r.dist + n.len, list_append(r.path, n.arc) FROM r JOIN arc n ON n.src = r.node LEFT JOIN ban ON ban.from_arc = r.arc AND ban.to_arc = n.arc WHERE ban.from_arc IS NULL AND r.dist + n.len <= 12),
+w AS (SELECT source, node, dist, CAST(len(path) AS INTEGER) AS turns, path FROM r UNION ALL SELECT n_nationkey, n_nationkey, 0, 0, [] FROM nation),
+o AS (SELECT *, row_number() OVER (PARTITION BY source, node ORDER BY dist, turns, path) AS nth FROM w)
+SELECT source, node, dist, turns, array_to_string(path, '-') AS path FROM o WHERE nth = 1
+""")
+def turn_restricted_routes(spark, sf_dir):
+    """The best ways within a budget by which no forbidden turn is taken, with their arcs."""
+    nth = F.row_number().over(Window.partitionBy("src").orderBy("dst", "len")) - 1
+    arcs = edges(spark, sf_dir).select((F.col("src") * 2 + nth).alias("arc"), "src", "dst", "len")
+    rules = restriction_rules(spark, sf_dir).filter("state = 'FORBIDDEN'").select("from_src", "via", F.col("dst").alias("to_dst"))
+    into = arcs.select(F.col("arc").alias("from_arc"), F.col("src").alias("from_src"), F.col("dst").alias("via"))
+    out = arcs.select(F.col("arc").alias("to_arc"), F.col("src").alias("via"), F.col("dst").alias("to_dst"))
+    banned = rules.join(into, ["from_src", "via"]).join(out, ["via", "to_dst"])
+    found = R.routes(arcs, table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("src")), banned, 12)
+    return found.withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), "-"))
 
 
 @query(f"WITH RECURSIVE {NODES}, f AS (SELECT src, dst FROM edge WHERE dst > src), r AS (SELECT src AS a, dst AS b FROM f UNION SELECT r.a, f.dst FROM r JOIN f ON f.src = r.b) SELECT a, b FROM r")
 def stage_closure(spark, sf_dir):
-    """Everything downstream of each stage of an acyclic graph, by a recursive query."""
-    edges(spark, sf_dir).filter("dst > src").select("src", "dst").distinct().createOrReplaceTempView("trackmill_stage_edges")
-    return spark.sql("WITH RECURSIVE r(a, b) AS (SELECT src, dst FROM trackmill_stage_edges UNION ALL SELECT r.a, f.dst FROM r JOIN trackmill_stage_edges f ON f.src = r.b) SELECT DISTINCT a, b FROM r")
+    """Everything downstream of each stage of an acyclic graph."""
+    return R.closure(edges(spark, sf_dir).filter("dst > src"))
 
 
 @query(f"""
@@ -165,7 +191,7 @@ m AS (SELECT o_orderkey, s, t, min(len) AS len FROM d JOIN edge ON src = s AND d
 SELECT CASE WHEN m.o_orderkey IS NULL THEN 'missing_connection' WHEN len > 4 THEN 'geometry_disagreement' ELSE 'agrees' END AS kind, count(*) AS n FROM d LEFT JOIN m USING (o_orderkey) GROUP BY ALL
 """)
 def topology_hypotheses(spark, sf_dir):
-    """Corridors between nodes that no arc joins, and those whose best arc lies too far."""
+    """Asked connections that no arc joins, and those whose best arc lies too far; by keys, without the corridors' geometry."""
     asks = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 25).alias("src"), (F.col("o_orderkey") % 25).alias("dst"))
     best = edges(spark, sf_dir).groupBy("src", "dst").agg(F.min("len").alias("len"))
     kind = F.when(F.col("len").isNull(), "missing_connection").when(F.col("len") > 4, "geometry_disagreement").otherwise("agrees")

@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators.state import shared_dir
 from ..streaming import live as L
 from .registry import query
 
 
 def _folder(spark) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    return os.path.join(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="trackmill-"), "streams", uuid.uuid4().hex)
+    """A new folder that driver and executors share."""
+    return os.path.join(shared_dir(spark), "streams", uuid.uuid4().hex)
 
 
 def _events(spark, sf_dir):

@@ -119,15 +119,20 @@ def injected_changes(spark, sf_dir):
 
 
 @query("""
-WITH s AS (SELECT CAST(n_nationkey AS BIGINT) AS seq, n_nationkey % 8 AS k FROM nation WHERE n_nationkey % 8 <> 2)
+WITH s AS (SELECT CAST(n_nationkey AS BIGINT) AS seq, n_nationkey % 8 AS k FROM nation)
 SELECT seq, 'position_jump' AS primary_rule, 'CRITICAL' AS severity, 1 AS events FROM s WHERE seq % 5 = 1
 UNION ALL SELECT seq, 'position_jump', 'CRITICAL', 2 FROM s WHERE seq % 5 = 2
 UNION ALL SELECT seq, 'gap', 'WARNING', 1 FROM s WHERE seq % 5 = 4
-UNION ALL SELECT seq, 'position_jump', 'CRITICAL', 1 FROM s WHERE seq % 5 = 3 AND k <> 7
+UNION ALL SELECT seq, 'position_jump', 'CRITICAL', 1 FROM s WHERE seq % 5 = 3 AND k NOT IN (2, 7)
+UNION ALL SELECT seq, 'acceleration_limit', 'WARNING', CASE WHEN seq % 5 = 2 THEN 1 ELSE 2 END FROM s WHERE k = 2
 """)
 def trajectory_events(spark, sf_dir):
-    """Each injected fault is found where it was put, and clean sequences stay silent (stop-start ones, which brake in no time, aside)."""
-    got = T.trajectory_events(T.trajectory_failures(faulty(spark, sf_dir).filter("scenario != 'stop_start'"), "seq"), "seq")
+    """Each injected fault is found where it was put, and clean sequences stay silent, but for two stops in no time.
+
+    Eight of the twelve rules: jerk, yaw rate, reference positions and domains have queries of their own. A bias that begins as a
+    sequence starts again is one event with it.
+    """
+    got = T.trajectory_events(T.trajectory_failures(faulty(spark, sf_dir), "seq"), "seq")
     return got.groupBy("seq", "primary_rule", "severity").agg(F.count("*").cast("int").alias("events"))
 
 

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,13 +22,15 @@ BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a new one in local mode, and an error on a cluster."""
     path, current = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.getCheckpointDir()
     if path:
         if current is None:
             spark.sparkContext.setCheckpointDir(path)
         return path
     if current is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="trackmill-"))
         current = spark.sparkContext.getCheckpointDir()
     return current
@@ -43,7 +46,31 @@ def stored(df: DataFrame) -> DataFrame:
     """Like cut(), for large tables: compressed Parquet in the shared folder, read with column pruning."""
     path = os.path.join(shared_dir(df.sparkSession), "tables", uuid.uuid4().hex)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made._stored_at = path
+    if _scratch:
+        _scratch[-1].append(made)
+    return made
+
+
+_scratch: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """The tables that are stored within are deleted at its end, so results must have been written by then."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        discard(*_scratch.pop())
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored() tables that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def pass_on(joined: DataFrame, edges: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import discard, stored
 
 
 #: Neighbours from which on a node's edges are dealt in SALTS shares.
@@ -37,15 +37,20 @@ def _step(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("a < b").distinct()
 
 
+#: Edges in one file of a round's table.
+TOGETHER = 50_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node reachable), for each node of edges (a, b) of one sortable type; nodes without edges have no row."""
-    now = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
+    now = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
     mark = None
     while True:
         # stars only: the edges stay as they are, and so do their count and sum of hashes
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen[0] == 0 or seen == mark:
             break
-        mark = seen
-        now = cut(_step(_step(now, True), False))
+        mark, before = seen, now
+        now = stored(_step(_step(now, True), False).coalesce(1 + seen[0] // TOGETHER))
+        discard(before)
     return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select("a", "a").distinct())

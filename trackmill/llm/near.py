@@ -1,20 +1,19 @@
-"""Near duplicates of whole texts: SimHash with covering tables first, then an exact prefix filter for what no radius covers.
+"""Near duplicates of whole texts: SimHash with covering tables, and keys of content-chosen shingles for what no radius covers.
 
 Two texts are near copies if their sets of SHINGLE-word shingles have a Jaccard similarity of `least` or more; groups are
-connected components. Texts that are equal are one class from the start. Links are found in two steps, both verified on the whole sets:
+connected components. Texts that are equal are one class from the start. Classes are compared that share a key:
 
-1. Covering tables of a SimHash over a text's distinct words (simhash.py): every class of a key is compared with the key's head.
-   This joins most copies cheaply, whatever the size of a crowd, and is no more than a beginning.
-2. The prefix filter: in any order of all shingles, two sets that are alike by `least` share one of the first
-   n - ceil(least * n) + 1 shingles of each. The order here is by how often a shingle occurs (counted over all texts in BUCKETS hashed
-   counters; collisions only disturb the order, never the result), so the keys are each text's rarest shingles and passages that many
-   documents share are none. No pair that is alike is missed.
+* of the covering tables of a SimHash over a text's distinct words (simhash.py): every class is compared with the key's head. That
+  joins most copies early, but a fingerprint within the radius is no certainty: at 0.8 fingerprints of shingles differ in 9 bits;
+* of content: each of KEYS orders of all shingles gives a key, the first CHOSEN shingles of the text in CHOSEN orders of their own.
+  Two texts alike by s share a given key with the chance s ** CHOSEN, so they share none with (1 - 0.8 ** 3) ** 30 = 5e-10 at 0.8
+  and less above. (A prefix filter would be certain, but its keys, a fifth of all shingles, took over nine times the input on disk.)
 
-The classes of a prefix key are compared with a head in rounds, as long as a key holds more than SMALL classes that are not of its
+The classes of a content key are compared with a head in rounds, as long as a key holds more than SMALL classes that are not of its
 largest group; what remains of keys with two or more groups is then compared in pairs, unless sizes or a bitmap of the shingles
-show that a pair can't be alike. So no pair of joined classes is ever made. Sets of shingles are made for pairs only that sizes and
-bitmaps admit. A crowd that shares a rare shingle and in which no two are
-alike is the one case of work by the square of its size, within a join's condition.
+show that a pair can't be alike. No key has a limit, and no pair of joined classes is made. Every link is verified on the whole sets,
+which are made for pairs only that sizes and bitmaps admit. A crowd that shares a key and in which no two are alike is the one case of
+work by the square of its size, within a join's condition.
 
 Null texts count as empty; texts without words have no near copies but equal ones. A null key comes before all others. Of equal rows
 (key and text) one stays, the one of least hash. Any type of key that can be ordered will do; only the two named columns matter.
@@ -22,15 +21,12 @@ Null texts count as empty; texts without words have no near copies but equal one
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, pass_on, slices, small_batches, stored
+from .common import discard, map_texts, pass_on, stored
 from .components import components
 from .simhash import majority, table_keys
 
@@ -38,12 +34,12 @@ from .simhash import majority, table_keys
 SHINGLE, SIMILAR = 5, 0.8
 #: Differing bits of two fingerprints that the covering tables are made for.
 RADIUS = 4
-#: Bits of the number of a counter; a table of 4 bytes each is broadcast, whatever the size of the corpus.
-BUCKETS = 20
+#: Keys of content for each text, and the shingles that make one.
+KEYS, CHOSEN = 30, 3
 #: 64-bit words of a text's bitmap of shingles.
 BITMAP = 32
 #: Classes of a key outside its largest group that are left to pairs; the most rounds of heads before that.
-SMALL, ROUNDS = 32, 6
+SMALL, ROUNDS = 32, 3
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -66,54 +62,28 @@ def gram_hashes(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return np.unique(h ^ (h >> np.uint64(29)))
 
 
-def bucket(grams: np.ndarray) -> np.ndarray:
-    return (grams >> np.uint64(64 - BUCKETS)).astype(np.int64)
-
-
-def prefix(grams: np.ndarray, seen: np.ndarray, least: float) -> np.ndarray:
-    """The first n - ceil(least * n) + 1 of n shingles, the rarest first; ascending hashes decide ties."""
-    n = len(grams)
-    return grams[np.argsort(seen[bucket(grams)], kind="stable")[: n - math.ceil(least * n - 1e-9) + 1]] if n else grams
-
-
-def occurrences(texts: DataFrame, text: str) -> np.ndarray:
-    """How many rows have a shingle of each bucket, over all rows; tasks count for themselves, their counters are added up in a shuffle."""
+def _odd(n: int) -> np.ndarray:
+    """n fixed odd numbers: the orders."""
+    z = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * _MIX[0]
+    return (z ^ (z >> np.uint64(27))) * _MIX[1] | np.uint64(1)
 
-    def run(batches):
-        own, some, size = np.zeros(1 << BUCKETS, np.int64), [], 0
 
-        def put():
-            nonlocal own, size
-            own += np.bincount(np.concatenate([*some, np.zeros(0, np.int64)]), minlength=1 << BUCKETS)
-            some.clear()
-            size = 0
+ORDERS = _odd(KEYS * CHOSEN)
 
-        for batch in slices(batches, 0):
-            for t in batch.column(0).to_pylist():
-                some.append(bucket(gram_hashes(word_hashes(t))))
-                size += len(some[-1])
-                if size > 1 << BUCKETS:
-                    put()
-        put()
-        at = np.flatnonzero(own)
-        for start in range(0, len(at), 1 << 16):
-            part = at[start : start + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(own[part])], names=["bucket", "n"])
 
-    rows = small_batches(texts).select(text).mapInArrow(run, "bucket int, n long")
-    found = rows.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most one row for each of 2**BUCKETS buckets
-    out = np.zeros(1 << BUCKETS, np.uint32)
-    out[found["bucket"].to_numpy()] = np.minimum(found["n"].to_numpy(), 2**32 - 1)
-    return out
+def content_keys(grams: np.ndarray) -> list[int]:
+    """A key for each of KEYS sets of orders, as signed 64-bit numbers; none without shingles."""
+    if not len(grams):
+        return []
+    first = np.min([(grams[at : at + 4096, None] * ORDERS).min(axis=0) for at in range(0, len(grams), 4096)], axis=0).reshape(KEYS, CHOSEN)
+    return [xxhash.xxh64_intdigest(one.astype("<u8").tobytes(), i) - (1 << 63) for i, one in enumerate(first)]
 
 
-def signatures(rows: DataFrame, key: str, text: str, seen: np.ndarray, least: float) -> DataFrame:
-    """key, fp (SimHash of the distinct words), size (distinct shingles), bits (each shingle flips one), keys (the prefix)."""
-    held = rows.sparkSession.sparkContext.broadcast(seen)
+def signatures(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, fp (SimHash of the distinct words), size (distinct shingles), bits (each shingle flips one), keys (of content)."""
 
     def make():
-        own = held.value
-
         def work(_, texts):
             out = []
             for t in texts:
@@ -121,7 +91,7 @@ def signatures(rows: DataFrame, key: str, text: str, seen: np.ndarray, least: fl
                 grams = gram_hashes(words)
                 odd = np.bincount((grams % np.uint64(64 * BITMAP)).astype(np.int64), minlength=64 * BITMAP) & 1
                 bits = np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
-                out.append([majority(np.unique(words)), len(grams), bits, prefix(grams, own, least).view(np.int64).tolist()])
+                out.append([majority(np.unique(words)), len(grams), bits, content_keys(grams)])
             return [list(c) for c in zip(*out)]
 
         return work
@@ -129,11 +99,6 @@ def signatures(rows: DataFrame, key: str, text: str, seen: np.ndarray, least: fl
     return map_texts(rows, key, text, make, "fp long, size int, bits array<long>, keys array<long>")
 
 
-def of_pairs(table: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The rows of table whose node is in a stored pair; Spark broadcasts the nodes if they are few, else both are shuffled."""
-    return table.join(stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "node", "left_semi")
-
-
 def beside(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
     """The pairs with x and y, the column's values of their nodes."""
     one = lambda side, name: table.select(F.col("node").alias(side), F.col(column).alias(name))
@@ -141,7 +106,7 @@ def beside(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
 
 
 def alike(pairs: DataFrame, signed: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard similarity of `least` or more."""
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of `least` or more, as a stored table."""
 
     @F.pandas_udf("double")
     def jaccard(x, y):
@@ -152,12 +117,17 @@ def alike(pairs: DataFrame, signed: DataFrame, texts: DataFrame, least: float) -
 
         return x.combine(y, one).astype(float)
 
-    pairs = stored(pairs)
-    about = of_pairs(signed, pairs).select("node", F.struct("size", "bits").alias("about"))
-    pairs = stored(beside(pairs, about, "about").filter(can_be_alike(F.col("x"), F.col("y"), least)).select("a", "b"))
+    about = signed.select("node", F.struct("size", "bits").alias("about"))
+    admitted = stored(beside(pairs, about, "about").filter(can_be_alike(F.col("x"), F.col("y"), least)).select("a", "b"))
+    if admitted.isEmpty():
+        return admitted
+    # a table of its own, so that Spark knows its size: it is sent to the texts if it is small, else both are shuffled
+    nodes = stored(admitted.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     grams = lambda _, found: [[gram_hashes(word_hashes(t)).tobytes() for t in found]]
-    sets = stored(map_texts(of_pairs(texts, pairs), "node", "t", lambda: grams, "grams binary"))
-    return beside(pairs, sets, "grams").filter(jaccard("x", "y") >= least - 1e-9).select("a", "b")
+    sets = stored(map_texts(texts.join(nodes, "node", "left_semi"), "node", "t", lambda: grams, "grams binary"))
+    links = stored(beside(admitted, sets, "grams").filter(jaccard("x", "y") >= least - 1e-9).select("a", "b"))
+    discard(admitted, nodes, sets)
+    return links
 
 
 def can_be_alike(x: Column, y: Column, least: float) -> Column:
@@ -174,13 +144,11 @@ def sizes_fit(a: Column, b: Column, least: float) -> Column:
     return F.least(a, b) >= least * F.greatest(a, b) - 1e-6
 
 
-def beside_table_heads(signed: DataFrame, radius: int, least: float) -> DataFrame:
-    """a, b: each class beside the head of each covering table's key that it shares; a node's hash decides who is head, in every key alike."""
-    keys = signed.select("node", "size", F.explode(table_keys(F.col("fp"), radius)).alias("key"))
-    head = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("head"), F.col("size").alias("head_size")))
-    heads = stored(keys.groupBy("key").agg(F.count("*").alias("n"), head.alias("x")).filter("n > 1").select("key", "x.head", "x.head_size"))
-    met = keys.join(heads, "key").filter((F.col("node") != F.col("head")) & sizes_fit(F.col("size"), F.col("head_size"), least))
-    return met.select(*ordered(F.col("node"), F.col("head"))).distinct()
+def shared_keys(signed: DataFrame, radius: int) -> DataFrame:
+    """key, node, size, content (whether the key is one of content), of keys that two or more classes have."""
+    both = F.concat(F.transform(table_keys(F.col("fp"), radius), lambda k: F.struct(k.alias("key"), F.lit(False).alias("content"))), F.transform("keys", lambda k: F.struct(k.alias("key"), F.lit(True).alias("content"))))
+    keys = signed.filter("size > 0").select("node", "size", F.inline(both))
+    return keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "key")
 
 
 def rooted(met: DataFrame, joined: DataFrame) -> DataFrame:
@@ -228,21 +196,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     met = own.join(classes.hint("merge"), ["digest", "h"]).filter(F.col("d").eqNullSafe(F.col("least")))
     rows = stored(met.groupBy("digest", "h").agg(F.first("node").alias("node"), F.min_by("row", F.xxhash64(*plain)).alias("row")).select("node", "row"))
     texts = rows.select("node", string(F.col(f"row.`{text}`")).alias("t"))
-    signed = stored(signatures(texts, "node", "t", occurrences(texts, "t"), least))
-    verified = lambda pairs: stored(alike(pairs, signed, texts, least))
-    joined = stored(components(verified(beside_table_heads(signed.filter("size > 0"), radius, least))))
-    keys = signed.select("node", "size", F.explode("keys").alias("key"))
-    met = stored(keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "key"))
-    for nth in range(ROUNDS):
-        now = stored(rooted(met, joined))
-        if nth:  # all keys have met a head; now those with many left
-            crowded = stored(largest_groups(now).filter(F.col("rest") > SMALL).select("key"))
-            if crowded.isEmpty():
-                break
-        joined = stored(components(pass_on(joined, verified(beside_heads(now.join(crowded, "key") if nth else now, nth, least)))))
-    else:
+    signed = stored(signatures(texts, "node", "t"))
+    met = stored(shared_keys(signed, radius))
+    # every key's classes beside a head; then only keys of content, where many are left, and at last in pairs
+    links = alike(beside_heads(met.withColumn("root", F.col("node")), 0, least), signed, texts, least)
+    joined = stored(components(links))
+    discard(links)
+    met = met.filter("content").drop("content")
+    for nth in range(1, ROUNDS + 1):
         now = stored(rooted(met, joined))
-    found = stored(components(pass_on(joined, verified(apart(now, signed, least)))))
+        crowded = stored(largest_groups(now).filter(F.col("rest") > SMALL).select("key"))
+        if nth == ROUNDS or crowded.isEmpty():
+            break
+        links = alike(beside_heads(now.join(crowded, "key"), nth, least), signed, texts, least)
+        if links.isEmpty():
+            break
+        before, joined = joined, stored(components(pass_on(joined, links)))
+        discard(links, now, crowded, before)
+    links = alike(apart(now, signed, least), signed, texts, least)
+    found = stored(components(pass_on(joined, links)))
+    discard(links, now)
     first = found.join(classes, "node").groupBy("root").agg(F.min(F.struct("least", "digest", "node")).alias("x")).select(F.col("x.node").alias("node"))
     # a table of its own, so that Spark knows its size and sends it to the rows if it is small
     copies = stored(found.select("node").join(first, "node", "left_anti"))

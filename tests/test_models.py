@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from trackmill.functions import geometry, scalars
-from trackmill.operators import bins, decoding, detectors, generators, grids, islands, joins, polylines, statistics
+from trackmill.operators import bins, checks, decoding, detectors, generators, graphs, grids, islands, joins, polylines, statistics
 
 
 def merged(spans, gap=0):
@@ -199,3 +199,30 @@ def test_empty_inputs(spark):
     assert islands.merge_intervals(df, ["k"], "s", "e").collect() == []
     assert joins.overlap_join(df, df.toDF("k", "t", "u", "id2", "v2"), ["k"], ("s", "e"), ("t", "u"), 5).collect() == []
     assert decoding.robust_fit(df, ["k"], "id", F.col("s"), "v").collect() == []
+
+
+def test_checks_fail_where_they_must(spark):
+    df = spark.createDataFrame([(1, 2.0), (2, float("nan")), (3, None)], "k int, v double")
+    assert checks.require(checks.within_budget(df, 3, {"k": (1, 3)}), "rows").first()["ok"]
+    report = checks.within_budget(df, 2, {"v": (0, 9)}, {"k": 2})
+    assert tuple(report.first()) == (3, 2, 3, False)
+    with pytest.raises(Exception, match="out of bounds"):
+        checks.require(report, "rows").collect()
+    assert checks.within_budget(df.limit(0), 2, {"v": (0, 9)}).first()["ok"]
+    times = spark.createDataFrame([(5, "a", 3, "a"), (2**63 - 1, "a", -1, "a"), (5, "a", 3, "b"), (5, None, 3, None)], "x long, p string, y long, q string")
+    args = [F.col(c) for c in "xpyq"]
+    assert [r[0] for r in times.select(checks.time_difference(*args, F.lit(None).cast("long"))).collect()] == [2, None, None, None]
+    with pytest.raises(Exception, match="not comparable"):
+        times.select(checks.time_difference(*args)).collect()
+
+
+def test_routes_obey_turns(spark):
+    arcs = spark.createDataFrame([(1, "a", "b", 1), (2, "b", "c", 1), (3, "b", "d", 1), (4, "d", "b", 1), (5, "a", "c", 9)], "arc long, src string, dst string, len long")
+    sources = spark.createDataFrame([("a",), ("z",)], "src string")
+    banned = spark.createDataFrame([(1, 2)], "from_arc long, to_arc long")
+    got = {(r["source"], r["node"]): (r["dist"], r["turns"], r["path"]) for r in graphs.routes(arcs, sources, banned, 20).collect()}
+    # the turn from a to c is closed at b, so the way goes on to d and comes back: b is passed twice
+    assert got == {("a", "a"): (0, 0, []), ("z", "z"): (0, 0, []), ("a", "b"): (1, 1, [1]), ("a", "d"): (2, 2, [1, 3]), ("a", "c"): (4, 4, [1, 3, 4, 2])}
+    assert {(r["a"], r["b"]) for r in graphs.closure(arcs).filter("a = 'a'").collect()} == {("a", "b"), ("a", "c"), ("a", "d")}
+    links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 50), (50, 51)], "a long, b long")
+    assert {r["node"]: r["component"] for r in graphs.components(links).collect()} == {**{i: 0 for i in range(31)}, 50: 50, 51: 50, 100: 50}

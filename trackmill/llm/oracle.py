@@ -36,4 +36,27 @@ SELECT page_id, CASE WHEN b.digest IS NULL THEN 'missing' WHEN a.digest IS NULL
 FROM a FULL JOIN b USING (page_id) WHERE a.digest IS DISTINCT FROM b.digest
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_warc_fixity": WARC_FIXITY, "op3_exact_top_k": TOP_K, "op6_url_filter": urls.judge_sql()}
+INTERACTION = """
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents
+), m AS (
+  SELECT part, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic, [
+    len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(d.doc_id > least, false)
+  ] AS fails FROM d LEFT JOIN labels USING (doc_id)
+), g AS (SELECT part, good, toxic, fails, count(*) AS n FROM m GROUP BY ALL),
+f AS (SELECT unnest(range(1, 6)) AS i),
+p AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT o, unnest(range(1, 6)) AS step FROM p),
+x AS (
+  SELECT part, o, step, good, toxic, n, o[step] AS i, fails[o[step]] AS failing, len(list_filter(o[1:step - 1], lambda j: fails[j])) > 0 AS gone,
+    fails[o[step]] AND len(list_filter(fails, lambda v: v)) = 1 AS alone FROM g, s
+), r AS (
+  SELECT part, o, step, i, sum(CASE WHEN NOT failing AND NOT gone THEN n ELSE 0 END) AS kept, sum(CASE WHEN failing AND NOT gone THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN failing AND gone THEN n ELSE 0 END) AS redundant, sum(CASE WHEN alone THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN failing AND NOT gone AND good THEN n ELSE 0 END) AS good_lost, sum(CASE WHEN failing AND NOT gone AND toxic THEN n ELSE 0 END) AS toxic_lost FROM x GROUP BY ALL
+) SELECT part, array_to_string([substr('ABCDE', CAST(j AS BIGINT), 1) FOR j IN o], '') AS filter_order, CAST(step AS INTEGER) AS step,
+  CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, i) AS BIGINT) AS shapley FROM r
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_warc_fixity": WARC_FIXITY, "op3_exact_top_k": TOP_K, "op6_url_filter": urls.judge_sql(), "op12_filter_interaction": INTERACTION}

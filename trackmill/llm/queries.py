@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, merkle, quality, repeats, secrets, simhash, topk, urls
+from . import bpe, decontaminate, interaction, langid, merkle, quality, repeats, secrets, simhash, topk, urls, whitening
 
 #: A parameter: any rank file will do.
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -78,6 +78,16 @@ def op10_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op12_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters keep and remove in each part, in every order."""
+    return interaction.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector on the 16 leading components, at unit variance."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_fixity": op1_warc_fixity,
     "op2_byte_bpe": op2_byte_bpe,
@@ -89,4 +99,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_codes": op8_language_codes,
     "op9_quality_votes": op9_quality_votes,
     "op10_simhash_covering": op10_simhash_covering,
+    "op12_filter_interaction": op12_filter_interaction,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, interaction, langid, merkle, quality, repeats, secrets, simhash, topk, urls, whitening
+from . import bpe, decontaminate, interaction, langid, merkle, quality, repeats, secrets, simhash, topk, toxicity, urls, whitening
 
 #: A parameter: any rank file will do.
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -78,6 +78,13 @@ def op10_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op11_toxicity_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's toxicity; rows whose remainder by 3 is 1 are held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), langid.remainder(F.col("k"), 3) != 1)
+    return toxicity.score(docs, model).withColumn("held_out", F.coalesce(langid.remainder(F.col("doc_id"), 3) == 1, F.lit(False)))
+
+
 def op12_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters keep and remove in each part, in every order."""
     return interaction.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -99,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_codes": op8_language_codes,
     "op9_quality_votes": op9_quality_votes,
     "op10_simhash_covering": op10_simhash_covering,
+    "op11_toxicity_channel": op11_toxicity_channel,
     "op12_filter_interaction": op12_filter_interaction,
     "op13_embedding_whitening": op13_embedding_whitening,
 }

@@ -17,8 +17,9 @@ The method adds spans only of candidates whose decoded content has the structure
 Public keys and certificates are no secrets. Base64 runs of der and ssh may be wrapped in lines, with line ends as they are or
 escaped, and may follow or precede a slash or another sign of the alphabet.
 
-Every text is passed over by patterns that visit whole runs once, and a run's candidates are decoded only where their first bytes
-announce a key that would end at an edge, so the time grows in proportion to the text. Spans count code points, the end is
+Every text is passed over by patterns that visit whole runs once. Of a run's candidates for keys only the heads of the nested values are read, in
+place, and what is found about them is kept for other candidates that hold the same values; of a token's candidates for headers only
+those are decoded whose braces close where the part ends. So the time grows in proportion to the text. Spans count code points, the end is
 exclusive; they are leftmost and do not overlap within a kind; an added span never replaces a base one. Null and empty texts have
 no spans. A row of the input gives one row. Only the two named columns are read.
 """
@@ -80,7 +81,50 @@ def unbase64(text: str) -> bytes | None:
         return None
 
 
-def der_head(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
+SIX = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_", bytes([*range(64), 62, 63]))
+
+
+class Signs:
+    """Base64 signs, which can be read as bytes from any sign on; what was found about nested values at a place is kept, as many starts can share them."""
+
+    def __init__(self, signs: str):
+        self.values = signs.encode().translate(SIX)
+        self.known: dict[tuple[int, int, int], bool] = {}
+
+    def view(self, at: int, size: int) -> View:
+        return View(self, 6 * at, size)
+
+
+class View:
+    """Bytes within signs, decoded where they are looked at."""
+
+    def __init__(self, signs: Signs, bit: int, size: int):
+        self.signs, self.bit, self.size = signs, bit, size
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, i):
+        if isinstance(i, slice):
+            start, stop, _ = i.indices(self.size)
+            return View(self.signs, self.bit + 8 * start, max(0, stop - start))
+        if not 0 <= i < self.size:
+            raise IndexError(i)
+        at, shift = divmod(self.bit + 8 * i, 6)
+        values = self.signs.values
+        three = values[at] << 12 | values[at + 1] << 6 | (values[at + 2] if at + 2 < len(values) else 0)
+        return three >> (10 - shift) & 0xFF
+
+    def __bytes__(self) -> bytes:
+        return bytes(self[i] for i in range(self.size))
+
+
+def few(data: bytes | View, most: int = 64) -> bytes:
+    """The data, or its first bytes and one more than can be asked for."""
+    return bytes(data[: most + 1])
+
+
+def der_head(data: bytes | View, at: int, end: int) -> tuple[int, int, int] | None:
     """(tag, start, stop) of the content of the DER value at `at`; the content may reach beyond what data holds, not beyond end."""
     if at + 2 > min(end, len(data)):
         return None
@@ -91,20 +135,30 @@ def der_head(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
         n = size & 0x7F
         if not 1 <= n <= 4 or at + n > len(data) or data[at] == 0:
             return None
-        size, at = int.from_bytes(data[at : at + n], "big"), at + n
+        size, at = int.from_bytes(bytes(data[at : at + n]), "big"), at + n
         if size < 0x80:
             return None
     return None if at + size > end else (tag, at, at + size)
 
 
-def der_parts(data: bytes, at: int, end: int, depth: int = 0) -> list[tuple[int, int, int]] | None:
-    """The DER values that fill data[at:end] exactly, as do the parts of constructed ones; None if they don't."""
+def der_fits(data: bytes | View, at: int, end: int, depth: int) -> bool:
+    """Whether DER values fill data[at:end] exactly, remembered for views."""
+    if not isinstance(data, View):
+        return der_parts(data, at, end, depth) is not None
+    key = (data.bit + 8 * at, end - at, depth)
+    if key not in data.signs.known:
+        data.signs.known[key] = der_parts(data, at, end, depth) is not None
+    return data.signs.known[key]
+
+
+def der_parts(data: bytes | View, at: int, end: int, depth: int = 0, most: int | None = None) -> list[tuple[int, int, int]] | None:
+    """The DER values that fill data[at:end] exactly, as do the parts of constructed ones; None if they don't, or are more than `most`."""
     out = []
     while at < end:
         one = der_head(data, at, end)
-        if one is None or one[0] == INTEGER and one[1] == one[2]:
+        if one is None or one[0] == INTEGER and one[1] == one[2] or len(out) == most:
             return None
-        if one[0] & 0x20 and (depth == DEPTH or der_parts(data, one[1], one[2], depth + 1) is None):
+        if one[0] & 0x20 and (depth == DEPTH or not der_fits(data, one[1], one[2], depth + 1)):
             return None
         out.append(one)
         at = one[2]
@@ -129,15 +183,15 @@ def der_size(head: bytes | None) -> int:
     return one[2]
 
 
-def is_private_key(data: bytes | None) -> bool:
+def is_private_key(data: bytes | View | None) -> bool:
     """Whether data is exactly one private key in DER: PKCS#1, DSA, SEC1, or PKCS#8, plain or encrypted."""
-    top = der_head(data, 0, len(data)) if data else None
+    top = der_head(data, 0, len(data)) if data is not None else None
     if top is None or top[0] != SEQUENCE or top[2] != len(data):
         return False
-    parts = der_parts(data, top[1], top[2]) or []
+    parts = der_parts(data, top[1], top[2], most=10) or []  # no key has more
     tags, held = [t for t, _, _ in parts], [data[a:b] for _, a, b in parts]
     if tags[:1] == [INTEGER]:
-        version = int.from_bytes(held[0], "big", signed=True)
+        version = int.from_bytes(bytes(held[0]), "big", signed=True) if len(held[0]) <= 64 else -1
         if set(tags) == {INTEGER}:
             return len(tags) == 9 and version == 0 or len(tags) == 6 and version == 0
         if tags == [INTEGER] * 9 + [SEQUENCE]:
@@ -148,17 +202,17 @@ def is_private_key(data: bytes | None) -> bool:
             return version in (0, 1) and tags[3:] in ([], [0xA0], [0xA1], [0x81], [0xA0, 0xA1], [0xA0, 0x81]) and holds_key(held[1], held[2])
         return False
     if tags == [SEQUENCE, OCTETS]:
-        algorithm = der_parts(held[0], 0, len(held[0])) or []
-        return [t for t, _, _ in algorithm] == [OID, SEQUENCE] and held[0][algorithm[0][1] : algorithm[0][2]].startswith(PASSWORD_BASED) and len(held[1]) >= 16
+        algorithm = der_parts(held[0], 0, len(held[0]), most=2) or []
+        return [t for t, _, _ in algorithm] == [OID, SEQUENCE] and few(held[0][algorithm[0][1] : algorithm[0][2]]).startswith(PASSWORD_BASED) and len(held[1]) >= 16
     return False
 
 
-def holds_key(algorithm: bytes, octets: bytes) -> bool:
+def holds_key(algorithm: bytes | View, octets: bytes | View) -> bool:
     """Whether the octets are a key of the algorithm (any, if it is an unknown one)."""
     parts = der_parts(algorithm, 0, len(algorithm))
-    if not parts or parts[0][0] != OID or not octets:
+    if not parts or parts[0][0] != OID or not len(octets):
         return False
-    name = algorithm[parts[0][1] : parts[0][2]]
+    name = few(algorithm[parts[0][1] : parts[0][2]])
     if name in (RSA, EC):
         # a version, then the modulus or the key itself
         top = der_head(octets, 0, len(octets))
@@ -233,6 +287,35 @@ def token_parts(parts: list[str]) -> int:
     return 3 if (parts[2] or head["alg"].lower() == "none") and json_object(parts[1]) is not None else 0
 
 
+def heads(part: str) -> list[int]:
+    """Where a token's header can begin in a part: at the signs of a JSON object that ends where the part does.
+
+    The part is decoded once for each alignment. Whether a brace is in a string follows from the number of quotes since the object's
+    start, so for either parity one pass with a stack tells the brace that the last one closes.
+    """
+    found = [m.start() for m in HEAD.finditer(part)]
+    if len(found) < 2:
+        return found
+    out = []
+    for first in range(4):
+        own = {(at - first) // 4 * 3: at for at in found if at % 4 == first}
+        data = unbase64(part[first:]) if own else None
+        data = (data or b"").rstrip()
+        if data[-1:] != b"}":
+            continue
+        inside, opened = 0, ([], [])
+        for m in re.finditer(rb'(\\*)(["{}])', data):
+            if m[2] == b'"':
+                inside ^= len(m[1]) % 2 == 0  # else it is escaped
+            elif m[2] == b"{":
+                opened[inside].append(m.start(2))
+            elif opened[inside]:
+                start = opened[inside].pop()
+                if m.end() == len(data) and start in own:
+                    out.append(own[start])
+    return sorted(out)
+
+
 def tokens(text: str) -> list[tuple[int, int]]:
     """(start, end) of the tokens: in each run of dotted parts, five or three from a part on; what stands before a header's sign is left out."""
     out = []
@@ -242,10 +325,10 @@ def tokens(text: str) -> list[tuple[int, int]]:
         parts, at, i = run[0].split("."), run.start(), 0
         while i < len(parts) - 2:
             used = 1
-            for m in HEAD.finditer(parts[i]):
-                tried = [parts[i][m.start() :], *parts[i + 1 : i + 5]]
+            for head in heads(parts[i]):
+                tried = [parts[i][head:], *parts[i + 1 : i + 5]]
                 if n := token_parts(tried):
-                    out.append((at + m.start(), at + m.start() + len(".".join(tried[:n]))))
+                    out.append((at + head, at + head + len(".".join(tried[:n]))))
                     used = n
                     break
             at += sum(len(p) + 1 for p in parts[i : i + used])
@@ -271,11 +354,15 @@ def pem_blocks(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def key_at(signs: str, at: int, edge) -> tuple[int, int] | None:
-    """(end, kind's number) of the key whose base64 begins at `at` of the signs and ends at an edge (a function of the end); None if there is none."""
+def key_at(signs: str, read: Signs | None, at: int, edge) -> tuple[int, int] | None:
+    """(end, kind's number) of the key whose base64 begins at `at` of the signs and ends at an edge (a function of the end); None if there is none.
+
+    DER's heads are read in place, so a start costs what heads it has, whatever sizes they state.
+    """
     if signs[at] == "M":
-        end = at + (der_size(unbase64(signs[at : at + 64])) * 4 + 2) // 3
-        return (end, 5) if at < end <= len(signs) and edge(end) and is_private_key(unbase64(signs[at:end])) else None
+        size = der_size(unbase64(signs[at : at + 64]))
+        end = at + (size * 4 + 2) // 3
+        return (end, 5) if at < end <= len(signs) and edge(end) and is_private_key(read.view(at, size)) else None
     return (len(signs), 6) if is_openssh(unbase64(signs[at:])) else None
 
 
@@ -289,18 +376,19 @@ def wrapped(text: str) -> list[tuple[int, int, int]]:
         signs = [body[a:b].rstrip("=") for a, b in lines]
         ends = list(accumulate(len(x) for x in signs))
         whole, at = "".join(signs), 0
+        read = Signs(whole)
         while at < len(lines) - 1:
             before, found = ends[at] - len(signs[at]), None
             line = lambda end: bisect_left(ends, end)
             if signs[at][0] == "M":
-                found = key_at(whole, before, lambda end: line(end) > at and ends[line(end)] == end)  # noqa: B023
+                found = key_at(whole, read, before, lambda end: line(end) > at and ends[line(end)] == end)  # noqa: B023
             elif signs[at].startswith("b3BlbnNzaC1rZXktdjEA"):
                 i = at + 1  # lines of one width, and a shorter one
                 while i < len(lines) and len(signs[i]) == len(signs[at]):
                     i += 1
                 for last in (i, i - 1):
                     if at < last < len(lines) and len(signs[last]) <= len(signs[at]):
-                        found = found or key_at(whole[: ends[last]], before, None)
+                        found = found or key_at(whole[: ends[last]], None, before, None)
                 at = max(at, i - 2) if found is None else at
             if found is None:
                 at += 1
@@ -315,11 +403,13 @@ def single(run: str) -> list[tuple[int, int, int]]:
     """(start, kind's number, end) of the keys in one run of base64 signs."""
     out, free, magic = [], 0, True
     signs = run.rstrip("=")
+    read = None
     edge = lambda end: end == len(signs) or signs[end] in "+/_-"
     for m in BEGIN.finditer(signs):
         if m.start() < free or not (magic or m[0][0] == "M"):
             continue
-        found = key_at(signs, m.start(), edge)
+        read = read or Signs(signs)
+        found = key_at(signs, read, m.start(), edge)
         magic &= m[0][0] == "M"  # what follows OpenSSH's magic is one key or none
         if found:
             free = len(run) if found[0] == len(signs) else found[0]

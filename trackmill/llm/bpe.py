@@ -5,7 +5,7 @@ merges bytes. A text is split by the vocabulary's pattern; each piece that a wor
 a bounded dictionary holds the ids of pieces that it has met, as prose repeats its words. Decoding looks the ids' characters up,
 reverses the byte table and joins the bytes; a character that is split over tokens is whole again once the bytes are joined.
 
-Null texts count as empty: no tokens. A text of any length is encoded in blocks that end just before white space, where no
+Null texts count as empty: no tokens. Ids that are none decode to U+FFFD. A text of any length is encoded in blocks that end just before white space, where no
 match of the pattern can span. Repeated rows give repeated rows; an empty table gives an empty table.
 """
 
@@ -20,12 +20,17 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_texts
+from .common import map_texts, small_batches
 
 #: Pieces that a worker keeps; beyond it the dictionary starts anew.
 KEPT_PIECES = 400_000
 #: Characters that are split into pieces at once.
 BLOCK_CHARS = 1 << 20
+#: Rows of ids that are decoded at once.
+DECODED_ROWS = 64
+
+#: What an id that is none stands for: U+FFFD.
+UNKNOWN = "\ufffd".encode()
 
 
 def byte_table() -> list[str]:
@@ -92,9 +97,12 @@ class Codec:
             self.met.update((p, np.asarray(e.ids, dtype="<u4").tobytes()) for p, e in zip(new, found))
         return b"".join(map(self.met.__getitem__, pieces))
 
-    def decode(self, ids: bytes | np.ndarray) -> bytes:
-        array = np.frombuffer(ids, dtype="<u4") if isinstance(ids, bytes) else np.asarray(ids)
-        return b"".join(map(self.bytes.__getitem__, array.tolist()))
+    def decode(self, ids: bytes | list) -> bytes:
+        """The bytes of the ids; a null, negative or unknown one stands for U+FFFD."""
+        if isinstance(ids, bytes):
+            return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+        n = len(self.bytes)
+        return b"".join(self.bytes[i] if i is not None and 0 <= i < n else UNKNOWN for i in ids)
 
     def offsets(self, ids: bytes, text: str) -> tuple[np.ndarray, np.ndarray]:
         """For each id: the byte at which it starts, and the character that this byte belongs to."""
@@ -144,19 +152,21 @@ def lists(arrays: list[np.ndarray]):
 
 
 def decode(encoded: DataFrame, tokens: list[bytes], key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """key, text: what the ids stand for; bytes that are no UTF-8 (ids of a part of a text) become U+FFFD. Null ids give null."""
+    """key, text: what the ids stand for. Bytes that are no UTF-8 (ids of a part of a text) become U+FFFD, as do ids that are null, negative or beyond the vocabulary; a null list gives null."""
     held = encoded.sparkSession.sparkContext.broadcast(tokens)
     kind = encoded.schema[key].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
 
+        own = codec(held.value, r"\s+")
         for batch in batches:
-            own = codec(held.value, r"\s+")
-            out = [None if x is None else own.decode(np.array(x, dtype=np.int64)).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=[key, "text"])
+            for at in range(0, batch.num_rows, DECODED_ROWS):
+                some = batch.slice(at, DECODED_ROWS)
+                out = [None if x is None else own.decode(x).decode("utf-8", "replace") for x in some.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(out, pa.string())], names=[key, "text"])
 
-    return encoded.select(key, ids).mapInArrow(run, f"`{key}` {kind}, text string")
+    return small_batches(encoded).select(key, ids).mapInArrow(run, f"`{key}` {kind}, text string")
 
 
 def round_trip(docs: DataFrame, tokens: list[bytes], pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -9,7 +9,8 @@ final order (score down, id up) cuts at k.
 
 Vectors that are null or hold null or non-finite components take no part. Shorter vectors count as if they were padded with
 zeros. A row is no candidate for queries of its own id; every query row has a list of its own, and repeated candidates are
-listed as often as they occur. With fewer than k candidates all are listed. Scores beyond 61 bits saturate.
+listed as often as they occur, except those of a null id, which are neither queries nor candidates. With fewer than k candidates all
+are listed. Scores are exact: where the vectors' lengths allow one beyond 62 bits, or a scaled component has more, that is an error.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 QUERY_BLOCK, CANDIDATE_BLOCK, BINS, QUERY_ROWS = 1024, 8192, 1024, 128
-MOST_SCORE = 2**61
+MOST_SCORE = 2**62 - 1
 
 
 def quantise(vectors: list, scale: float) -> tuple[list[int], np.ndarray]:
@@ -44,7 +45,9 @@ def quantise(vectors: list, scale: float) -> tuple[list[int], np.ndarray]:
     out = np.zeros((len(rows), width))
     for i, r in enumerate(rows):
         out[i, : len(r)] = r
-    return kept, np.clip(out, -(2.0**62), 2.0**62).astype(np.int64)
+    if np.abs(out).max(initial=0) > MOST_SCORE:
+        raise OverflowError("a scaled component exceeds 62 bits")
+    return kept, out.astype(np.int64)
 
 
 def pack(df: DataFrame, key: str, vector: str, scale: float, rows: int, parts: int) -> DataFrame:
@@ -94,8 +97,6 @@ def scores(queries: np.ndarray, candidates: np.ndarray):
     turned = np.ascontiguousarray(candidates.T.astype(kind))
     for at in range(0, len(queries), QUERY_ROWS):
         made = queries[at : at + QUERY_ROWS].astype(kind) @ turned
-        if kind is object:
-            made = np.clip(made, -MOST_SCORE, MOST_SCORE)
         yield at, made.astype(np.int64 if most >= 2**31 else np.int32)
 
 
@@ -176,7 +177,9 @@ def top_k(df: DataFrame, is_query: str, k: int = 20, key: str = "vec_id", vector
         return pd.Series([float((unpack(*x)[1].astype(float) ** 2).sum(axis=1).max(initial=0)) for x in zip(ids, data, width)])
 
     norms = [x.agg(F.max(most("ids", "data", "width"))).first()[0] for x in (queries, candidates)]
-    bound = min(math.isqrt(math.ceil(norms[0] * norms[1] * (1 + 1e-9))) + 1, MOST_SCORE)  # no score is larger, by Cauchy and Schwarz
+    bound = math.isqrt(math.ceil(norms[0] * norms[1] * (1 + 1e-9))) + 1  # no score is larger, by Cauchy and Schwarz
+    if bound > MOST_SCORE:
+        raise OverflowError("scores may exceed 62 bits")
     size = F.length("ids") / 8
     state = queries.select("*", F.array_repeat(F.lit(-bound), size.cast("int")).alias("lo"), F.array_repeat(F.lit(k).cast("long"), size.cast("int")).alias("need"))
     width = 2 * bound + 1

@@ -55,12 +55,28 @@ def test_round_trip(spark, docs):
         assert [len(text.encode()[:b].decode("utf-8", "ignore")) for b in r["byte_starts"]] == r["char_starts"]
     back = {r["doc_id"]: r["text"] for r in bpe.decode(coded, TOKENS).collect()}
     assert all(back[i] == (t or "") for i, t in enumerate(TEXTS))
+    odd = spark.createDataFrame([(1, [-1, 72, None, len(TOKENS), 2**31 - 1]), (2, None), (3, [])], "doc_id long, ids array<int>")
+    assert {r["doc_id"]: r["text"] for r in bpe.decode(odd, TOKENS).collect()} == {1: "\ufffd" + TOKENS[72].decode() + "\ufffd" * 3, 2: None, 3: ""}
+
+
+def test_tokens_and_digests(spark, docs):
+    rows = bpe.tokens_and_digests(docs, TOKENS, public_tokenizers.PATTERN).collect()
+    assert len(rows) == docs.count()
+    own = bpe.codec(TOKENS, public_tokenizers.PATTERN)
+    for r in rows:
+        if r["doc_id"] is not None:
+            data = own.encode(TEXTS[r["doc_id"]] or "")
+            assert (r["n_tokens"], r["ids_sha256"]) == (len(r["ids"]), hashlib.sha256(data).hexdigest()) and r["decoded_sha256"] == hashlib.sha256((TEXTS[r["doc_id"]] or "").encode()).hexdigest()
+    assert bpe.tokens_and_digests(empty(spark), TOKENS, public_tokenizers.PATTERN).collect() == []
 
 
 def test_secrets(spark, docs):
     got = secrets.digests(docs)
     assert got.count() == docs.count() and got.filter("n_assign + n_access + n_hex > 0").count() == 0
     assert secrets.digests(empty(spark)).collect() == []
+    long = LONG + " token: abcdef123456 " + LONG
+    twice = secrets.redact(docs_of(spark, [long, long])).collect()
+    assert [r["text"] for r in twice] == [LONG + " [SECRET] " + LONG] * 2
     cleaned = secrets.redact(docs_of(spark, [None, "", "a token: abcdef123456 b", "x AKIA" + "Q7" * 8 + " y"]))
     assert [r["text"] for r in cleaned.orderBy("doc_id").collect()] == [None, "", "a [SECRET] b", "x [SECRET] y"]
     assert cleaned.columns == docs.columns
@@ -92,8 +108,15 @@ def test_top_k(spark):
     assert [(r[0], r[1], r[2], r[3]) for r in sorted(got)] == [(0, 1, 1, 5120), (0, 2, 2, 5120), (0, 3, 7, 1216), (20, 1, 0, 0), (20, 2, 1, 0), (20, 3, 2, 0)]
     assert topk.top_k(df.limit(0), "vec_id % 20 = 0").collect() == [] and topk.top_k(df, "vec_id = 99").collect() == []
     assert len(topk.top_k(df, "vec_id = 0", 50).collect()) == 5  # fewer than k
-    huge = spark.createDataFrame([(0, [1e30]), (1, [1e30]), (2, [-1e30])], "vec_id long, embedding array<double>")
-    assert [(r["vec_id"], r["score"]) for r in topk.top_k(huge, "vec_id = 0").orderBy("rank").collect()] == [(1, 2**61), (2, -(2**61))]
+    # exact up to 62 bits, where doubles would make ties; beyond it no order is made up
+    large = [[1, 2**25], [2**30, 2**30], [2**30, 2**30 + 1], [2**30 + 1, 2**30], [-(2**30), 2**30], [2**30, 2**30], [0, 0]]
+    huge = spark.createDataFrame([(i, [x / 64 for x in v]) for i, v in enumerate(large)] + [(None, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    for q in (1, 2):
+        want = sorted((-sum(a * b for a, b in zip(large[q], v)), i) for i, v in enumerate(large) if i != q)
+        assert [(r["vec_id"], -r["score"]) for r in topk.top_k(huge, f"vec_id = {q}").orderBy("rank").collect()] == [(i, s) for s, i in want]
+    for beyond in ([1e30], [2.0**30]):
+        with pytest.raises(Exception, match="62 bits"):
+            topk.top_k(spark.createDataFrame([(0, beyond), (1, beyond)], "vec_id long, embedding array<double>"), "vec_id = 0").collect()
 
 
 def test_simhash(spark, docs):
@@ -164,3 +187,7 @@ def test_classifiers(spark, docs):
     assert quality.fit(docs, labels.limit(0), learn) is None
     assert {r["score"] for r in quality.score(docs, None).collect()} == {0.5}
     assert quality.score(empty(spark), judge).collect() == []
+    kept = quality.keep(docs, judge)
+    assert kept.columns == docs.columns and quality.keep(empty(spark), judge).collect() == []
+    fine = {i for i, r in rows.items() if r["score"] >= quality.THRESHOLD}
+    assert {r["doc_id"] for r in kept.collect()} == fine and quality.keep(docs, None).count() == docs.count()

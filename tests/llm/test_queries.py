@@ -258,6 +258,84 @@ def test_long_texts_take_time_in_proportion(unit):
     assert time.process_time() - began < 10  # a few seconds at most; by the square it would be hours
 
 
+def in_base64(data):
+    return base64.b64encode(data).decode().rstrip("=")
+
+
+LONG_TOKENS = {
+    "headers that end nowhere": "-".join(["eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCIsImtpZCI6ImFiY2RlZmdoaWprbG1ub3BxcnN0dXZ3eHl6In0"[:80]] * 60_000) + ".ab.cd",
+    "headers within headers": "-".join([url_encoded(b'{"alg":"x","a":{"b":"' + b"y" * 30)] * 60_000) + "." + url_encoded(b"{}") + ".cd",
+    "braces within strings": "eyJ" + url_encoded(b'{"a":"{' * 3) * 120_000 + ".e30.cd",
+}
+
+
+@pytest.mark.parametrize("name", sorted(LONG_TOKENS))
+def test_long_tokens_take_time_in_proportion(name):
+    began = time.process_time()
+    assert secrets.confirmed_spans(LONG_TOKENS[name]) == []
+    assert time.process_time() - began < 10
+
+
+def long_keys(n, tail):
+    """n heads behind slashes, each of a SEQUENCE that ends where the text does: a version, octets up to the tail (filled to whole signs), and the tail."""
+    blocks, end = [], len(tail)
+    for _ in range(n):
+        octets = b"\x04\x83" + (end - len(tail) + 2).to_bytes(3, "big") + b"zz"
+        body = b"\x02\x01\x01" + octets
+        blocks.append(b"\xff\xff\xff" + b"\x30\x83" + (len(body) + end).to_bytes(3, "big") + body)
+        end += len(blocks[-1])
+    return in_base64(b"".join(reversed(blocks)) + tail)
+
+
+def test_long_keys_take_time_in_proportion():
+    # all heads share one tail of many values, the last of which does not fit
+    body = b"\x05\x00" * 600_000 + b"\x05\x09"
+    text = long_keys(60_000, b"\xa0\x83" + len(body).to_bytes(3, "big") + body)
+    starts = [m.start() for m in secrets.BEGIN.finditer(text)]
+    assert len(starts) > 50_000 and secrets.der_size(secrets.unbase64(text[starts[0] : starts[0] + 64])) > 1_000_000
+    began = time.process_time()
+    assert secrets.confirmed_spans(text) == []
+    assert time.process_time() - began < 10
+    good = b"\x05\x00" * 40_000
+    found = long_keys(5000, b"\xa0\x83" + len(good).to_bytes(3, "big") + good)
+    assert [found[a:b] for a, _, b in secrets.confirmed_spans(found)] == [found.lstrip("/")]
+
+
+@pytest.mark.parametrize("ends", ["/", "+"])
+def test_lengths_that_end_at_slashes(ends):
+    # 162 to 650 KB of these took 0.6 to 9.6 seconds, by the square
+    unit = in_base64(b"\x30\x82\x40\x00\x02\x01\x00\x02\x82\x3f\xf0" + b"x" * 7)
+    text = ("A" + ends + unit) * (5_000_000 // (len(unit) + 2))
+    began = time.process_time()
+    secrets.confirmed_spans(text)
+    assert time.process_time() - began < 10
+
+
+def slow_heads(part):
+    return [m.start() for m in secrets.HEAD.finditer(part) if secrets.json_object(part[m.start() :]) is not None]
+
+
+def test_heads_lose_no_object():
+    r = random.Random(8)
+    bits = [b'{"', b'"', b"{", b"}", b"\\", b":", b"1", b'"a":', b",", b'{"a":1}', b'{"b":"}"}', b'{"c":"\\"{"}', b" "]
+    seen = 0
+    for _ in range(6000):
+        data = b"".join(r.choice(bits) for _ in range(r.randint(1, 7))) + r.choice([b"", b'{"alg":"x"}', b'{"a":{"b":"\\\\"}}', b'"}'])
+        if r.random() < 0.3:  # one that is whole, behind others
+            data = r.choice([b'{"alg":"x","b":{"c":"}{"}}', b'{"alg":"\\\\\\"{","b":{}} ', b'{"a":[{"b":{"c":{}}}]}'])
+            data = url_encoded(data) if r.random() < 0.5 else url_encoded(b'{"z":' + b"1" * r.randint(0, 3)) + "-" + url_encoded(data)
+            part = r.choice(["", "ab-", "abc_"]) + data
+            want = slow_heads(part)
+            seen += len(want)
+            assert set(want) <= set(secrets.heads(part)), part
+            continue
+        part = r.choice(["", "x-", "ab_", "-"]) + url_encoded(data) + r.choice(["", "-" + url_encoded(data)])
+        want = slow_heads(part)
+        seen += len(want)
+        assert set(want) <= set(secrets.heads(part)), (data, part)
+    assert seen > 300
+
+
 def test_top_k_against_plain(spark):
     rows = pq.read_table(f"{SMALL}/embeddings.parquet").to_pylist()
     v = {r["vec_id"]: np.floor(64 * np.array(r["embedding"], float)).astype(int) for r in rows}

@@ -1,7 +1,4 @@
-"""Sequence kernels: beam-pruned best paths over candidates, and robust local polynomial fits.
-
-Both depend on what came just before, so each sequence is one group of a grouped-map job; sequences are independent.
-"""
+"""Sequences: best paths over candidates, by products of blocks, and robust local polynomial fits, in stretches."""
 
 from __future__ import annotations
 
@@ -10,6 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .state import kept
+
+#: Observations of a block, tables that are multiplied together, the unit of scores, and how large a path's score may be in it.
+BLOCK, FAN, UNIT, MOST, NONE = 512, 64, 1e-9, 1 << 59, -(1 << 61)
 BEAM, PER_TERMINAL, DELTA, AMBIGUOUS = 64, 2, 50.0, 1.0
 HALF_WINDOW, DEGREE, HUBER, ITERATIONS, TOLERANCE, MAD = 4, 3, 1.5, 12, 1e-12, 1.4826
 
@@ -57,36 +58,157 @@ def best_paths(emissions: list[dict], moves: list[dict], beam: int = BEAM, per_t
     return out
 
 
-def decode(candidates: DataFrame, transitions: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, obs, candidate, score (of the whole path), separation (to the runner-up, null if there is none), ambiguous.
+def _product(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The two best ways through two tables in a row: scores and orders [entry, exit, rank], and the flat (middle, rank left, rank right) of each."""
+    (p, p_order), (q, q_order) = left, right
+    i, m, _ = p.shape
+    j = q.shape[1]
+    width = int(q_order.max(initial=0)) + 1
+    # [entry, exit, (middle, rank left, rank right)]
+    wide = lambda a, b: (a[:, None, :, :, None] + b.transpose(1, 0, 2)[None, :, :, None, :]).reshape(i, j, m * PER_TERMINAL**2)
+    total = wide(p, q)
+    total[total < -2 * MOST] = NONE  # at least one of the two is no path
+    # paths of one entry and exit differ in the left one first, then in the right one
+    order = wide(p_order * width, q_order)
+    if m * PER_TERMINAL**2 < PER_TERMINAL or not total.size:
+        total, order = (np.concatenate([x, np.full((i, j, PER_TERMINAL), fill)], axis=-1) for x, fill in ((total, NONE), (order, 0)))
+    chosen = np.lexsort((order, -total), axis=-1)[..., :PER_TERMINAL]
+    at = chosen + (np.arange(i * j) * total.shape[-1]).reshape(i, j, 1)
+    score, order = total.reshape(-1)[at], order.reshape(-1)[at]
+    # orders are small numbers again: the place among the paths of one entry
+    none = score == NONE
+    order[none] = np.iinfo(np.int64).max
+    if (np.abs(score[~none]) > MOST).any():
+        raise OverflowError("a path's score exceeds what 64 bits hold")
+    return score, order.reshape(i, j * PER_TERMINAL).argsort(axis=1, kind="stable").argsort(axis=1).reshape(score.shape), chosen
+
+
+def _through(rows: pd.DataFrame) -> tuple[list, list, list, list]:
+    """The elements of a group in order: their positions, entries and exits, and tables: scores [entry, exit, rank] (NONE: no path) and the
+    places of the paths among those of one entry. What cannot be reached from the element before is left out; a sequence begins with the entry None."""
+    rows = rows.sort_values("pos", kind="stable")
+    live, begins = rows["score"].notna().to_numpy(), rows["entry"].isna().to_numpy()
+    known = sorted({*rows["entry"].dropna(), *rows["exit"].dropna()})
+    code = {x: i for i, x in enumerate(known)}
+    entry = np.array([-1 if none else code[x] for x, none in zip(rows["entry"], begins)], np.int64)
+    leave = np.array([code.get(x, -1) for x in rows["exit"]], np.int64)
+    score, rank = rows["score"].fillna(0).to_numpy(np.int64), rows["rank"].to_numpy(np.int64)
+    order = leave if rows["order"][live].isna().any() else rows["order"].fillna(0).to_numpy(np.int64)
+    pos = rows["pos"].to_numpy(np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(pos)) + 1).tolist(), len(pos)]
+    entries, exits, tables = [], [], []
+    for start, stop in zip(cuts, cuts[1:]):
+        own = np.flatnonzero(live[start:stop]) + start
+        before = exits[-1] if exits else np.unique(entry[own])
+        place = np.searchsorted(before, entry[own])
+        own = own[(place < len(before)) & (before[np.minimum(place, len(before) - 1)] == entry[own])] if len(before) else own[:0]
+        after = np.unique(leave[own])
+        at = (np.searchsorted(before, entry[own]), np.searchsorted(after, leave[own]), rank[own])
+        table = np.full((2, len(before), len(after), PER_TERMINAL), NONE, np.int64)
+        table[1] = 0
+        table[(0, *at)], table[(1, *at)] = score[own], order[own]
+        entries.append(before)
+        exits.append(after)
+        tables.append((table[0], table[1]))
+    name = lambda codes: [None if c < 0 else known[c] for c in codes.tolist()]
+    return pos[cuts[:-1]].tolist(), [name(e) for e in entries], [name(e) for e in exits], tables
+
+
+def _chain(tables: list) -> tuple[tuple[np.ndarray, np.ndarray], list[np.ndarray]]:
+    """The product of all tables, and what each product chose."""
+    now, chosen = tables[0], []
+    for other in tables[1:]:
+        score, order, pick = _product(now, other)
+        now = (score, order)
+        chosen.append(pick)
+    return now, chosen
+
+
+def _grouped(df: DataFrame, by: list[str], prefix: str) -> DataFrame:
+    return df.withColumnsRenamed({k: f"{prefix}{i}" for i, k in enumerate(by)})
 
-    candidates: keys, obs, candidate, emission; transitions: keys, obs (of the later one), previous, candidate, score.
+
+def decode(candidates: DataFrame, transitions: DataFrame, keys: list[str], block: int = BLOCK, fan: int = FAN) -> DataFrame:
+    """keys, obs, candidate, runner_up (the second best path's candidate), score, runner_score, separation (null if there is one path only),
+    ambiguous (the paths lie within AMBIGUOUS), point_ambiguous (and differ here), state (decoded, or no_path: then the rest is null or false).
+
+    candidates: keys, obs (whole numbers), candidate, emission; transitions: keys, obs (of the later one), previous, candidate, score (absent or null:
+    impossible). Scores are added in units of UNIT, exactly, so results depend on no order of addition; of equal paths the first in order of its candidates counts.
+    No path is pruned. A sequence through which no path leads has the state no_path at each observation.
+
+    A sequence is cut into blocks of `block` numbers of observations from its first. Each block's table holds the two best paths from each candidate that it can be entered
+    by to each that it ends in; `fan` neighbouring tables at a time are multiplied (maximum for sum, sum for product) until one is left for a
+    sequence; then the best two paths are traced back from the whole to the blocks and into them. So a long sequence is many tasks at each level, and a task
+    holds one block. All levels are kept in the shared folder.
     """
     kinds = dict(candidates.dtypes)
+    kind, key_kinds = kinds["candidate"], ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    units = lambda c: F.round(c / UNIT).cast("long")
+    own = candidates.select(*keys, F.col("obs").cast("long").alias("pos"), F.col("candidate").alias("exit"), units(F.col("emission")).alias("__e"))
+    moves = transitions.filter(F.col("score").isNotNull() & ~F.isnan("score")).select(*keys, F.col("obs").cast("long").alias("pos"), F.col("candidate").alias("exit"), F.col("previous").alias("entry"), units(F.col("score")).alias("__m"))
+    first = own.groupBy(*keys).agg(F.min("pos").alias("__first"))
+    begun = own.join(first, keys).withColumn("__begins", F.col("pos") == F.col("__first"))
+    place = (F.col("pos") - F.col("__first")).alias("pos")
+    start = begun.filter("__begins").select(*keys, place, F.lit(None).cast(kind).alias("entry"), "exit", F.col("__e").alias("score"))
+    # an observation that cannot be entered stays as a row without a score
+    rest = begun.filter("NOT __begins").join(moves, [*keys, "pos", "exit"], "left").select(*keys, place, "entry", "exit", (F.col("__e") + F.col("__m")).alias("score"))
+    level = kept(start.union(rest).withColumns({"rank": F.lit(0), "order": F.lit(None).cast("long")}))
+    last = level.agg(F.max("pos")).first()[0] or 0
+    levels, size = [], block
+    rows_kind = f"{key_kinds}, pos long, entry {kind}, exit {kind}, score long, rank int, order long"
+    while True:
+        dealt = level.withColumn("block", F.floor(F.col("pos") / size).cast("long"))
+        levels.append(dealt)
+        by = [*keys, "block"]
+
+        def multiply(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            _, names, ends, tables = _through(rows)
+            (score, order), _ = _chain(tables)
+            i, j, r = np.nonzero(score != NONE)
+            made = [(*key, names[0][a], ends[-1][b], int(score[a, b, c]), c, int(order[a, b, c])) for a, b, c in zip(i, j, r.tolist())]
+            return pd.DataFrame(made or [(*key, None, None, None, 0, None)], columns=[*keys, "pos", "entry", "exit", "score", "rank", "order"]).astype({"score": "Int64", "order": "Int64"})
+
+        level = kept(dealt.groupBy(*by).applyInPandas(multiply, rows_kind))
+        last //= size
+        if not last:
+            break
+        size = fan
+    # the two best ways through each sequence
+    w = Window.partitionBy(*keys).orderBy(F.desc("score"), "order")
+    best = level.filter("score IS NOT NULL AND entry IS NULL").withColumn("nth", F.row_number().over(w)).filter("nth <= 2")
+    totals = kept(best.groupBy(*keys).agg(F.max(F.when(F.col("nth") == 1, F.col("score"))).alias("__a"), F.max(F.when(F.col("nth") == 2, F.col("score"))).alias("__b")))
+    asks = best.select(*keys, F.col("pos").alias("block"), "nth", F.col("entry").alias("a"), F.col("exit").alias("z"), "rank")
+    asked_kind = f"{key_kinds}, pos long, nth int, a {kind}, z {kind}, rank int"
+    for dealt in reversed(levels):
+
+        def trace(key: tuple, rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+            columns = [*keys, "pos", "nth", "a", "z", "rank"]
+            if asked.empty or rows.empty:
+                return pd.DataFrame(columns=columns)
+            places, names, ends, tables = _through(rows)
+            _, chosen = _chain(tables)
+            out = []
+            for nth, a, z, rank in zip(asked["nth"], asked["a"], asked["z"], asked["rank"]):
+                i, j, r = names[0].index(None if pd.isna(a) else a), ends[-1].index(z), int(rank)
+                for t in reversed(range(1, len(tables))):
+                    m, left, right = np.unravel_index(chosen[t - 1][i, j, r], (len(ends[t - 1]), PER_TERMINAL, PER_TERMINAL))
+                    out.append((*key[:-1], places[t], nth, ends[t - 1][m], ends[t][j], int(right)))
+                    j, r = int(m), int(left)
+                out.append((*key[:-1], places[0], nth, names[0][i], ends[0][j], r))
+            return pd.DataFrame(out, columns=columns)
 
-    def one(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        steps = sorted(left["obs"].unique())
-        at = {o: i for i, o in enumerate(steps)}
-        emissions, moves = [{} for _ in steps], [{} for _ in steps]
-        for o, c, e in zip(left["obs"], left["candidate"], left["emission"]):
-            emissions[at[o]][c] = e
-        for o, p, c, s in () if right.empty else zip(right["obs"], right["previous"], right["candidate"], right["score"]):
-            if o in at and s == s:
-                moves[at[o]][p, c] = s
-        found = best_paths(emissions, moves)
-        if not found:
-            return pd.DataFrame(columns=names)
-        apart = found[0][0] - found[1][0] if len(found) > 1 else None
-        rows = [(*key, o, c, found[0][0], apart, apart is not None and apart <= AMBIGUOUS) for o, c in zip(steps, found[0][1])]
-        return pd.DataFrame(rows, columns=names)
-
-    names = [*keys, "obs", "candidate", "score", "separation", "ambiguous"]
-    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], f"obs {kinds['obs']}", f"candidate {kinds['candidate']}", "score double, separation double, ambiguous boolean"])
-    # both sides often stem from one table, so they get names of their own
-    left = candidates.select(*[F.col(k).alias(f"__l{i}") for i, k in enumerate(keys)], *[F.col(c).alias(c) for c in ("obs", "candidate", "emission")])
-    right = transitions.select(*[F.col(k).alias(f"__r{i}") for i, k in enumerate(keys)], *[F.col(c).alias(c) for c in ("obs", "previous", "candidate", "score")])
-    names_of = lambda df, x: [c for c in df.columns if c.startswith(f"__{x}")]
-    return left.groupBy(*names_of(left, "l")).cogroup(right.groupBy(*names_of(right, "r"))).applyInPandas(one, schema)
+        by = [*keys, "block"]
+        left, right = _grouped(dealt, by, "__l"), _grouped(asks, by, "__r")
+        traced = left.groupBy(*[f"__l{i}" for i in range(len(by))]).cogroup(right.groupBy(*[f"__r{i}" for i in range(len(by))])).applyInPandas(trace, asked_kind)
+        asks = kept(traced).withColumnRenamed("pos", "block")
+    paths = asks.groupBy(*keys, F.col("block").alias("pos")).agg(F.max(F.when(F.col("nth") == 1, F.col("z"))).alias("candidate"), F.max(F.when(F.col("nth") == 2, F.col("z"))).alias("runner_up"))
+    seen = begun.select(*keys, place, "__first").distinct().join(totals, keys, "left").join(paths, [*keys, "pos"], "left")
+    apart = F.col("__a") - F.col("__b")
+    near = F.coalesce(apart <= round(AMBIGUOUS / UNIT), F.lit(False))
+    return seen.select(
+        *keys, (F.col("pos") + F.col("__first")).cast(kinds["obs"]).alias("obs"), "candidate", "runner_up", (F.col("__a") * UNIT).alias("score"), (F.col("__b") * UNIT).alias("runner_score"), (apart * UNIT).alias("separation"),
+        near.alias("ambiguous"), F.coalesce(near & (F.col("candidate") != F.col("runner_up")), F.lit(False)).alias("point_ambiguous"), F.when(F.col("__a").isNull(), "no_path").otherwise("decoded").alias("state"),
+    )
 
 
 def local_fits(t: np.ndarray, y: np.ndarray) -> np.ndarray:

@@ -96,20 +96,23 @@ def components(edges: DataFrame) -> DataFrame:
     return settled(first, step)
 
 
-def required_route(edges: DataFrame, sources: DataFrame, required: list[int], budget: int, rounds: int) -> DataFrame:
+def required_route(edges: DataFrame, sources: DataFrame, required: list[int], budget: int) -> DataFrame:
     """source, dist: the shortest way from each source that visits all required nodes; null where there is none within the budget.
 
-    The state is (source, node, set of required nodes seen); a few required nodes, so that sets stay a few bits.
+    The state is (source, node, set of required nodes seen); a few required nodes, so that sets stay a few bits. Steps go on until nothing
+    changes, so a way may have any number of arcs.
     """
     arcs = _with_stays(edges, sources)
     bit = F.lit(0)
     for i, node in enumerate(required):
         bit = F.when(F.col("node") == node, 1 << i).otherwise(bit)
-    best = sources.select(F.col("src").alias("source"), F.col("src").alias("node")).select("source", "node", bit.alias("mask"), F.lit(0).cast("long").alias("dist"))
-    for _ in range(rounds):
-        step = best.join(arcs, best["node"] == arcs["__from"]).select("source", F.col("__to").alias("node"), "mask", (F.col("dist") + F.col("len")).alias("dist"))
-        best = step.filter(F.col("dist") <= budget).withColumn("mask", F.col("mask").bitwiseOR(bit)).groupBy("source", "node", "mask").agg(F.min("dist").alias("dist"))
-    done = best.filter(F.col("mask") == (1 << len(required)) - 1).groupBy("source").agg(F.min("dist").alias("dist"))
+    first = sources.select(F.col("src").alias("source"), F.col("src").alias("node")).distinct().select("source", "node", bit.alias("mask"), F.lit(0).cast("long").alias("dist"))
+
+    def step(best: DataFrame) -> DataFrame:
+        made = best.join(arcs, best["node"] == arcs["__from"]).select("source", F.col("__to").alias("node"), "mask", (F.col("dist") + F.col("len")).alias("dist"))
+        return made.filter(F.col("dist") <= budget).withColumn("mask", F.col("mask").bitwiseOR(bit)).groupBy("source", "node", "mask").agg(F.min("dist").alias("dist"))
+
+    done = settled(first, step).filter(F.col("mask") == (1 << len(required)) - 1).groupBy("source").agg(F.min("dist").alias("dist"))
     return sources.select(F.col("src").alias("source")).join(done, "source", "left")
 
 

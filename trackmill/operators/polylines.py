@@ -23,14 +23,16 @@ def segments(vertices: DataFrame, keys: list[str], order: str, axes: list[str])
 
 
 def resample(parts: DataFrame, keys: list[str], axes: list[str], n: int) -> DataFrame:
-    """keys, k (0 to n-1), axes: n points at equal distances along each polyline; each target falls on the first segment that reaches it."""
+    """keys, k (0 to n-1), axes: n points at equal distances along each polyline; each target falls on the first segment that reaches it.
+
+    A segment reaches to where the next one begins, so that no target falls between two segments by rounding.
+    """
     w = Window.partitionBy(*keys).orderBy("nth")
-    last = F.lead("nth").over(w).isNull()
     target = lambda k: F.col("total") * k / (n - 1)
-    lo, hi = F.col("along"), F.col("along") + F.col("length")
-    marked = parts.withColumn("__last", last).withColumn("__first", F.lag("nth").over(w).isNull()).filter("total > 0")
+    lo = F.col("along")
+    marked = parts.withColumn("__next", F.lead("along").over(w)).withColumn("__first", F.lag("nth").over(w).isNull()).filter("total > 0")
     rows = marked.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    on = ((target(F.col("k")) > lo) | F.col("__first")) & ((target(F.col("k")) <= hi) | F.col("__last"))
+    on = ((target(F.col("k")) > lo) | F.col("__first")) & ((target(F.col("k")) <= F.col("__next")) | F.col("__next").isNull())
     share = F.when(F.col("length") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (target(F.col("k")) - lo) / F.col("length")))).otherwise(F.lit(0.0))
     hit = rows.filter(on).withColumn("__s", share)
     first = hit.groupBy(*keys, "k").agg(F.min_by(F.struct(*[(F.col(f"{a}0") + F.col("__s") * (F.col(f"{a}1") - F.col(f"{a}0"))).alias(a) for a in axes]), "nth").alias("p"))

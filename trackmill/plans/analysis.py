@@ -38,10 +38,20 @@ def best_path_score(spark, sf_dir):
     return D.decode(*lattice(spark, sf_dir), ["user_id"]).groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.max("score"), 5).alias("score"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {EVENTS}, o AS MATERIALIZED (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS i, value / 50 AS v FROM ev),
+e AS MATERIALIZED (SELECT user_id, i, [CAST(round(-(v - c) * (v - c) / 1e-9) AS BIGINT) FOR c IN range(3)] AS e FROM o),
+r AS (SELECT user_id, i, [{{'n': -e[c + 1], 'p': CAST(c AS VARCHAR)}} FOR c IN range(3)] AS h FROM e WHERE i = 1
+  UNION ALL SELECT e.user_id, e.i, flatten([list_sort([{{'n': x.n + CAST(500000000 * abs(CAST(x.p[-1:] AS BIGINT) - c) AS BIGINT) - e.e[c + 1], 'p': x.p || c}} FOR x IN list_filter(r.h, lambda y: NOT (y.p[-1:] = '2' AND c = 0))])[1:2] FOR c IN range(3)])
+  FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1),
+b AS (SELECT user_id, i AS n, list_sort(h) AS h FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1),
+u AS (SELECT *, unnest(range(1, n + 1)) AS obs FROM b)
+SELECT user_id, CAST(obs AS INTEGER) AS obs, CAST(h[1].p[obs:obs] AS INTEGER) AS candidate, CAST(h[2].p[obs:obs] AS INTEGER) AS runner_up, round(-h[1].n * 1e-9, 9) AS score, round((h[2].n - h[1].n) * 1e-9, 9) AS separation,
+  coalesce(h[2].n - h[1].n <= 1000000000, false) AS ambiguous, coalesce(h[2].n - h[1].n <= 1000000000 AND h[1].p[obs:obs] <> h[2].p[obs:obs], false) AS point_ambiguous, 'decoded' AS state FROM u
+""")
 def decoded_path(spark, sf_dir):
-    """The candidates along the best path, and whether the runner-up is too close; tested against all paths."""
-    return D.decode(*lattice(spark, sf_dir), ["user_id"])
+    """The candidates along the best path and the runner-up, and where the two are too close to tell."""
+    return D.decode(*lattice(spark, sf_dir), ["user_id"]).drop("runner_score").withColumns({c: F.round(c, 9) for c in ("score", "separation")})
 
 
 @query()

@@ -88,8 +88,8 @@ def polyline_length(spark, sf_dir):
     return polylines(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("length"), 6).alias("length"), F.round(F.max("length"), 6).alias("longest"))
 
 
-RESAMPLED = f"""{SEGMENTS}, tg AS (SELECT st.*, k, total * k / 20 AS target, nth = max(nth) OVER (PARTITION BY user_id, k) AS is_last, nth = min(nth) OVER (PARTITION BY user_id, k) AS is_first FROM st CROSS JOIN range(21) r(k)),
-hits AS (SELECT *, row_number() OVER (PARTITION BY user_id, k ORDER BY nth) AS rn, CASE WHEN length > 0 THEN greatest(0, least(1, (target - along) / length)) ELSE 0 END AS share FROM tg WHERE (target > along OR is_first) AND (target <= along + length OR is_last)),
+RESAMPLED = f"""{SEGMENTS}, tg AS (SELECT st.*, k, total * k / 20 AS target, lead(along) OVER (PARTITION BY user_id, k ORDER BY nth) AS next_along, nth = min(nth) OVER (PARTITION BY user_id, k) AS is_first FROM st CROSS JOIN range(21) r(k)),
+hits AS (SELECT *, row_number() OVER (PARTITION BY user_id, k ORDER BY nth) AS rn, CASE WHEN length > 0 THEN greatest(0, least(1, (target - along) / length)) ELSE 0 END AS share FROM tg WHERE (target > along OR is_first) AND (target <= next_along OR next_along IS NULL)),
 rs AS (SELECT user_id, CAST(k AS INTEGER) AS k, x0 + share * (x1 - x0) AS x, y0 + share * (y1 - y0) AS y FROM hits WHERE rn = 1)"""
 
 
@@ -185,19 +185,6 @@ def stage_closure(spark, sf_dir):
     return R.closure(edges(spark, sf_dir).filter("dst > src"))
 
 
-@query(f"""
-WITH {NODES}, w AS (SELECT n_nationkey AS src, n_regionkey FROM nation), d AS (SELECT o_orderkey, (o_custkey % 25) AS s, (o_orderkey % 25) AS t FROM orders),
-m AS (SELECT o_orderkey, s, t, min(len) AS len FROM d JOIN edge ON src = s AND dst = t GROUP BY ALL)
-SELECT CASE WHEN m.o_orderkey IS NULL THEN 'missing_connection' WHEN len > 4 THEN 'geometry_disagreement' ELSE 'agrees' END AS kind, count(*) AS n FROM d LEFT JOIN m USING (o_orderkey) GROUP BY ALL
-""")
-def topology_hypotheses(spark, sf_dir):
-    """Asked connections that no arc joins, and those whose best arc lies too far; by keys, without the corridors' geometry."""
-    asks = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 25).alias("src"), (F.col("o_orderkey") % 25).alias("dst"))
-    best = edges(spark, sf_dir).groupBy("src", "dst").agg(F.min("len").alias("len"))
-    kind = F.when(F.col("len").isNull(), "missing_connection").when(F.col("len") > 4, "geometry_disagreement").otherwise("agrees")
-    return asks.join(best, ["src", "dst"], "left").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
-
-
 WAYS = "wn AS (SELECT l_suppkey AS way, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS pos, l_orderkey AS node, CAST(l_orderkey % 100 AS DOUBLE) AS x, CAST(l_orderkey // 100 AS DOUBLE) AS y, l_suppkey % 2 = 0 AS two_way FROM lineitem)"
 
 

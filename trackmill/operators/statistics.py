@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .state import kept
 
 
 def ratio(a: Column, b: Column, empty: float | None = 1.0) -> Column:
@@ -30,11 +31,14 @@ def classification(rows: DataFrame, keys: list[str], truth: Column, said: Column
 def bootstrap_rate(clusters: DataFrame, key: str, hit: str, n: str, replicates: int, level: float) -> DataFrame:
     """low, high, mean, replicates of sum(hit) / sum(n) over resamples of as many clusters as there are.
 
-    Each draw's place follows from SHA-256 of "replicate:slot", so any engine and any partitioning draws the same clusters. The
-    clusters are a table of groups, not of rows; they are put in order once to number them.
+    Each draw's place follows from SHA-256 of "replicate:slot", so any engine and any partitioning draws the same clusters. Clusters are numbered in
+    order of their keys: each range of keys counts its own, and the ranges' counts add up to where each begins.
     """
-    m = clusters.count()
-    placed = clusters.withColumn("place", F.row_number().over(Window.orderBy(key)) - 1)
+    ranges = kept(clusters.repartitionByRange(key).withColumn("__p", F.spark_partition_id()))
+    begins = ranges.groupBy("__p").agg(F.count("*").alias("__c")).withColumn("__b", F.sum("__c").over(Window.orderBy("__p")) - F.col("__c"))  # a row a partition
+    m = begins.agg(F.coalesce(F.sum("__c"), F.lit(0))).first()[0]
+    own = F.row_number().over(Window.partitionBy("__p").orderBy(key)) - 1
+    placed = ranges.withColumn("__n", own).join(F.broadcast(begins), "__p").withColumn("place", F.col("__b") + F.col("__n"))
     draws = clusters.sparkSession.range(replicates).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("slot")) if m else clusters.sparkSession.createDataFrame([], "rep long, slot int")
     pick = F.conv(F.substring(F.sha2(F.concat_ws(":", "rep", "slot"), 256), 1, 12), 16, 10).cast("long") % max(m, 1)
     rates = draws.select("rep", pick.alias("place")).join(placed.select("place", hit, n), "place").groupBy("rep").agg((F.sum(hit) / F.sum(n).cast("double")).alias("rate"))
@@ -42,21 +46,54 @@ def bootstrap_rate(clusters: DataFrame, key: str, hit: str, n: str, replicates:
     return rates.agg(F.round(F.percentile("rate", tail), 9).alias("low"), F.round(F.percentile("rate", 1 - tail), 9).alias("high"), F.round(F.avg("rate"), 9).alias("mean"), F.count("*").alias("replicates"))
 
 
+def cluster_bootstrap(clusters: DataFrame, key: str, hit: str, n: str, replicates: int, level: float, seed: int = 0, together: int = 1024) -> DataFrame:
+    """low, high, mean, replicates of sum(hit) / sum(n) over resamples of as many clusters as there are, for many clusters and replicates.
+
+    A resample is how often each cluster is drawn. Clusters are dealt to buckets of about `together` by a hash of their keys; a replicate first shares its draws
+    among the buckets by their sizes, then among each bucket's clusters (both multinomial, so the whole is). Every draw follows from the seed, the
+    replicate and the bucket, so results are the same for any partitioning, and only sums by replicate are shuffled.
+    Clusters of no rows are drawn, and replicates that draw only such have no rate. Repeated and null keys are clusters of their own.
+    """
+    m = clusters.count()
+    parts = max(1, -(-m // together))
+    dealt = kept(clusters.select(F.col(key).alias("k"), F.col(hit).cast("double").alias("hit"), F.col(n).cast("double").alias("n")).withColumn("bucket", F.pmod(F.xxhash64("k"), F.lit(parts)).cast("int")))
+    sizes = {r["bucket"]: r["count"] for r in dealt.groupBy("bucket").count().collect()}  # a number for each `together` clusters
+    names = sorted(sizes)
+    shares = np.array([sizes[b] for b in names], float) / max(m, 1)
+
+    def draw(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["k", "hit", "n"], kind="stable")
+        values = rows[["hit", "n"]].to_numpy(float)
+        at, out = names.index(key[0]), np.empty((replicates, 2))
+        for rep in range(replicates):
+            own = np.random.default_rng([seed, rep]).multinomial(m, shares)[at]
+            out[rep] = np.random.default_rng([seed, rep, key[0]]).multinomial(own, np.full(len(rows), 1 / len(rows))) @ values
+        return pd.DataFrame({"rep": np.arange(replicates), "hit": out[:, 0], "n": out[:, 1]})
+
+    sums = dealt.groupBy("bucket").applyInPandas(draw, "rep long, hit double, n double").groupBy("rep").agg(F.sum("hit").alias("hit"), F.sum("n").alias("n"))
+    rates = sums.filter("n > 0").select((F.col("hit") / F.col("n")).alias("rate"))
+    tail = round((1 - level) / 2, 12)
+    return rates.agg(F.round(F.percentile("rate", tail), 9).alias("low"), F.round(F.percentile("rate", 1 - tail), 9).alias("high"), F.round(F.avg("rate"), 9).alias("mean"), F.count("*").alias("replicates"))
+
+
 def zero_rate_bound(exposure: Column, level: float) -> Column:
     return F.lit(-math.log(1 - level)) / exposure
 
 
 def _tail(k: int, mean: float) -> float:
-    """P(X <= k) of a Poisson variable of a mean of k or more; summed from the largest term down, each by its logarithm."""
-    # terms more than forty deviations below k are under 1e-300 of the largest
-    i = np.arange(k, max(0, k - 40 * math.isqrt(k + 1) - 40), -1)
+    """P(X <= k) of a Poisson variable; summed from the last term down, each by its logarithm."""
+    if k > mean + 40 * math.sqrt(mean) + 40:
+        return 1.0
+    # terms more than forty deviations below the largest are under 1e-300 of it
+    top = min(k, int(mean))
+    i = np.arange(k, max(0, top - 40 * math.isqrt(top + 1) - 40), -1)
     logs = k * math.log(mean) - mean - math.lgamma(k + 1) + np.concatenate([[0.0], np.cumsum(np.log(i / mean))])
     return float(np.exp(logs).sum())
 
 
 def upper_mean(k: int, level: float) -> float:
     """The mean at which k or fewer events have probability 1 - level."""
-    low, high = max(k, 1e-9), max(10.0, 2.0 * k + 20)
+    low, high = 1e-9, max(10.0, 2.0 * k + 20)
     for _ in range(200):
         middle = (low + high) / 2
         low, high = (middle, high) if _tail(k, middle) > 1 - level else (low, middle)

@@ -214,6 +214,13 @@ def bootstrap_interval(spark, sf_dir):
     return T.bootstrap_rate(clusters, "g", "hit", "n", 500, 0.95)
 
 
+@query()
+def bootstrap_users(spark, sf_dir):
+    """An interval of the share of large values by 10,000 resamples of whole users; tested against the same draws in one place."""
+    clusters = events(spark, sf_dir).groupBy("user_id").agg(F.count_if(F.col("value") > 60).alias("hit"), F.count("*").alias("n"))
+    return T.cluster_bootstrap(clusters, "user_id", "hit", "n", 10_000, 0.95)
+
+
 @query(f"""
 WITH {EVENTS}, x AS (SELECT user_id, (max(us) - min(us)) / CAST({HOUR} AS DOUBLE) AS hours, count(*) FILTER (value > 300) AS k FROM ev GROUP BY user_id)
 SELECT user_id, round(hours, 6) AS hours, k, CASE WHEN k = 0 AND hours > 0 THEN round(-ln(0.05) / hours, 9) END AS zero_bound FROM x

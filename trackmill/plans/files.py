@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.state import shared_dir
@@ -113,3 +114,24 @@ def file_identities(spark, sf_dir):
     # files are told by their folder, as Spark names them
     digests = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(f"{at}/*")
     return digests.select(F.regexp_extract("path", r"key=(\d+)/", 1).cast("long").alias("k"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+@query("""
+WITH p AS (SELECT l_suppkey AS k, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS n, CAST(l_quantity AS FLOAT) AS x, CAST(l_extendedprice AS FLOAT) AS y,
+  CASE WHEN l_orderkey % 50 = 0 THEN CAST('nan' AS FLOAT) ELSE CAST(l_tax AS FLOAT) END AS z, l_linenumber + CASE WHEN l_orderkey % 40 = 1 THEN 0.5 ELSE 0 END AS ring, CASE WHEN l_suppkey % 3 = 0 THEN l_linenumber ELSE 0 END AS late FROM lineitem),
+q AS (SELECT *, NOT isnan(z) AND ring = floor(ring) AS valid, CAST((n + 10 * late) / 1024.0 AS FLOAT) AS s FROM p),
+t AS (SELECT *, CASE WHEN valid THEN CAST(floor(CAST(s AS DOUBLE) * 1e9 + 0.5) AS BIGINT) ELSE 0 END AS ns FROM q),
+o AS (SELECT *, coalesce(ns >= lag(ns) OVER (PARTITION BY k ORDER BY n), true) AS ok FROM t)
+SELECT k || '.bin' AS key, count(*) AS points, count(*) FILTER (NOT valid) AS invalid, min(ns) AS first_ns, max(ns) AS last_ns, bool_and(ok) AS ordered, CAST(min(x) AS DOUBLE) AS min_x, CAST(max(x) AS DOUBLE) AS max_x,
+  CAST(min(y) AS DOUBLE) AS min_y, CAST(max(y) AS DOUBLE) AS max_y, CAST(min(z) AS DOUBLE) AS min_z, CASE WHEN bool_or(isnan(z)) THEN -1 ELSE CAST(max(z) AS DOUBLE) END AS max_z FROM o GROUP BY k
+""")
+def frame_files(spark, sf_dir):
+    """Line items as a supplier's frame of binary records, some of them invalid or out of order, summarised in one pass."""
+    n = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")) - 1
+    late = F.when(F.col("l_suppkey") % 3 == 0, F.col("l_linenumber")).otherwise(0)
+    made = {"x": F.col("l_quantity"), "y": F.col("l_extendedprice"), "z": F.when(F.col("l_orderkey") % 50 == 0, float("nan")).otherwise(F.col("l_tax")), "intensity": F.col("l_discount"), "ring": F.col("l_linenumber") + F.when(F.col("l_orderkey") % 40 == 1, 0.5).otherwise(0.0), "relative_time": (F.col("offset") + 10 * late) / 1024.0}
+    points = table(spark, sf_dir, "lineitem").withColumn("offset", n).select(F.concat(F.col("l_suppkey").cast("string"), F.lit(".bin")).alias("key"), "offset", *[made[k].cast("float").alias(f) for k, f in zip(made, R.FIELDS)])
+    at = folder(spark)
+    W.point_frames(points, at).agg(F.sum("bytes")).collect()
+    got = R.frame_scan(spark, at)
+    return got.withColumns({c: F.col(c).cast("double") for c in got.columns if c[:4] in ("min_", "max_")}).withColumn("max_z", F.when(F.isnan("max_z"), -1.0).otherwise(F.col("max_z")))

@@ -114,6 +114,51 @@ def frame_summary(points: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.count("*").alias("points"), F.count_if(~F.col("valid")).alias("invalid"), F.min("relative_ns").alias("first_ns"), F.max("relative_ns").alias("last_ns"), F.coalesce(F.bool_and(F.col("relative_ns") >= F.col("__p")), F.lit(True)).alias("ordered"), *[f(c).alias(f"{n}_{c}") for c in "xyz" for f, n in ((F.min, "min"), (F.max, "max"))])
 
 
+#: Records that are summarised together; a frame is a row for each of its ranges of so many, which merge.
+RANGE = 1 << 20
+
+
+def record_ranges(spark: SparkSession, path: str, rings: int = 128) -> DataFrame:
+    """key, at, points, invalid, first, last, first_ns, last_ns, ordered and bounds of each range of a frame's records: what frames' summaries are made
+    of, so no single record leaves the reader. The same rules as point_records()."""
+    names = ["key", "at", "points", "invalid", "first", "last", "first_ns", "last_ns", "ordered", *[f"{n}_{c}" for c in "xyz" for n in ("min", "max")]]
+    kinds = [pa.string(), *[pa.int64()] * 7, pa.bool_(), *[pa.float32()] * 6]
+
+    def one(name: str, at: int, values: np.ndarray) -> list:
+        ring, offset = values[:, 4], values[:, 5].astype(np.float64) * 1e9
+        valid = np.isfinite(values).all(axis=1) & (ring == np.floor(ring)) & (ring >= 0) & (ring < rings)
+        if not valid.all():
+            offset[~valid] = 0
+        ns = (np.sign(offset) * np.floor(np.abs(offset) + 0.5)).astype(np.int64)
+        xyz = values[:, :3]
+        # as in SQL, what is no number is greater than all numbers
+        low, high = np.fmin.reduce(xyz, axis=0), xyz.max(axis=0)
+        return [name, at, len(values), int(np.count_nonzero(~valid)), int(ns[0]), int(ns[-1]), int(ns.min()), int(ns.max()), bool((ns[1:] >= ns[:-1]).all()), *[float(b[i]) for i in range(3) for b in (low, high)]]
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                held = content.as_buffer()
+                if held.size % RECORD:
+                    raise ValueError(f"{name}: {held.size} bytes are no whole records")
+                values = np.frombuffer(held, "<f4").reshape(-1, len(FIELDS))
+                rows += [one(name, at, values[at : at + RANGE]) for at in range(0, len(values), RANGE)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], names=names)
+
+    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"[^/]+$", 0).alias("key"), "content")
+    schema = ["key string", *[f"{n} long" for n in names[1:8]], "ordered boolean", *[f"{n} float" for n in names[9:]]]
+    return files.mapInArrow(run, ", ".join(schema))
+
+
+def frame_scan(spark: SparkSession, path: str, rings: int = 128) -> DataFrame:
+    """One pass over a recording's frames, as frame_summary() gives it: key, points, invalid, first_ns, last_ns, ordered, bounds."""
+    before = F.lag("last").over(Window.partitionBy("key").orderBy("at"))
+    parts = record_ranges(spark, path, rings).withColumn("ordered", F.col("ordered") & F.coalesce(F.col("first") >= before, F.lit(True)))
+    bounds = [f(f"{n}_{c}").alias(f"{n}_{c}") for c in "xyz" for f, n in ((F.min, "min"), (F.max, "max"))]
+    return parts.groupBy("key").agg(F.sum("points").alias("points"), F.sum("invalid").alias("invalid"), F.min("first_ns").alias("first_ns"), F.max("last_ns").alias("last_ns"), F.bool_and("ordered").alias("ordered"), *bounds)
+
+
 TAG = "ARRAY<STRUCT<_k: STRING, _v: STRING>>"
 
 

@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .state import kept
+from .trajectory import HALF_WINDOW, WINDOW, robust_cubics
 
 #: Observations of a block, tables that are multiplied together, the unit of scores, and how large a path's score may be in it.
 BLOCK, FAN, UNIT, MOST, NONE = 512, 64, 1e-9, 1 << 59, -(1 << 61)
 BEAM, PER_TERMINAL, DELTA, AMBIGUOUS = 64, 2, 50.0, 1.0
-HALF_WINDOW, DEGREE, HUBER, ITERATIONS, TOLERANCE, MAD = 4, 3, 1.5, 12, 1e-12, 1.4826
 
 
 def best_paths(emissions: list[dict], moves: list[dict], beam: int = BEAM, per_terminal: int = PER_TERMINAL, delta: float = DELTA) -> list[tuple[float, list]]:
@@ -212,50 +212,25 @@ def decode(candidates: DataFrame, transitions: DataFrame, keys: list[str], block
 
 
 def local_fits(t: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """For each sample: value and three derivatives of a cubic through its window of up to 9 samples, outliers weighing less.
-
-    Iteratively reweighted least squares with Huber weights; the scale is the median absolute residual.
-    """
+    """For each sample: value and three derivatives of a cubic through the 9 samples around it, outliers weighing less."""
     n = len(t)
-    index = np.clip(np.arange(n)[:, None] + np.arange(-HALF_WINDOW, HALF_WINDOW + 1), 0, n - 1)
-    inside = (np.arange(n)[:, None] + np.arange(-HALF_WINDOW, HALF_WINDOW + 1) == index).astype(float)
-    dt, values = t[index] - t[:, None], y[index]
-    scale = np.maximum(np.abs(dt * inside).max(axis=1, keepdims=True), 1e-300)
-    design = (dt / scale)[:, :, None] ** np.arange(DEGREE + 1)
-    size = inside.sum(axis=1).astype(int)
-    beta, weight, live = np.zeros((n, DEGREE + 1)), inside.copy(), np.arange(n)
-    for _ in range(ITERATIONS):
-        x, w, v, k = design[live], weight[live], values[live], inside[live] > 0
-        turned = (x * w[:, :, None]).transpose(0, 2, 1)
-        normal, right = turned @ x, (turned @ v[:, :, None])
-        known = np.linalg.cond(normal) < 1e12
-        new = np.empty((len(live), DEGREE + 1))
-        new[known] = np.linalg.solve(normal[known], right[known])[:, :, 0]
-        new[~known] = (np.linalg.pinv(normal[~known], rcond=1e-12) @ right[~known])[:, :, 0]  # too few different times
-        residual = np.abs(v - (x @ new[:, :, None])[:, :, 0])
-        ordered = np.sort(np.where(k, residual, np.inf), axis=1)
-        row, m = np.arange(len(live)), size[live]
-        spread = MAD * ((ordered[row, (m - 1) // 2] + ordered[row, m // 2]) / 2)[:, None]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            weight[live] = np.where(k, np.where((spread > 0) & (residual > HUBER * spread), HUBER * spread / residual, 1.0), 0.0)
-        settled = np.abs(new - beta[live]).max(axis=1) <= TOLERANCE * np.maximum(1.0, np.abs(new).max(axis=1))
-        beta[live] = new
-        live = live[~settled]
-        if not len(live):
-            break
-    return beta * np.array([1, 1, 2, 6]) / scale ** np.arange(DEGREE + 1)
+    first = np.maximum(0, np.minimum(np.maximum(0, np.arange(n) - HALF_WINDOW) + WINDOW, n) - WINDOW)
+    index = first[:, None] + np.arange(WINDOW)
+    inside = index < n
+    index = np.minimum(index, n - 1)
+    return robust_cubics(t[index] - t[:, None], y[index][:, :, None], inside)[:, :, 0]
 
 
 def robust_fit(df: DataFrame, keys: list[str], row: str, time: Column, value: str, together: int = 4096) -> DataFrame:
     """keys, row, fit, d1, d2, d3 at each sample; time in the unit that derivatives refer to.
 
-    A fit sees four samples to either side, so a sequence is dealt in stretches of `together` samples with four more at their ends,
+    A fit sees the nine samples around it, so a sequence is dealt in stretches of `together` samples with eight more at their ends,
     and a long one is split over tasks.
     """
     kinds = dict(df.dtypes)
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy("__t", row)) - 1
     own, place = F.floor(F.col("__n") / together), F.col("__n") % together
-    shared = F.array_compact(F.array(own, F.when((place < HALF_WINDOW) & (own > 0), own - 1), F.when(place >= together - HALF_WINDOW, own + 1)))
+    shared = F.array_compact(F.array(own, F.when((place < WINDOW) & (own > 0), own - 1), F.when(place >= together - WINDOW, own + 1)))
     dealt = df.select(*keys, row, value, time.alias("__t")).withColumn("__n", nth).withColumn("__own", own).withColumn("__part", F.explode(shared))
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

@@ -10,6 +10,7 @@ from ..operators import decoding as D
 from ..operators import detectors as T
 from ..operators import generators as N
 from ..operators import grids as G
+from ..operators import trajectory as J
 from .registry import EVENTS, events, query, table
 from .temporal import HOUR
 
@@ -60,6 +61,38 @@ def robust_fits(spark, sf_dir):
     return D.robust_fit(events(spark, sf_dir), ["user_id"], "event_id", F.col("us") / float(HOUR), "value")
 
 
+#: Above this a trajectory has a gap.
+PAUSE = 12 * HOUR
+
+
+def track(spark, sf_dir):
+    """Each user's values as positions on one axis, equal times once; and a time asked for with each event, up to four hours behind it."""
+    ev = events(spark, sf_dir)
+    samples = ev.groupBy("user_id", "us").agg(F.avg("value").alias("x")).select("user_id", (F.col("us") * 1000).alias("t"), "x")
+    return samples, ev.select("user_id", "event_id", ((F.col("us") + F.col("event_id") % 5 * HOUR) * 1000).alias("t"))
+
+
+@query(f"""
+WITH {EVENTS}, s AS (SELECT DISTINCT user_id, us AS t FROM ev), c AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) > {PAUSE} THEN 1 ELSE 0 END AS cut FROM s),
+g AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY t) AS seg FROM c), z AS (SELECT user_id, seg, count(*) AS n FROM g GROUP BY ALL),
+q AS (SELECT user_id, event_id, us + event_id % 5 * {HOUR} AS t FROM ev),
+j AS (SELECT q.user_id, event_id, max(CASE WHEN g.t = q.t THEN seg END) AS e, arg_max(seg, g.t) FILTER (g.t < q.t) AS l, arg_min(seg, g.t) FILTER (g.t > q.t) AS r FROM q JOIN g USING (user_id) GROUP BY ALL)
+SELECT j.user_id, event_id, CASE WHEN e IS NULL AND (l IS NULL OR r IS NULL) THEN 'OUTSIDE_SOURCE_SUPPORT' WHEN e IS NULL AND l <> r THEN 'UNSUPPORTED_GAP' WHEN n < 4 THEN 'INSUFFICIENT_DERIVATIVE_SUPPORT' ELSE 'SUPPORTED' END AS state
+FROM j LEFT JOIN z ON z.user_id = j.user_id AND z.seg = coalesce(e, l)
+""")
+def trajectory_support(spark, sf_dir):
+    """D3: whether a trajectory is known at a time: between samples of one segment that has enough of them."""
+    samples, queries = track(spark, sf_dir)
+    return J.located(J.numbered(samples, ["user_id"], "t", PAUSE * 1000), queries, ["user_id"], "t", "event_id").select("user_id", "event_id", "state")
+
+
+@query()
+def trajectory_fits(spark, sf_dir):
+    """M7, D3: value and derivatives at any supported time; tested against one window at a time."""
+    samples, queries = track(spark, sf_dir)
+    return J.evaluated(samples, queries, ["user_id"], "t", "event_id", ["x"], PAUSE * 1000, HOUR * 1000.0)
+
+
 #: Arcs from each nation's place on a 5 x 5 grid to the next; observations are points of the embeddings, spread over the grid.
 ARC_SQL = "arc AS (SELECT n_nationkey AS arc, CAST(n_nationkey % 5 * 20 AS DOUBLE) AS x0, CAST(n_nationkey // 5 * 20 AS DOUBLE) AS y0, CAST((n_nationkey + 1) % 5 * 20 AS DOUBLE) AS x1, CAST(n_nationkey // 5 * 20 + 20 AS DOUBLE) AS y1 FROM nation)"
 

@@ -25,7 +25,7 @@ def _events(spark, sf_dir):
 def _done(spark, frame, mode):
     at = _folder(spark)
     L.run_to_table(frame, f"{at}/table", f"{at}/state", mode)
-    return spark.read.parquet(f"{at}/table")
+    return spark.read.parquet(f"{at}/table")  # each append is a folder `batch=`
 
 
 @query("SELECT event_type, epoch_us(time_bucket(INTERVAL 6 HOURS, ts)) AS start_us, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -55,3 +55,20 @@ def stream_checks(spark, sf_dir):
     rows = _events(spark, sf_dir).select("user_id", "event_id", F.unix_micros("ts").alias("us"))
     got = _done(spark, L.running_checks(rows, "user_id", "event_id", "us", 86_400_000_000), "update")
     return got.groupBy("user_id").agg(*[F.max_by(c, "n").alias(c) for c in ("duplicates", "regressions", "gaps", "last_us")], F.max("n").alias("n"))
+
+
+DAY = 86_400_000_000
+
+
+@query(f"""
+WITH r AS (SELECT user_id, event_id, epoch_us(ts) AS us, value, CAST(floor(value / 40) AS BIGINT) AS cell FROM events), m AS (SELECT epoch_ms(max(ts)) * 1000 - {DAY} AS mark FROM events),
+p AS (SELECT *, lag(us) OVER w AS before, lag(cell) OVER w AS was FROM r, m WHERE us < mark WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
+f AS (SELECT user_id, us, event_id, 'high' AS kind FROM p WHERE value > 90 UNION ALL SELECT user_id, us, event_id, 'cadence' FROM p WHERE us - before > {DAY} UNION ALL SELECT user_id, us, event_id, 'overlap' FROM p WHERE cell <> was),
+g AS (SELECT *, CASE WHEN us - lag(us) OVER w > {DAY // 2} THEN 1 ELSE 0 END AS cut FROM f WINDOW w AS (PARTITION BY user_id, kind ORDER BY us, event_id)),
+i AS (SELECT *, sum(cut) OVER (PARTITION BY user_id, kind ORDER BY us, event_id) AS nth FROM g)
+SELECT user_id, kind, min(us) AS start_us, max(us) AS end_us, count(*) AS n FROM i, m GROUP BY user_id, kind, nth, mark HAVING max(us) + {DAY // 2} < mark
+""")
+def stream_events(spark, sf_dir):
+    """Failures of frames, by themselves and beside the frame before, as events that timers close."""
+    rows = _events(spark, sf_dir).select("user_id", "event_id", "ts", F.when(F.col("value") > 90, F.array(F.lit("high"))).alias("kinds"), F.array(F.floor(F.col("value") / 40)).alias("cells"))
+    return _done(spark, L.frame_events(rows, "ts", "user_id", "event_id", "kinds", "cells", DAY, 0.5, DAY // 2), "append").select("user_id", "kind", "start_us", "end_us", "n")

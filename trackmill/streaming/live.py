@@ -1,17 +1,20 @@
 """The event checks as Structured Streaming jobs.
 
-Batch and stream give the same answers once a stream has seen all rows: windows and sessions are built in; the running checks keep
-one small state for each sequence (last time, largest end so far, open event) and close an event when its adjacency has passed.
+Batch and stream give the same answers once a stream has seen all rows: windows and sessions are built in; the running checks keep five
+numbers for each sequence; the frame events keep the rows that the watermark has not passed, the frame before and the open
+event of each kind, and timers close an event when nothing can be added to it any more.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 
@@ -49,10 +52,10 @@ def running_checks(stream: DataFrame, key: str, order: str, time_us: str, gap_us
     def update(who: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, same, back, gaps, last = state.get if state.exists else (0, 0, 0, 0, None)
         for rows in batches:
-            for t in rows.sort_values(order, kind="stable")[time_us]:
-                if last is not None:
-                    same, back, gaps = same + (t == last), back + (t < last), gaps + (t - last > gap_us)
-                n, last = n + 1, t
+            times = rows.sort_values(order, kind="stable")[time_us].to_numpy("int64")
+            steps = np.diff(times if last is None else np.concatenate([[last], times]))
+            n, same, back, gaps = n + len(times), same + (steps == 0).sum(), back + (steps < 0).sum(), gaps + (steps > gap_us).sum()
+            last = times[-1] if len(times) else last
         values = tuple(map(int, (n, same, back, gaps, last)))
         state.update(values)
         yield pd.DataFrame([(*who, *values)], columns=[key, "n", "duplicates", "regressions", "gaps", "last_us"])
@@ -60,10 +63,100 @@ def running_checks(stream: DataFrame, key: str, order: str, time_us: str, gap_us
     return stream.groupBy(key).applyInPandasWithState(update, f"`{key}` {kind}, {CHECKS}", CHECKS, "update", GroupStateTimeout.NoTimeout)
 
 
-def run_to_table(frame: DataFrame, path: str, checkpoint: str, mode: str) -> None:
-    """Runs a stream over all that is there now; each batch's result replaces the table at `path` (complete mode) or is added to it."""
+class FrameRules(StatefulProcessor):
+    """One sequence's frames in order of time, judged beside the frame before, and their failures joined to events.
+
+    State: the frames that the watermark has not passed, the time and cells of the last one that it has, and the open event of each kind.
+    """
 
-    def put(rows: DataFrame, _: int) -> None:
-        rows.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+    def __init__(self, key: str, cadence_us: int, overlap: float, adjacency_us: int):
+        self.key, self.cadence, self.overlap, self.adjacency = key, cadence_us, overlap, adjacency_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us long, nth long, kinds array<string>, cells array<long>")
+        self.before = handle.getValueState("before", "us long, cells array<long>")
+        self.open = handle.getMapState("open", "kind string", "start long, last long, n long")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        added = [(int(u), int(n), list(k), list(c)) for batch in rows for u, n, k, c in zip(batch["us"], batch["nth"], batch["kinds"], batch["cells"])]
+        if added:
+            self.waiting.appendList(added)
+        yield self.settled(key, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        yield self.settled(key, timerValues)
+
+    def close(self) -> None:
+        pass
+
+    def failures(self, us: int, cells: list, before: tuple | None) -> list[str]:
+        if before is None:
+            return []
+        union, shared = len({*cells, *before[1]}), len({*cells} & {*before[1]})
+        return ["cadence"] * (us - before[0] > self.cadence) + ["overlap"] * (union > 0 and shared < self.overlap * union)
+
+    def settled(self, key: tuple, timers) -> pd.DataFrame:
+        """The events that are closed now."""
+        mark = timers.getCurrentWatermarkInMs() * 1000
+        rows = sorted(((u, n, list(k), list(c)) for u, n, k, c in self.waiting.get()), key=lambda r: r[:2]) if self.waiting.exists() else []
+        ready, rest = [r for r in rows if r[0] < mark], [r for r in rows if r[0] >= mark]
+        before = self.before.get() if self.before.exists() else None
+        live = {k[0]: tuple(v) for k, v in self.open.iterator()}
+        closed = []
+        for us, _, kinds, cells in ready:
+            for kind in [*kinds, *self.failures(us, cells, before)]:
+                start, last, n = live.get(kind, (us, us, 0))
+                if us - last > self.adjacency:
+                    closed.append((*key, kind, start, last, n))
+                    start, n = us, 0
+                live[kind] = (start, us, n + 1)
+            before = (us, cells)
+        for kind in [k for k, v in live.items() if v[1] + self.adjacency < mark]:
+            closed.append((*key, kind, *live.pop(kind)))
+        if ready:
+            self.before.update((before[0], list(before[1])))
+            self.waiting.put(rest) if rest else self.waiting.clear()
+        for (kind,) in list(self.open.keys()):
+            if kind not in live:
+                self.open.removeKey((kind,))
+        for kind, value in live.items():
+            self.open.updateValue((kind,), value)
+        due = [r[0] for r in rest[:1]] + [v[1] + self.adjacency for v in live.values()]
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if due:
+            self.handle.registerTimer(min(due) // 1000 + 1)
+        return pd.DataFrame(closed, columns=[self.key, "kind", "start_us", "end_us", "n"])
+
+
+def frame_events(stream: DataFrame, time: str, key: str, nth: str, kinds: str, cells: str, cadence_us: int, overlap: float, adjacency_us: int, late: str = "1 day") -> DataFrame:
+    """Key, kind, start_us, end_us, n of closed events of a sequence's frames, each once.
+
+    kinds: the rules that a frame fails by itself; beside them `cadence` (more than cadence_us behind the frame before) and `overlap` (the share of
+    cells in both of all cells in either is below `overlap`). Failures of one kind at most adjacency_us apart are one event. Frames are put in order of (time, nth);
+    those later than the watermark are left out. An event is given out once the watermark is adjacency_us behind its end. Needs the RocksDB state store.
+    """
+    kind = dict(stream.dtypes)[key]
+    rows = stream.withWatermark(time, late).select(key, time, F.unix_micros(time).alias("us"), F.col(nth).cast("long").alias("nth"), F.coalesce(F.col(kinds), F.array().cast("array<string>")).alias("kinds"), F.coalesce(F.col(cells), F.array().cast("array<long>")).alias("cells"))
+    rules = FrameRules(key, cadence_us, overlap, adjacency_us)
+    return rows.groupBy(key).transformWithStateInPandas(rules, f"`{key}` {kind}, kind string, start_us long, end_us long, n long", "Append", "EventTime")
 
-    frame.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_to_table(frame: DataFrame, path: str, checkpoint: str, mode: str) -> None:
+    """Runs a stream over all that is there now; each batch's result replaces the table at `path` (complete mode), or is added to it in a folder of the
+    batch's number, which a batch that runs again replaces."""
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={batch}")
+
+    conf, name = frame.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    was = conf.get(name)
+    conf.set(name, ROCKS)
+    try:
+        frame.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        conf.set(name, was)

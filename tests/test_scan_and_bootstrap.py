@@ -75,3 +75,17 @@ def test_cluster_bootstrap_of_little(spark):
 def test_upper_means_at_low_levels():
     assert statistics.upper_mean(10, 0.1) == pytest.approx(7.0208, abs=1e-3) and statistics.upper_mean(0, 0.95) == pytest.approx(2.99573, abs=1e-4)
     assert statistics.upper_mean(700, 0.95) == pytest.approx(745.11, abs=0.01) and statistics.upper_mean(100_000, 0.5) == pytest.approx(100_000.667, abs=0.01)
+
+
+@pytest.mark.parametrize("rings", [1, 4])
+def test_residuals_between_frames(spark, rings):
+    from trackmill.operators import grids
+
+    draw = np.random.default_rng(7)
+    rows = [(i, int(f), *map(float, draw.integers(0, 12, 2))) for i, f in enumerate(draw.choice([1, 2, 3, 5, 6], 120))] + [(900, 6, 500.0, 500.0)]
+    got = {r["f"]: r for r in grids.frame_residuals(spark.createDataFrame(rows, "id long, f int, x double, y double"), "f", "id", ["x", "y"], 2.0, rings).collect()}
+    assert sorted(got) == [2, 3, 6]
+    near = lambda p, frame: min(2.0, *[float(np.hypot(p[2] - q[2], p[3] - q[3])) for q in rows if q[1] == frame])
+    for f, r in got.items():
+        forward, backward = ([near(p, b) for p in rows if p[1] == a] for a, b in ((f, f - 1), (f - 1, f)))
+        assert (r["forward"], r["backward"], r["n"]) == (pytest.approx(np.mean(forward)), pytest.approx(np.mean(backward)), len(forward) + len(backward))

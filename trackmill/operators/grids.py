@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .state import kept
+
 
 def cell(value: Column, size: float) -> Column:
     return F.floor(value / size)
@@ -79,3 +81,31 @@ def radius_join(a: DataFrame, b: DataFrame, a_at: list[str], b_at: list[str], ra
     left = place(a, a_at).withColumn("__c", F.explode(around(index))).drop(*index).select("*", "__c.*").drop("__c")
     d2 = reduce(lambda x, y: x + y, [(F.col(p) - F.col(q)) * (F.col(p) - F.col(q)) for p, q in zip(a_at, b_at)])
     return left.join(place(b, b_at), index).withColumn("d2", d2).filter(F.col("d2") <= radius * radius).drop(*index)
+
+
+def frame_residuals(points: DataFrame, frame: str, key: str, axes: list[str], reach: float, rings: int = 3) -> DataFrame:
+    """frame, forward, backward, residual, n: for each frame (by number) and the one before it, the mean distance of its points to their nearest in the one before, of those
+    to their nearest in it, and the mean of both. A point with none within `reach` counts as that far. key must be unique.
+
+    Points look in cells of their own width first; those that find none go on to cells twice as wide, so dense places are not joined at full reach.
+    """
+    frames = points.select(F.col(frame).alias("__other")).distinct()
+    place = F.struct(*[F.col(a).cast("double").alias(a) for a in axes]).alias("__at")
+    own = points.select(F.col(key).alias("__key"), F.col(frame).alias("__frame"), place)
+    left = own.withColumn("__other", F.explode(F.array(F.col("__frame") - 1, F.col("__frame") + 1))).join(frames, "__other", "left_semi")
+    asked, found = left, None
+    index = [f"__i{i}" for i in range(len(axes))]
+    for i in reversed(range(rings)):
+        width = reach / 2**i
+        cells = lambda df: df.withColumns({n: cell(F.col(f"__at.{a}"), width) for n, a in zip(index, axes)})  # noqa: B023, E731
+        near = cells(left).withColumn("__c", F.explode(around(index))).drop(*index).select("*", "__c.*").drop("__c")
+        there = cells(own).select(F.col("__frame").alias("__other"), F.col("__at").alias("__to"), *index)
+        d2 = reduce(lambda x, y: x + y, [(F.col(f"__at.{a}") - F.col(f"__to.{a}")) * (F.col(f"__at.{a}") - F.col(f"__to.{a}")) for a in axes])
+        best = near.join(there, ["__other", *index]).withColumn("__d2", d2).filter(F.col("__d2") <= width * width).groupBy("__key", "__other").agg(F.sqrt(F.min("__d2")).alias("__d"))
+        best = kept(best)
+        found = best if found is None else found.union(best)
+        left = left.join(best, ["__key", "__other"], "left_anti")
+    whole = asked.join(found, ["__key", "__other"], "left").select("__frame", "__other", F.coalesce("__d", F.lit(reach)).alias("__d"))
+    ahead = F.col("__other") < F.col("__frame")
+    sides = whole.groupBy(F.greatest("__frame", "__other").alias(frame)).agg(F.avg(F.when(ahead, F.col("__d"))).alias("forward"), F.avg(F.when(~ahead, F.col("__d"))).alias("backward"), F.count("*").alias("n"))
+    return sides.withColumn("residual", (F.col("forward") + F.col("backward")) / 2)

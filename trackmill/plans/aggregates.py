@@ -123,6 +123,22 @@ def nearest_within(spark, sf_dir):
     return a.join(best, "a_id", "left").select("a_id", "best.b_id", F.round(F.coalesce("best.d2", F.lit(9.0)), 9).alias("d2"))
 
 
+@query(f"""
+WITH {VECTORS}, w AS (SELECT vec_id, label, x, y, z, 0 AS run FROM v UNION ALL SELECT vec_id, label, x + CASE WHEN label % 3 = 1 THEN 0.75 ELSE 0 END, y, z, 1 FROM v),
+d AS (SELECT a.run, a.label AS f, b.label AS o, a.vec_id, least(1.0, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)))) AS d FROM w a JOIN w b ON a.run = b.run AND abs(a.label - b.label) = 1 GROUP BY ALL),
+m AS (SELECT run, greatest(f, o) AS label, (avg(d) FILTER (o < f) + avg(d) FILTER (o > f)) / 2 AS residual, count(*) AS n FROM d GROUP BY ALL)
+SELECT c.label, round(c.residual, 9) AS clean, round(i.residual, 9) AS injected, round(i.residual - c.residual, 9) AS effect, round(i.residual, 9) > 1.05 * round(c.residual, 9) AS moved, c.n FROM m c JOIN m i ON c.label = i.label AND c.run = 0 AND i.run = 1
+""")
+def adjacent_residuals(spark, sf_dir):
+    """Distances between the points of neighbouring frames, both ways, as they are and with a shift put into every third frame."""
+    p = points(spark, sf_dir)
+    shifted = p.withColumn("x", F.col("x") + F.when(F.col("label") % 3 == 1, 0.75).otherwise(0.0))
+    clean, injected = (G.frame_residuals(q, "label", "vec_id", AXES, 1.0).select("label", F.col("residual").alias(n), "n") for q, n in ((p, "clean"), (shifted, "injected")))
+    both = clean.join(injected.drop("n"), "label")
+    nine = {c: F.round(c, 9) for c in ("clean", "injected")}
+    return both.select("label", *[v.alias(c) for c, v in nine.items()], F.round(F.col("injected") - F.col("clean"), 9).alias("effect"), (nine["injected"] > 1.05 * nine["clean"]).alias("moved"), "n")
+
+
 @query("""
 WITH r AS (SELECT CASE WHEN l_quantity < 5 THEN 'short' WHEN l_returnflag = 'R' THEN 'returned' WHEN l_discount > 0.08 THEN 'quality' WHEN l_tax = 0 THEN 'stationary' END AS reason FROM lineitem)
 SELECT coalesce(reason, 'accepted') AS reason, count(*) AS n FROM r GROUP BY ALL

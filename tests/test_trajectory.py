@@ -100,3 +100,17 @@ def test_standing_still(spark):
     assert got.count() == len(rows) and still == list(range(still[0], still[-1] + 1)) and 20 <= still[0] <= 25 and 38 <= still[-1] <= 44
     assert got.filter("k = 1 AND stationary").count() == 0
     assert J.stationary(spark.createDataFrame([], "k int, t long, x double, y double"), ["k"], "t", ["x", "y"], 0.2, 1).collect() == []
+
+
+def test_errors_outside_of_jumps(spark):
+    rows = [(0, t, float(t), 1.0 if t != 30 else None, float(t % 7)) for t in range(0, 100, 5)] + [(1, 5, 2.0, 1.0, 0.0), (0, 50, 9.0, 1.0, 0.0)]
+    df = spark.createDataFrame(rows, "k int, t long, a double, b double, c double")
+    jumps = spark.createDataFrame([(0, 50), (0, 12), (0, 12), (2, 5)], "k int, t long")
+    got = {r["k"]: r for r in J.errors(df, jumps, ["k"], "t", {"p": ("a", "b"), "v": ("c", "b")}, 7).collect()}
+    for k, own in ((0, [r for r in rows if r[0] == 0]), (1, rows[-2:-1])):
+        left = [r for r in own if all(abs(r[1] - j) > 7 for q, j in ((0, 50), (0, 12)) if q == k)]
+        p = [abs(r[2] - r[3]) for r in left if r[3] is not None]
+        r = got[k]
+        assert (r["rows"], r["excluded"], r["missing_p"]) == (len(own), len(own) - len(left), len(left) - len(p))
+        assert r["worst_p"] == max(p) and r["rms_p"] == pytest.approx(float(np.sqrt(np.mean(np.square(p)))))
+    assert sorted(got) == [0, 1]

@@ -150,3 +150,25 @@ def stationary(samples: DataFrame, keys: list[str], time: str, axes: list[str],
     rows = rows.withColumn("__run", F.sum(F.when(F.lag("__slow").over(w) == F.col("__slow"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     r = Window.partitionBy(*keys, "segment", "__run")
     return rows.select(*keys, "nth", time, "speed", (F.col("__slow") & (F.max(time).over(r) - F.min(time).over(r) >= least_ns)).alias("stationary"))
+
+
+def errors(rows: DataFrame, jumps: DataFrame, keys: list[str], time: str, pairs: dict[str, tuple[str, str]], exclusion: int) -> DataFrame:
+    """keys, rows, excluded, missing_<name>, worst_<name>, rms_<name>: how far estimates lie from the truth, by sequence.
+
+    pairs: name to (estimate, truth). Rows within `exclusion` (inclusive) of a jump of their sequence (keys, time) are left out, since derivatives have no value
+    there. A null estimate or truth is missing, and no error. The nearest jumps on either side are found in one window by time.
+    """
+    columns = sorted({c for pair in pairs.values() for c in pair})
+    marked = rows.select(*keys, F.col(time).alias("__t"), *columns, F.lit(None).cast("long").alias("__jump"))
+    at = jumps.select(*keys, F.col(time).alias("__t"), *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in columns], F.col(time).cast("long").alias("__jump"))
+    w = Window.partitionBy(*keys).orderBy("__t")
+    before = F.last("__jump", True).over(w.rangeBetween(Window.unboundedPreceding, 0))
+    after = F.first("__jump", True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    near = F.coalesce(F.col("__t") - F.col("__before") <= exclusion, F.lit(False)) | F.coalesce(F.col("__after") - F.col("__t") <= exclusion, F.lit(False))
+    judged = marked.union(at).withColumns({"__before": before, "__after": after}).filter("__jump IS NULL").withColumn("__out", near)
+    kept_ = ~F.col("__out")
+    found = [F.count("*").alias("rows"), F.count_if("__out").alias("excluded")]
+    for name, (estimate, truth) in pairs.items():
+        error = F.when(kept_, F.abs(F.col(estimate) - F.col(truth)))
+        found += [F.count_if(kept_ & error.isNull()).alias(f"missing_{name}"), F.max(error).alias(f"worst_{name}"), F.sqrt(F.avg(error * error)).alias(f"rms_{name}")]
+    return judged.groupBy(*keys).agg(*found)

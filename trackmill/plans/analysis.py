@@ -93,6 +93,24 @@ def trajectory_fits(spark, sf_dir):
     return J.evaluated(samples, queries, ["user_id"], "t", "event_id", ["x"], PAUSE * 1000, HOUR * 1000.0)
 
 
+@query(f"""
+WITH {EVENTS}, r AS (SELECT *, CASE WHEN event_id % 9 > 0 THEN avg(value) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) END AS fit, value - lag(value) OVER (PARTITION BY user_id ORDER BY us, event_id) AS step,
+  (lead(value) OVER (PARTITION BY user_id ORDER BY us, event_id) - lag(value) OVER (PARTITION BY user_id ORDER BY us, event_id)) / 2 AS slope FROM ev),
+x AS (SELECT r.*, EXISTS (SELECT 1 FROM r j WHERE j.user_id = r.user_id AND j.value > 95 AND abs(j.us - r.us) <= {6 * HOUR}) AS out FROM r),
+e AS (SELECT *, CASE WHEN NOT out THEN abs(fit - value) END AS p, CASE WHEN NOT out THEN abs(step - slope) END AS v FROM x)
+SELECT user_id, count(*) AS rows, count(*) FILTER (out) AS excluded, count(*) FILTER (NOT out AND p IS NULL) AS missing_position, round(max(p), 6) AS worst_position, round(sqrt(avg(p * p)), 6) AS rms_position,
+  count(*) FILTER (NOT out AND v IS NULL) AS missing_velocity, round(max(v), 6) AS worst_velocity, round(sqrt(avg(v * v)), 6) AS rms_velocity FROM e GROUP BY user_id
+""")
+def truth_errors(spark, sf_dir):
+    """Errors of smoothed values and of steps against the truth, outside six hours around jumps."""
+    w = Window.partitionBy("user_id").orderBy("us", "event_id")
+    rows = events(spark, sf_dir).withColumns({
+        "fit": F.when(F.col("event_id") % 9 > 0, F.avg("value").over(w.rowsBetween(-2, 2))), "step": F.col("value") - F.lag("value").over(w), "slope": (F.lead("value").over(w) - F.lag("value").over(w)) / 2,
+    })
+    found = J.errors(rows, rows.filter("value > 95"), ["user_id"], "us", {"position": ("fit", "value"), "velocity": ("step", "slope")}, 6 * HOUR)
+    return found.withColumns({c: F.round(c, 6) for c in found.columns if c.startswith(("worst", "rms"))})
+
+
 #: Arcs from each nation's place on a 5 x 5 grid to the next; observations are points of the embeddings, spread over the grid.
 ARC_SQL = "arc AS (SELECT n_nationkey AS arc, CAST(n_nationkey % 5 * 20 AS DOUBLE) AS x0, CAST(n_nationkey // 5 * 20 AS DOUBLE) AS y0, CAST((n_nationkey + 1) % 5 * 20 AS DOUBLE) AS x1, CAST(n_nationkey // 5 * 20 + 20 AS DOUBLE) AS y1 FROM nation)"
 

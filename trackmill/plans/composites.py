@@ -13,9 +13,10 @@ from ..operators import generators as N
 from ..operators import graphs as R
 from ..operators import islands as I
 from ..operators import joins as J
+from ..operators import review as V
 from .analysis import road_candidates, trajectories
 from .matching_joins import MEET, NODES, SIDES, edges, sides
-from .registry import ORACLE_SQL, query, table
+from .registry import EVENTS, ORACLE_SQL, events, query, table
 from .temporal import HOUR
 
 
@@ -162,3 +163,25 @@ def scan_alignment(spark, sf_dir):
     placed = T.compensated(points, poses, "seq", "frame")
     got = T.alignment_verdicts(placed, "seq", "frame", 1.0, 12, 0.75)
     return got.groupBy("seq", "verdict").agg(F.count("*").alias("frames"))
+
+
+@query(f"""
+WITH {EVENTS}, p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) * 10.0::DOUBLE AS x, value AS y, event_id % 11 > 1 AS on_road, event_id % 5 + CASE WHEN event_id % 13 = 0 THEN 1 ELSE 0 END AS arc,
+  event_id % 17 > 0 AS sure, value < 20 AS still, CASE WHEN event_id % 19 > 0 THEN ['DIRECTED_ARC', 'DIRECTED_ARC', 'DIRECTED_ARC', 'DIRECTED_ARC', 'OFF_MAP', 'AMBIGUOUS', 'UNRESOLVED'][event_id % 7 + 1] END AS label FROM ev),
+q AS (SELECT *, CASE WHEN label = 'DIRECTED_ARC' OR event_id % 401 = 5 AND label IS NOT NULL THEN event_id % 5 END AS expected,
+  CASE WHEN y >= 15 AND lag(y) OVER w >= 15 THEN sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) / 2 ELSE 0 END
+  + CASE WHEN y >= 15 AND lead(y) OVER w >= 15 THEN sqrt((x - lead(x) OVER w) * (x - lead(x) OVER w) + (y - lead(y) OVER w) * (y - lead(y) OVER w)) / 2 ELSE 0 END AS weight FROM p WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
+g AS (SELECT *, label = 'DIRECTED_ARC' AND sure AND NOT still AND on_road AND arc = expected AS agrees FROM q),
+t AS (SELECT user_id, sum(weight) AS distance, sum(CASE WHEN agrees THEN weight ELSE 0 END) AS confident, sum(CASE WHEN label = 'DIRECTED_ARC' THEN weight ELSE 0 END) AS manual, count(*) FILTER (agrees) AS n_agree, count(*) FILTER (label = 'OFF_MAP' AND sure AND NOT still AND NOT on_road) AS n_off_map,
+  sum(CASE WHEN label <> 'DIRECTED_ARC' THEN weight ELSE 0 END) AS open_distance, count(*) FILTER (label <> 'DIRECTED_ARC' AND expected IS NOT NULL) = 0 AS preserved FROM g GROUP BY user_id)
+SELECT user_id, round(distance, 6) AS distance, round(confident, 6) AS confident, round(manual, 6) AS manual, round(CASE WHEN manual > 0 THEN confident / manual ELSE 0 END, 9) AS agreement, n_agree, n_off_map, round(open_distance, 6) AS open_distance, preserved,
+  preserved AND CASE WHEN distance > 0 THEN confident / distance ELSE 0 END >= 0.35 AS accepted FROM t
+""")
+def adjudication_scores(spark, sf_dir):
+    """Decoded routes judged by reviewers' decisions, weighed by half of the ways to both neighbours."""
+    e, w = F.col("event_id"), Window.partitionBy("user_id").orderBy("us", "event_id")
+    points = events(spark, sf_dir).select("user_id", "us", "event_id", (F.row_number().over(w) * 10.0).alias("x"), F.col("value").alias("y"), (e % 11 > 1).alias("on_road"), (e % 5 + F.when(e % 13 == 0, 1).otherwise(0)).alias("arc"), (e % 17 > 0).alias("confident"), (F.col("value") < 20).alias("stationary"))
+    label = F.element_at(F.array(*map(F.lit, [*["DIRECTED_ARC"] * 4, "OFF_MAP", "AMBIGUOUS", "UNRESOLVED"])), (e % 7 + 1).cast("int"))
+    decisions = points.filter(e % 19 > 0).select("user_id", "event_id", label.alias("label")).withColumn("expected", F.when((F.col("label") == "DIRECTED_ARC") | (e % 401 == 5), e % 5))
+    found = V.adjudicated(V.half_distances(points, ["user_id"], ["us", "event_id"], ["x", "y"], "y", 15.0), decisions, ["user_id"], "event_id", 0.35)
+    return found.withColumns({c: F.round(c, 6) for c in ("distance", "confident", "manual", "open_distance")} | {"agreement": F.round("agreement", 9)})

@@ -129,6 +129,8 @@ def test_decoding_in_blocks_of_any_size(spark, block, fan):
         near = paths[0][0] - paths[1][0] <= decoding.AMBIGUOUS
         assert [x["point_ambiguous"] for x in own] == [near and a != b for a, b in zip(paths[0][1], paths[1][1])] and {x["ambiguous"] for x in own} == {near}
     assert lost
+    scores = {x["seq"]: x["score"] for x in decoding.path_scores(*tables(spark, sequences), ["seq"], block, fan).collect()}
+    assert scores == {k: own[0]["score"] for k, own in rows.items() if own[0]["state"] == "decoded"}
 
 
 def test_decoding_of_nothing_and_of_names(spark):
@@ -144,3 +146,22 @@ def test_required_route_may_have_any_number_of_arcs(spark):
     got = graphs.required_route(ring, spark.createDataFrame([(0,), (7,)], "src long"), [5, 12, 20], 40)
     assert {r["source"]: r["dist"] for r in got.collect()} == {0: 20, 7: 28}
     assert {r["source"]: r["dist"] for r in graphs.required_route(ring, spark.createDataFrame([(0,)], "src long"), [5, 12, 20], 19).collect()} == {0: None}
+
+
+def test_tables_of_few_and_of_many_candidates_agree(monkeypatch):
+    import pandas as pd
+
+    r = random.Random(21)
+    for _ in range(60):
+        emissions, moves = lattice(r, r.randint(1, 8), 4, r.choice([0.1, 0.6]))
+        rows = [(0, None, c, int(e * 4), 0, None) for c, e in emissions[0].items()]
+        for i in range(1, len(moves)):
+            rows += [(i, p, c, int((m + emissions[i][c]) * 4), 0, None) for (p, c), m in moves[i].items()] or [(i, None, None, None, 0, None)]
+        frame, found = pd.DataFrame(rows, columns=["pos", "entry", "exit", "score", "rank", "order"]), []
+        for dense in (0, 1 << 19):
+            monkeypatch.setattr(decoding, "DENSE", dense)
+            _, names, ends, parts = decoding._through(frame)
+            (score, order), _ = decoding._chain(parts)
+            ways = [(names[0][a], ends[-1][b], c, int(score[a, b, c]), int(order[a, b, c])) for a in range(score.shape[0]) for b in range(score.shape[1]) for c in range(2) if score[a, b, c] != decoding.NONE]
+            found.append(sorted(ways, key=lambda w: (str(w[0]), w[4])))
+        assert [w[:4] for w in found[0]] == [w[:4] for w in found[1]]

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from .state import kept
 from .trajectory import HALF_WINDOW, WINDOW, robust_cubics
 
-#: Observations of a block, tables that are multiplied together, the unit of scores, and how large a path's score may be in it.
+#: Entries of all tables of a group up to which they are one array; observations of a block, tables that are multiplied together, the unit of scores, and how large a path's score may be in it.
+DENSE = 1 << 19
 BLOCK, FAN, UNIT, MOST, NONE = 512, 64, 1e-9, 1 << 59, -(1 << 61)
 BEAM, PER_TERMINAL, DELTA, AMBIGUOUS = 64, 2, 50.0, 1.0
 
@@ -96,6 +97,16 @@ def _through(rows: pd.DataFrame) -> tuple[list, list, list, list]:
     order = leave if rows["order"][live].isna().any() else rows["order"].fillna(0).to_numpy(np.int64)
     pos = rows["pos"].to_numpy(np.int64)
     cuts = [0, *(np.flatnonzero(np.diff(pos)) + 1).tolist(), len(pos)]
+    steps, n = len(cuts) - 1, len(known)
+    if steps * (n + 1) * n <= DENSE:
+        # few candidates: all of them at each step, and None behind them at the first; what cannot be reached has no path in the product
+        table = np.full((2, steps, n + 1, n, PER_TERMINAL), NONE, np.int64)
+        table[1] = 0
+        own = np.flatnonzero(live)
+        at = (np.repeat(np.arange(steps), np.diff(cuts))[own], np.where(entry[own] < 0, n, entry[own]), leave[own], rank[own])
+        table[(0, *at)], table[(1, *at)] = score[own], order[own]
+        tables = [(table[0, 0], table[1, 0]), *((table[0, t, :n], table[1, t, :n]) for t in range(1, steps))]
+        return pos[cuts[:-1]].tolist(), [[*known, None], *[known] * (steps - 1)], [known] * steps, tables
     entries, exits, tables = [], [], []
     for start, stop in zip(cuts, cuts[1:]):
         own = np.flatnonzero(live[start:stop]) + start
@@ -143,6 +154,56 @@ def decode(candidates: DataFrame, transitions: DataFrame, keys: list[str], block
     """
     kinds = dict(candidates.dtypes)
     kind, key_kinds = kinds["candidate"], ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    begun, levels, best = _products(candidates, transitions, keys, block, fan)
+    totals = kept(_totals(best, keys))
+    asks = best.select(*keys, F.col("pos").alias("block"), "nth", F.col("entry").alias("a"), F.col("exit").alias("z"), "rank")
+    asked_kind = f"{key_kinds}, pos long, nth int, a {kind}, z {kind}, rank int"
+    for dealt in reversed(levels):
+
+        def trace(key: tuple, rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+            columns = [*keys, "pos", "nth", "a", "z", "rank"]
+            if asked.empty or rows.empty:
+                return pd.DataFrame(columns=columns)
+            places, names, ends, tables = _through(rows)
+            _, chosen = _chain(tables)
+            out = []
+            for nth, a, z, rank in zip(asked["nth"], asked["a"], asked["z"], asked["rank"]):
+                i, j, r = names[0].index(None if pd.isna(a) else a), ends[-1].index(z), int(rank)
+                for t in reversed(range(1, len(tables))):
+                    m, left, right = np.unravel_index(chosen[t - 1][i, j, r], (len(ends[t - 1]), PER_TERMINAL, PER_TERMINAL))
+                    out.append((*key[:-1], places[t], nth, ends[t - 1][m], ends[t][j], int(right)))
+                    j, r = int(m), int(left)
+                out.append((*key[:-1], places[0], nth, names[0][i], ends[0][j], r))
+            return pd.DataFrame(out, columns=columns)
+
+        by = [*keys, "block"]
+        left, right = _grouped(dealt, by, "__l"), _grouped(asks, by, "__r")
+        traced = left.groupBy(*[f"__l{i}" for i in range(len(by))]).cogroup(right.groupBy(*[f"__r{i}" for i in range(len(by))])).applyInPandas(trace, asked_kind)
+        asks = kept(traced).withColumnRenamed("pos", "block")
+    paths = asks.groupBy(*keys, F.col("block").alias("pos")).agg(F.max(F.when(F.col("nth") == 1, F.col("z"))).alias("candidate"), F.max(F.when(F.col("nth") == 2, F.col("z"))).alias("runner_up"))
+    seen = begun.select(*keys, (F.col("pos") - F.col("__first")).alias("pos"), "__first").distinct().join(totals, keys, "left").join(paths, [*keys, "pos"], "left")
+    apart = F.col("__a") - F.col("__b")
+    near = F.coalesce(apart <= round(AMBIGUOUS / UNIT), F.lit(False))
+    return seen.select(
+        *keys, (F.col("pos") + F.col("__first")).cast(kinds["obs"]).alias("obs"), "candidate", "runner_up", (F.col("__a") * UNIT).alias("score"), (F.col("__b") * UNIT).alias("runner_score"), (apart * UNIT).alias("separation"),
+        near.alias("ambiguous"), F.coalesce(near & (F.col("candidate") != F.col("runner_up")), F.lit(False)).alias("point_ambiguous"), F.when(F.col("__a").isNull(), "no_path").otherwise("decoded").alias("state"),
+    )
+
+
+def path_scores(candidates: DataFrame, transitions: DataFrame, keys: list[str], block: int = BLOCK, fan: int = FAN) -> DataFrame:
+    """keys, score, runner_score of the sequences through which a path leads, as decode() gives them, without tracing the paths."""
+    _, _, best = _products(candidates, transitions, keys, block, fan)
+    return _totals(best, keys).select(*keys, (F.col("__a") * UNIT).alias("score"), (F.col("__b") * UNIT).alias("runner_score"))
+
+
+def _totals(best: DataFrame, keys: list[str]) -> DataFrame:
+    return best.groupBy(*keys).agg(F.max(F.when(F.col("nth") == 1, F.col("score"))).alias("__a"), F.max(F.when(F.col("nth") == 2, F.col("score"))).alias("__b"))
+
+
+def _products(candidates: DataFrame, transitions: DataFrame, keys: list[str], block: int, fan: int) -> tuple[DataFrame, list[DataFrame], DataFrame]:
+    """The observations' candidates with their places, the elements of each level, and the two best ways through each sequence."""
+    kinds = dict(candidates.dtypes)
+    kind, key_kinds = kinds["candidate"], ", ".join(f"`{k}` {kinds[k]}" for k in keys)
     units = lambda c: F.round(c / UNIT).cast("long")
     own = candidates.select(*keys, F.col("obs").cast("long").alias("pos"), F.col("candidate").alias("exit"), units(F.col("emission")).alias("__e"))
     moves = transitions.filter(F.col("score").isNotNull() & ~F.isnan("score")).select(*keys, F.col("obs").cast("long").alias("pos"), F.col("candidate").alias("exit"), F.col("previous").alias("entry"), units(F.col("score")).alias("__m"))
@@ -176,39 +237,7 @@ def decode(candidates: DataFrame, transitions: DataFrame, keys: list[str], block
     # the two best ways through each sequence
     w = Window.partitionBy(*keys).orderBy(F.desc("score"), "order")
     best = level.filter("score IS NOT NULL AND entry IS NULL").withColumn("nth", F.row_number().over(w)).filter("nth <= 2")
-    totals = kept(best.groupBy(*keys).agg(F.max(F.when(F.col("nth") == 1, F.col("score"))).alias("__a"), F.max(F.when(F.col("nth") == 2, F.col("score"))).alias("__b")))
-    asks = best.select(*keys, F.col("pos").alias("block"), "nth", F.col("entry").alias("a"), F.col("exit").alias("z"), "rank")
-    asked_kind = f"{key_kinds}, pos long, nth int, a {kind}, z {kind}, rank int"
-    for dealt in reversed(levels):
-
-        def trace(key: tuple, rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-            columns = [*keys, "pos", "nth", "a", "z", "rank"]
-            if asked.empty or rows.empty:
-                return pd.DataFrame(columns=columns)
-            places, names, ends, tables = _through(rows)
-            _, chosen = _chain(tables)
-            out = []
-            for nth, a, z, rank in zip(asked["nth"], asked["a"], asked["z"], asked["rank"]):
-                i, j, r = names[0].index(None if pd.isna(a) else a), ends[-1].index(z), int(rank)
-                for t in reversed(range(1, len(tables))):
-                    m, left, right = np.unravel_index(chosen[t - 1][i, j, r], (len(ends[t - 1]), PER_TERMINAL, PER_TERMINAL))
-                    out.append((*key[:-1], places[t], nth, ends[t - 1][m], ends[t][j], int(right)))
-                    j, r = int(m), int(left)
-                out.append((*key[:-1], places[0], nth, names[0][i], ends[0][j], r))
-            return pd.DataFrame(out, columns=columns)
-
-        by = [*keys, "block"]
-        left, right = _grouped(dealt, by, "__l"), _grouped(asks, by, "__r")
-        traced = left.groupBy(*[f"__l{i}" for i in range(len(by))]).cogroup(right.groupBy(*[f"__r{i}" for i in range(len(by))])).applyInPandas(trace, asked_kind)
-        asks = kept(traced).withColumnRenamed("pos", "block")
-    paths = asks.groupBy(*keys, F.col("block").alias("pos")).agg(F.max(F.when(F.col("nth") == 1, F.col("z"))).alias("candidate"), F.max(F.when(F.col("nth") == 2, F.col("z"))).alias("runner_up"))
-    seen = begun.select(*keys, place, "__first").distinct().join(totals, keys, "left").join(paths, [*keys, "pos"], "left")
-    apart = F.col("__a") - F.col("__b")
-    near = F.coalesce(apart <= round(AMBIGUOUS / UNIT), F.lit(False))
-    return seen.select(
-        *keys, (F.col("pos") + F.col("__first")).cast(kinds["obs"]).alias("obs"), "candidate", "runner_up", (F.col("__a") * UNIT).alias("score"), (F.col("__b") * UNIT).alias("runner_score"), (apart * UNIT).alias("separation"),
-        near.alias("ambiguous"), F.coalesce(near & (F.col("candidate") != F.col("runner_up")), F.lit(False)).alias("point_ambiguous"), F.when(F.col("__a").isNull(), "no_path").otherwise("decoded").alias("state"),
-    )
+    return begun, levels, best
 
 
 def local_fits(t: np.ndarray, y: np.ndarray) -> np.ndarray:

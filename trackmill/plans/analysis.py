@@ -36,7 +36,8 @@ SELECT user_id, i AS n, round(greatest(s0, s1, s2), 5) AS score FROM r WHERE i =
 """)
 def best_path_score(spark, sf_dir):
     """The score of each sequence's best path through its candidates."""
-    return D.decode(*lattice(spark, sf_dir), ["user_id"]).groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.max("score"), 5).alias("score"))
+    candidates, moves = lattice(spark, sf_dir)
+    return D.path_scores(candidates, moves, ["user_id"]).join(candidates.groupBy("user_id").agg(F.max("obs").alias("n")), "user_id").select("user_id", F.col("n").cast("long").alias("n"), F.round("score", 5).alias("score"))
 
 
 @query(f"""

@@ -8,24 +8,27 @@ from pyspark.sql import functions as F
 from .state import settled
 
 
-def build_arcs(way_nodes: DataFrame, way: str, pos: str, node: str, axes: list[str], both_ways: str, digits: int = 6) -> DataFrame:
+def build_arcs(way_nodes: DataFrame, way: str, pos: str, node: str, axes: list[str], both_ways: str, digits: int = 6, ends: DataFrame | None = None, ahead: str | None = None, least: float = 0.0) -> DataFrame:
     """arc_id, way, chain, direction, from_node, to_node, n_vertices, length: ways cut where they end or meet.
 
-    A node is an end of arcs if it is a way's end or belongs to several ways. Rows where `both_ways` is true also give the reverse.
+    A node is an end of arcs if it is a way's end or belongs to several ways, or is among `ends` (a column `node`). Rows where `both_ways` is true also give
+    the reverse; where `ahead` names a column, the forward arc is there only if that is true. Arcs shorter than `least` are left out.
     """
     w = Window.partitionBy(way).orderBy(pos)
     shared = way_nodes.groupBy(node).agg(F.count_distinct(way).alias("__ways"))
+    if ends is not None:
+        shared = shared.join(ends.select(F.col("node").alias(node), F.lit(2).alias("__named")).distinct(), node, "left").select(node, F.greatest("__ways", "__named").alias("__ways"))
     marked = way_nodes.join(shared, node).withColumn("__end", F.lag(node).over(w).isNull() | F.lead(node).over(w).isNull() | (F.col("__ways") > 1))
     chain = F.sum(F.when(F.col("__end"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
     # an inner end closes one chain and opens the next
     cut = marked.withColumn("__n", chain).withColumn("chain", F.explode(F.when(F.col("__end"), F.array(F.col("__n") - 1, F.col("__n"))).otherwise(F.array("__n"))))
     inside = Window.partitionBy(way, "chain").orderBy(pos)
     step = sum(((F.col(a) - F.lag(a).over(inside)) * (F.col(a) - F.lag(a).over(inside)) for a in axes[1:]), (F.col(axes[0]) - F.lag(axes[0]).over(inside)) * (F.col(axes[0]) - F.lag(axes[0]).over(inside)))
-    arcs = cut.withColumn("__step", F.coalesce(F.sqrt(step), F.lit(0.0))).groupBy(way, "chain").agg(F.min_by(node, pos).alias("a"), F.max_by(node, pos).alias("b"), F.count("*").alias("n_vertices"), F.round(F.sum("__step"), digits).alias("length"), F.bool_or(both_ways).alias("__both")).filter("n_vertices > 1")
-    ways = F.array_compact(F.array(F.lit("forward"), F.when(F.col("__both"), "reverse")))
+    arcs = cut.withColumn("__step", F.coalesce(F.sqrt(step), F.lit(0.0))).groupBy(way, "chain").agg(F.min_by(node, pos).alias("a"), F.max_by(node, pos).alias("b"), F.count("*").alias("n_vertices"), F.round(F.sum("__step"), digits).alias("length"), F.bool_or(both_ways).alias("__both"), (F.bool_or(ahead) if ahead else F.lit(True)).alias("__ahead")).filter((F.col("n_vertices") > 1) & (F.col("length") >= least))
+    ways = F.array_compact(F.array(F.when(F.col("__ahead"), "forward"), F.when(F.col("__both"), "reverse")))
     made = arcs.withColumn("direction", F.explode(ways))
-    ahead = F.col("direction") == "forward"
-    named = made.select(way, "chain", "direction", F.when(ahead, F.col("a")).otherwise(F.col("b")).alias("from_node"), F.when(ahead, F.col("b")).otherwise(F.col("a")).alias("to_node"), "n_vertices", "length")
+    forward = F.col("direction") == "forward"
+    named = made.select(way, "chain", "direction", F.when(forward, F.col("a")).otherwise(F.col("b")).alias("from_node"), F.when(forward, F.col("b")).otherwise(F.col("a")).alias("to_node"), "n_vertices", "length")
     return named.withColumn("arc_id", F.sha2(F.concat_ws("|", way, "chain", "direction"), 256))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, analysis, composites, controls, expressions, files, matching_joins, network, streams, temporal, topology  # noqa: F401  each module enters its queries
+from . import aggregates, analysis, composites, controls, expressions, files, matching_joins, network, road_maps, streams, temporal, topology  # noqa: F401  each module enters its queries
 from .registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "gap_events"

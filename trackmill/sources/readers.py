@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions import geometry as G
 from ..functions import scalars as S
+from . import road_map
 
 #: Fixed header of trajectory files.
 TRAJECTORY = ["GPSTime", "easting", "northing", "altitude", "vel_east", "vel_north", "vel_up", "roll", "pitch", "heading", "angvel_z", "angvel_y", "angvel_x", "accelz", "accely", "accelx", "latitude", "longitude"]
@@ -159,21 +160,12 @@ def frame_scan(spark: SparkSession, path: str, rings: int = 128) -> DataFrame:
     return parts.groupBy("key").agg(F.sum("points").alias("points"), F.sum("invalid").alias("invalid"), F.min("first_ns").alias("first_ns"), F.max("last_ns").alias("last_ns"), F.bool_and("ordered").alias("ordered"), *bounds)
 
 
-TAG = "ARRAY<STRUCT<_k: STRING, _v: STRING>>"
-
-
 def road_map_xml(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Nodes, ways and relations of a road map in XML; files that declare a document type fail."""
-    declared = spark.read.text(path).filter(F.col("value").rlike("<!(DOCTYPE|ENTITY)")).limit(1).count()
-    if declared:
-        raise ValueError("document types and entities are not read")
-    read = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).option("mode", "FAILFAST").schema(schema).load(path)
-    tags = F.map_from_entries(F.coalesce(F.transform("tag", lambda t: F.struct(t["_k"].alias("_k"), t["_v"].alias("_v"))), F.array().cast("array<struct<_k:string,_v:string>>")))
-    e7 = lambda c: (F.col(c).cast("decimal(20,7)") * 10_000_000).cast("long")
-    nodes = read("node", f"_id LONG, _lat STRING, _lon STRING, tag {TAG}").select(F.col("_id").alias("node"), e7("_lat").alias("lat_e7"), e7("_lon").alias("lon_e7"), (F.col("_lat").rlike(r"^-?[0-9]+(\.[0-9]{1,7})?$") & F.col("_lon").rlike(r"^-?[0-9]+(\.[0-9]{1,7})?$")).alias("valid"))
-    ways = read("way", f"_id LONG, nd ARRAY<STRUCT<_ref: LONG>>, tag {TAG}").select(F.col("_id").alias("way"), F.col("nd._ref").alias("refs"), tags.alias("tags"))
-    relations = read("relation", f"_id LONG, member ARRAY<STRUCT<_type: STRING, _ref: LONG, _role: STRING>>, tag {TAG}").select(F.col("_id").alias("relation"), F.col("member").alias("members"), tags.alias("tags"))
-    return {"nodes": nodes, "ways": ways, "relations": relations}
+    """Nodes, ways and relations of a road map in XML, of one read of the files; files that declare a document type fail."""
+    every = road_map.elements(spark, path)
+    of = lambda kind, *columns: every.filter(F.col("kind") == kind).select(F.col("id").alias(kind), *columns)
+    members = F.transform("members", lambda m: F.struct(m["type"].alias("_type"), m["ref"].alias("_ref"), m["role"].alias("_role")))
+    return {"nodes": of("node", "lat_e7", "lon_e7", "valid"), "ways": of("way", "refs", "tags"), "relations": of("relation", members.alias("members"), "tags")}
 
 
 def route_html(spark: SparkSession, path: str) -> DataFrame:

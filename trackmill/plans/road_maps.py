@@ -49,7 +49,7 @@ ARCS = f"""pt AS (SELECT p_partkey AS node, 48 + (p_partkey % 97) * 5000 / CAST(
 md AS (SELECT (min(lat) + max(lat)) / 2 AS la, (min(lon) + max(lon)) / 2 AS lo FROM pt),
 kk AS (SELECT *, {G.A} / sqrt(1 - {G.E2} * sin(radians(lat)) * sin(radians(lat))) AS n, {G.A} / sqrt(1 - {G.E2} * sin(radians(la)) * sin(radians(la))) AS n0 FROM pt, md),
 ec AS (SELECT *, n * cos(radians(lat)) * cos(radians(lon)) - n0 * cos(radians(la)) * cos(radians(lo)) AS dx, n * cos(radians(lat)) * sin(radians(lon)) - n0 * cos(radians(la)) * sin(radians(lo)) AS dy, n * {1 - G.E2} * sin(radians(lat)) - n0 * {1 - G.E2} * sin(radians(la)) AS dz FROM kk),
-pl AS (SELECT node, -sin(radians(lo)) * dx + cos(radians(lo)) * dy AS x, -sin(radians(la)) * cos(radians(lo)) * dx - sin(radians(la)) * sin(radians(lo)) * dy + cos(radians(la)) * dz AS y FROM ec),
+pl AS (SELECT node, round(-sin(radians(lo)) * dx + cos(radians(lo)) * dy, 6) AS x, round(-sin(radians(la)) * cos(radians(lo)) * dx - sin(radians(la)) * sin(radians(lo)) * dy + cos(radians(la)) * dz, 6) AS y FROM ec),
 rf AS (SELECT l_orderkey AS way, l_partkey AS node, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS pos FROM lineitem),
 wy AS (SELECT o_orderkey AS way, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'motorway' WHEN '2' THEN 'primary' WHEN '3' THEN 'residential' WHEN '4' THEN 'service' ELSE 'footway' END AS highway,
   CASE WHEN o_custkey % 5 = 0 THEN 'yes' WHEN o_custkey % 5 = 1 THEN '-1' WHEN o_custkey % 5 = 2 THEN 'no' WHEN o_custkey % 5 = 4 AND o_orderkey % 7 = 0 THEN 'reversible' END AS oneway, o_custkey AS cust, o_orderstatus AS st FROM orders),
@@ -73,11 +73,14 @@ fin AS (SELECT rr.relation, CASE WHEN reading = 'APPLIED_NO' AND coalesce(n, 0)
 ru AS (SELECT tn.relation, fin.reading, from_way, from_chain, from_direction, to_way, to_chain, to_direction, CASE WHEN fin.reading LIKE 'APPLIED%' THEN 'FORBIDDEN' ELSE 'UNKNOWN_RESTRICTION' END AS state FROM tn JOIN fin USING (relation) WHERE CASE fin.reading WHEN 'APPLIED_NO' THEN named WHEN 'APPLIED_ONLY' THEN NOT named ELSE true END)"""
 
 
-@query(f"WITH {ARCS} SELECT way, chain, direction, from_node, to_node, n_vertices, round(length, 3) AS length FROM arc")
+@query(f"WITH {ARCS} SELECT way, chain, direction, from_node, to_node, n_vertices, round(round(length, 6) + 1e-7, 3) AS length FROM arc")
 def imported_arcs(spark, sf_dir):
-    """Directed arcs of the ways that a map in XML has, cut at ends, crossings and restricted nodes."""
+    """Directed arcs of the ways that a map in XML has, cut at ends, crossings and restricted nodes.
+
+    Lengths of whole micrometres are moved off the half millimetre before they are rounded, as engines round halves of doubles differently.
+    """
     arcs = graph(spark, sf_dir)["arcs"]
-    return arcs.select("way", "chain", "direction", "from_node", "to_node", "n_vertices", F.round("length", 3).alias("length"))
+    return arcs.select("way", "chain", "direction", "from_node", "to_node", "n_vertices", F.round(F.col("length") + 1e-7, 3).alias("length"))
 
 
 @query(f"WITH {RULES} SELECT relation, reading, from_way, from_chain, from_direction, to_way, to_chain, to_direction, state FROM ru")

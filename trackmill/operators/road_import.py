@@ -7,6 +7,7 @@ on ways and nodes. What a tag leaves open is never guessed: such ways are left o
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -177,7 +178,7 @@ def imported(elements: DataFrame, profile: RoadProfile = RoadProfile()) -> dict[
         count(rules, "transition_rules"),
         final.agg(F.count_if(F.col("reading").startswith("APPLIED")).alias("applied_restrictions"), F.count_if(F.col("reading").startswith("UNKNOWN")).alias("unknown_restrictions")),
     ]
-    one = parts[0].withColumn("__one", F.lit(1))
-    for part in parts[1:]:
-        one = one.join(part.withColumn("__one", F.lit(1)), "__one")
-    return {"nodes": nodes, "arcs": arcs, "rules": rules, "restrictions": final, "excluded": every.filter("excluded IS NOT NULL").groupBy("excluded").agg(F.count("*").alias("ways")), "statistics": one.drop("__one")}
+    # one row of each part, each with its own columns
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    statistics = rows.agg(*[F.max(c).alias(c) for c in rows.columns])
+    return {"nodes": nodes, "arcs": arcs, "rules": rules, "restrictions": final, "excluded": every.filter("excluded IS NOT NULL").groupBy("excluded").agg(F.count("*").alias("ways")), "statistics": statistics}

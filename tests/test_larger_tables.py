@@ -1,6 +1,7 @@
 """What larger tables brought to light: cases that the small ones don't hold."""
 
 import datetime
+import math
 import os
 import random
 
@@ -9,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from helpers import TABLES, assert_same
 
-from trackmill.operators import joins
+from trackmill.operators import joins, polylines
 from trackmill.plans import catalog
 
 SMALL = "/root/testdata/sf0.001"
@@ -51,3 +52,31 @@ def test_events_without_length_within_others(spark, tmp_path, name):
     rows = [(1, 0, 1, "error", 100.0), (2, 50, 1, "purchase", 0.0), (3, 0, 1, "purchase", 0.0), (4, 300, 2, "purchase", 60.0), (5, 330, 2, "error", 0.0), (6, 340, 2, "error", 90.0)]
     rows += [(7, 900, 3, "purchase", 5.0), (8, 901, 3, "error", 2.5), (2, 5000, 4, "purchase", 1.0), (9, 6000, 4, "error", 1.0)]
     assert_same(catalog.QUERIES[name](spark, with_events(tmp_path, rows)), str(tmp_path), catalog.ORACLE_SQL[name])
+
+
+def plain_clusters(lines, most):
+    """Greedy complete-link clusters of {line: points}, from all pairs."""
+    near = lambda a, b: sum(math.dist(p, q) for p, q in zip(lines[a], lines[b])) / len(lines[a]) <= most
+    groups = []
+    for x in sorted(lines):
+        home = next((g for g in groups if all(near(m, x) for m in g)), None)
+        home.append(x) if home is not None else groups.append([x])
+    return {x: g[0] for g in groups for x in g}, {(a, b) for a in lines for b in lines if a < b and near(a, b)}
+
+
+def test_copies_of_polylines_are_compared_once(spark):
+    r = random.Random(7)
+    lines = {}
+    for line in range(60):
+        copied = [x for x in lines if x % 2 == line % 2]
+        lines[line] = lines[r.choice(copied)] if copied and r.random() < 0.5 else [(k * 10 + r.uniform(-9, 9), r.choice([0, 8, 16, 200]) + r.uniform(-5, 5)) for k in range(4)]
+    samples = spark.createDataFrame([(i % 2, i, k, x, y) for i, at in lines.items() for k, (x, y) in enumerate(at)], "family int, line int, k int, x double, y double").repartition(5)
+    wanted = [plain_clusters({i: at for i, at in lines.items() if i % 2 == f}, 12.0) for f in (0, 1)]
+    near = [tuple(x) for x in polylines.near_pairs(samples, ["family"], "line", ["x", "y"], 12.0).select("family", "a", "b").collect()]
+    assert sorted(near) == sorted((f, *p) for f in (0, 1) for p in wanted[f][1])
+    shapes = polylines.shapes(samples, ["family"], "line", ["x", "y"])
+    assert shapes.select("shape").distinct().count() < 45
+    # pairs of shapes, not of lines, are what is compared
+    assert polylines.near_shapes(shapes, ["family"], "line", ["x", "y"], 12.0).count() < len(near) / 2
+    got = {x["line"]: x["cluster"] for x in polylines.complete_clusters(shapes, ["family"], "line", ["x", "y"], 12.0).collect()}
+    assert got == wanted[0][0] | wanted[1][0]

@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from helpers import TABLES, assert_same
 
-from trackmill.operators import joins, polylines
+from trackmill.operators import bins, joins, polylines
 from trackmill.plans import catalog
 
 SMALL = "/root/testdata/sf0.001"
@@ -80,3 +80,14 @@ def test_copies_of_polylines_are_compared_once(spark):
     assert polylines.near_shapes(shapes, ["family"], "line", ["x", "y"], 12.0).count() < len(near) / 2
     got = {x["line"]: x["cluster"] for x in polylines.complete_clusters(shapes, ["family"], "line", ["x", "y"], 12.0).collect()}
     assert got == wanted[0][0] | wanted[1][0]
+
+
+def test_of_identical_pieces_the_first_counts_and_they_are_not_shuffled(spark):
+    rows = [(1, 0, i, 0.0, 50.0, 0, 1000, float(100 - i)) for i in range(40)] + [(2, 1, 90, 5.0, 45.0, 7, 40_007, 3.0)]
+    moves = spark.createDataFrame(rows, "arc int, seq int, id long, a double, b double, s long, e long, speed double").repartition(7, "id")
+    made = bins.traversals(bins.split(moves.repartition("arc", "seq"), "a", "b", "s", "e", 20.0), "arc", "seq", "id", "speed", 300)
+    got = sorted((x["arc"], x["bin"], x["ordinal"], x["mean_speed"], x["pieces"], x["distance"]) for x in made.collect())
+    assert got == [(1, 0, 0, 100.0, 1, 20.0), (1, 1, 0, 100.0, 1, 20.0), (1, 2, 0, 100.0, 1, 10.0), (2, 0, 0, 3.0, 1, 15.0), (2, 1, 0, 3.0, 1, 20.0), (2, 2, 0, 3.0, 1, 5.0)]
+    plan = made._jdf.queryExecution().sparkPlan().toString()
+    executed = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert "Window" in plan and executed.count("Exchange hashpartitioning(arc") == 1

@@ -36,9 +36,12 @@ def split(moves: DataFrame, a: str, b: str, s: str, e: str, size: float) -> Data
 
 
 def traversals(pieces: DataFrame, arc: str, sequence: str, tie: str, speed: str, gap: int) -> DataFrame:
-    """One row for each pass over a bin: first and last time, entry and exit, distance, speeds, pieces. Identical pieces count once."""
+    """One row for each pass over a bin: first and last time, entry and exit, distance, speeds, pieces. Identical pieces count once, as the first by `tie`.
+
+    Nothing is shuffled if pieces are dealt by some of arc, bin and sequence already (as they are where the movements were, before split()).
+    """
     keys = [arc, "bin", sequence]
-    once = pieces.dropDuplicates([arc, "bin", sequence, "piece_start", "piece_end", "entry", "exit"])
+    once = pieces.groupBy(*keys, "piece_start", "piece_end", "entry", "exit").agg(F.min(F.struct(tie, speed)).alias("__first")).select("*", "__first.*").drop("__first")
     numbered = reach_islands(once, keys, "piece_start", "piece_end", tie, gap, "ordinal")
     return numbered.groupBy(*keys, "ordinal").agg(
         F.min("piece_start").alias("first_time"),

@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from helpers import TABLES, assert_same
 
-from trackmill.operators import bins, joins, polylines
+from trackmill.operators import bins, joins, polylines, road_import
 from trackmill.plans import catalog
 
 SMALL = "/root/testdata/sf0.001"
@@ -91,3 +91,12 @@ def test_of_identical_pieces_the_first_counts_and_they_are_not_shuffled(spark):
     plan = made._jdf.queryExecution().sparkPlan().toString()
     executed = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert "Window" in plan and executed.count("Exchange hashpartitioning(arc") == 1
+
+
+@tables
+def test_reasons_of_excluded_ways_need_no_arcs(spark, monkeypatch):
+    def no_arcs(*args, **kwargs):
+        raise AssertionError("arcs are made")
+
+    monkeypatch.setattr(road_import, "build_arcs", no_arcs)
+    assert_same(catalog.QUERIES["excluded_ways"](spark, SMALL), SMALL, catalog.ORACLE_SQL["excluded_ways"])

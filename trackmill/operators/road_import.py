@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from .graphs import build_arcs
-from .state import kept
+from .state import stored
 
 
 @dataclass(frozen=True)
@@ -146,27 +146,50 @@ def turn_rules(arcs: DataFrame, read: DataFrame) -> tuple[DataFrame, DataFrame]:
     return judged.filter(applies).select("relation", "from_arc", "to_arc", state.alias("state")).distinct(), final
 
 
-def imported(elements: DataFrame, profile: RoadProfile = RoadProfile()) -> dict[str, DataFrame]:
-    """nodes, arcs, rules, restrictions, excluded (reason, ways) and statistics (one row) of a map's elements, as sources.road_map gives them.
+def sound(elements: DataFrame, profile: RoadProfile = RoadProfile()) -> DataFrame:
+    """The classified ways of a map's elements, as sources.road_map gives them.
 
-    Elements are kept by their reader, classified ways, arcs and rules here; everything else is lazy. A map with repeated ids, misplaced nodes or references to
-    nodes that it lacks is an error, as is one without nodes. Lengths are in metres, on the plane through the middle of the map's bounds.
+    A map with repeated ids, misplaced nodes or references to nodes that it lacks is an error, as is one without nodes.
     """
     wrong = faults(elements).first().asDict()
     if any(wrong.values()):
         raise ValueError(f"the map is at fault: {wrong}")
+    return stored(classified(elements.filter("kind = 'way'").select(F.col("id").alias("way"), "refs", "tags"), profile))
+
+
+def excluded(every: DataFrame) -> DataFrame:
+    """excluded (the reason), ways: how many classified ways are left out."""
+    return every.filter("excluded IS NOT NULL").groupBy("excluded").agg(F.count("*").alias("ways"))
+
+
+def directed(elements: DataFrame, every: DataFrame, profile: RoadProfile = RoadProfile()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The arcs of the classified ways that are taken in, those ways' nodes in order, and the nodes that arcs end at.
+
+    Lengths are in metres, on the plane through the middle of the map's bounds.
+    """
     middle = origin(elements)
-    every = kept(classified(elements.filter("kind = 'way'").select(F.col("id").alias("way"), "refs", "tags"), profile))
     ways = every.filter("excluded IS NULL")
-    relations = elements.filter("kind = 'relation'").select(F.col("id").alias("relation"), "members", "tags")
+    relations = elements.filter("kind = 'relation'")
     east, north, _ = G.to_enu(F.col("lat_e7") / 1e7, F.col("lon_e7") / 1e7, F.lit(0.0), middle)
     placed = elements.filter("kind = 'node'").select(F.col("id").alias("node"), F.round(east, 6).alias("x"), F.round(north, 6).alias("y"))
     on_ways = ways.select("way", "forward", "reverse", F.posexplode("refs").alias("pos", "node")).join(placed, "node")
     via = relations.filter(_sure(_tag("type") == "restriction")).select(F.explode("members").alias("m")).filter("m.type = 'node' AND m.role = 'via'").select(F.col("m.ref").alias("node"))
     ends = ways.select(F.explode(F.array(F.get("refs", F.lit(0)), F.get("refs", F.size("refs") - 1))).alias("node")).union(via)
-    arcs = kept(build_arcs(on_ways, "way", "pos", "node", ["x", "y"], "reverse", ends=ends, ahead="forward", least=profile.least_length))
+    return build_arcs(on_ways, "way", "pos", "node", ["x", "y"], "reverse", ends=ends, ahead="forward", least=profile.least_length), on_ways, ends
+
+
+def imported(elements: DataFrame, profile: RoadProfile = RoadProfile()) -> dict[str, DataFrame]:
+    """nodes, arcs, rules, restrictions, excluded (reason, ways) and statistics (one row) of a map's elements, as sources.road_map gives them.
+
+    Elements are kept by their reader, classified ways, arcs and rules here; everything else is lazy. Who needs ways or arcs alone takes sound() and directed().
+    """
+    every = sound(elements, profile)
+    arcs, on_ways, ends = directed(elements, every, profile)
+    arcs = stored(arcs)
+    relations = elements.filter("kind = 'relation'").select(F.col("id").alias("relation"), "members", "tags")
+    ways = every.filter("excluded IS NULL")
     rules, final = turn_rules(arcs, restrictions(relations, ways, profile))
-    rules, final = kept(rules), kept(final)
+    rules, final = stored(rules), stored(final)
     used = on_ways.groupBy("node").agg(F.count_distinct("way").alias("ways"), F.first("x").alias("x"), F.first("y").alias("y"))
     nodes = used.join(ends.select("node", F.lit(True).alias("__end")).distinct(), "node", "left").filter("ways > 1 OR __end").select("node", "x", "y")
     count = lambda df, name, what=F.lit(True): df.agg(F.count_if(what).alias(name))
@@ -181,4 +204,4 @@ def imported(elements: DataFrame, profile: RoadProfile = RoadProfile()) -> dict[
     # one row of each part, each with its own columns
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     statistics = rows.agg(*[F.max(c).alias(c) for c in rows.columns])
-    return {"nodes": nodes, "arcs": arcs, "rules": rules, "restrictions": final, "excluded": every.filter("excluded IS NOT NULL").groupBy("excluded").agg(F.count("*").alias("ways")), "statistics": statistics}
+    return {"nodes": nodes, "arcs": arcs, "rules": rules, "restrictions": final, "excluded": excluded(every), "statistics": statistics}

@@ -12,7 +12,7 @@ from .registry import query, table
 
 
 def written(spark, sf_dir) -> str:
-    """The map as XML in the shared folder, nodes, ways and relations mixed in the same files."""
+    """The map as XML in the shared folder, in as many files as the tables have parts."""
     tag = lambda k, v: F.when(v.isNotNull(), F.struct(F.lit(k).alias("_k"), v.cast("string").alias("_v")))
     member = lambda kind, ref, role: F.struct(F.lit(kind).alias("_type"), ref.alias("_ref"), F.lit(role).alias("_role"))
     xml = lambda name, *columns: F.to_xml(F.struct(*columns), {"rowTag": name}).alias("value")
@@ -36,12 +36,16 @@ def written(spark, sf_dir) -> str:
     facts = F.array_compact(F.array(tag("type", F.when(k % 6 == 4, "multipolygon").otherwise("restriction")), tag("restriction", value), tag("except", F.when(k % 6 == 2, "bus"))))
     relations = ends.select(xml("relation", k.alias("_id"), members.alias("member"), facts.alias("tag")))
     at = folder(spark)
-    nodes.union(ways).union(relations).repartition(8).write.text(at)
+    nodes.union(ways).union(relations).write.text(at)
     return at
 
 
+def elements(spark, sf_dir):
+    return M.elements(spark, written(spark, sf_dir))
+
+
 def graph(spark, sf_dir):
-    return I.imported(M.elements(spark, written(spark, sf_dir)))
+    return I.imported(elements(spark, sf_dir))
 
 
 #: The map's arcs in SQL, from the tables that it was made of.
@@ -79,7 +83,8 @@ def imported_arcs(spark, sf_dir):
 
     Lengths of whole micrometres are moved off the half millimetre before they are rounded, as engines round halves of doubles differently.
     """
-    arcs = graph(spark, sf_dir)["arcs"]
+    read = elements(spark, sf_dir)
+    arcs = I.directed(read, I.sound(read))[0]
     return arcs.select("way", "chain", "direction", "from_node", "to_node", "n_vertices", F.round(F.col("length") + 1e-7, 3).alias("length"))
 
 
@@ -105,4 +110,4 @@ def import_statistics(spark, sf_dir):
 @query(f"WITH {ARCS} SELECT excluded, count(*) AS ways FROM cl WHERE excluded IS NOT NULL GROUP BY excluded")
 def excluded_ways(spark, sf_dir):
     """How many ways of a map each reason keeps out."""
-    return graph(spark, sf_dir)["excluded"]
+    return I.excluded(I.sound(elements(spark, sf_dir)))

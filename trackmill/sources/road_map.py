@@ -10,7 +10,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.state import kept
+from ..operators.state import stored
 
 KINDS, INNER = ("node", "way", "relation", "bounds"), ("nd", "tag", "member")
 NAMES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&"}
@@ -93,7 +93,7 @@ def elements(spark: SparkSession, path: str) -> DataFrame:
     degrees with at most seven decimals. Files are UTF-8. Tags of other elements are passed over; an empty file has no rows.
     """
     try:
-        pieces = kept(_pieces(spark, path))
+        pieces = stored(_pieces(spark, path))
     except PySparkException as error:
         if "USER_RAISED_EXCEPTION" in str(error):
             raise ValueError(str(error).split("\n")[0]) from error
@@ -107,7 +107,7 @@ def elements(spark: SparkSession, path: str) -> DataFrame:
     place = v["lat"].rlike(DEGREES) & v["lon"].rlike(DEGREES)
     bounds = F.when(kind == "bounds", F.struct(*[e7(c).alias(n) for c, n in (("minlat", "south"), ("minlon", "west"), ("maxlat", "north"), ("maxlon", "east"))]))
     # kept once more as columns, so that what is asked of them is not taken apart again for each question
-    return kept(every.select(
+    return stored(every.select(
         kind.alias("kind"), v["id"].cast("long").alias("id"), e7("lat").alias("lat_e7"), e7("lon").alias("lon_e7"), F.coalesce(place, F.lit(False)).alias("valid"), inner("nd", lambda x: x["ref"].cast("long")).alias("refs"),
         inner("member", lambda x: F.struct(x["type"].alias("type"), x["ref"].cast("long").alias("ref"), x["role"].alias("role"))).alias("members"), F.map_from_entries(inner("tag", lambda x: F.struct(x["k"], x["v"]))).alias("tags"), bounds.alias("bounds"),
     ))

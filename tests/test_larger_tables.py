@@ -100,3 +100,21 @@ def test_reasons_of_excluded_ways_need_no_arcs(spark, monkeypatch):
 
     monkeypatch.setattr(road_import, "build_arcs", no_arcs)
     assert_same(catalog.QUERIES["excluded_ways"](spark, SMALL), SMALL, catalog.ORACLE_SQL["excluded_ways"])
+
+
+@tables
+def test_stream_checks_in_any_order_of_files(spark, tmp_path):
+    r = random.Random(11)
+    rows = [(i, at, i % 3, "view", 1.0) for i, at in enumerate(r.choices(range(0, 20_000, 50), k=240))]
+    r.shuffle(rows)
+    # more files than a batch takes
+    folder = with_events(tmp_path, *[rows[i::12] for i in range(12)])
+    got = catalog.QUERIES["stream_checks"](spark, folder).collect()
+    wanted = []
+    for user in range(3):
+        times = [60_000_000 * at for i, at, u, _, _ in sorted(rows) if u == user]
+        steps = [b - a for a, b in zip(times, times[1:])]
+        wanted.append((user, len(times), sum(x == 0 for x in steps), sum(x < 0 for x in steps), sum(x > 86_400_000_000 for x in steps)))
+    assert sorted((x["user_id"], x["n"], x["duplicates"], x["regressions"], x["gaps"]) for x in got) == wanted
+    latest = {u: max(at for _, at, v, _, _ in rows if v == u) for u in range(3)}
+    assert {x["user_id"]: x["last_us"] - 1_704_067_200_000_000 for x in got} == {u: 60_000_000 * at for u, at in latest.items()}

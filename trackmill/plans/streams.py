@@ -51,7 +51,7 @@ WITH d AS (SELECT user_id, epoch_us(ts) AS us, epoch_us(ts) - lag(epoch_us(ts))
 SELECT user_id, count(*) AS n, count(*) FILTER (step = 0) AS duplicates, count(*) FILTER (step < 0) AS regressions, count(*) FILTER (step > 86400000000) AS gaps, max(us) AS last_us FROM d GROUP BY user_id
 """)
 def stream_checks(spark, sf_dir):
-    """Duplicates, regressions and gaps with one small state for each user."""
+    """Duplicates, regressions and gaps of each user in order of ids, whatever order rows arrive in."""
     rows = _events(spark, sf_dir).select("user_id", "event_id", F.unix_micros("ts").alias("us"))
     got = _done(spark, L.running_checks(rows, "user_id", "event_id", "us", 86_400_000_000), "update")
     return got.groupBy("user_id").agg(*[F.max_by(c, "n").alias(c) for c in ("duplicates", "regressions", "gaps", "last_us")], F.max("n").alias("n"))

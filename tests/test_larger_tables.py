@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from helpers import TABLES, assert_same
 
-from trackmill.operators import bins, joins, polylines, road_import
+from trackmill.operators import bins, joins, polylines, road_import, state, topology
 from trackmill.plans import catalog
 
 SMALL = "/root/testdata/sf0.001"
@@ -121,3 +121,33 @@ def test_stream_checks_in_any_order_of_files(spark, tmp_path):
 def test_pieces_of_movements_are_not_shuffled(spark):
     plan = catalog.QUERIES["traversals"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+@tables
+@pytest.mark.parametrize("name", ["road_arcs", "topology_rejections", "topology_clusters"])
+def test_parts_are_as_many_as_the_rows_need(spark, monkeypatch, name):
+    monkeypatch.setattr(state, "PART_ROWS", 400)
+    found = catalog.QUERIES[name](spark, SMALL)
+    if name != "topology_clusters":  # its sorts are behind it
+        assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+    assert_same(found, SMALL, catalog.ORACLE_SQL[name])
+
+
+@tables
+def test_corridors_are_made_once(spark):
+    plan = catalog.QUERIES["topology_hypotheses"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and "percentile" not in plan
+
+
+@pytest.mark.parametrize("together", [7, 4096])
+def test_corridors_of_clusters_are_their_medians(spark, monkeypatch, together):
+    monkeypatch.setattr(topology, "TOGETHER", together)
+    r, limits = random.Random(9), topology.Limits(samples=3, traversals=2)
+    rows = [(i, k, r.choice([0, 30, 400, 900]) + 60.0 * k + r.uniform(-9, 9), r.choice([0, 20]) + r.uniform(-5, 5)) for i in range(90) for k in range(3)]
+    samples = spark.createDataFrame(rows, "interval long, k int, x double, y double")
+    traversals = spark.createDataFrame([(i, i % 4 if i % 9 else None) for i in range(90)], "interval long, traversal long")
+    plain = topology.corridors(samples, topology.clustered(samples, limits), traversals).filter("n_traversals >= 2")
+    columns = ["cluster", "k", "x", "y", "n_intervals", "n_traversals"]
+    got = sorted(tuple(x) for x in topology.clustered_corridors(samples, traversals, limits).select(*columns).collect())
+    assert got == sorted(tuple(x) for x in plain.select(*columns).collect()) and len(got) > 9
+    assert topology.clustered_corridors(samples.limit(0), traversals, limits).collect() == []

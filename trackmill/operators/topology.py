@@ -8,6 +8,7 @@ joins is a missing connection, one whose best arc lies too far from it a disagre
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import first_failing
 from . import graphs, grids
 from . import polylines as P
-from .state import kept
+from .state import kept, spread, stored
 
 
 @dataclass(frozen=True)
@@ -62,6 +63,18 @@ def judged(intervals: DataFrame, parts: DataFrame, limits: Limits) -> DataFrame:
     return intervals.join(shape, "interval", "left").withColumn("reason", first_failing(rules)).drop("first", "last", "length")
 
 
+#: Intervals that Python clusters in one call, blocks of them as a whole.
+TOGETHER = 4096
+
+
+def lines(samples: DataFrame, limits: Limits) -> DataFrame:
+    """interval, xs, ys (the points of a resampled interval in order of k) and the cells of its ends, i0 to i3, as a stored table."""
+    made = samples.groupBy("interval").agg(F.sort_array(F.collect_list(F.struct("k", "x", "y"))).alias("p"))  # `samples` points each
+    made = made.select("interval", F.transform("p", lambda q: q["x"]).alias("xs"), F.transform("p", lambda q: q["y"]).alias("ys"))
+    ends = [F.element_at(c, i) for i in (1, -1) for c in ("xs", "ys")]
+    return stored(made.withColumns({f"i{i}": grids.cell(e, limits.ends) for i, e in enumerate(ends)}))
+
+
 def clustered(samples: DataFrame, limits: Limits) -> DataFrame:
     """interval, cluster: greedy complete-link clusters of resampled intervals (interval, k, x, y). Intervals are taken in ascending order and join
     the first cluster with all of whose members they run alike, else found one, which is named by them.
@@ -70,39 +83,77 @@ def clustered(samples: DataFrame, limits: Limits) -> DataFrame:
     that hold intervals are linked with their neighbours, and each connected part of them is clustered by itself: cells are as many as the places,
     not as the passes, and no pairs of intervals are made. One part is one task, as its order decides; it holds `samples` points for each pass.
     """
-    n = limits.samples
-    lines = samples.groupBy("interval").agg(F.sort_array(F.collect_list(F.struct("k", "x", "y"))).alias("p"))  # `samples` points each
-    lines = lines.select("interval", F.transform("p", lambda q: q["x"]).alias("xs"), F.transform("p", lambda q: q["y"]).alias("ys"))
-    index = [f"i{i}" for i in range(4)]
-    ends = [F.element_at(c, i) for i in (1, -1) for c in ("xs", "ys")]
-    lines = lines.withColumns({i: grids.cell(e, limits.ends) for i, e in zip(index, ends)}).withColumn("cell", F.xxhash64(*index))
-    cells = lines.select(*index, "cell").distinct()
-    near = cells.select(F.col("cell").alias("a"), F.explode(grids.around(index)).alias("c")).select("a", "c.*")
-    links = kept(near.join(cells.withColumnRenamed("cell", "b"), index).filter("a < b").select("a", "b").distinct())
-    blocks = lines.drop(*index).join(graphs.components(links).withColumnRenamed("node", "cell"), "cell", "left").withColumn("block", F.coalesce("component", "cell"))
     kind = samples.schema["interval"].dataType.simpleString()
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("interval", kind="stable")
-        x, y = np.array(rows["xs"].tolist()).reshape(len(rows), n), np.array(rows["ys"].tolist()).reshape(len(rows), n)
-        heading = np.arctan2(y[:, -1] - y[:, 0], x[:, -1] - x[:, 0])
-        of = np.zeros(len(rows), int)
-        founders: list[int] = []
-        for i in range(len(rows)):
-            turn = np.abs(np.remainder(heading[:i] - heading[i] + math.pi, 2 * math.pi) - math.pi)
-            near = (turn <= limits.heading).nonzero()[0]
-            apart = np.hypot(x[near] - x[i], y[near] - y[i])
-            alike = np.zeros(i, bool)
-            alike[near] = (apart[:, 0] <= limits.ends) & (apart[:, -1] <= limits.ends) & (apart.mean(axis=1) <= limits.mean)
-            strange = np.bincount(of[:i][~alike], minlength=len(founders))
-            home = (strange == 0).nonzero()[0]
-            of[i] = home[0] if len(home) else len(founders)
-            if not len(home):
-                founders.append(i)
+    def named(rows: pd.DataFrame) -> pd.DataFrame:
+        of, _, _ = _groups(rows, limits)
         names = rows["interval"].to_numpy()
-        return pd.DataFrame({"interval": names, "cluster": names[np.array(founders, int)[of]]})
+        return pd.DataFrame({"interval": names, "cluster": names[of]})
+
+    return _by_block(lines(samples, limits), limits, named, f"interval {kind}, cluster {kind}")
 
-    return blocks.select("interval", "xs", "ys", "block").groupBy("block").applyInPandas(lambda rows: run(rows), f"interval {kind}, cluster {kind}")
+
+def clustered_corridors(samples: DataFrame, traversals: DataFrame, limits: Limits) -> DataFrame:
+    """What corridors() gives for clustered() samples, where `traversals` different ones or more drove a cluster. traversals: interval, traversal, a row for each interval.
+
+    A cluster's median is taken where it is made, so neither samples nor clusters are shuffled again.
+    """
+    kind, n = samples.schema["interval"].dataType.simpleString(), limits.samples
+
+    def medians(rows: pd.DataFrame) -> pd.DataFrame:
+        of, x, y = _groups(rows, limits)
+        names, drove, made = rows["interval"].to_numpy(), rows["traversal"], []
+        for first in np.unique(of):
+            own = (of == first).nonzero()[0]
+            different = drove.iloc[own].nunique()
+            if different >= limits.traversals:
+                made.append(pd.DataFrame({"cluster": names[first], "k": np.arange(n), "x": np.median(x[own], axis=0), "y": np.median(y[own], axis=0), "n_intervals": len(own), "n_traversals": different}))
+        return pd.concat(made) if made else pd.DataFrame(columns=["cluster", "k", "x", "y", "n_intervals", "n_traversals"])
+
+    made = lines(samples, limits).join(traversals, "interval")
+    return _by_block(made, limits, medians, f"cluster {kind}, k int, x double, y double, n_intervals long, n_traversals long")
+
+
+def _by_block(made: DataFrame, limits: Limits, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """What run() gives for each connected part of the cells of lines(), its rows in order of their intervals. Python is called for some parts at a time, since most are small."""
+    index = [f"i{i}" for i in range(4)]
+    own = made.withColumn("cell", F.xxhash64(*index))
+    cells = own.select(*index, "cell").distinct()
+    near = cells.select(F.col("cell").alias("a"), F.explode(grids.around(index)).alias("c")).select("a", "c.*")
+    links = kept(near.join(cells.withColumnRenamed("cell", "b"), index).filter("a < b").select("a", "b").distinct())
+    calls = made.count() // TOGETHER + 1
+    blocks = own.drop(*index).join(graphs.components(links).withColumnRenamed("node", "cell"), "cell", "left").withColumn("block", F.coalesce("component", "cell")).drop("cell", "component")
+
+    def each(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["block", "interval"], kind="stable").reset_index(drop=True)
+        block = rows["block"].to_numpy()
+        cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(rows)]
+        made = [run(rows.iloc[a:b]) for a, b in zip(cuts, cuts[1:])]
+        return pd.concat([m for m in made if len(m)] or made[:1])
+
+    dealt = blocks.withColumn("call", F.pmod(F.xxhash64("block"), F.lit(calls)))
+    # as many parts as there are calls, up to what keeps a part small
+    return spread(dealt, calls * TOGETHER, "call").groupBy("call").applyInPandas(lambda rows: each(rows.drop(columns="call")), schema)
+
+
+def _groups(rows: pd.DataFrame, limits: Limits) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of a block, in order of intervals: the row that founded its cluster, and its points."""
+    x, y = np.stack(rows["xs"].to_list()), np.stack(rows["ys"].to_list())
+    heading = np.arctan2(y[:, -1] - y[:, 0], x[:, -1] - x[:, 0])
+    of = np.zeros(len(rows), int)
+    founders: list[int] = []
+    for i in range(len(rows)):
+        turn = np.abs(np.remainder(heading[:i] - heading[i] + math.pi, 2 * math.pi) - math.pi)
+        near = (turn <= limits.heading).nonzero()[0]
+        apart = np.hypot(x[near] - x[i], y[near] - y[i])
+        alike = np.zeros(i, bool)
+        alike[near] = (apart[:, 0] <= limits.ends) & (apart[:, -1] <= limits.ends) & (apart.mean(axis=1) <= limits.mean)
+        strange = np.bincount(of[:i][~alike], minlength=len(founders))
+        home = (strange == 0).nonzero()[0]
+        of[i] = home[0] if len(home) else len(founders)
+        if not len(home):
+            founders.append(i)
+    return np.array(founders, int)[of], x, y
 
 
 def nearest(points: DataFrame, key: str, at: list[str], nodes: DataFrame, node: str, node_at: list[str], radius: float, rings: int = 3) -> DataFrame:
@@ -134,7 +185,7 @@ def hypotheses(lines: DataFrame, nodes: DataFrame, arcs: DataFrame, vertices: Da
     lines: as corridors() gives them; nodes: node, x, y; arcs: arc, from_node, to_node; vertices: arc, pos, x, y. Of several arcs between the nodes the
     nearest counts, of equally near ones that of least id. Only arcs between nodes that a corridor joins are resampled.
     """
-    last = limits.samples - 1
+    last, lines = limits.samples - 1, stored(lines)  # read by several steps
     ends = lines.filter((F.col("n_traversals") >= limits.traversals) & F.col("k").isin(0, last)).select("cluster", "n_intervals", "n_traversals", "k", F.struct("cluster", "k").alias("end"), *AXES)
     snapped = nearest(ends, "end", AXES, nodes, "node", AXES, limits.snap)
     is_first = F.col("k") == 0

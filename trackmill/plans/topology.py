@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import polylines as P
 from ..operators import topology as T
-from ..operators.state import kept
+from ..operators.state import spread
 from .registry import query, table
 
 LIMITS = T.Limits(quality=0.1)
@@ -79,7 +79,8 @@ def stretches(spark, sf_dir):
         (key % 13 != 0).alias("directed"), (key % 17 == 0).alias("stationary"), (key % 100 / 100.0).alias("quality"),
     )
     lines = Window.partitionBy("l_orderkey")
-    points = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("interval"), F.row_number().over(lines.orderBy("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")).alias("nth"), F.count("*").over(lines).alias("n"), "l_quantity")
+    lineitem = table(spark, sf_dir, "lineitem")
+    points = spread(lineitem, lineitem.count(), "l_orderkey").select(F.col("l_orderkey").alias("interval"), F.row_number().over(lines.orderBy("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")).alias("nth"), F.count("*").over(lines).alias("n"), "l_quantity")
     points = points.join(intervals.select("interval", "home"), "interval").withColumn("f", F.when(F.col("n") > 1, (F.col("nth") - 1) / (F.col("n") - 1)).otherwise(0.0))
     i, f = F.col("interval"), F.col("f")
     aside = F.greatest(i % 4 - 1, F.lit(0)) * 18 * 4 * f * (1 - f) + (F.col("l_quantity") % 7 - 3)
@@ -88,12 +89,10 @@ def stretches(spark, sf_dir):
     return T.judged(intervals, parts, LIMITS), parts
 
 
-def groups(spark, sf_dir):
-    """The resampled fit intervals, their clusters, and their traversals."""
+def fit_samples(spark, sf_dir):
+    """The resampled fit intervals."""
     intervals, parts = stretches(spark, sf_dir)
-    fit = intervals.filter("reason IS NULL").select("interval", "traversal")
-    samples = kept(P.resample(parts.join(fit.select("interval"), "interval"), ["interval"], T.AXES, LIMITS.samples))
-    return samples, T.clustered(samples, LIMITS), fit
+    return P.resample(parts.join(intervals.filter("reason IS NULL").select("interval"), "interval"), ["interval"], T.AXES, LIMITS.samples)
 
 
 def graph(spark, sf_dir):
@@ -117,12 +116,14 @@ def topology_rejections(spark, sf_dir):
 @query(f"WITH RECURSIVE {STRETCHES}, {CLUSTERS} SELECT interval, cluster FROM cl")
 def topology_clusters(spark, sf_dir):
     """Greedy complete-link clusters of the intervals that run alike."""
-    return groups(spark, sf_dir)[1]
+    return T.clustered(fit_samples(spark, sf_dir), LIMITS)
 
 
 @query(f"WITH RECURSIVE {STRETCHES}, {CLUSTERS}, {HYPOTHESES}")
 def topology_hypotheses(spark, sf_dir):
     """From off-map intervals to the connections that the graph lacks and the geometry that it has wrong."""
-    samples, clusters, fit = groups(spark, sf_dir)
-    found = T.hypotheses(T.corridors(samples, clusters, fit), *graph(spark, sf_dir), LIMITS)
+    samples = fit_samples(spark, sf_dir)
+    # of fit intervals alone there are samples
+    traversals = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("interval"), F.col("o_custkey").alias("traversal"))
+    found = T.hypotheses(T.clustered_corridors(samples, traversals, LIMITS), *graph(spark, sf_dir), LIMITS)
     return found.withColumns({c: F.round(c, 6) for c in ("end_error", "mean_error")})

@@ -5,20 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .state import settled
+from .state import settled, spread
 
 
-def build_arcs(way_nodes: DataFrame, way: str, pos: str, node: str, axes: list[str], both_ways: str, digits: int = 6, ends: DataFrame | None = None, ahead: str | None = None, least: float = 0.0) -> DataFrame:
+def build_arcs(way_nodes: DataFrame, way: str, pos: str, node: str, axes: list[str], both_ways: str, digits: int = 6, ends: DataFrame | None = None, ahead: str | None = None, least: float = 0.0, rows: int | None = None) -> DataFrame:
     """arc_id, way, chain, direction, from_node, to_node, n_vertices, length: ways cut where they end or meet.
 
     A node is an end of arcs if it is a way's end or belongs to several ways, or is among `ends` (a column `node`). Rows where `both_ways` is true also give
-    the reverse; where `ahead` names a column, the forward arc is there only if that is true. Arcs shorter than `least` are left out.
+    the reverse; where `ahead` names a column, the forward arc is there only if that is true. Arcs shorter than `least` are left out. `rows` is how many
+    way_nodes there are: if it is given, parts are as many as keep them small.
     """
     w = Window.partitionBy(way).orderBy(pos)
-    shared = way_nodes.groupBy(node).agg(F.count_distinct(way).alias("__ways"))
+    at = Window.partitionBy(node)
+    deal = (lambda df, key: df) if rows is None else (lambda df, key: spread(df, rows, key))
+    met = deal(way_nodes.filter(F.col(node).isNotNull()), node).withColumn("__shared", F.coalesce(F.min(way).over(at) != F.max(way).over(at), F.lit(False)))
     if ends is not None:
-        shared = shared.join(ends.select(F.col("node").alias(node), F.lit(2).alias("__named")).distinct(), node, "left").select(node, F.greatest("__ways", "__named").alias("__ways"))
-    marked = way_nodes.join(shared, node).withColumn("__end", F.lag(node).over(w).isNull() | F.lead(node).over(w).isNull() | (F.col("__ways") > 1))
+        met = met.join(ends.select(F.col("node").alias(node), F.lit(True).alias("__named")).distinct(), node, "left").withColumn("__shared", F.col("__shared") | F.col("__named").isNotNull()).drop("__named")
+    marked = deal(met, way).withColumn("__end", F.lag(node).over(w).isNull() | F.lead(node).over(w).isNull() | F.col("__shared"))
     chain = F.sum(F.when(F.col("__end"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
     # an inner end closes one chain and opens the next
     cut = marked.withColumn("__n", chain).withColumn("chain", F.explode(F.when(F.col("__end"), F.array(F.col("__n") - 1, F.col("__n"))).otherwise(F.array("__n"))))

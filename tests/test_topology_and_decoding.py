@@ -165,3 +165,27 @@ def test_tables_of_few_and_of_many_candidates_agree(monkeypatch):
             ways = [(names[0][a], ends[-1][b], c, int(score[a, b, c]), int(order[a, b, c])) for a in range(score.shape[0]) for b in range(score.shape[1]) for c in range(2) if score[a, b, c] != decoding.NONE]
             found.append(sorted(ways, key=lambda w: (str(w[0]), w[4])))
         assert [w[:4] for w in found[0]] == [w[:4] for w in found[1]]
+
+
+def test_blocks_side_by_side_are_those_one_by_one(monkeypatch):
+    import pandas as pd
+
+    r, rows = random.Random(5), []
+    for k in range(40):
+        emissions, moves = lattice(r, r.randint(1, 9), 3, r.choice([0.1, 0.6]))
+        rows += [(k % 7, k, 0, None if k % 2 else c, c, int(e * 4), 0, None) for c, e in emissions[0].items()]
+        for i in range(1, len(moves)):
+            rows += [(k % 7, k, i, p, c, int((m + emissions[i][c]) * 4), 0, None) for (p, c), m in moves[i].items()] or [(k % 7, k, i, None, None, None, 0, None)]
+    frame, found = pd.DataFrame(rows, columns=["seq", "block", "pos", "entry", "exit", "score", "rank", "order"]).sample(frac=1, random_state=1), []
+    blocks = decoding._Blocks(frame, ["seq"], True)
+    assert not blocks.many and len(blocks.batches) < 10
+    side = {}
+    for numbers, within, width in blocks.batches:
+        score, _, _ = blocks.chain((numbers, within, width))
+        for s, b in enumerate(numbers):
+            side[b] = sorted(score[s][score[s] != decoding.NONE].tolist())
+    monkeypatch.setattr(decoding, "DENSE", 0)
+    for b, (_, _, _, parts) in decoding._Blocks(frame, ["seq"], True).many:
+        (score, _), _ = decoding._chain(parts)
+        found.append((b, sorted(score[score != decoding.NONE].tolist())))
+    assert len(found) == 40 and dict(found) == side and any(side.values())

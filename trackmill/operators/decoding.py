@@ -7,12 +7,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .state import kept
+from .state import kept, spread, stored
 from .trajectory import HALF_WINDOW, WINDOW, robust_cubics
 
 #: Entries of all tables of a group up to which they are one array; observations of a block, tables that are multiplied together, the unit of scores, and how large a path's score may be in it.
 DENSE = 1 << 19
 BLOCK, FAN, UNIT, MOST, NONE = 512, 64, 1e-9, 1 << 59, -(1 << 61)
+#: Rows of blocks that Python multiplies in one call, blocks as a whole; kinds of candidates that are whole numbers.
+TOGETHER, WHOLE = 1 << 16, ("tinyint", "smallint", "int", "bigint")
 BEAM, PER_TERMINAL, DELTA, AMBIGUOUS = 64, 2, 50.0, 1.0
 
 
@@ -135,8 +137,115 @@ def _chain(tables: list) -> tuple[tuple[np.ndarray, np.ndarray], list[np.ndarray
     return now, chosen
 
 
-def _grouped(df: DataFrame, by: list[str], prefix: str) -> DataFrame:
-    return df.withColumnsRenamed({k: f"{prefix}{i}" for i, k in enumerate(by)})
+class _Blocks:
+    """The blocks of some rows (keys, block, pos, entry, exit, score, rank, order): those of few candidates side by side in arrays, the others one by one.
+
+    batches: numbers of blocks (longest first), their steps, whether they begin sequences, and tables [step, block, entry, exit, rank] of scores and orders; beginnings are entered by None alone,
+    other blocks by each candidate. many: numbers of blocks and what _through() gives for them.
+    """
+
+    def __init__(self, rows: pd.DataFrame, keys: list[str], whole: bool):
+        self.by = [*keys, "block"]
+        of = rows.groupby(self.by, sort=False, dropna=False).ngroup().to_numpy()
+        order = np.lexsort((rows["pos"].to_numpy(np.int64), of))
+        rows, of = rows.iloc[order].reset_index(drop=True), of[order]
+        begins = np.searchsorted(of, np.arange(of[-1] + 1))
+        self.names = rows.iloc[begins][self.by].reset_index(drop=True)
+        pos, live = rows["pos"].to_numpy(np.int64), rows["score"].notna().to_numpy()
+        no_entry, no_exit = rows["entry"].isna().to_numpy(), rows["exit"].isna().to_numpy()
+        value = np.concatenate([rows["entry"][~no_entry].to_numpy(), rows["exit"][~no_exit].to_numpy()])
+        if whole:
+            value = value.astype(np.int64)
+        self.values, code = np.unique(value, return_inverse=True)
+        size = max(1, len(self.values))
+        own = np.concatenate([of[~no_entry], of[~no_exit]]) * size + code
+        self.size, self.known = size, np.unique(own)
+        self.first = np.searchsorted(self.known, np.arange(len(begins)) * size)
+        n = np.diff([*self.first, len(self.known)])
+        local = np.searchsorted(self.known, own) - self.first[own // size]
+        entry, leave = np.full(len(rows), -1), np.full(len(rows), -1)
+        entry[~no_entry], leave[~no_exit] = local[: (~no_entry).sum()], local[(~no_entry).sum() :]
+        opens = np.ones(len(rows), bool)
+        opens[1:] = (of[1:] != of[:-1]) | (pos[1:] != pos[:-1])
+        at = np.cumsum(opens) - 1
+        self.begin = at[begins]  # of each block's steps among all
+        self.places, step = pos[opens], at - at[begins][of]
+        self.steps = np.diff([*self.begin, at[-1] + 1])
+        score, rank = rows["score"].fillna(0).to_numpy(np.int64), rows["rank"].to_numpy(np.int64)
+        placed = leave if rows["order"][live].isna().any() else rows["order"].fillna(0).to_numpy(np.int64)
+        inner = np.zeros(len(begins), bool)
+        inner[of[(step == 0) & live & ~no_entry]] = True
+        few = (self.steps * (n + 1) * n <= DENSE) & (n > 0)
+        self.many = [(b, _through(rows.iloc[x:y])) for b, x, y in zip(*[v[~few] for v in (np.arange(len(begins)), begins, np.append(begins[1:], len(rows)))])]
+        self.batches = []
+        for width, within in sorted(set(zip(n[few].tolist(), inner[few].tolist()))):
+            chosen = np.flatnonzero(few & (n == width) & (inner == within))
+            chosen = chosen[np.argsort(-self.steps[chosen], kind="stable")]
+            entries = width + 1 if within else 1
+            while len(chosen):
+                take = max(1, DENSE // int(self.steps[chosen[0]] * entries * width))
+                self.batches.append((chosen[:take], within, width))
+                chosen = chosen[take:]
+        self._rows = (of, step, entry, leave, rank, score, placed, live, no_entry)
+
+    def tables(self, batch: tuple) -> np.ndarray:
+        numbers, within, width = batch
+        of, step, entry, leave, rank, score, placed, live, no_entry = self._rows
+        slot = np.full(len(self.steps), -1)
+        slot[numbers] = np.arange(len(numbers))
+        own = np.flatnonzero((slot[of] >= 0) & live & ((step > 0) | within | no_entry))
+        # the last entry is None, which only the first step has
+        table = np.full((2, int(self.steps[numbers[0]]), len(numbers), width + 1, width, PER_TERMINAL), NONE, np.int64)
+        table[1] = 0
+        at = (step[own], slot[of[own]], np.where(no_entry[own], width, entry[own]), leave[own], rank[own])
+        table[(0, *at)], table[(1, *at)] = score[own], placed[own]
+        return table
+
+    def chain(self, batch: tuple) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Scores and orders [block, entry, exit, rank] of the whole blocks, and what each product chose for those that had as many steps."""
+        numbers, within, width = batch
+        table, steps = self.tables(batch), self.steps[numbers]
+        begin = slice(None) if within else slice(width, None)
+        score, order, picks = table[0, 0][:, begin], table[1, 0][:, begin], []
+        score, order = score.copy(), order.copy()
+        for t in range(1, int(steps[0])):
+            live = int((steps > t).sum())
+            made = _products_of(score[:live], order[:live], table[0, t, :live, :width], table[1, t, :live, :width])
+            score[:live], order[:live] = made[:2]
+            picks.append(made[2])
+        return score, order, picks
+
+    def named(self, numbers: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The candidates of these codes in these blocks; None for -1."""
+        out = np.full(len(codes), None, object)
+        real = codes >= 0
+        out[real] = self.values[self.known[self.first[numbers[real]] + codes[real]] % self.size]
+        return out
+
+    def coded(self, numbers: np.ndarray, values: pd.Series) -> np.ndarray:
+        """The codes of candidates in these blocks; -1 for null."""
+        out = np.full(len(values), -1)
+        real = values.notna().to_numpy()
+        own = numbers[real] * self.size + np.searchsorted(self.values, values[real].to_numpy().astype(self.values.dtype))
+        out[real] = np.searchsorted(self.known, own) - self.first[numbers[real]]
+        return out
+
+
+def _products_of(p: np.ndarray, p_order: np.ndarray, q: np.ndarray, q_order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_product() of many blocks' tables at once; the block is the first axis."""
+    s, i, m, _ = p.shape
+    j = q.shape[2]
+    width = int(q_order.max(initial=0)) + 1
+    wide = lambda a, b: (a[:, :, None, :, :, None] + b.transpose(0, 2, 1, 3)[:, None, :, :, None, :]).reshape(s, i, j, m * PER_TERMINAL**2)
+    total, order = wide(p, q), wide(p_order * width, q_order)
+    total[total < -2 * MOST] = NONE
+    chosen = np.lexsort((order, -total), axis=-1)[..., :PER_TERMINAL]
+    score, order = np.take_along_axis(total, chosen, -1), np.take_along_axis(order, chosen, -1)
+    none = score == NONE
+    order[none] = np.iinfo(np.int64).max
+    if (np.abs(score[~none]) > MOST).any():
+        raise OverflowError("a path's score exceeds what 64 bits hold")
+    return score, order.reshape(s, i, j * PER_TERMINAL).argsort(axis=-1, kind="stable").argsort(axis=-1, kind="stable").reshape(score.shape), chosen
 
 
 def decode(candidates: DataFrame, transitions: DataFrame, keys: list[str], block: int = BLOCK, fan: int = FAN) -> DataFrame:
@@ -160,26 +269,54 @@ def decode(candidates: DataFrame, transitions: DataFrame, keys: list[str], block
     asked_kind = f"{key_kinds}, pos long, nth int, a {kind}, z {kind}, rank int"
     for dealt in reversed(levels):
 
-        def trace(key: tuple, rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        def trace(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
             columns = [*keys, "pos", "nth", "a", "z", "rank"]
             if asked.empty or rows.empty:
                 return pd.DataFrame(columns=columns)
-            places, names, ends, tables = _through(rows)
-            _, chosen = _chain(tables)
+            blocks = _Blocks(rows, keys, kind in WHOLE)
+            asked = asked.merge(blocks.names.assign(__of=range(len(blocks.names))), on=blocks.by)
+            of, nth, rank = asked["__of"].to_numpy(), asked["nth"].to_numpy(), asked["rank"].to_numpy()
             out = []
-            for nth, a, z, rank in zip(asked["nth"], asked["a"], asked["z"], asked["rank"]):
-                i, j, r = names[0].index(None if pd.isna(a) else a), ends[-1].index(z), int(rank)
-                for t in reversed(range(1, len(tables))):
-                    m, left, right = np.unravel_index(chosen[t - 1][i, j, r], (len(ends[t - 1]), PER_TERMINAL, PER_TERMINAL))
-                    out.append((*key[:-1], places[t], nth, ends[t - 1][m], ends[t][j], int(right)))
-                    j, r = int(m), int(left)
-                out.append((*key[:-1], places[0], nth, names[0][i], ends[0][j], r))
-            return pd.DataFrame(out, columns=columns)
-
-        by = [*keys, "block"]
-        left, right = _grouped(dealt, by, "__l"), _grouped(asks, by, "__r")
-        traced = left.groupBy(*[f"__l{i}" for i in range(len(by))]).cogroup(right.groupBy(*[f"__r{i}" for i in range(len(by))])).applyInPandas(trace, asked_kind)
-        asks = kept(traced).withColumnRenamed("pos", "block")
+
+            def add(own: np.ndarray, pos: np.ndarray, a: np.ndarray, z: np.ndarray, r: np.ndarray) -> None:
+                keyed = blocks.names.iloc[of[own]][keys].reset_index(drop=True)
+                out.append(keyed.assign(pos=pos, nth=nth[own], a=a, z=z, rank=r))
+
+            a, z = blocks.coded(of, asked["a"]), blocks.coded(of, asked["z"])
+            for batch in blocks.batches:
+                slot = np.full(len(blocks.steps), -1)
+                slot[batch[0]] = np.arange(len(batch[0]))
+                own = np.flatnonzero(slot[of] >= 0)
+                if not len(own):
+                    continue
+                _, _, chosen = blocks.chain(batch)
+                i = np.where(a[own] < 0, batch[2] if batch[1] else 0, a[own])
+                j, r = z[own].copy(), rank[own].copy()
+                for t in reversed(range(1, len(chosen) + 1)):
+                    at = np.flatnonzero(blocks.steps[of[own]] > t)
+                    m, left, right = np.unravel_index(chosen[t - 1][slot[of[own[at]]], i[at], j[at], r[at]], (batch[2], PER_TERMINAL, PER_TERMINAL))
+                    add(own[at], blocks.places[blocks.begin[of[own[at]]] + t], blocks.named(of[own[at]], m), blocks.named(of[own[at]], j[at]), right)
+                    j[at], r[at] = m, left
+                add(own, blocks.places[blocks.begin[of[own]]], blocks.named(of[own], a[own]), blocks.named(of[own], j), r)
+            for number, (places, names, ends, tables) in blocks.many:
+                _, chosen = _chain(tables)
+                for q in np.flatnonzero(of == number):
+                    first, end, r, found = asked["a"].iloc[q], asked["z"].iloc[q], int(rank[q]), []
+                    i, j = names[0].index(None if pd.isna(first) else first), ends[-1].index(end)
+                    for t in reversed(range(1, len(tables))):
+                        m, left, right = np.unravel_index(chosen[t - 1][i, j, r], (len(ends[t - 1]), PER_TERMINAL, PER_TERMINAL))
+                        found.append((places[t], ends[t - 1][m], ends[t][j], int(right)))
+                        j, r = int(m), int(left)
+                    found.append((places[0], names[0][i], ends[0][j], r))
+                    pos, entry, leave, ranks = zip(*found)
+                    add(np.full(len(found), q), np.array(pos), np.array(entry, object), np.array(leave, object), np.array(ranks))
+            return pd.concat(out)[columns] if out else pd.DataFrame(columns=columns)
+
+        calls, n = dealt
+        asks_dealt = asks.withColumn("call", F.pmod(F.xxhash64(*keys, "block"), F.lit(n // TOGETHER + 1)))
+        left, right = spread(calls.withColumnRenamed("call", "__l"), n, "__l"), spread(asks_dealt.withColumnRenamed("call", "__r"), n, "__r")
+        traced = left.groupBy("__l").cogroup(right.groupBy("__r")).applyInPandas(lambda x, y: trace(x.drop(columns="__l"), y.drop(columns="__r")), asked_kind)
+        asks = stored(traced).withColumnRenamed("pos", "block")
     paths = asks.groupBy(*keys, F.col("block").alias("pos")).agg(F.max(F.when(F.col("nth") == 1, F.col("z"))).alias("candidate"), F.max(F.when(F.col("nth") == 2, F.col("z"))).alias("runner_up"))
     seen = begun.select(*keys, (F.col("pos") - F.col("__first")).alias("pos"), "__first").distinct().join(totals, keys, "left").join(paths, [*keys, "pos"], "left")
     apart = F.col("__a") - F.col("__b")
@@ -200,7 +337,7 @@ def _totals(best: DataFrame, keys: list[str]) -> DataFrame:
     return best.groupBy(*keys).agg(F.max(F.when(F.col("nth") == 1, F.col("score"))).alias("__a"), F.max(F.when(F.col("nth") == 2, F.col("score"))).alias("__b"))
 
 
-def _products(candidates: DataFrame, transitions: DataFrame, keys: list[str], block: int, fan: int) -> tuple[DataFrame, list[DataFrame], DataFrame]:
+def _products(candidates: DataFrame, transitions: DataFrame, keys: list[str], block: int, fan: int) -> tuple[DataFrame, list[tuple[DataFrame, int]], DataFrame]:
     """The observations' candidates with their places, the elements of each level, and the two best ways through each sequence."""
     kinds = dict(candidates.dtypes)
     kind, key_kinds = kinds["candidate"], ", ".join(f"`{k}` {kinds[k]}" for k in keys)
@@ -213,23 +350,42 @@ def _products(candidates: DataFrame, transitions: DataFrame, keys: list[str], bl
     start = begun.filter("__begins").select(*keys, place, F.lit(None).cast(kind).alias("entry"), "exit", F.col("__e").alias("score"))
     # an observation that cannot be entered stays as a row without a score
     rest = begun.filter("NOT __begins").join(moves, [*keys, "pos", "exit"], "left").select(*keys, place, "entry", "exit", (F.col("__e") + F.col("__m")).alias("score"))
-    level = kept(start.union(rest).withColumns({"rank": F.lit(0), "order": F.lit(None).cast("long")}))
+    level = stored(start.union(rest).withColumns({"rank": F.lit(0), "order": F.lit(None).cast("long")}))
     last = level.agg(F.max("pos")).first()[0] or 0
     levels, size = [], block
     rows_kind = f"{key_kinds}, pos long, entry {kind}, exit {kind}, score long, rank int, order long"
     while True:
+        n = level.count()
         dealt = level.withColumn("block", F.floor(F.col("pos") / size).cast("long"))
-        levels.append(dealt)
-        by = [*keys, "block"]
-
-        def multiply(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            _, names, ends, tables = _through(rows)
-            (score, order), _ = _chain(tables)
-            i, j, r = np.nonzero(score != NONE)
-            made = [(*key, names[0][a], ends[-1][b], int(score[a, b, c]), c, int(order[a, b, c])) for a, b, c in zip(i, j, r.tolist())]
-            return pd.DataFrame(made or [(*key, None, None, None, 0, None)], columns=[*keys, "pos", "entry", "exit", "score", "rank", "order"]).astype({"score": "Int64", "order": "Int64"})
-
-        level = kept(dealt.groupBy(*by).applyInPandas(multiply, rows_kind))
+        dealt = dealt.withColumn("call", F.pmod(F.xxhash64(*keys, "block"), F.lit(n // TOGETHER + 1)))
+        levels.append((dealt, n))
+
+        def multiply(rows: pd.DataFrame) -> pd.DataFrame:
+            blocks, columns = _Blocks(rows, keys, kind in WHOLE), ["entry", "exit", "score", "rank", "order"]
+            made, has = [], np.zeros(len(blocks.names), bool)
+
+            def add(of: np.ndarray, *found: np.ndarray) -> None:
+                keyed = blocks.names.iloc[of].reset_index(drop=True)
+                made.append(keyed.assign(**{c: pd.Series(v, dtype=object) for c, v in zip(columns, found)}))
+                has[of] = True
+
+            for batch in blocks.batches:
+                numbers, within, width = batch
+                score, order, _ = blocks.chain(batch)
+                s, i, j, r = np.nonzero(score != NONE)
+                of = numbers[s]
+                entry = np.where(i < width, i, -1) if within else np.full(len(i), -1)
+                add(of, blocks.named(of, entry), blocks.named(of, j), score[s, i, j, r], r, order[s, i, j, r])
+            for number, (_, names, ends, tables) in blocks.many:
+                (score, order), _ = _chain(tables)
+                i, j, r = np.nonzero(score != NONE)
+                name = lambda of, at: np.array([of[x] for x in at], object)
+                add(np.full(len(i), number), name(names[0], i), name(ends[-1], j), score[i, j, r], r, order[i, j, r])
+            none = np.flatnonzero(~has)
+            add(none, *[np.full(len(none), x, object) for x in (None, None, None, 0, None)])
+            return pd.concat([m for m in made if len(m)]).rename(columns={"block": "pos"})
+
+        level = stored(spread(dealt, n, "call").groupBy("call").applyInPandas(lambda rows: multiply(rows.drop(columns="call")), rows_kind))
         last //= size
         if not last:
             break

@@ -12,8 +12,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .state import spread
+
 HALF_WINDOW, DEGREE, HUBER, ITERATIONS, TOLERANCE, MAD = 4, 3, 1.5, 12, 1e-12, 1.4826
 WINDOW = 2 * HALF_WINDOW + 1
+#: Samples that Python fits in one call.
+TOGETHER = 1 << 15
 #: A trajectory's support at a time.
 SUPPORTED, OUTSIDE, GAP, INSUFFICIENT = "SUPPORTED", "OUTSIDE_SOURCE_SUPPORT", "UNSUPPORTED_GAP", "INSUFFICIENT_DERIVATIVE_SUPPORT"
 EPSILON = np.finfo(float).eps
@@ -112,27 +116,41 @@ def evaluated(samples: DataFrame, queries: DataFrame, keys: list[str], time: str
     kinds = dict(queries.dtypes)
     names = [f"{a}{d}" for a in axes for d in ("", "_d1", "_d2", "_d3")]
 
-    def one(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    own_keys = [*keys, "__part"]
+
+    def some(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         columns = [*keys, query, *names, "nearest"]
         if left.empty or right.empty:
             return pd.DataFrame(columns=columns)
-        left = left.sort_values("nth", kind="stable")
-        base, t, y = int(left["nth"].iloc[0]), left["__t"].to_numpy(np.int64), left[axes].to_numpy(float)
+        # stretches one behind the other, each from its own first sample on
+        left = left.sort_values([*own_keys, "nth"], kind="stable").reset_index(drop=True)
+        left["__row"] = np.arange(len(left))
+        begin = left.groupby(own_keys, sort=False, dropna=False)[["__row", "nth"]].first().rename(columns={"__row": "__at", "nth": "__base"}).reset_index()
+        right = right.merge(begin, on=own_keys)
+        if right.empty:
+            return pd.DataFrame(columns=columns)
+        t, y = left["__t"].to_numpy(np.int64), left[axes].to_numpy(float)
+        base = (right["__base"] - right["__at"]).to_numpy(np.int64)
         start, stop = right["__from"].to_numpy(np.int64) - base, right["__to"].to_numpy(np.int64) - base
         index = start[:, None] + np.arange(WINDOW)
         inside = index < stop[:, None]
         index = np.minimum(index, stop[:, None] - 1)
-        apart = t[index] - right["__t"].to_numpy(np.int64)[:, None]
+        apart = t[index] - right["__qt"].to_numpy(np.int64)[:, None]
         found = robust_cubics(apart / unit, y[index], inside)
         near = np.where(inside, np.abs(apart), np.iinfo(np.int64).max).argmin(axis=1)
-        out = {k: v for k, v in zip(keys, key)} | {query: right["__q"].to_numpy()} | {n: found[:, i % 4, i // 4] for i, n in enumerate(names)}
+        out = {k: right[k] for k in keys} | {query: right["__q"]} | {n: found[:, i % 4, i // 4] for i, n in enumerate(names)}
         return pd.DataFrame(out | {"nearest": base + start + near})[columns]
 
-    own_keys = [*keys, "__part"]
-    left = dealt.withColumnsRenamed({k: f"__l{i}" for i, k in enumerate(own_keys)})
-    right = fit.select(*[F.col(k).alias(f"__r{i}") for i, k in enumerate(own_keys)], F.col(query).alias("__q"), F.col(time).alias("__t"), "__from", "__to")
+    # Python is called for some stretches at a time, since most sequences are short
+    rows = samples.count()
+    call = lambda n: F.pmod(F.xxhash64(*own_keys), F.lit(rows // TOGETHER + 1)).alias(n)
+    # names of their own, since both sides may come from one table
+    renamed = {f"__{side}{i}": k for side in "lr" for i, k in enumerate(own_keys)}
+    left = spread(dealt.select(*[F.col(k).alias(f"__l{i}") for i, k in enumerate(own_keys)], F.col("nth").alias("__nth"), F.col("__t").alias("__at"), *[F.col(a).alias(f"__a{i}") for i, a in enumerate(axes)], call("__l")), rows, "__l")
+    renamed |= {"__nth": "nth", "__at": "__t"} | {f"__a{i}": a for i, a in enumerate(axes)}
+    right = spread(fit.select(*[F.col(k).alias(f"__r{i}") for i, k in enumerate(own_keys)], F.col(query).alias("__q"), F.col(time).alias("__qt"), "__from", "__to", call("__r")), rows, "__r")
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in [*keys, query]] + [f"`{n}` double" for n in names] + ["nearest long"])
-    fits = left.groupBy(*[f"__l{i}" for i in range(len(own_keys))]).cogroup(right.groupBy(*[f"__r{i}" for i in range(len(own_keys))])).applyInPandas(lambda key, a, b: one(key[:-1], a, b), schema)
+    fits = left.groupBy("__l").cogroup(right.groupBy("__r")).applyInPandas(lambda a, b: some(a.drop(columns="__l").rename(columns=renamed), b.drop(columns="__r").rename(columns=renamed)), schema)
     return asked.select(*keys, query, time, "state").join(fits, [*keys, query], "left")
 
 

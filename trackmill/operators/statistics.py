@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .state import kept
+from .state import kept, stored
 
 
 def ratio(a: Column, b: Column, empty: float | None = 1.0) -> Column:
@@ -61,21 +62,49 @@ def cluster_bootstrap(clusters: DataFrame, key: str, hit: str, n: str, replicate
     names = sorted(sizes)
     shares = np.array([sizes[b] for b in names], float) / max(m, 1)
 
-    def draw(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def share(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for rep in batch["id"].tolist():
+                yield pd.DataFrame({"shared": names, "rep": rep, "own": np.random.default_rng([seed, rep]).multinomial(m, shares)})
+
+    def draw(key: tuple, rows: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["k", "hit", "n"], kind="stable")
-        values = rows[["hit", "n"]].to_numpy(float)
-        at, out = names.index(key[0]), np.empty((replicates, 2))
-        for rep in range(replicates):
-            own = np.random.default_rng([seed, rep]).multinomial(m, shares)[at]
-            out[rep] = np.random.default_rng([seed, rep, key[0]]).multinomial(own, np.full(len(rows), 1 / len(rows))) @ values
-        return pd.DataFrame({"rep": np.arange(replicates), "hit": out[:, 0], "n": out[:, 1]})
-
-    sums = dealt.groupBy("bucket").applyInPandas(draw, "rep long, hit double, n double").groupBy("rep").agg(F.sum("hit").alias("hit"), F.sum("n").alias("n"))
+        values, even = rows[["hit", "n"]].to_numpy(float), np.full(len(rows), 1 / len(rows))
+        out = np.array([np.random.default_rng([seed, rep, key[0]]).multinomial(own, even) @ values for rep, own in zip(shared["rep"].tolist(), shared["own"].tolist())])
+        return pd.DataFrame({"rep": shared["rep"], "hit": out[:, 0], "n": out[:, 1]})
+
+    # each replicate is shared out once, not by every bucket
+    spark = clusters.sparkSession
+    counts = spark.range(replicates if m else 0).mapInPandas(share, "shared int, rep long, own long")
+    sums = dealt.groupBy("bucket").cogroup(counts.groupBy("shared")).applyInPandas(draw, "rep long, hit double, n double").groupBy("rep").agg(F.sum("hit").alias("hit"), F.sum("n").alias("n"))
     rates = sums.filter("n > 0").select((F.col("hit") / F.col("n")).alias("rate"))
     tail = round((1 - level) / 2, 12)
     return rates.agg(F.round(F.percentile("rate", tail), 9).alias("low"), F.round(F.percentile("rate", 1 - tail), 9).alias("high"), F.round(F.avg("rate"), 9).alias("mean"), F.count("*").alias("replicates"))
 
 
+def percentiles(rows: DataFrame, key: str, value: str, share: float) -> DataFrame:
+    """key, linear (by interpolation), nearest (the least value that `share` of all do not exceed), largest; nulls count as none.
+
+    Equal values are counted first, and ranges of the counted values find their own ranks, so no task holds a whole key's values.
+    """
+    counted = stored(rows.groupBy(F.col(key).alias("__k"), F.col(value).alias("__v")).agg(F.count("*").alias("__c")).repartitionByRange("__k", "__v").withColumn("__p", F.spark_partition_id()))
+    known = counted.filter("__v IS NOT NULL")
+    parts = known.groupBy("__k", "__p").agg(F.sum("__c").alias("__s"))  # a row a key and range
+    k = Window.partitionBy("__k")
+    begins = parts.select(F.col("__k").alias("__bk"), F.col("__p").alias("__bp"), (F.sum("__s").over(k.orderBy("__p")) - F.col("__s")).alias("__b"), F.sum("__s").over(k).alias("__n"))
+    placed = known.join(F.broadcast(begins), F.col("__k").eqNullSafe(F.col("__bk")) & (F.col("__p") == F.col("__bp")))
+    upto = F.col("__b") + F.sum("__c").over(Window.partitionBy("__k", "__p").orderBy("__v"))
+    at = (F.col("__n") - 1) * share
+    ranks = {"__low": F.floor(at), "__high": F.ceil(at), "__nearest": F.greatest(F.ceil(F.col("__n") * share), F.lit(1)) - 1}
+    marked = placed.withColumn("__to", upto)
+    holds = {c: (F.col("__to") > r) & (F.col("__to") - F.col("__c") <= r) for c, r in ranks.items()}
+    found = marked.groupBy("__k").agg(*[F.max(F.when(h, F.col("__v"))).alias(c) for c, h in holds.items()], F.max("__v").alias("__largest"), F.max("__n").alias("__n"))
+    mixed = (F.ceil(at) - at) * F.col("__low") + (at - F.floor(at)) * F.col("__high")
+    linear = F.when(F.col("__low") == F.col("__high"), F.col("__low")).otherwise(mixed)
+    made = found.select(F.col("__k").alias("__f"), linear.alias("linear"), F.col("__nearest").alias("nearest"), F.col("__largest").alias("largest"))
+    return counted.select("__k").distinct().join(made, F.col("__k").eqNullSafe(F.col("__f")), "left").select(F.col("__k").alias(key), "linear", "nearest", "largest")
+
+
 def zero_rate_bound(exposure: Column, level: float) -> Column:
     return F.lit(-math.log(1 - level)) / exposure
 

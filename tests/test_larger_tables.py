@@ -5,12 +5,13 @@ import math
 import os
 import random
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from helpers import TABLES, assert_same
 
-from trackmill.operators import bins, joins, polylines, road_import, state, topology
+from trackmill.operators import bins, joins, polylines, road_import, state, statistics, topology, trajectory
 from trackmill.plans import catalog
 
 SMALL = "/root/testdata/sf0.001"
@@ -151,3 +152,54 @@ def test_corridors_of_clusters_are_their_medians(spark, monkeypatch, together):
     got = sorted(tuple(x) for x in topology.clustered_corridors(samples, traversals, limits).select(*columns).collect())
     assert got == sorted(tuple(x) for x in plain.select(*columns).collect()) and len(got) > 9
     assert topology.clustered_corridors(samples.limit(0), traversals, limits).collect() == []
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_percentiles_from_counted_values(spark):
+    r = random.Random(2)
+    rows = [(k, r.choice([None, 1.5, 2.0, 7.25, r.uniform(0, 9)])) for k in ("a", "b", None) for _ in range(r.randint(30, 90))] + [("c", None), ("d", 4.0)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    found = statistics.percentiles(df, "k", "v", 0.95)
+    assert "percentile" not in plan_of(found)
+    got = {x["k"]: tuple(x)[1:] for x in found.collect()}
+    assert set(got) == {"a", "b", "c", "d", None} and got["c"] == (None, None, None)
+    for k in ("a", "b", "d", None):
+        own = sorted(v for key, v in rows if key == k and v is not None)
+        assert got[k] == (pytest.approx(np.quantile(own, 0.95)), own[math.ceil(0.95 * len(own)) - 1], own[-1])
+
+
+def test_buckets_do_not_share_out_replicates_again(spark):
+    df = spark.createDataFrame([(i, i % 7, 10) for i in range(60)], "k long, hit long, n long")
+    assert "FlatMapCoGroupsIn" in plan_of(statistics.cluster_bootstrap(df, "k", "hit", "n", 20, 0.9, together=10))
+
+
+@pytest.mark.parametrize("together", [7, 1 << 15])
+def test_stretches_of_many_sequences_in_one_call(spark, monkeypatch, together):
+    monkeypatch.setattr(trajectory, "TOGETHER", together)
+    samples = spark.createDataFrame([(s, t * 10**9, float(s * t * t)) for s in range(30) for t in range(s % 12)], "seq long, t long, x double")
+    queries = spark.createDataFrame([(s, s * 100 + t, t * 5 * 10**8) for s in range(31) for t in range(24)], "seq long, id long, t long")
+    found = {x["id"]: x for x in trajectory.evaluated(samples, queries, ["seq"], "t", "id", ["x"]).collect()}
+    supported = [x for x in found.values() if x["state"] == "SUPPORTED"]
+    assert len(found) == 31 * 24 and len(supported) > 200
+    for x in supported:
+        assert x["x"] == pytest.approx(x["seq"] * (x["t"] / 1e9) ** 2, abs=1e-6) and x["x_d1"] == pytest.approx(2 * x["seq"] * x["t"] / 1e9, abs=1e-6)
+
+
+@tables
+def test_vectors_at_one_place_are_looked_at_once(spark, tmp_path, monkeypatch):
+    from trackmill.plans import aggregates
+
+    for t in TABLES:
+        if t != "embeddings":
+            os.symlink(f"{SMALL}/{t}.parquet", tmp_path / f"{t}.parquet")
+    one = pq.read_table(f"{SMALL}/embeddings.parquet")
+    at = one.schema.get_field_index("vec_id")
+    copies = [one.set_column(at, one.schema.field(at), pa.array([v + 10**6 * i for v in one["vec_id"].to_pylist()], one.schema.field(at).type)) for i in range(4)]
+    pq.write_table(pa.concat_tables(copies), tmp_path / "embeddings.parquet")
+    plain, seen = aggregates.G.radius_join, []
+    monkeypatch.setattr(aggregates.G, "radius_join", lambda a, b, *more: seen.extend([a.count(), b.count()]) or plain(a, b, *more))
+    assert_same(catalog.QUERIES["nearest_within"](spark, str(tmp_path)), str(tmp_path), catalog.ORACLE_SQL["nearest_within"])
+    assert max(seen) <= one.num_rows

@@ -118,9 +118,13 @@ def nearest_within(spark, sf_dir):
     """Each point's nearest one of the next frame within reach, ties to the smaller id; 9 where there is none."""
     p = points(spark, sf_dir)
     a, b = (p.select(F.col("vec_id").alias(f"{n}_id"), F.col("label").alias(f"{n}_label"), *[F.col(c).alias(f"{n}{c}") for c in AXES]) for n in "ab")
-    near = G.radius_join(a, b, [f"a{c}" for c in AXES], [f"b{c}" for c in AXES], 1.0).filter(F.col("b_label") == F.col("a_label") + 1)
-    best = near.groupBy("a_id").agg(F.min(F.struct("d2", "b_id")).alias("best"))
-    return a.join(best, "a_id", "left").select("a_id", "best.b_id", F.round(F.coalesce("best.d2", F.lit(9.0)), 9).alias("d2"))
+    # of vectors at one place the first is the nearest, so places of neighbouring frames are compared, not all vectors
+    at, to = ([f"{n}_label", *[f"{n}{c}" for c in AXES]] for n in "ab")
+    asked = a.select(*at).distinct().withColumn("frame", F.col("a_label") + 1)
+    there = b.groupBy(*to).agg(F.min("b_id").alias("b_id")).withColumn("frame", F.col("b_label"))
+    near = G.radius_join(asked, there, at[1:], to[1:], 1.0, ["frame"])
+    best = near.groupBy(*at).agg(F.min(F.struct("d2", "b_id")).alias("best"))
+    return a.join(best, at, "left").select("a_id", "best.b_id", F.round(F.coalesce("best.d2", F.lit(9.0)), 9).alias("d2"))
 
 
 @query(f"""
@@ -215,7 +219,7 @@ def label_totals(spark, sf_dir):
 @query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.95), 6) AS linear, quantile_disc(l_extendedprice, 0.95) AS nearest, max(l_extendedprice) AS largest FROM lineitem GROUP BY l_returnflag")
 def percentile_dialects(spark, sf_dir):
     """The 95th percentile by interpolation and by nearest rank."""
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(F.percentile("l_extendedprice", 0.95), 6).alias("linear"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY l_extendedprice)").alias("nearest"), F.max("l_extendedprice").alias("largest"))
+    return T.percentiles(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice", 0.95).withColumn("linear", F.round("linear", 6))
 
 
 @query("""

@@ -85,6 +85,34 @@ def test_crowd_with_a_common_passage(spark, monkeypatch, small):
     assert kept(spark, texts) == groups(texts)
 
 
+def test_rounds_read_what_the_last_left(spark, monkeypatch):
+    """All classes of shared keys meet their groups once; later rounds only those of crowds, and at last of keys that hold two groups."""
+    monkeypatch.setattr(near, "SMALL", 4)
+    r = random.Random(19)
+    read, texts, made = [], [], near.rooted
+    for _ in range(3):  # crowds that their first heads don't join wholly
+        base = prose(r, 150)
+        for _ in range(40):
+            copy = list(base)
+            for _ in range(r.randint(2, 4)):
+                copy[r.randrange(150)] = r.choice(WORDS)
+            texts.append(" ".join(copy))
+    for _ in range(40):  # copies that they do join
+        own = prose(r, 150)
+        texts += [" ".join(own), " ".join([*own, "more"])]
+
+    def counted(met, joined):
+        found = made(met, joined)
+        assert "[node" not in "".join(x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in x)
+        read.append((met.count(), found.count()))
+        return found
+
+    monkeypatch.setattr(near, "rooted", counted)
+    assert kept(spark, texts) == groups(texts)
+    assert len(read) > 2 and read[0][1] < 0.6 * read[0][0]
+    assert all(n <= before[1] for (n, _), before in zip(read[1:-1], read)) and read[-1][0] == read[0][1]
+
+
 def test_rows_with_clashing_names_and_null_or_repeated_keys(spark):
     r = random.Random(19)
     one, two = (" ".join(prose(r, 80)) for _ in range(2))

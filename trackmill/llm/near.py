@@ -152,10 +152,13 @@ def shared_keys(signed: DataFrame, radius: int) -> DataFrame:
 
 
 def rooted(met: DataFrame, joined: DataFrame) -> DataFrame:
-    """The rows of met (key, node, size) whose keys still hold two or more groups, with each node's group (root)."""
-    now = met.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    """The rows of met (key, node, size) whose keys still hold two or more groups, with each node's group (root), as a stored table."""
+    # a table of its own, so that nodes meet their groups once, not for the keys and again for the rows
+    now = stored(met.select("key", "node", "size").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")))
     live = now.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("key")
-    return now.join(live, "key")
+    held = stored(now.join(live, "key"))
+    discard(now)
+    return held
 
 
 def largest_groups(now: DataFrame) -> DataFrame:
@@ -202,17 +205,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     links = alike(beside_heads(met.withColumn("root", F.col("node")), 0, least), signed, texts, least)
     joined = stored(components(links))
     discard(links)
-    met = met.filter("content").drop("content")
-    for nth in range(1, ROUNDS + 1):
-        now = stored(rooted(met, joined))
-        crowded = stored(largest_groups(now).filter(F.col("rest") > SMALL).select("key"))
-        if nth == ROUNDS or crowded.isEmpty():
-            break
-        links = alike(beside_heads(now.join(crowded, "key"), nth, least), signed, texts, least)
-        if links.isEmpty():
+    now = rooted(met.filter("content"), joined)
+    crowds = now
+    for nth in range(1, ROUNDS):
+        # groups only grow, so a key that holds one group or no crowd never gets another: a round reads what the last one left
+        crowded = stored(largest_groups(crowds).filter(F.col("rest") > SMALL).select("key"))
+        links = None if crowded.isEmpty() else alike(beside_heads(crowds.join(crowded, "key"), nth, least), signed, texts, least)
+        if links is None or links.isEmpty():
             break
         before, joined = joined, stored(components(pass_on(joined, links)))
-        discard(links, now, crowded, before)
+        left, crowds = crowds, rooted(crowds.join(crowded, "key"), joined)
+        discard(links, crowded, before, *[left] * (left is not now))
+    if crowds is not now:
+        left, now = now, rooted(now, joined)
+        discard(left, crowds)
     links = alike(apart(now, signed, least), signed, texts, least)
     found = stored(components(pass_on(joined, links)))
     discard(links, now)

@@ -83,6 +83,24 @@ def test_copies_of_polylines_are_compared_once(spark):
     assert got == wanted[0][0] | wanted[1][0]
 
 
+@pytest.mark.parametrize("block", [3, 1024])
+def test_polylines_are_compared_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(polylines, "BLOCK", block)
+    r = random.Random(17)
+    lines = {i: [(k * 10 + r.uniform(-9, 9), r.choice([0, 8, 16, 200]) + r.uniform(-5, 5)) for k in range(4)] for i in range(50)}
+    lines |= {50 + i: lines[i % 4] for i in range(14)} | {i: lines[0][:3] for i in (70, 71)}
+    samples = spark.createDataFrame([(i % 2, i, k, x, y) for i, at in lines.items() for k, (x, y) in enumerate(at)], "family int, line int, k int, x double, y double").repartition(5)
+    found = polylines.near_pairs(samples, ["family"], "line", ["x", "y"], 12.0, 3)
+    # arrays are compared, and pairs are rounded before they are made of them
+    plan = plan_of(found)
+    assert "MapInArrow" in plan and "round(" not in plan and "zip_with" not in plan
+    apart = lambda a, b: sum(math.dist(p, q) for p, q in zip(lines[a], lines[b])) / len(lines[a])
+    wanted = {(a % 2, a, b): apart(a, b) for a in lines for b in lines if a < b and (b - a) % 2 == 0 and len(lines[a]) == len(lines[b]) and apart(a, b) <= 12}
+    got = {tuple(x)[:3]: x["apart"] for x in found.collect()}
+    assert found.count() == len(got) and set(got) == set(wanted) and len(got) > 100
+    assert all(got[x] == pytest.approx(wanted[x], abs=5.001e-4) and got[x] == round(got[x], 3) for x in got)
+
+
 def test_of_identical_pieces_the_first_counts(spark):
     rows = [(1, 0, i, 0.0, 50.0, 0, 1000, float(100 - i)) for i in range(40)] + [(2, 1, 90, 5.0, 45.0, 7, 40_007, 3.0)]
     moves = spark.createDataFrame(rows[::-1], "arc int, seq int, id long, a double, b double, s long, e long, speed double").coalesce(1)

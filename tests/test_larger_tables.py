@@ -221,3 +221,19 @@ def test_vectors_at_one_place_are_looked_at_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(aggregates.G, "radius_join", lambda a, b, *more: seen.extend([a.count(), b.count()]) or plain(a, b, *more))
     assert_same(catalog.QUERIES["nearest_within"](spark, str(tmp_path)), str(tmp_path), catalog.ORACLE_SQL["nearest_within"])
     assert max(seen) <= one.num_rows
+
+
+@tables
+def test_an_import_keeps_no_digests_and_a_compressed_map(spark, monkeypatch):
+    from trackmill.plans import road_maps
+
+    monkeypatch.setattr(road_maps, "FILE_ELEMENTS", 50)
+    files = [f for f in os.listdir(road_maps.written(spark, SMALL)) if f.startswith("part-")]
+    assert len(files) > 20 and all(f.endswith(".gz") for f in files)
+    kept, plain = [], road_import.stored
+    monkeypatch.setattr(road_import, "stored", lambda df: kept.append(df.columns) or plain(df))
+    found = catalog.QUERIES["imported_rules"](spark, SMALL)
+    assert not any("arc_id" in c or "tags" in c for c in kept)
+    # arcs are named by what rules show of them, so rules meet nothing again
+    assert "Join" not in plan_of(found)
+    assert_same(found, SMALL, catalog.ORACLE_SQL["imported_rules"])

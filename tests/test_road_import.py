@@ -111,3 +111,19 @@ def test_imported(spark, tmp_path):
     (tmp_path / "o.osm").write_text("<osm><way id='1'><nd ref='2'/></way><node id='3' lat='1' lon='1'/></osm>")
     with pytest.raises(ValueError, match="unknown_nodes': 1"):
         I.imported(M.elements(spark, str(tmp_path / "o.osm")))
+
+
+@pytest.mark.parametrize("size", [37, 211, 1 << 20])
+@pytest.mark.parametrize("rows", [1, 4])
+def test_tags_are_gathered_where_they_are_read(spark, splits, tmp_path, rows, size):
+    (tmp_path / "m.osm").write_text(MAP)
+    (tmp_path / "n.osm").write_text(MAP.replace('id="1', 'id="91').replace("id='2'", "id='92'"))
+    whole = listed(spark, tmp_path)
+    assert "Exchange" not in M._pieces(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    splits(size)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    try:
+        assert listed(spark, tmp_path) == whole and len(whole) == 20
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)

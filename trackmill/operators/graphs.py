@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .state import settled, spread
@@ -32,7 +32,12 @@ def build_arcs(way_nodes: DataFrame, way: str, pos: str, node: str, axes: list[s
     made = arcs.withColumn("direction", F.explode(ways))
     forward = F.col("direction") == "forward"
     named = made.select(way, "chain", "direction", F.when(forward, F.col("a")).otherwise(F.col("b")).alias("from_node"), F.when(forward, F.col("b")).otherwise(F.col("a")).alias("to_node"), "n_vertices", "length")
-    return named.withColumn("arc_id", F.sha2(F.concat_ws("|", way, "chain", "direction"), 256))
+    return named.withColumn("arc_id", arc_id(way))
+
+
+def arc_id(way: str) -> Column:
+    """What build_arcs() names an arc by."""
+    return F.sha2(F.concat_ws("|", way, "chain", "direction"), 256)
 
 
 def _with_stays(edges: DataFrame, sources: DataFrame) -> DataFrame:

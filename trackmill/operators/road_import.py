@@ -9,11 +9,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from .graphs import build_arcs
+from .graphs import arc_id, build_arcs
 from .state import stored
 
 
@@ -124,37 +124,45 @@ def restrictions(relations: DataFrame, ways: DataFrame, profile: RoadProfile = R
 
 
 def turn_rules(arcs: DataFrame, read: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rules (relation, from_arc, to_arc, state) and restrictions with their final reading and number of rules.
+    """Rules (relation, reading, from_arc, to_arc, state) and restrictions with their final reading and number of rules.
 
-    arcs: arc_id, way, from_node, to_node. A restriction's turns are those from the arcs of its from-ways that end at its one via-node (at any node, if it does
+    arcs: arc_id (of any type), way, from_node, to_node. A restriction's turns are those from the arcs of its from-ways that end at its one via-node (at any node, if it does
     not name just one). NO forbids the turns into its to-way, ONLY all others there; what meets no arcs is UNKNOWN_DISCONNECTED and, like all that is
-    unknown, marks each of its turns. A turn that two members give is one rule.
+    unknown, marks each of its turns. A turn that two members give is one rule. Turns are kept, so that arcs are joined once.
     """
     into = arcs.select(F.col("arc_id").alias("from_arc"), F.col("way").alias("__way"), F.col("to_node").alias("__at"))
     out = arcs.select(F.col("arc_id").alias("to_arc"), F.col("way").alias("__to_way"), F.col("from_node").alias("__at"))
     active = read.filter("reading != 'INACTIVE_SOURCE_EXCLUDED'").withColumn("__via", F.when(F.size("via_nodes") == 1, F.get("via_nodes", F.lit(0))))
     asked = active.select("relation", "reading", "to_ways", "__via", F.explode(F.array_distinct("from_ways")).alias("__way"))
-    turns = asked.join(into, "__way").filter("__via IS NULL OR __via = __at").join(out, "__at").select("relation", "reading", "from_arc", "to_arc", F.array_contains("to_ways", F.col("__to_way")).alias("named"))
+    turns = stored(asked.join(into, "__way").filter("__via IS NULL OR __via = __at").join(out, "__at").select("relation", "reading", "from_arc", "to_arc", F.array_contains("to_ways", F.col("__to_way")).alias("named")))
     met = turns.groupBy("relation").agg(F.count_if("named").alias("named"), F.count_if(~F.col("named")).alias("others"))
+
+    def judged(n: Column, o: Column) -> tuple[Column, Column]:
+        """Whether a restriction meets nothing that it could apply to, and its final reading."""
+        empty = ((F.col("reading") == "APPLIED_NO") & (n == 0)) | ((F.col("reading") == "APPLIED_ONLY") & ((n == 0) | (o == 0)))
+        return empty, F.when(empty, "UNKNOWN_DISCONNECTED").otherwise(F.col("reading"))
+
     n, o = F.coalesce("named", F.lit(0)), F.coalesce("others", F.lit(0))
-    empty = ((F.col("reading") == "APPLIED_NO") & (n == 0)) | ((F.col("reading") == "APPLIED_ONLY") & ((n == 0) | (o == 0)))
+    empty, last = judged(n, o)
     made = F.when(F.col("reading") == "INACTIVE_SOURCE_EXCLUDED", F.lit(0)).when(empty, n + o).when(F.col("reading") == "APPLIED_NO", n).when(F.col("reading") == "APPLIED_ONLY", o).otherwise(n + o)
-    final = read.join(met, "relation", "left").select("relation", "value", F.when(empty, "UNKNOWN_DISCONNECTED").otherwise(F.col("reading")).alias("reading"), made.cast("long").alias("rules"))
-    judged = turns.drop("reading").join(final.select("relation", "reading"), "relation")
+    final = read.join(met, "relation", "left").select("relation", "value", last.alias("reading"), made.cast("long").alias("rules"))
+    own = Window.partitionBy("relation")
+    counted = turns.withColumns({"__n": F.count_if("named").over(own), "__o": F.count_if(~F.col("named")).over(own)})
+    read_so = counted.withColumn("reading", judged(F.col("__n"), F.col("__o"))[1])
     applies = F.when(F.col("reading") == "APPLIED_NO", F.col("named")).when(F.col("reading") == "APPLIED_ONLY", ~F.col("named")).otherwise(True)
     state = F.when(F.col("reading").startswith("APPLIED"), "FORBIDDEN").otherwise("UNKNOWN_RESTRICTION")
-    return judged.filter(applies).select("relation", "from_arc", "to_arc", state.alias("state")).distinct(), final
+    return read_so.filter(applies).select("relation", "reading", "from_arc", "to_arc", state.alias("state")).distinct(), final
 
 
 def sound(elements: DataFrame, profile: RoadProfile = RoadProfile()) -> DataFrame:
-    """The classified ways of a map's elements, as sources.road_map gives them.
+    """The classified ways of a map's elements, as sources.road_map gives them, without their tags.
 
     A map with repeated ids, misplaced nodes or references to nodes that it lacks is an error, as is one without nodes.
     """
     wrong = faults(elements).first().asDict()
     if any(wrong.values()):
         raise ValueError(f"the map is at fault: {wrong}")
-    return stored(classified(elements.filter("kind = 'way'").select(F.col("id").alias("way"), "refs", "tags"), profile))
+    return stored(classified(elements.filter("kind = 'way'").select(F.col("id").alias("way"), "refs", "tags"), profile).drop("tags"))
 
 
 def excluded(every: DataFrame) -> DataFrame:
@@ -181,15 +189,15 @@ def directed(elements: DataFrame, every: DataFrame, profile: RoadProfile = RoadP
 def imported(elements: DataFrame, profile: RoadProfile = RoadProfile()) -> dict[str, DataFrame]:
     """nodes, arcs, rules, restrictions, excluded (reason, ways) and statistics (one row) of a map's elements, as sources.road_map gives them.
 
-    Elements are kept by their reader, classified ways, arcs and rules here; everything else is lazy. Who needs ways or arcs alone takes sound() and directed().
+    Elements are kept by their reader, classified ways, arcs and turns here; everything else is lazy. Who needs ways or arcs alone takes sound() and directed(). Rules name
+    arcs by structs of way, chain and direction, as digests are not compressed; an arc's own digest is made when it is asked for.
     """
     every = sound(elements, profile)
     arcs, on_ways, ends = directed(elements, every, profile)
-    arcs = stored(arcs)
+    arcs = stored(arcs.drop("arc_id")).withColumn("arc_id", arc_id("way"))
     relations = elements.filter("kind = 'relation'").select(F.col("id").alias("relation"), "members", "tags")
     ways = every.filter("excluded IS NULL")
-    rules, final = turn_rules(arcs, restrictions(relations, ways, profile))
-    rules, final = stored(rules), stored(final)
+    rules, final = turn_rules(arcs.withColumn("arc_id", F.struct("way", "chain", "direction")), restrictions(relations, ways, profile))
     used = on_ways.groupBy("node").agg(F.count_distinct("way").alias("ways"), F.first("x").alias("x"), F.first("y").alias("y"))
     nodes = used.join(ends.select("node", F.lit(True).alias("__end")).distinct(), "node", "left").filter("ways > 1 OR __end").select("node", "x", "y")
     count = lambda df, name, what=F.lit(True): df.agg(F.count_if(what).alias(name))

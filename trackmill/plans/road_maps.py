@@ -11,8 +11,12 @@ from .files import folder
 from .registry import query, table
 
 
+#: Elements of a file, since a compressed file is read by one task.
+FILE_ELEMENTS = 100_000
+
+
 def written(spark, sf_dir) -> str:
-    """The map as XML in the shared folder, in as many files as the tables have parts."""
+    """The map as XML in the shared folder, in compressed files: as many as the tables have parts, more where a part has more than FILE_ELEMENTS elements."""
     tag = lambda k, v: F.when(v.isNotNull(), F.struct(F.lit(k).alias("_k"), v.cast("string").alias("_v")))
     member = lambda kind, ref, role: F.struct(F.lit(kind).alias("_type"), ref.alias("_ref"), F.lit(role).alias("_role"))
     xml = lambda name, *columns: F.to_xml(F.struct(*columns), {"rowTag": name}).alias("value")
@@ -36,7 +40,7 @@ def written(spark, sf_dir) -> str:
     facts = F.array_compact(F.array(tag("type", F.when(k % 6 == 4, "multipolygon").otherwise("restriction")), tag("restriction", value), tag("except", F.when(k % 6 == 2, "bus"))))
     relations = ends.select(xml("relation", k.alias("_id"), members.alias("member"), facts.alias("tag")))
     at = folder(spark)
-    nodes.union(ways).union(relations).write.text(at)
+    nodes.union(ways).union(relations).write.option("maxRecordsPerFile", FILE_ELEMENTS).text(at, compression="gzip")
     return at
 
 
@@ -91,10 +95,8 @@ def imported_arcs(spark, sf_dir):
 @query(f"WITH {RULES} SELECT relation, reading, from_way, from_chain, from_direction, to_way, to_chain, to_direction, state FROM ru")
 def imported_rules(spark, sf_dir):
     """The turns that a map's relations forbid or leave unknown, from its file to pairs of arcs."""
-    made = graph(spark, sf_dir)
-    arc = lambda side: made["arcs"].select(F.col("arc_id").alias(f"{side}_arc"), *[F.col(c).alias(f"{side}_{c}") for c in ("way", "chain", "direction")])
-    named = made["rules"].join(arc("from"), "from_arc").join(arc("to"), "to_arc").join(made["restrictions"].select("relation", "reading"), "relation")
-    return named.select("relation", "reading", *[f"{s}_{c}" for s in ("from", "to") for c in ("way", "chain", "direction")], "state")
+    sides = [F.col(f"{s}_arc.{c}").alias(f"{s}_{c}") for s in ("from", "to") for c in ("way", "chain", "direction")]
+    return graph(spark, sf_dir)["rules"].select("relation", "reading", *sides, "state")
 
 
 @query(f"""

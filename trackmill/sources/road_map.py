@@ -1,11 +1,16 @@
 """Road maps in XML, read once: nodes, ways, relations and bounds come from one scan of the files, in splits of any size.
 
-The text source splits a file at `<`, which occurs in neither values nor text, so each row is one tag. A tag's place is its split and its row there. Windows find which
-element each tag belongs to within its split; what begins in one split and ends in another is put together from its few pieces.
+The text source splits a file at `<`, which occurs in neither values nor text, so each row is one tag. A tag's place is its split and its row there. A task sees a split's tags
+in their order, so it gathers those of each element as it reads; what begins in one split and ends in another is put together from its few pieces.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,6 +24,8 @@ VALUE = r"""("[^"]*+"|'[^']*+')"""
 TAG, ATTRIBUTE = rf"^/?[A-Za-z]+(\s+[\w:.-]+\s*=\s*{VALUE})*+\s*/?>\s*$", rf"\s([\w:.-]+)\s*=\s*{VALUE}"
 DEGREES = r"^-?[0-9]+(\.[0-9]{1,7})?$"
 HEAD = -1
+#: What a tag is to the element around it: within it, its open or only tag, its end; SPENT is the last tag of what is handed on.
+INSIDE, OPEN, WHOLE, END, SPENT = range(5)
 
 
 def _refused(tag: Column, known: Column) -> Column:
@@ -50,8 +57,8 @@ def unescaped(value: Column) -> Column:
     return F.when(value.contains("&"), F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), one), ""))).otherwise(F.translate(value, "\n\r\t", "   "))
 
 
-def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """file, block, nth, closed, tags (nth, name, values as entries): elements, and of those that a split cuts the pieces; nth is HEAD for a piece that an earlier split began."""
+def _tags(spark: SparkSession, path: str) -> DataFrame:
+    """file, block, nth, state, value: the tags that matter, in the order in which each split has them."""
     rows = spark.read.option("lineSep", "<").text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"), F.col("value")
     )
@@ -60,18 +67,63 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
     known = [*KINDS, *[f"/{k}" for k in KINDS], *INNER]
     reason = _refused(F.col("value"), name.isin(*known))
     rows = rows.withColumn("name", F.when(reason.isNotNull(), F.raise_error(reason).cast("string")).otherwise(name)).filter(F.col("name").isin(*known))
-    quoted = F.regexp_extract_all("value", F.lit(ATTRIBUTE), F.lit(2))
-    values = F.zip_with(F.regexp_extract_all("value", F.lit(ATTRIBUTE), F.lit(1)), quoted, lambda n, v: F.struct(n.alias("key"), unescaped(F.substr(v, F.lit(2), F.length(v) - 2)).alias("value")))
-    begins, ends = F.col("name").isin(*KINDS), F.col("name").startswith("/")
-    whole = begins & F.col("value").rlike(r"/>\s*$")
-    rows = rows.select("file", "block", "nth", "name", values.alias("entries"), begins.alias("begins"), (ends | whole).alias("closed"), F.when(begins | ends, F.struct("nth", (begins & ~whole).alias("open"))).alias("state"))
-    before = F.last("state", True).over(Window.partitionBy("file", "block").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1))
-    # a tag after an element's end and before the next belongs to none
-    owner = F.when(F.col("begins"), F.col("nth")).when(F.col("before").isNull(), HEAD).when(F.col("before.open"), F.col("before.nth"))
-    own = rows.withColumn("before", before).withColumn("owner", owner).filter("owner IS NOT NULL")
-    # entries instead of maps, since maps cannot be sorted; the number decides
-    tags = F.sort_array(F.collect_list(F.when(~F.col("name").startswith("/"), F.struct("nth", "name", F.col("entries").alias("values")))))
-    return own.groupBy("file", "block", "owner").agg(F.bool_or("closed").alias("closed"), tags.alias("tags")).withColumnRenamed("owner", "nth")
+    begins = F.when(F.col("value").rlike(r"/>\s*$"), WHOLE).otherwise(OPEN)
+    state = F.when(F.col("name").isin(*KINDS), begins).when(F.col("name").startswith("/"), END).otherwise(INSIDE)
+    return rows.select("file", "block", "nth", state.cast("byte").alias("state"), "value")
+
+
+def _cut(rows: pa.RecordBatch, more: bool) -> tuple[pa.RecordBatch, pa.RecordBatch | None]:
+    """The pieces that rows of tags hold, and the rows that what comes next may go on; of an element that is over, its last tag as SPENT."""
+    file, block, nth, state = *(rows.column(c) for c in ("file", "block")), *(rows.column(c).to_numpy() for c in ("nth", "state"))
+    at, n = np.arange(len(state)), len(state)
+    other = pc.or_(pc.not_equal(file.slice(1), file.slice(0, n - 1)), pc.not_equal(block.slice(1), block.slice(0, n - 1))).to_numpy(zero_copy_only=False)
+    split = np.maximum.accumulate(np.where(np.append(True, other), at, 0))
+    last = np.maximum.accumulate(np.where(state != INSIDE, at, -1))
+    before = np.append(-1, last[:-1])
+    before[before < split] = -1
+    begins = (state == OPEN) | (state == WHOLE)
+    # a tag after an element's end and before the next belongs to none; those before the first are the head of the split
+    owner = np.where(begins, at, np.where(before < 0, split, np.where(state[before] == OPEN, before, -1)))
+    owner[state == SPENT] = -1
+    stop, held = n, None
+    if more:
+        end = last[-1] if last[-1] >= split[-1] else -1
+        if end < 0 or state[end] == OPEN:
+            stop = split[-1] if end < 0 else end
+            held = rows.slice(stop)
+        else:
+            held = pa.RecordBatch.from_arrays([file.slice(end, 1), block.slice(end, 1), pa.array(nth[end : end + 1]), pa.array([SPENT], pa.int8()), rows.column("value").slice(end, 1)], names=["file", "block", "nth", "state", "value"])
+    own = np.flatnonzero((owner >= 0) & (at < stop))
+    starts = np.flatnonzero(np.append(True, owner[own][1:] != owner[own][:-1])) if len(own) else own
+    lead, tag = owner[own][starts], state[own] != END
+    sums = lambda x: np.add.reduceat(x.astype(np.int64), starts) if len(own) else np.zeros(0, np.int64)
+    tags = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sums(tag))), pa.int32()), rows.column("value").take(pa.array(own[tag])))
+    closed = sums((state[own] == WHOLE) | (state[own] == END)) > 0
+    return pa.RecordBatch.from_arrays([file.take(pa.array(lead)), block.take(pa.array(lead)), pa.array(np.where(begins[lead], nth[lead], HEAD)), pa.array(closed), tags], names=["file", "block", "nth", "closed", "tags"]), held
+
+
+def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces of a task's splits, whose tags come in their order; an element that goes on is held until its end."""
+    held = None
+    for batch in batches:
+        if batch.num_rows:
+            rows = batch if held is None else pa.Table.from_batches([pa.RecordBatch.from_arrays(b.columns, names=batch.schema.names) for b in (held, batch)]).combine_chunks().to_batches()[0]
+            made, held = _cut(rows, True)
+            yield made
+    if held is not None:
+        yield _cut(held, False)[0]
+
+
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    """file, block, nth, closed, tags (name, values as entries): elements, and of those that a split cuts the pieces; nth is HEAD for a piece that an earlier split began."""
+    found = _tags(spark, path).mapInArrow(_cuts, "file string, block long, nth long, closed boolean, tags array<string>")
+
+    def taken(tag: Column) -> Column:
+        names, quoted = (F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(i)) for i in (1, 2))
+        values = F.zip_with(names, quoted, lambda n, v: F.struct(n.alias("key"), unescaped(F.substr(v, F.lit(2), F.length(v) - 2)).alias("value")))
+        return F.struct(F.regexp_extract(tag, "^([A-Za-z]+)", 1).alias("name"), values.alias("values"))
+
+    return found.withColumn("tags", F.transform("tags", taken))
 
 
 def _joined(pieces: DataFrame) -> DataFrame:
@@ -85,29 +137,35 @@ def _joined(pieces: DataFrame) -> DataFrame:
     return own.groupBy("file", "element").agg(F.bool_or("closed").alias("closed"), tags.alias("tags")).select("closed", "tags")
 
 
+def _columns(whole: Column) -> list[Column]:
+    """What is kept of elements (closed, tags, first: the attributes of their first tag), where `whole` is true."""
+    kind = F.when(F.col("closed"), F.get("tags", F.lit(0))["name"]).otherwise(F.raise_error(F.lit("an element has no end")).cast("string"))
+    inner = lambda name, one: F.transform(F.filter("tags", lambda t: t["name"] == name), lambda t: one(F.map_from_entries(t["values"])))
+    v = F.col("first")
+    e7 = lambda c: (v[c].try_cast("decimal(20,7)") * 10_000_000).cast("long")
+    place = v["lat"].rlike(DEGREES) & v["lon"].rlike(DEGREES)
+    bounds = F.when(kind == "bounds", F.struct(*[e7(c).alias(n) for c, n in (("minlat", "south"), ("minlon", "west"), ("maxlat", "north"), ("maxlon", "east"))]))
+    made = {
+        "kind": kind, "id": v["id"].cast("long"), "lat_e7": e7("lat"), "lon_e7": e7("lon"), "valid": F.coalesce(place, F.lit(False)), "refs": inner("nd", lambda x: x["ref"].cast("long")),
+        "members": inner("member", lambda x: F.struct(x["type"].alias("type"), x["ref"].cast("long").alias("ref"), x["role"].alias("role"))), "tags": F.map_from_entries(inner("tag", lambda x: F.struct(x["k"], x["v"]))), "bounds": bounds,
+    }
+    return [F.when(whole, c).alias(n) for n, c in made.items()]
+
+
 def elements(spark: SparkSession, path: str) -> DataFrame:
     """kind, id, lat_e7, lon_e7, valid, refs, members (type, ref, role), tags (a map), bounds (south, west, north, east in ten-millionths of a degree).
 
-    One scan, kept in the shared folder. What is no tag, an entity that XML does not name, document types, raw text and comments that hold markup are a
+    One scan, kept in the shared folder; tags are neither shuffled nor sorted. What is no tag, an entity that XML does not name, document types, raw text and comments that hold markup are a
     ValueError; an element that has no end, a number that is none and a repeated key fail as Spark does. `valid` is false for a place that is not written in
     degrees with at most seven decimals. Files are UTF-8. Tags of other elements are passed over; an empty file has no rows.
     """
+    whole, attributes = (F.col("nth") != HEAD) & F.col("closed"), F.map_from_entries(F.get("tags", F.lit(0))["values"])
+    cut = F.when(~whole, F.struct("file", "block", "nth", "closed", "tags")).alias("cut")
     try:
-        pieces = stored(_pieces(spark, path))
+        read = stored(_pieces(spark, path).withColumn("first", F.when(whole, attributes)).select(*_columns(whole), cut))
     except PySparkException as error:
         if "USER_RAISED_EXCEPTION" in str(error):
             raise ValueError(str(error).split("\n")[0]) from error
         raise
-    every = pieces.filter((F.col("nth") != HEAD) & F.col("closed")).select("closed", "tags").union(_joined(pieces))
-    first = F.get("tags", F.lit(0))
-    kind = F.when(F.col("closed"), first["name"]).otherwise(F.raise_error(F.lit("an element has no end")).cast("string"))
-    inner = lambda name, one: F.transform(F.filter("tags", lambda t: t["name"] == name), lambda t: one(F.map_from_entries(t["values"])))
-    v = F.map_from_entries(first["values"])
-    e7 = lambda c: (v[c].try_cast("decimal(20,7)") * 10_000_000).cast("long")
-    place = v["lat"].rlike(DEGREES) & v["lon"].rlike(DEGREES)
-    bounds = F.when(kind == "bounds", F.struct(*[e7(c).alias(n) for c, n in (("minlat", "south"), ("minlon", "west"), ("maxlat", "north"), ("maxlon", "east"))]))
-    # kept once more as columns, so that what is asked of them is not taken apart again for each question
-    return stored(every.select(
-        kind.alias("kind"), v["id"].cast("long").alias("id"), e7("lat").alias("lat_e7"), e7("lon").alias("lon_e7"), F.coalesce(place, F.lit(False)).alias("valid"), inner("nd", lambda x: x["ref"].cast("long")).alias("refs"),
-        inner("member", lambda x: F.struct(x["type"].alias("type"), x["ref"].cast("long").alias("ref"), x["role"].alias("role"))).alias("members"), F.map_from_entries(inner("tag", lambda x: F.struct(x["k"], x["v"]))).alias("tags"), bounds.alias("bounds"),
-    ))
+    joined = stored(_joined(read.filter("cut IS NOT NULL").select("cut.*")).withColumn("first", attributes).select(*_columns(F.lit(True))))
+    return read.filter("cut IS NULL").drop("cut").union(joined)

@@ -23,20 +23,25 @@ VALUE = r"""("[^"]*+"|'[^']*+')"""
 #: A tag from its name to its end, and one of its attributes.
 TAG, ATTRIBUTE = rf"^/?[A-Za-z]+(\s+[\w:.-]+\s*=\s*{VALUE})*+\s*/?>\s*$", rf"\s([\w:.-]+)\s*=\s*{VALUE}"
 DEGREES = r"^-?[0-9]+(\.[0-9]{1,7})?$"
+#: What `\s` of these patterns stands for.
+BLANK = " \t\n\x0b\f\r"
 HEAD = -1
-#: What a tag is to the element around it: within it, its open or only tag, its end; SPENT is the last tag of what is handed on.
-INSIDE, OPEN, WHOLE, END, SPENT = range(5)
+#: What a tag is to the element around it: within it, its open or only tag, its end; SPENT is the last tag of what is handed on, OTHER a tag that does not matter.
+INSIDE, OPEN, WHOLE, END, SPENT, OTHER = range(6)
 
 
 def _refused(tag: Column, known: Column) -> Column:
     """Why a file with this tag isn't read, else null: what could hide or add markup, other versions of the format, and tags that are none."""
     upper = F.upper(F.substring(tag, 1, 9))
     version = F.regexp_extract(tag, r"""\sversion\s*=\s*["']([^"']*)["']""", 1)
-    return (
+    marked = (
         F.when(upper.startswith("!DOCTYPE") | upper.startswith("!ENTITY"), "document types and entities are not read")
         .when(upper.startswith("![CDATA["), "sections of raw text are not read")
         .when(upper.startswith("!--") & ~tag.contains("-->"), "comments that hold markup are not read")
-        .when(tag.rlike(r"^osm[\s/>]") & ~version.isin("", "0.6"), "only version 0.6 is read")
+    )
+    return (
+        F.when(tag.startswith("!"), marked)
+        .when(tag.startswith("osm") & tag.rlike(r"^osm[\s/>]") & ~version.isin("", "0.6"), "only version 0.6 is read")
         .when(known & ~tag.rlike(TAG), F.concat(F.lit("not a whole tag: "), F.substring(tag, 1, 80)))
     )
 
@@ -58,18 +63,17 @@ def unescaped(value: Column) -> Column:
 
 
 def _tags(spark: SparkSession, path: str) -> DataFrame:
-    """file, block, nth, state, value: the tags that matter, in the order in which each split has them."""
+    """file, block, nth, state, value: tags in the order in which each split has them."""
     rows = spark.read.option("lineSep", "<").text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"), F.col("value")
     )
-    # the error is part of the name, so no filter can pass by it
     name = F.regexp_extract("value", "^/?([A-Za-z]+)", 0)
-    known = [*KINDS, *[f"/{k}" for k in KINDS], *INNER]
-    reason = _refused(F.col("value"), name.isin(*known))
-    rows = rows.withColumn("name", F.when(reason.isNotNull(), F.raise_error(reason).cast("string")).otherwise(name)).filter(F.col("name").isin(*known))
+    known = name.isin(*KINDS, *[f"/{k}" for k in KINDS], *INNER)
+    reason = _refused(F.col("value"), known)
     begins = F.when(F.col("value").rlike(r"/>\s*$"), WHOLE).otherwise(OPEN)
-    state = F.when(F.col("name").isin(*KINDS), begins).when(F.col("name").startswith("/"), END).otherwise(INSIDE)
-    return rows.select("file", "block", "nth", state.cast("byte").alias("state"), "value")
+    state = F.when(~known, OTHER).when(name.startswith("/"), END).when(name.isin(*KINDS), begins).otherwise(INSIDE)
+    # the error is part of the state, and tags of other elements are passed over by _cuts(), so that each tag is looked at once
+    return rows.select("file", "block", "nth", F.when(reason.isNotNull(), F.raise_error(reason).cast("int")).otherwise(state).cast("byte").alias("state"), "value")
 
 
 def _cut(rows: pa.RecordBatch, more: bool) -> tuple[pa.RecordBatch, pa.RecordBatch | None]:
@@ -105,7 +109,8 @@ def _cut(rows: pa.RecordBatch, more: bool) -> tuple[pa.RecordBatch, pa.RecordBat
 def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pieces of a task's splits, whose tags come in their order; an element that goes on is held until its end."""
     held = None
-    for batch in batches:
+    for every in batches:
+        batch = every.filter(pc.not_equal(every.column("state"), OTHER))
         if batch.num_rows:
             rows = batch if held is None else pa.Table.from_batches([pa.RecordBatch.from_arrays(b.columns, names=batch.schema.names) for b in (held, batch)]).combine_chunks().to_batches()[0]
             made, held = _cut(rows, True)
@@ -119,9 +124,9 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
     found = _tags(spark, path).mapInArrow(_cuts, "file string, block long, nth long, closed boolean, tags array<string>")
 
     def taken(tag: Column) -> Column:
-        names, quoted = (F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(i)) for i in (1, 2))
-        values = F.zip_with(names, quoted, lambda n, v: F.struct(n.alias("key"), unescaped(F.substr(v, F.lit(2), F.length(v) - 2)).alias("value")))
-        return F.struct(F.regexp_extract(tag, "^([A-Za-z]+)", 1).alias("name"), values.alias("values"))
+        value = lambda e: F.ltrim(F.substr(e, F.instr(e, "=") + 1), F.lit(BLANK))
+        one = lambda e: F.struct(F.trim(F.substring_index(e, "=", 1), F.lit(BLANK)).alias("key"), unescaped(F.substr(value(e), F.lit(2), F.length(value(e)) - 2)).alias("value"))
+        return F.struct(F.regexp_extract(tag, "^([A-Za-z]+)", 1).alias("name"), F.transform(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(0)), one).alias("values"))
 
     return found.withColumn("tags", F.transform("tags", taken))
 
